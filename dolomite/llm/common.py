@@ -53,3 +53,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) alone, null texts empty: other columns, whatever their names, play no part."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def slices(batches, column: str, most: int = 4 << 20):
+    """Arrow batches cut so that the column's texts take about `most` bytes each (a longer text comes alone)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+        at = np.flatnonzero(np.diff((np.cumsum(size) - size) // most)) + 1
+        for a, b in zip([0, *at], [*at, batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
