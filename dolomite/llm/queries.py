@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dolomite.llm import bpe, exact_dedup, packing, pii, token_store, warc
+from dolomite.llm import bpe, exact_dedup, langid, packing, pii, quality, simhash, token_store, warc
 from dolomite.llm.common import LOWER, UPPER, documents, new_folder
 
 def tokenizer_file(name: str) -> str:
@@ -25,12 +25,20 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     token_store.write_store(documents(spark, sf_dir), folder, tokenizer_file("word_bpe_49k.json"), end_id=1)
     return token_store.read_store(spark, folder)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
@@ -39,11 +47,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op5_token_store, op7_pii, op8_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op4_quality, op5_token_store, op6_simhash, op7_pii, op8_exact_dedup, op9_langid, op10_packing)}
 
 #: RFC 4648 base 32 of a SHA-1, five bits at a time.
 _BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
