@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dolomite.llm import bpe, exact_dedup, langid, packing, pii, quality, simhash, token_store, warc
+from dolomite.llm import bpe, exact_dedup, langid, packing, pii, quality, simhash, suffix_dedup, token_store, warc
 from dolomite.llm.common import LOWER, UPPER, documents, new_folder
 
 def tokenizer_file(name: str) -> str:
@@ -25,6 +26,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.deduplicated(documents(spark, sf_dir))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
@@ -55,7 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op4_quality, op5_token_store, op6_simhash, op7_pii, op8_exact_dedup, op9_langid, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_suffix_dedup, op4_quality, op5_token_store, op6_simhash, op7_pii, op8_exact_dedup, op9_langid, op10_packing)}
 
 #: RFC 4648 base 32 of a SHA-1, five bits at a time.
 _BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
