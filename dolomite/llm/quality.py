@@ -115,14 +115,29 @@ def measured(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
+def verdict(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """base_failed, kept"""
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_WINDOW_PERCENT * m["n_words"])
+    return failed, ~failed & (m["covered"] <= MAX_COVERED) & (m["longest_repeat"] <= MAX_LONGEST)
+
+
+def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is kept."""
+
+    def run(batches):
+        for b in slices(batches, text_col):
+            yield b.filter(pa.array(verdict(measured(b.column(text_col)))[1]))
+
+    return spread(docs).mapInArrow(run, docs.schema)
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: the measures, base_failed and kept. longest_repeat below 5 words is approximate (0 or exact)."""
 
     def run(batches):
         for b in slices(batches, "text"):
             m = measured(b.column("text"))
-            failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_WINDOW_PERCENT * m["n_words"])
-            kept = ~failed & (m["covered"] <= MAX_COVERED) & (m["longest_repeat"] <= MAX_LONGEST)
+            failed, kept = verdict(m)
             out = {"doc_id": b.column("doc_id")} | m | {"base_failed": failed, "kept": kept}
             names = [f.split()[0] for f in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([x if isinstance(x := out[k], pa.Array) else pa.array(x) for k in names], names)

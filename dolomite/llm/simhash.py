@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dolomite.llm.common import slices, spread, texts, written
+from dolomite.llm.common import slices, small_or_shuffled, spread, texts, written
 from dolomite.llm.components import components
 
 SEED, RADIUS, WORDS = 42, 2, 3
@@ -209,3 +209,10 @@ def near_groups(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", tex
     found = components(edges)
     of_fp = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return of_docs.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are the smallest identifier of their group (all rows of that identifier)."""
+    groups = near_groups(docs, words, id_col, text_col)
+    gone = written(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
+    return docs.join(small_or_shuffled(gone), docs[id_col].cast("long") == F.col("__id"), "left_anti")
