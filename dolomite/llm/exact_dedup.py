@@ -21,6 +21,8 @@ from dolomite.llm.common import LOWER, UPPER, new_folder, small_or_shuffled, wri
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -92,6 +94,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups drops; rows equal in identifier and text give one row."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    own = docs.withColumn("__digest", sha256(normalised(F.col(text_col)))).dropDuplicates([id_col, "__digest"])
-    return own.join(kept, own[id_col].eqNullSafe(kept["__id"]) & (own["__digest"] == kept["__digest"]), "left_semi").drop("__digest")
+    groups = written(exact_groups(docs, id_col, text_col), "groups")
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    digest = sha256(normalised(F.col(text_col)))
+    left = docs.join(small_or_shuffled(gone), docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
+    if groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+        return left
+    return left.withColumn("__digest", digest).dropDuplicates([id_col, "__digest"]).drop("__digest")
