@@ -22,7 +22,7 @@ def domain_of(text: Column) -> Column:
     """The first domain one of whose keywords is a substring (so "them" has "hem")."""
     out = None
     for domain, terms in lexicon.DOMAIN_KEYWORDS.items():
-        out = (out or F).when(any_of(text, terms), domain)
+        out = (F if out is None else out).when(any_of(text, terms), domain)
     return out.otherwise("General")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dolomite import lexicon
-from dolomite.functions.text import collapsed, norm_key, numbers, strip
+from dolomite.functions.text import norm_key, numbers, strip
 
 #: A rule as a model may answer it; unknown fields are ignored.
 CONSTRAINT = "struct<parameter:string,subject:string,target:string,operator:string,op:string,constraint_type:string,value:string,unit:string,units:string,expression:string,logic:string,constraint_source:string>"
@@ -93,24 +93,26 @@ def risk_of(text: Column) -> Column:
     return F.when(t.rlike("tolerance|±|minimum|maximum|clearance|interference|thickness|radius|failure|crack|fracture|safety|critical"), "high").when(t.rlike("[0-9]|avoid|ensure|prevent"), "medium").otherwise("low")
 
 
-def unresolved(payload: Column, depth: int = 4) -> Column:
+def unresolved(payload: Column, depth: int = 8) -> Column:
     """Whether a constraint (JSON text) holds a compound without parts, `depth` levels down at most.
 
-    Of the five names a compound can have, the first that is there decides.
+    Of the five names a compound can have, the first that is there decides. A fold over the levels.
     """
     names = ("all_of", "any_of", "conditions", "allOf", "anyOf")
+    none = F.array().cast("array<string>")
 
-    def of(item: Column, left: int) -> Column:
-        out = F.when(item.startswith("["), F.exists(F.from_json(item, "array<string>"), lambda x: of(x, left - 1)) if left else F.lit(False))
-        keys = F.json_object_keys(item)
+    def nested(item: Column) -> Column:
+        """The compound's parts as JSON text, empty text if it has none, null if the item is no compound."""
+        keys, out = F.json_object_keys(item), None
         for k in names:
-            nested = F.get_json_object(item, f"$.{k}")
-            empty = nested.isNull() | nested.isin("[]", "{}", "", "0", "false", "null")
-            deeper = F.exists(F.from_json(nested, "array<string>"), lambda x: of(x, left - 1)) if left else F.lit(False)
-            out = out.when(F.array_contains(keys, k), F.when(empty, F.lit(True)).otherwise(F.coalesce(deeper, F.lit(False))))
-        return F.coalesce(out.otherwise(False), F.lit(False))
+            out = (F if out is None else out).when(F.array_contains(keys, k), F.coalesce(F.get_json_object(item, f"$.{k}"), F.lit("")))
+        return out
 
-    return of(strip(payload), depth)
+    parts = lambda item: F.coalesce(F.from_json(F.when(item.startswith("["), item).otherwise(nested(item)), "array<string>"), none)
+    bad = lambda item: ~item.startswith("[") & nested(item).isin("", "[]", "{}", "0", "false")
+    step = lambda a, _: F.struct((a["bad"] | F.coalesce(F.exists(a["items"], bad), F.lit(False))).alias("bad"), F.flatten(F.transform(a["items"], parts)).alias("items"))
+    start = F.struct(F.lit(False).alias("bad"), F.array(strip(payload)).alias("items"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step, lambda a: a["bad"])
 
 
 def validated(rules: DataFrame, constraints: str = "constraints", severity: str = "severity") -> DataFrame:
@@ -201,7 +203,3 @@ def picked_domain(filename: Column, technical: Column, sector: Column, feature:
     name = F.lower(F.coalesce(filename, F.lit("")))
     base = F.coalesce(truthy(technical), F.when(F.contains(name, F.lit("sheet")) & F.contains(name, F.lit("metal")), "sheet metal"), truthy(sector), F.lit("general"))
     return F.concat_ws(" / ", base, truthy(feature))
-
-
-def short(text: Column) -> Column:
-    return collapsed(text)
