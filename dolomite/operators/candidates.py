@@ -51,7 +51,11 @@ def document_metadata(docs: DataFrame, terms: Sequence[str] = lexicon.GLOSSARY,
 def features(text: Column) -> Column:
     """Keyword matches by category and their density."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.concat(*[F.transform(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t)), lambda t, c=c: F.struct(t.alias("term"), F.lit(c).alias("category"))) for c, terms in lexicon.FEATURE_KEYWORDS.items()])
+
+    def of(category: str, terms: Sequence[str]) -> Column:
+        return F.transform(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t)), lambda t: F.struct(t.alias("term"), F.lit(category).alias("category")))
+
+    found = F.concat(*[of(c, terms) for c, terms in lexicon.FEATURE_KEYWORDS.items()])
     return F.struct(found.alias("matches"), (F.size(found) / F.greatest(word_count(low), F.lit(1))).alias("density"))
 
 
