@@ -270,6 +270,20 @@ def test_simhash(spark):
     assert rows_of(simhash.near_groups(frame(spark)), "doc_id", "fingerprint", "component_id") == sorted(want, key=repr)
 
 
+def test_near_copies_of_five_word_shingles(spark):
+    rng, rows = random.Random(8), []
+    for i in range(60):
+        w = prose(300, 500 + i).split()
+        rows.append((i, " ".join(w)))
+        if i < 40:  # one word of 300 differs
+            w[rng.randrange(300)] = "zzz"
+            rows.append((1000 + i, " ".join(w)))
+    groups = {r.doc_id: r.component_id for r in simhash.near_groups(frame(spark, rows), **simhash.NEAR).collect()}
+    assert all(groups[i] == i for i in range(60))
+    assert sum(groups[1000 + i] == i for i in range(40)) >= 38
+    assert {r.doc_id for r in simhash.one_of_each_group(frame(spark, rows)).collect()} == {d for d, c in groups.items() if d == c}
+
+
 def test_vantage_trees_find_every_link():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
