@@ -24,6 +24,8 @@ from dolomite.llm.common import slices, small_or_shuffled, spread, texts, writte
 from dolomite.llm.components import components
 
 SEED, RADIUS, WORDS = 42, 2, 3
+#: Near copies for dedup: five-word shingles, and links of at most three bits in any of twelve fingerprints.
+NEAR = {"words": 5, "radius": 3, "tables": 12}
 #: Fingerprints for a shard and its sample's size per shard; at most MOST_SHARDS shards, then shards grow.
 SHARD, SAMPLE_EACH, MOST_SHARDS, LEAF = 20_000, 24, 4096, 384
 
@@ -61,24 +63,36 @@ def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprinted(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long)."""
+def mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """The hashes for a table: themselves for the first, else shifted and multiplied as by splitmix64."""
+    if not table:
+        return hashes
+    h = hashes + np.uint64(0x9E3779B97F4A7C15 * table % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprinted(docs: DataFrame, words: int = WORDS, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fps (for each table the fingerprint's 64 bits as a long)."""
 
     def run(batches):
         for b in slices(batches, "text"):
             each = [shingle_hashes(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()]
             counts = np.fromiter(map(len, each), np.int64, len(each))
             flat = np.fromiter((h for x in each for h in x), np.uint64, int(counts.sum()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(flat, counts).view(np.int64))], ["doc_id", "fp"])
+            each = np.stack([fingerprints(mixed(flat, t), counts).view(np.int64) for t in range(tables)], 1)
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * tables, pa.int32()), pa.array(each.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fps], ["doc_id", "fps"])
 
-    return spread(texts(docs, id_col, text_col)).mapInArrow(run, "doc_id long, fp long")
+    return spread(texts(docs, id_col, text_col)).mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def vantage(points: np.ndarray, seed: int) -> tuple[np.uint64, int]:
+def vantage(points: np.ndarray, seed: int, radius: int = RADIUS) -> tuple[np.uint64, int]:
     """Of a few candidates the point around which fewest lie just inside the median distance, and that distance."""
     rng = np.random.default_rng(seed)
     some = points if len(points) <= 2000 else points[rng.integers(0, len(points), 2000)]
@@ -87,14 +101,14 @@ def vantage(points: np.ndarray, seed: int) -> tuple[np.uint64, int]:
         d = distance(some, v)
         mid = int(np.median(d))
         for cut in (mid - 1, mid, mid + 1):
-            inner, band = (d <= cut).sum(), ((d <= cut) & (d > cut - RADIUS)).sum()
+            inner, band = (d <= cut).sum(), ((d <= cut) & (d > cut - radius)).sum()
             worst = max(inner, len(some) - inner + band)
             if best is None or worst < best[0]:
                 best = (worst, v, cut)
     return best[1], best[2]
 
 
-def grown(sample: np.ndarray, shards: int) -> list[tuple]:
+def grown(sample: np.ndarray, shards: int, radius: int = RADIUS) -> list[tuple]:
     """The upper tree: (vantage point, cut, inner, outer) for nodes, children given as places, or -1 - shard."""
     nodes: list = []
     leaves = 0
@@ -106,9 +120,9 @@ def grown(sample: np.ndarray, shards: int) -> list[tuple]:
             return -leaves
         at = len(nodes)
         nodes.append(None)
-        v, cut = vantage(points, at)
+        v, cut = vantage(points, at, radius)
         d = distance(points, v)
-        inner, outer = points[d <= cut], points[d > cut - RADIUS]
+        inner, outer = points[d <= cut], points[d > cut - radius]
         if not len(inner) or not (d > cut).any():
             nodes.pop()
             leaves += 1
@@ -123,7 +137,7 @@ def grown(sample: np.ndarray, shards: int) -> list[tuple]:
     return nodes
 
 
-def dealt(points: np.ndarray, nodes: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+def dealt(points: np.ndarray, nodes: list[tuple], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """(row, shard) of each point and its copies across boundaries."""
     rows, to, work = [], [], [(0 if nodes else -1, np.arange(len(points)))]
     while work:
@@ -134,7 +148,7 @@ def dealt(points: np.ndarray, nodes: list[tuple]) -> tuple[np.ndarray, np.ndarra
         elif len(own):
             v, cut, inner, outer = nodes[at]
             d = distance(points[own], np.uint64(v))
-            work += [(inner, own[d <= cut]), (outer, own[d > cut - RADIUS])]
+            work += [(inner, own[d <= cut]), (outer, own[d > cut - radius])]
     return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(to) if to else np.zeros(0, np.int64)
 
 
@@ -166,7 +180,7 @@ def linked(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     while work:
         own = work.pop()
         if len(own) > LEAF:
-            v, cut = vantage(points[own], len(own))
+            v, cut = vantage(points[own], len(own), radius)
             d = distance(points[own], v)
             inner, outer = own[d <= cut], own[d > cut - radius]
             if max(len(inner), len(outer)) < 0.97 * len(own):
@@ -180,39 +194,50 @@ def linked(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return forest.roots(np.arange(len(points)))
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id: a row per row of docs."""
-    spark = docs.sparkSession
-    of_docs = written(fingerprinted(docs, words, id_col, text_col), "fingerprints")
-    nodes = written(of_docs.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    n = nodes.count()
+def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (the first table's), component_id: a row per row of docs.
+
+    tables: fingerprints of that many independent hashes; texts link if any of them is within the radius.
+    """
+    of_docs = written(fingerprinted(docs, words, tables, id_col, text_col), "fingerprints")
+    alike = written(of_docs.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
+    if tables == 1:
+        points = alike.select(F.lit(0).alias("table"), F.col("fps")[0].alias("fp"), "node")
+        same = None
+    else:
+        flat = alike.select(F.posexplode("fps").alias("table", "fp"), "node")
+        points = written(flat.groupBy("table", "fp").agg(F.min("node").alias("node")), "points")
+        same = flat.join(points.withColumnRenamed("node", "dst"), ["table", "fp"]).where("node != dst").select(F.col("node").alias("src"), "dst")
+    n = alike.count()
     shards = min(MOST_SHARDS, -(-n // SHARD))
-    share = min(1.0, 2 * SAMPLE_EACH * max(shards, 80) / max(n, 1))
+    most = 4 * SAMPLE_EACH * max(shards, 80)
     # Chosen by hash, so the sample is the same whenever a task runs again.
-    rows = nodes.where(F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").limit(4 * SAMPLE_EACH * max(shards, 80)).toArrow() if shards > 1 else None
-    tree = grown(np.sort(rows.column("fp").to_numpy()).view(np.uint64), shards) if rows is not None and rows.num_rows else []
+    near = points.where("table = 0").where(F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.lit(1 << 30)) < int(min(1.0, most / 2 / max(n, 1)) * (1 << 30)))
+    rows = near.select("fp").limit(most).toArrow() if shards > 1 else None
+    tree = grown(np.sort(rows.column("fp").to_numpy()).view(np.uint64), shards, radius) if rows is not None and rows.num_rows else []
 
     def deal(batches):
         for b in batches:
             fp = b.column("fp").to_numpy()
-            row, shard = dealt(fp.view(np.uint64), tree)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(fp[row]), b.column("node").take(pa.array(row))], ["shard", "fp", "node"])
+            row, shard = dealt(fp.view(np.uint64), tree, radius)
+            table = b.column("table").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(table, pa.int32()), pa.array(shard, pa.int32()), pa.array(fp[row]), b.column("node").take(pa.array(row))], ["table", "shard", "fp", "node"])
 
-    def join(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node").combine_chunks()
-        root = linked(table.column("fp").to_numpy().view(np.uint64))
+    def join(part: pa.Table) -> pa.Table:
+        part = part.sort_by("node").combine_chunks()
+        root = linked(part.column("fp").to_numpy().view(np.uint64), radius)
         on = np.flatnonzero(root != np.arange(len(root)))
-        node = table.column("node")
+        node = part.column("node")
         return pa.table({"src": node.take(pa.array(on)), "dst": node.take(pa.array(root[on]))})
 
-    edges = nodes.where("node is not null").mapInArrow(deal, "shard int, fp long, node long").groupBy("shard").applyInArrow(join, "src long, dst long")
-    found = components(edges)
-    of_fp = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return of_docs.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    edges = points.where("node is not null").mapInArrow(deal, "table int, shard int, fp long, node long").groupBy("table", "shard").applyInArrow(join, "src long, dst long")
+    found = components(edges if same is None else edges.unionByName(same))
+    of_fps = alike.join(found, "node", "left").select("fps", F.coalesce("component", "node").alias("component_id"))
+    return of_docs.join(of_fps, "fps").select("doc_id", F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, words: int = NEAR["words"], radius: int = NEAR["radius"], tables: int = NEAR["tables"], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are the smallest identifier of their group (all rows of that identifier)."""
-    groups = near_groups(docs, words, id_col, text_col)
+    groups = near_groups(docs, words, radius, tables, id_col, text_col)
     gone = written(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
     return docs.join(small_or_shuffled(gone), docs[id_col].cast("long") == F.col("__id"), "left_anti")
