@@ -346,7 +346,15 @@ def algebra_normalize(spark, sf_dir):
     return rows.select("rid", formal.algebra(F.col("p.lhs"), F.col("p.op"), F.col("p.rhs"), F.col("thick"), F.col("aliases")).alias("a")).select("rid", "a.op", "a.exp_name", "a.recom_num")
 
 
-@query()
+@query(f"""WITH {ALGEBRA_SQL}, a AS (SELECT rid, category_name, lhs, op, turned, thick, rest, l, r, kept, n FROM z
+      UNION ALL SELECT rid, category_name, equation, NULL, FALSE, thick, '', equation, '', TRUE, NULL FROM {corpus.values(corpus.EQUATIONS)} e JOIN {CONFIG_SQL} c ON c.key = lower(domain) WHERE equation LIKE 'Tolerance(%'),
+    b AS (SELECT a.*, equation, 'Rule that the value ' || equation AS rule_text, equation LIKE 'Tolerance(%' AS tol FROM a JOIN {corpus.values(corpus.EQUATIONS)} e USING (rid)),
+    w AS (SELECT *, (list_filter(string_split(regexp_replace(rule_text, '[^a-zA-Z0-9 ]', '', 'g'), ' '), lambda x: x <> ''))[1:7] AS ws, CASE WHEN contains(lhs, '.') THEN split_part(lhs, '.', 1) END AS root,
+      CASE WHEN tol THEN NULL WHEN turned THEN CAST(n AS DOUBLE) WHEN NOT kept AND n IS NULL THEN TRY_CAST(r AS DOUBLE) END AS recom_num FROM b)
+    SELECT rid, rule_text, category_name AS rule_category, array_to_string(list_transform(ws, lambda x: upper(x[1:1]) || lower(x[2:])), ' ') AS name,
+      CASE WHEN tol THEN 'Tolerance' ELSE coalesce(root, 'Attribute') END AS feature1, CASE WHEN tol THEN 'Tolerance' ELSE coalesce(root, '') END AS object1, '' AS object2,
+      CASE WHEN tol THEN equation WHEN NOT turned THEN l WHEN rest = '' THEN l || '/' || thick WHEN rest LIKE '+%' THEN '(' || l || ' - ' || trim(rest, '+ ') || ')/' || thick ELSE '(' || l || ' + ' || trim(rest, '- ') || ')/' || thick END AS exp_name,
+      CASE WHEN tol THEN 'True' ELSE op END AS operator, recom_num, CASE WHEN tol THEN 'true' WHEN recom_num IS NULL THEN r END AS recom_text FROM w""")
 def canonical_rules(spark, sf_dir):
     rows = corpus.frame(spark, corpus.EQUATIONS).select("rid", F.concat(F.lit("Rule that the value "), "equation").alias("rule_text"), F.lit("Success").alias("status"), "domain", F.lit(None).cast("string").alias("geometry_json"), "equation", F.lit(None).cast("string").alias("ast"))
     return formal.canonical_rules(rows)
