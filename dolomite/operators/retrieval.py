@@ -77,6 +77,38 @@ def vector_search(rows: DataFrame, query: Sequence[float], k: int = 10, least: f
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
+def vector_search_many(rows: DataFrame, queries: DataFrame, k: int = 10, blocks: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, score): the cosine top k of every query vector over all rows (ties by id; a query finds itself too).
+
+    Rows are dealt to blocks and every query goes to each; a block multiplies matrices in bounded pieces and hands on its own top
+    k of each query, so what is ranked at last is k rows a block and query.
+    """
+    import pandas as pd
+
+    blocks = blocks or max(1, rows.rdd.getNumPartitions())
+    own = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+
+    def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        unit = lambda c: (m := np.stack(c.to_list())) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        left = left.sort_values("id")
+        v, ids, out = unit(left["v"]), left["id"].to_numpy(), []
+        step = max(1, 4_000_000 // len(ids))
+        for a in range(0, len(right), step):
+            part = right.iloc[a : a + step]
+            score = unit(part["q"]) @ v.T
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "id": ids[top.ravel()], "score": np.take_along_axis(score, top, 1).ravel()}))
+        return pd.concat(out)
+
+    found = own.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(best, "query_id long, id long, score double")
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k).drop("r")
+
+
 def fused(*ranked: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
     """(id, score) of ranked top-k lists (id, score): sum of 1 / (constant + rank), ranks from 1, over the lists."""
     every = None

@@ -157,7 +157,7 @@ def normalized_fallback_dedupe(spark, sf_dir):
 
 
 @query()
-def near_dup_leaders(spark, sf_dir):
+def near_dup_pairs(spark, sf_dir):
     return postprocess.similar_leaders(data_rules(spark, sf_dir))
 
 
@@ -388,9 +388,11 @@ QUERY = [((i * 37) % 19 - 9) / 10 for i in range(64)]
 COSINE = f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), {QUERY})"
 
 
-@query(f"SELECT vec_id AS id, round({COSINE}, 6) AS score FROM embeddings ORDER BY {COSINE} DESC, vec_id LIMIT 10")
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)
+    SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""")
 def vector_topk(spark, sf_dir):
-    return retrieval.vector_search(table(spark, sf_dir, "embeddings"), QUERY, 10).withColumn("score", F.round("score", 6))
+    rows = table(spark, sf_dir, "embeddings")
+    return retrieval.vector_search_many(rows, rows.where("vec_id % 20 = 0"), 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT vec_id AS id, round({COSINE}, 6) AS score FROM embeddings WHERE label >= 5 AND {COSINE} >= 0.05 ORDER BY {COSINE} DESC, vec_id LIMIT 10")

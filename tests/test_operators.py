@@ -184,6 +184,20 @@ def test_retrieval_edges(spark):
     assert provider.reranked(spark.createDataFrame([(2, "bb"), (1, "a")], "id int, text string"), lambda ts: [float(len(x)) for x in ts], 1).first().id == 2
 
 
+def test_many_queries(spark):
+    import random
+
+    rng = random.Random(1)
+    data = [(i, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)]) for i in range(70)]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = retrieval.vector_search_many(rows, rows.where("vec_id % 20 = 0"), 5, blocks=3).collect()
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    for q in (0, 20, 40, 60):
+        own = {r.id: r.score for r in got if r.query_id == q}
+        truth = sorted((cosine(data[q][1], v) for _, v in data), reverse=True)[:5]
+        assert sorted(own.values(), reverse=True) == pytest.approx(truth) and all(own[i] == pytest.approx(cosine(data[q][1], data[i][1])) for i in own)
+
+
 def test_features(spark):
     got = one(spark, candidates.features, "Steel plates: tolerance and thickness in mm")
     assert {(m.term, m.category) for m in got.matches} == {("steel", "materials"), ("tolerance", "specifications"), ("thickness", "specifications"), ("mm", "measurements")}
