@@ -13,7 +13,7 @@ strings, so equal windows have equal anchors, and a run of neighbouring windows
    their reversed heads share o bytes before it; both are read off the sorted orders, for each distance o.
 3. The spans found go back to their texts, and what is left is joined up.
 
-Memory: a task holds the runs of its share of grams. Many copies of one string are one candidate; before the exchange each
+Memory: a task holds the runs of its share of grams, and of windows in step 2. Many copies of one string are one candidate; before the exchange each
 task reports a string that it holds several times only once more. Nulls are empty texts; texts under SPAN bytes stay as they
 are. Rows are told apart by identifier and a checksum of the text, so repeated rows count as occurrences of each other.
 Empty input: no rows. Other columns play no part.
@@ -35,7 +35,7 @@ from dolomite.llm.common import slices, spread, written
 
 SPAN, GRAM = 200, 48
 REACH = SPAN - GRAM + 1  # grams in a window
-SEGMENT, BATCH = 1 << 20, 3 << 20
+SEGMENT, BATCH, BLOCK = 1 << 20, 3 << 20, 32
 FIELDS = (("gram", "<u8"), ("string", "<u8"), ("doc", "<i8"), ("key", "<u4"), ("lo", "<u4"), ("n", "u1"), ("off", "u1"))
 
 
@@ -281,8 +281,9 @@ def decoded_run(data: bytes) -> Iterator[tuple[int, bytes, tuple[bytes, np.void]
         b += before[i]
 
 
-def equal_windows(suffixes: list[bytes], shared: np.ndarray, heads: list[bytes], meta: np.ndarray) -> np.ndarray:
-    """candidate x distance o: whether the window that begins o bytes before the anchor occurs among the others too.
+def equal_windows(suffixes: list[bytes], shared: np.ndarray, heads: list[bytes], meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """candidate x distance o: whether the window that begins o bytes before the anchor occurs among the others too, and
+    whether it is not the first of its equals.
 
     suffixes sorted; shared: common prefixes of neighbours. Suffixes of one gram are neighbours that share GRAM bytes.
     """
@@ -294,7 +295,7 @@ def equal_windows(suffixes: list[bytes], shared: np.ndarray, heads: list[bytes],
     new = np.diff(group[order], prepend=-1) != 0
     long_left = np.array([*map(len, heads)])
     long_right = np.array([*map(len, suffixes)])
-    found = np.zeros((n, REACH), bool)
+    found, later = np.zeros((n, REACH), bool), np.zeros((n, REACH), bool)
     off, least = meta["off"].astype(np.int64), meta["off"].astype(np.int64) - meta["n"] + 1
     several = np.bincount(group)[group] > 1
     of_left = np.empty(n, np.int64)
@@ -305,12 +306,11 @@ def equal_windows(suffixes: list[bytes], shared: np.ndarray, heads: list[bytes],
         of_right = np.cumsum(shared < SPAN - o)
         of_left[order] = np.cumsum(new | (left < o))
         key = of_right[on] * (n + 1) + of_left[on]
-        ranked_key = np.sort(key)
-        twice = ranked_key[1:][ranked_key[1:] == ranked_key[:-1]]
-        if len(twice):
-            at = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
-            found[on, o] = twice[at] == key
-    return found
+        by = np.argsort(key, kind="stable")
+        same = key[by][1:] == key[by][:-1]
+        later[on[by[1:][same]], o] = True
+        found[on[by[:-1][same]], o] = True
+    return found | later, later
 
 
 def merged_ranges(blobs: list[bytes]) -> pa.RecordBatch:
@@ -321,12 +321,51 @@ def merged_ranges(blobs: list[bytes]) -> pa.RecordBatch:
         suffixes.append(s)
         values.append(v)
     heads, meta = [v[0] for v in values], np.array([v[1] for v in values], META)
-    found = equal_windows(suffixes, np.array(shared, np.int64), heads, meta)
+    return found_ranges(equal_windows(suffixes, np.array(shared, np.int64), heads, meta)[0], meta)
+
+
+def found_ranges(found: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
     row, o = np.nonzero(found & (meta["alone"] == 1)[:, None])
     lo = meta["lo"][row].astype(np.int64) + meta["off"][row] - o
     return range_batch(meta["doc"][row], meta["key"][row].astype(np.int64), lo, lo + SPAN)
 
 
+def dealt_runs(suffixes: list[bytes], heads: list[bytes], meta: np.ndarray, parts: int) -> tuple[pa.RecordBatch, dict[int, bytes]]:
+    """What candidates of one task show by themselves, and the rest as a front-coded run for each partition.
+
+    A window found twice here is repeated; one of its equals goes on. The others go by blocks of BLOCK distances to the
+    partition of the bytes that all windows of the block share, which are nearly a window long: so a frequent gram in many
+    surroundings is spread over partitions.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+    suffixes, heads, meta = [suffixes[i] for i in order], [heads[i] for i in order], meta[order]
+    found, later = equal_windows(suffixes, np.array(front_coded(suffixes), np.int64), heads, meta)
+    o = np.arange(REACH)
+    off, least = meta["off"].astype(np.int64), meta["off"].astype(np.int64) - meta["n"] + 1
+    on = (o <= off[:, None]) & (o >= least[:, None]) & ~later
+    edge = np.zeros((len(on), REACH + 1), bool)
+    edge[:, 1:] = on
+    begins = on & (~edge[:, :-1] | (o % BLOCK == 0))
+    row, first = np.nonzero(begins)
+    ends = np.zeros_like(on)
+    ends[:, :-1] = on[:, :-1] & (~on[:, 1:] | ((o[:-1] + 1) % BLOCK == 0))
+    ends[:, -1] = on[:, -1]
+    last = np.nonzero(ends)[1]
+    by: dict[int, tuple[list, list, list]] = {}
+    for i, a, b in zip(row.tolist(), first.tolist(), last.tolist(), strict=True):
+        block = a // BLOCK
+        right = SPAN - min((block + 1) * BLOCK, REACH) + 1
+        core = heads[i][: block * BLOCK][::-1] + suffixes[i][:right]
+        kept = by.setdefault(xxh3_64_intdigest(core, block) % parts, ([], [], []))
+        m = meta[i]
+        kept[0].append(suffixes[i][: SPAN - a])
+        kept[1].append(heads[i][:b])
+        kept[2].append((m["doc"], m["key"], m["lo"] + m["off"] - b, b - a + 1, b, m["alone"]))
+    return found_ranges(found, meta), {k: coded_run(s, h, np.array(m, META)) for k, (s, h, m) in by.items()}
+
+
 # The operator.
 
 
@@ -393,23 +432,29 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
     def code(batches):
         for b in slices(batches, "text", BATCH):
-            by: dict[int, tuple[list, list, list]] = {}
+            suffixes, heads, meta = [], [], []
             for doc, key, text, runs in zip(*[b.column(c).to_pylist() for c in ("doc_id", "key", "text", "runs")], strict=True):
                 for r in runs:
                     lo, middle = r["lo"], r["lo"] + r["off"]
-                    suffixes, heads, meta = by.setdefault(r["part"], ([], [], []))
                     suffixes.append(text[middle : lo + r["n"] - 1 + SPAN])
                     heads.append(text[lo:middle][::-1])
                     meta.append((doc, key, lo, r["n"], r["off"], r["alone"]))
-            yield pa.RecordBatch.from_arrays([pa.array([*by], pa.int32()), pa.array([coded_run(s, h, np.array(m, META)) for s, h, m in by.values()], pa.binary())], ["part", "run"])
+            own, coded = dealt_runs(suffixes, heads, np.array(meta, META), n)
+            # Spans known already pass through the exchange, spread by their text.
+            yield pa.RecordBatch.from_arrays([pa.array(own.column("key").to_numpy() % n, pa.int32()), *own.columns[1:], pa.nulls(len(own), pa.binary())], schema=moved)
+            k = len(coded)
+            yield pa.RecordBatch.from_arrays([pa.array([*coded], pa.int32()), *[pa.nulls(k, pa.int64())] * 4, pa.array([*coded.values()], pa.binary())], schema=moved)
 
     def merge(batches):
-        blobs = [x for b in batches for x in b.column("run").to_pylist()]
+        blobs = []
+        for b in batches:
+            yield b.filter(b.column("blob").is_null()).select(["doc_id", "key", "lo", "hi"])
+            blobs += b.column("blob").drop_null().to_pylist()
         if blobs:
             yield merged_ranges(blobs).select(["doc_id", "key", "lo", "hi"])
 
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
-    runs = keyed.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "runs").mapInArrow(code, "part int, run binary")
+    runs = keyed.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "runs").mapInArrow(code, moved_ddl)
     sorted_ranges = runs.repartitionById(n, F.col("part")).mapInArrow(merge, "doc_id long, key long, lo long, hi long")
     whole = listing.where("blob is null").select("doc_id", "key", "lo", "hi").unionByName(met.where("hi is not null").select("doc_id", "key", "lo", "hi"))
     return whole.unionByName(sorted_ranges).groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
