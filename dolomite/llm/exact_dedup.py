@@ -78,7 +78,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream_state(reader.parquet(source).select("digest", "doc_id", "locator"), f"{folder}/checkpoint", f"{folder}/changes")
     changes = spark.read.schema("digest string, last struct<doc_id: bigint, locator: string>, n bigint, batch int").parquet(f"{folder}/changes")
-    state = changes.groupBy("digest").agg(F.max("n").alias("group_size"), F.max("last.doc_id").alias("keep_id"))
+    # Written, so that the join below deals out both sides anew and a frequent digest can be split.
+    state = written(changes.groupBy("digest").agg(F.max("n").alias("group_size"), F.max("last.doc_id").alias("keep_id")), "state")
     hits = written(state.where("group_size > 1").select("digest"), "hits")
     # The bytes of every hit: each task compares its own first, so a group's texts never meet in one place.
     again = rows.select(digest(F.col("norm")).alias("digest"), "norm").join(small_or_shuffled(hits), "digest")
