@@ -41,9 +41,14 @@ def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows out anew where a small input would occupy a few cores only; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    """Deals the rows out anew where a small input would occupy a few cores only; larger inputs stay as they are.
+
+    By the optimiser's estimate of the size, so nothing is run to find out.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if 4 * size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
