@@ -24,8 +24,8 @@ from dolomite.llm.common import slices, small_or_shuffled, spread, texts, writte
 from dolomite.llm.components import components
 
 SEED, RADIUS, WORDS = 42, 2, 3
-#: Near copies for dedup: five-word shingles, and links of at most three bits in any of twelve fingerprints.
-NEAR = {"words": 5, "radius": 3, "tables": 12}
+#: Near copies for dedup: five-word shingles, and links of at most two bits in any of 24 fingerprints.
+NEAR = {"words": 5, "radius": 2, "tables": 24}
 #: Fingerprints for a shard and its sample's size per shard; at most MOST_SHARDS shards, then shards grow.
 SHARD, SAMPLE_EACH, MOST_SHARDS, LEAF = 20_000, 24, 4096, 384
 
