@@ -3,9 +3,9 @@
 A configuration is a multiset of piece lengths that fits a sequence; the program asks for the fewest configurations that
 cover every length's count. It is solved by multiplicative weights: each length has a price, a knapsack dynamic program
 over the capacity finds the dearest configuration (and, of the same table, the dearest that holds each length), the best of them
-take a share of the demand, and the prices of lengths left behind rise. The fractional solution is rounded: the
-configurations are used, most used first, as often as their amount rounded up and the pieces left allow, and what
-is left over is packed by best fit.
+take from the demand, and the prices of lengths left behind rise. The fractional solution is rounded: each
+configuration is used as often as its amount rounded down, and what is left over is packed by best fit, whole counts of
+equal pieces and sequences at a time, so the work depends on the lengths and not on the number of pieces.
 
 Only the histogram, at most `capacity` counts, comes to the driver. Pieces are numbered within their length in two
 steps (within a task, then over tasks), and a piece's number alone gives its sequence and place, so no sequence's pieces
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from dolomite.llm.common import slices, spread, texts, written
 from dolomite.llm.token_store import encoded
 
-ROUNDS, PASSES, NEAR, RATE = 4, 200, 0.0002, 0.05
+ROUNDS, BURN, NEAR, RATE = 24, 12, 0.002, 0.3
 
 Config = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
@@ -58,86 +58,85 @@ def traced(lengths: np.ndarray, item: np.ndarray, capacity: int) -> Counter:
 
 
 def fractional(count: dict[int, int], capacity: int) -> tuple[dict[Config, float], float]:
-    """Configurations with amounts that cover the counts, and a lower bound on the optimum (from the best prices met).
+    """Configurations with amounts, and a lower bound on the optimum (from the best prices met).
 
-    In each of ROUNDS rounds every length's demand grows by a share of its count, and configurations within NEAR of the
-    dearest take from it, in passes of which each prices the lengths
-    still short alone. What then is left is covered by filling sequences with the longest lengths left.
+    In each round the configurations within NEAR of the dearest take from the demand of that round; what they leave of a
+    length raises its price. The first BURN rounds find prices alone; each of the others adds its share of the counts.
     """
     lengths = np.array(sorted(count), np.int64)
     need = np.array([count[x] for x in lengths], float)
-    price, left, amount, bound = lengths / capacity, np.zeros(len(lengths)), defaultdict(float), 0.0
+    price, amount, bound = lengths / capacity, defaultdict(float), 0.0
     place = {int(x): i for i, x in enumerate(lengths)}
-
-    def use(config: Counter) -> None:
-        if (step := min(left[place[x]] / n for x, n in config.items())) > 0:
-            amount[tuple(sorted(config.items(), reverse=True))] += step
-            for x, n in config.items():
-                left[place[x]] = max(0.0, left[place[x]] - step * n)
-                if left[place[x]] < 1e-9 * need[place[x]]:
-                    left[place[x]] = 0.0
-
-    def take(own: np.ndarray, price: np.ndarray, least: float) -> float:
-        best, item = knapsack(own, price, capacity)
-        value = price + best[capacity - own]
-        for i in np.lexsort((-own, -np.round(value, 9))):
-            if value[i] < least * best[capacity]:
+    for turn in range(ROUNDS):
+        left = need.copy()
+        best, item = knapsack(lengths, price, capacity)
+        bound = max(bound, float(need @ price) / best[capacity])
+        value = price + best[capacity - lengths]
+        for i in np.lexsort((-lengths, -np.round(value, 9))):
+            if value[i] < (1 - NEAR) * best[capacity]:
                 break
-            if left[place[int(own[i])]] <= 0:
+            if left[i] <= 0:
                 continue
-            config = traced(own, item, capacity - int(own[i]))
-            config[int(own[i])] += 1
-            use(config)
-        return best[capacity]
-
-    for _ in range(ROUNDS):
-        left += need / ROUNDS
-        bound = max(bound, float(need @ price) / take(lengths, price, 1 - NEAR))
-        for _ in range(PASSES):  # what the lengths still short of this round's share can make among themselves
-            before, short = left.sum(), left > 0
-            if short.any():
-                take(lengths[short], price[short], 1 - NEAR)
-            if left.sum() > 0.999 * before:
-                break
-        behind = np.minimum(left / need * ROUNDS, 4)
-        price = price * np.exp(RATE * (behind - behind.mean()))
+            config = traced(lengths, item, capacity - int(lengths[i]))
+            config[int(lengths[i])] += 1
+            if (step := min(left[place[x]] / n for x, n in config.items())) > 0:
+                for x, n in config.items():
+                    left[place[x]] = max(0.0, left[place[x]] - step * n)
+                if turn >= BURN:
+                    amount[tuple(sorted(config.items(), reverse=True))] += step / (ROUNDS - BURN)
+        price = price * np.exp(RATE * (left / need - (left / need).mean()))
         price /= price.max()
-    while len(own := lengths[left > 1e-6 * need]):  # each turn uses up a length
-        room, config = capacity, Counter()
-        while i := int(np.searchsorted(own, room, "right")):
-            x = int(own[i - 1])
-            config[x] = max(1, min(room // x, int(left[place[x]] / left[place[int(own[-1])]])))
-            room -= x * config[x]
-            own = own[: i - 1]
-        use(config)
     return dict(amount), bound
 
 
 def best_fit(count: dict[int, int], capacity: int) -> Counter:
-    """Longest first, each into the fullest sequence that holds it."""
-    room: dict[int, list[Counter]] = defaultdict(list)
+    """Longest first, each piece into the fullest sequence that holds it; equal sequences and lengths at once."""
+    rooms: dict[int, Counter] = defaultdict(Counter)  # free tokens: configuration: how many
     for x in sorted(count, reverse=True):
-        for _ in range(count[x]):
-            free = next((r for r in range(x, capacity) if room.get(r)), capacity)
-            one = room[free].pop() if free < capacity else Counter()
-            one[x] += 1
-            room[free - x].append(one)
-    return Counter(tuple(sorted(c.items(), reverse=True)) for r in list(room) for c in room[r])
+        n = count[x]
+
+        def put(config: Config, bins: int, each: int, room: int, x: int = x) -> None:
+            if bins and each:
+                rooms[room - x * each][(*config, (x, each))] += bins
+
+        for room in sorted(r for r in rooms if r >= x and rooms[r]):
+            k = room // x
+            for config in sorted(rooms[room]):
+                if not n:
+                    break
+                bins = rooms[room].pop(config)
+                full = min(bins, n // k)
+                n -= full * k
+                put(config, full, k, room)
+                rest = bins - full
+                if rest and n:
+                    put(config, 1, n, room)
+                    n, rest = 0, rest - 1
+                if rest:
+                    rooms[room][config] += rest
+        k = capacity // x
+        put((), n // k, k, capacity)
+        put((), 1, n % k, capacity)
+    return sum((rooms[r] for r in rooms), Counter())
 
 
 def solve(count: dict[int, int], capacity: int) -> tuple[Counter, float]:
-    """How often each configuration is used (exactly covering the counts), and the lower bound."""
+    """How often each configuration is used (exactly covering the counts), and the lower bound.
+
+    Of the rounded program and best fit alone the one with fewer sequences.
+    """
     plan, left = Counter(), Counter({x: n for x, n in count.items() if n > 0 and x < capacity})
-    full = count.get(capacity, 0)
-    bound = 0.0
+    full, bound = count.get(capacity, 0), 0.0
     if left:
+        alone = best_fit(left, capacity)
         amount, bound = fractional(dict(left), capacity)
         for config, a in sorted(amount.items(), key=lambda x: (-x[1], x[0])):
-            use = min(int(np.ceil(a)), *(left[x] // n for x, n in config))
+            use = min(int(a + 1e-9), *(left[x] // n for x, n in config))
             if use > 0:
                 plan[config] += use
                 left.subtract({x: n * use for x, n in config})
-        plan += best_fit({x: n for x, n in left.items() if n > 0}, capacity)
+        plan = plan + best_fit({x: n for x, n in left.items() if n > 0}, capacity)
+        plan = min(plan, alone, key=lambda p: sum(p.values()))
     if full:
         plan[((capacity, 1),)] += full
     bound = max(bound, sum(x * n for x, n in count.items() if x < capacity) / capacity) + full
