@@ -39,7 +39,11 @@ def train(docs: DataFrame, path: str, end_id: int, dtype: str) -> bytes:
     """The dictionary's bytes; empty where the sample is too small to train one."""
     import zstandard
 
-    sample = docs.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow().combine_chunks()
+    near = docs.where(F.length("text").between(1, SAMPLE_CHARS))
+    # A share of the rows that holds about four samples, so that no task hands on a sample's worth of texts of its own.
+    share = min(1.0, 4 * SAMPLE / max(1, docs.count()))
+    near = near.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow().combine_chunks()
     if not sample.num_rows:
         return b""
     ids, bounds = encoded(sample.to_batches()[0], path, end_id)
