@@ -77,7 +77,7 @@ def fingerprinted(docs: DataFrame, words: int = WORDS, tables: int = 1, id_col:
     """doc_id, fps (for each table the fingerprint's 64 bits as a long)."""
 
     def run(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             each = [shingle_hashes(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()]
             counts = np.fromiter(map(len, each), np.int64, len(each))
             flat = np.fromiter((h for x in each for h in x), np.uint64, int(counts.sum()))

@@ -27,7 +27,7 @@ def flattened(lists: list[list[int]]) -> Coded:
 class WordCache:
     """Pieces and their ids. many: encodes a list of pieces. At `most` pieces the cache starts anew."""
 
-    def __init__(self, many: Callable[[list], Coded], most: int = 400_000):
+    def __init__(self, many: Callable[[list], Coded], most: int = 250_000):
         self.many, self.most = many, most
         self.clear()
 
