@@ -35,7 +35,7 @@ from dolomite.llm.common import slices, spread, written
 
 SPAN, GRAM = 200, 48
 REACH = SPAN - GRAM + 1  # grams in a window
-SEGMENT, BATCH, BLOCK = 1 << 20, 3 << 20, 32
+SEGMENT, LISTED, BATCH, BLOCK = 1 << 20, 1 << 20, 3 << 20, 32
 FIELDS = (("gram", "<u8"), ("string", "<u8"), ("doc", "<i8"), ("key", "<u4"), ("lo", "<u4"), ("n", "u1"), ("off", "u1"))
 
 
@@ -71,7 +71,7 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 def anchored_runs(data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """first window, last window, anchor, gram hash of each run in the pieces of data."""
     raw = np.frombuffer(data, np.uint8)
-    up, down, word = powers(1 << 22 if len(raw) < 1 << 22 else len(raw) + 1)
+    up, down, word = powers(max(LISTED + SEGMENT + SPAN, len(raw)))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(word[raw] * up[: len(raw)], out=total[1:])
     gram = (total[GRAM:] - total[:-GRAM]) * down[: len(raw) - GRAM + 1]
@@ -111,7 +111,7 @@ def listed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             held.append(text[s : s + SEGMENT + SPAN - 1])
             rows.append((-1 if doc is None else doc, key, s))
             size += len(held[-1])
-            if size >= BATCH:
+            if size >= LISTED:
                 yield flush()
                 held, rows, size = [], [], 0
     if held:
