@@ -9,6 +9,13 @@ of its links. Components of all forests come from components(). Which points the
 
 Null and wordless texts have fingerprint zero and link like any other. Rows of one identifier are all fingerprinted. Empty
 input gives no rows. A null identifier takes part with the others (nulls are last; alone, its component is null).
+
+Near copies for dedup (NEAR). A SimHash of all shingles moves by about ten bits at a Jaccard similarity of 0.8, too far for a
+tree to prune by. So a fingerprint is made of a few shingles chosen by minimum hash, two texts choosing the same with the
+probability of their similarity: bit j is bit j of the hash of choice j mod `chosen`. At 0.8 one is within two bits with
+probability 0.17, any of 24 with 0.99; the search by trees is the same. What it links is a candidate only: within each component
+of candidates all pairs with a shingle in common are compared, and those whose sets of shingles (as 64-bit hashes) reach `least`
+link. A component of candidates is compared in one task, so its texts must fit there.
 """
 
 from __future__ import annotations
@@ -24,8 +31,9 @@ from dolomite.llm.common import slices, small_or_shuffled, spread, texts, writte
 from dolomite.llm.components import components
 
 SEED, RADIUS, WORDS = 42, 2, 3
-#: Near copies for dedup: five-word shingles, and links of at most two bits in any of 24 fingerprints.
-NEAR = {"words": 5, "radius": 2, "tables": 24}
+#: Near copies for dedup: five-word shingles; candidates differ in at most two bits in any of 24 fingerprints of twelve chosen shingles
+#: each, and links are the candidates whose shingles have a Jaccard similarity of 0.8 or more.
+NEAR = {"words": 5, "radius": 2, "tables": 24, "chosen": 12, "least": 0.8}
 #: Fingerprints for a shard and its sample's size per shard; at most MOST_SHARDS shards, then shards grow.
 SHARD, SAMPLE_EACH, MOST_SHARDS, LEAF = 20_000, 24, 4096, 384
 
@@ -73,6 +81,22 @@ def mixed(hashes: np.ndarray, table: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def chosen_fingerprints(hashes: np.ndarray, counts: np.ndarray, tables: int, chosen: int) -> np.ndarray:
+    """A row per text, a column per table; zero for texts without shingles."""
+    out = np.zeros((len(counts), tables), np.uint64)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return out
+    begin = np.cumsum(counts[full]) - counts[full]
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, tables * chosen, np.uint64) * np.uint64(2) + np.uint64(1)
+    fields = [np.uint64(sum(1 << j for j in range(k, 64, chosen))) for k in range(chosen)]
+    turned = np.empty_like(hashes)
+    for i, factor in enumerate(odd):
+        np.multiply(hashes, factor, out=turned)
+        out[full, i // chosen] |= mixed(np.minimum.reduceat(turned, begin), 1) & fields[i % chosen]
+    return out
+
+
 def fingerprinted(docs: DataFrame, words: int = WORDS, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fps (for each table the fingerprint's 64 bits as a long)."""
 
@@ -194,21 +218,16 @@ def linked(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return forest.roots(np.arange(len(points)))
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (the first table's), component_id: a row per row of docs.
+def searched(alike: DataFrame, radius: int) -> DataFrame:
+    """src, dst: of nodes (node, fps), a spanning forest of the links of every table, equal fingerprints among them."""
+    flat = alike.select(F.posexplode("fps").alias("table", "fp"), "node")
+    points = written(flat.groupBy("table", "fp").agg(F.min("node").alias("node")), "points")
+    same = flat.join(points.withColumnRenamed("node", "dst"), ["table", "fp"]).where("node != dst").select(F.col("node").alias("src"), "dst")
+    return forest_links(points, alike.count(), radius).unionByName(same)
 
-    tables: fingerprints of that many independent hashes; texts link if any of them is within the radius.
-    """
-    of_docs = written(fingerprinted(docs, words, tables, id_col, text_col), "fingerprints")
-    alike = written(of_docs.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
-    if tables == 1:
-        points = alike.select(F.lit(0).alias("table"), F.col("fps")[0].alias("fp"), "node")
-        same = None
-    else:
-        flat = alike.select(F.posexplode("fps").alias("table", "fp"), "node")
-        points = written(flat.groupBy("table", "fp").agg(F.min("node").alias("node")), "points")
-        same = flat.join(points.withColumnRenamed("node", "dst"), ["table", "fp"]).where("node != dst").select(F.col("node").alias("src"), "dst")
-    n = alike.count()
+
+def forest_links(points: DataFrame, n: int, radius: int) -> DataFrame:
+    """src, dst: a spanning forest of the links within each table, n being the number of nodes."""
     shards = min(MOST_SHARDS, -(-n // SHARD))
     most = 4 * SAMPLE_EACH * max(shards, 80)
     # Chosen by hash, so the sample is the same whenever a task runs again.
@@ -230,14 +249,112 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, table
         node = part.column("node")
         return pa.table({"src": node.take(pa.array(on)), "dst": node.take(pa.array(root[on]))})
 
-    edges = points.where("node is not null").mapInArrow(deal, "table int, shard int, fp long, node long").groupBy("table", "shard").applyInArrow(join, "src long, dst long")
-    found = components(edges if same is None else edges.unionByName(same))
+    return points.where("node is not null").mapInArrow(deal, "table int, shard int, fp long, node long").groupBy("table", "shard").applyInArrow(join, "src long, dst long")
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tables: int = 1, chosen: int | None = None, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (the first table's), component_id: a row per row of docs.
+
+    tables: fingerprints of that many independent hashes; texts link if any of them is within the radius. chosen, least: fingerprints
+    of so many chosen shingles give candidates, which link from that Jaccard similarity on.
+    """
+    if chosen:
+        rows = written(rows_grouped(docs, words, radius, tables, chosen, least or 0.0, id_col, text_col), "near-groups")
+        first = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        return rows.join(first, "component").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_docs = written(fingerprinted(docs, words, tables, id_col, text_col), "fingerprints")
+    alike = written(of_docs.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
+    if tables == 1:
+        edges = forest_links(alike.select(F.lit(0).alias("table"), F.col("fps")[0].alias("fp"), "node"), alike.count(), radius)
+    else:
+        edges = searched(alike, radius)
+    found = components(edges)
     of_fps = alike.join(found, "node", "left").select("fps", F.coalesce("component", "node").alias("component_id"))
     return of_docs.join(of_fps, "fps").select("doc_id", F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, words: int = NEAR["words"], radius: int = NEAR["radius"], tables: int = NEAR["tables"], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """node, component: nodes (node, fps) in components of more than one, linked where any fingerprint is within the radius."""
+    found = written(components(searched(nodes, radius)), "candidate-components")
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+
+
+def confirmed(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """The root (least place) of each set of hashes under links of Jaccard similarity `least` or more.
+
+    From each set in turn to all it reaches; a set is compared with those not reached yet that share a value with it.
+    """
+    n, size = len(sets), np.array([len(x) for x in sets])
+    root = np.full(n, -1)
+    value = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+    end = np.cumsum(size)
+    owner, many = np.repeat(np.arange(n), size), int(value.max()) + 1 if len(value) else 0
+
+    def index():
+        on = np.flatnonzero(root[owner] < 0)
+        on = on[np.argsort(value[on], kind="stable")]
+        return owner[on], np.searchsorted(value[on], np.arange(many + 1)), (root < 0).sum()
+
+    holders, first, indexed = index()
+    for seed in range(n):
+        if root[seed] >= 0:
+            continue
+        root[seed], todo = seed, [seed]
+        while todo:
+            at = todo.pop()
+            own = value[end[at] - size[at] : end[at]]
+            start, length = first[own], first[own + 1] - first[own]
+            place = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            who, shared = np.unique(holders[place], return_counts=True)
+            near = who[(root[who] < 0) & (shared / (size[who] + size[at] - shared) >= least)]
+            root[near] = seed
+            todo += near.tolist()
+            if 2 * (left := (root < 0).sum()) < indexed:
+                if not left:
+                    break
+                holders, first, indexed = index()
+    return root
+
+
+def rows_grouped(docs: DataFrame, words: int, radius: int, tables: int, chosen: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key (the text's MD5), fingerprint, component (equal for near copies): a row per row of docs.
+
+    Texts of equal shingles are one node, named by the 64-bit hash of the set.
+    """
+    from xxhash import xxh64_intdigest
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    own = texts(docs, id_col, text_col).withColumn("key", F.md5("text"))
+
+    def run(batches):
+        for b in slices(batches, "text", 1 << 20):
+            each = [np.array(shingle_hashes(t or b"", words), np.uint64) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            counts = np.fromiter(map(len, each), np.int64, len(each))
+            fps = chosen_fingerprints(np.concatenate(each), counts, tables, chosen).view(np.int64)
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * tables, pa.int32()), pa.array(fps.ravel()))
+            node = pa.array([signed(xxh64_intdigest(np.unique(x).tobytes(), SEED)) for x in each], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), node, fps], ["doc_id", "key", "node", "fps"])
+
+    of_rows = written(spread(own).mapInArrow(run, "doc_id long, key string, node long, fps array<long>"), "fingerprints")
+    nodes = written(of_rows.groupBy("node").agg(F.min("key").alias("key"), F.first("fps").alias("fps")), "nodes")
+    found = written(candidates(nodes, radius), "candidates")
+    wanted = written(nodes.select("node", "key").join(small_or_shuffled(found), "node"), "candidate-keys")
+    alike = own.select("key", "text").join(small_or_shuffled(wanted), "key").dropDuplicates(["node"])
+
+    def confirm(part: pa.Table) -> pa.Table:
+        part = part.sort_by("node")
+        sets = [np.unique(np.array(shingle_hashes(t or b"", words), np.uint64)) for t in part.column("text").cast(pa.binary()).to_pylist()]
+        root = confirmed(sets, least)
+        on, node = np.flatnonzero(root != np.arange(len(root))), part.column("node").combine_chunks()
+        return pa.table({"node": node.take(pa.array(on)), "to": node.take(pa.array(root[on]))})
+
+    links = written(alike.select("component", "node", "text").groupBy("component").applyInArrow(confirm, "node long, to long"), "links")
+    placed = of_rows.join(small_or_shuffled(links), "node", "left")
+    return placed.select("doc_id", "key", F.col("fps")[0].alias("fp"), F.coalesce("to", "node").alias("component"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: dict = NEAR) -> DataFrame:
     """The rows of docs that are the smallest identifier of their group (all rows of that identifier)."""
-    groups = near_groups(docs, words, radius, tables, id_col, text_col)
+    groups = near_groups(docs, id_col=id_col, text_col=text_col, **near)
     gone = written(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
     return docs.join(small_or_shuffled(gone), docs[id_col].cast("long") == F.col("__id"), "left_anti")

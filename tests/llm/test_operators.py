@@ -284,6 +284,47 @@ def test_near_copies_of_five_word_shingles(spark):
     assert {r.doc_id for r in simhash.one_of_each_group(frame(spark, rows)).collect()} == {d for d, c in groups.items() if d == c}
 
 
+def shingle_sets(rows, n=5):
+    return {d: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for d, t in rows for w in [t.split()]}
+
+
+def test_pipeline_drops_near_copies_from_a_similarity_of_0_8(spark):
+    import corpus_pipeline
+
+    rng, rows = random.Random(18), []
+    for i in range(80):
+        w = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows.append((i, " ".join(w)))
+        at = rng.sample(range(2, 78), (2, 4, 6, 8)[i % 4])  # changes lie five words apart: five shingles each
+        for k in at:
+            w[5 * k] = "zzz"
+        rows.append((1000 + i, " ".join(w)))
+        for k in [k for k in range(2, 78) if k not in at][: 22 - len(at)]:
+            w[5 * k] = "yyy"
+        rows.append((2000 + i, " ".join(w)))
+    sets = shingle_sets(rows)
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    close = [i for i in range(80) if jaccard(i, 1000 + i) >= 0.8]
+    assert len(close) == 80 and min(jaccard(i, 1000 + i) for i in close) < 0.83 and max(jaccard(i, 2000 + i) for i in range(80)) < 0.8
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()}
+    assert set(range(80)) <= kept
+    assert sum(1000 + i not in kept for i in close) >= 78
+    assert sum(2000 + i in kept for i in range(80) if jaccard(1000 + i, 2000 + i) < 0.8) == sum(jaccard(1000 + i, 2000 + i) < 0.8 for i in range(80))
+
+
+def test_confirmed_links_are_those_of_all_pairs():
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(60, rng.integers(1, 40), replace=False).astype(np.uint64) for _ in range(120)]
+    sets += [np.unique(np.append(s[:-1], np.uint64(99))) for s in sets[:60]] + [s[: max(1, len(s) - 2)] for s in sets[:60]]
+    truth = simhash.Forest(len(sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            n = len(np.intersect1d(a, b))
+            if n / (len(a) + len(b) - n) >= 0.8:
+                truth.link(np.array([i]), np.array([j]))
+    assert (simhash.confirmed([np.unique(s) for s in sets], 0.8) == truth.roots(np.arange(len(sets)))).all()
+
+
 def test_vantage_trees_find_every_link():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
