@@ -354,7 +354,13 @@ def rows_grouped(docs: DataFrame, words: int, radius: int, tables: int, chosen:
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: dict = NEAR) -> DataFrame:
-    """The rows of docs that are the smallest identifier of their group (all rows of that identifier)."""
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, **near)
-    gone = written(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
-    return docs.join(small_or_shuffled(gone), docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    """The rows of docs that come first in their group, by identifier (nulls last) and then the text's MD5.
+
+    A row is told by both, so that others of its identifier stay; rows equal in both stay or go together.
+    """
+    rows = written(rows_grouped(docs, id_col=id_col, text_col=text_col, **near), "near-groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = rows.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = rows.join(first, "component").where(place != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    gone = small_or_shuffled(written(gone, "near-copies"))
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.md5(F.coalesce(docs[text_col], F.lit(""))) == F.col("__key")), "left_anti")

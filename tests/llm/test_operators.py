@@ -312,6 +312,14 @@ def test_pipeline_drops_near_copies_from_a_similarity_of_0_8(spark):
     assert sum(2000 + i in kept for i in range(80) if jaccard(1000 + i, 2000 + i) < 0.8) == sum(jaccard(1000 + i, 2000 + i) < 0.8 for i in range(80))
 
 
+def test_near_copies_go_by_row(spark):
+    a, b, c, d = (prose(200, 900 + i) for i in range(4))
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, c), (3, c + " tail"), (None, d), (None, d + " tail"), (None, b + " tail"), (4, None), (5, "")]
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each_group(frame(spark, rows)).collect()]
+    assert {(1, a), (2, b), (4, None)} <= set(kept) and len(kept) == 5
+    assert sum(i == 3 for i, _ in kept) == 1 and sum(i is None for i, _ in kept) == 1
+
+
 def test_confirmed_links_are_those_of_all_pairs():
     rng = np.random.default_rng(4)
     sets = [rng.choice(60, rng.integers(1, 40), replace=False).astype(np.uint64) for _ in range(120)]
