@@ -433,7 +433,9 @@ def phrase_graph(spark, sf_dir):
 
 @query()
 def textrank(spark, sf_dir):
-    found = retrieval.phrases(corpus.frame(spark, corpus.RULES), id_col="rid")
+    """Of every chunk of documents, id being document:chunk; a chunk's hundred words bound its graph."""
+    chunks = data_windows(spark, sf_dir).select(F.concat_ws(":", "doc_id", "chunk_index").alias("id"), "chunk")
+    found = retrieval.phrases(chunks, id_col="id", text_col="chunk")
     return retrieval.text_rank(retrieval.phrase_graph(found), rounds=100).withColumn("score", F.round("score", 6))
 
 

@@ -41,6 +41,33 @@ def test_query(spark, duck, name):
     assert got == sorted(tuple(cell(dict(zip(rel.columns, r, strict=True))[c]) for c in columns) for r in rel.fetchall())
 
 
+def test_textrank_ranks_every_chunk(spark, tmp_path):
+    from dolomite import lexicon
+
+    texts = {7: " ".join(f"w{i * i % 31} the x{i % 7}" for i in range(80)), 8: "bend radius must exceed thickness of the bend", 9: None}
+    spark.createDataFrame([(d, "en", "s", t) for d, t in texts.items()], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for d, t in texts.items():
+        words = (t or "").lower().split()
+        for n, at in enumerate(range(0, len(words), 90)):
+            w = words[at : at + 100]
+            grams = {tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)}
+            nodes = sorted(g for g in grams if sum(x in lexicon.STOPWORDS for x in g) / len(g) <= 0.5 and len(" ".join(g)) > 2)
+            weight = {a: {b: (c := len(set(a) & set(b))) + c / max(len(set(a)), len(set(b))) for b in nodes if a != b and set(a) & set(b)} for a in nodes}
+            weight = {a: x for a, x in weight.items() if x}
+            total = {a: sum(x.values()) for a, x in weight.items()}
+            score = dict.fromkeys(weight, 1 / max(1, len(weight)))
+            for _ in range(100):
+                score = {a: 0.15 / len(weight) + 0.85 * sum(score[b] * c / total[b] for b, c in weight[a].items()) for a in weight}
+            want[f"{d}:{n}"] = sorted((min(2 * x, 1.0) for x in score.values()), reverse=True)[:5]
+    got = {}
+    for r in catalog.QUERIES["textrank"](spark, str(tmp_path)).collect():
+        got.setdefault(r.id, []).append(r.score)
+    assert len(want) > 3 and got.keys() == {i for i, x in want.items() if x}
+    for i, scores in got.items():
+        assert sorted(scores, reverse=True) == pytest.approx(want[i], abs=1e-4)
+
+
 def test_names_match():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
 
