@@ -378,6 +378,12 @@ def tfidf_weights(spark, sf_dir):
     return retrieval.tfidf(table(spark, sf_dir, "documents"), min_df=2, max_df=200).withColumn("weight", F.round("weight", 6))
 
 
+@query("WITH " + TFIDF_SQL.replace("{bound}", "TRUE") + " SELECT id, term, round(weight, 6) AS weight FROM w")
+def tfidf_weights_all(spark, sf_dir):
+    """As tfidf_weights over all terms, whose weights so do not depend on a bound in documents."""
+    return retrieval.tfidf(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 6))
+
+
 @query("WITH " + TFIDF_SQL.replace("{bound}", "TRUE") + """, q0 AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS q FROM df, n WHERE term IN ('license', 'token', 'apache')), q AS (SELECT term, q / sqrt(sum(q * q) OVER ()) AS q FROM q0)
     SELECT id, round(sum(weight * q), 6) AS score FROM w JOIN q USING (term) GROUP BY id HAVING sum(weight * q) > 0.1 ORDER BY sum(weight * q) DESC, id LIMIT 10""")
 def keyword_search(spark, sf_dir):

@@ -68,6 +68,13 @@ def test_textrank_ranks_every_chunk(spark, tmp_path):
         assert sorted(scores, reverse=True) == pytest.approx(want[i], abs=1e-4)
 
 
+def test_tfidf_of_all_terms_keeps_common_words(spark, tmp_path):
+    rows = [(i, f"common word{i}") for i in range(201)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["tfidf_weights_all"](spark, str(tmp_path))
+    assert found.where("term = 'common'").count() == 201 and found.count() == 402
+
+
 def test_names_match():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
 
