@@ -5,7 +5,7 @@ the numbers present in each; a blended-spectrum presence kernel over a vocabular
 among the training texts give Nystroem features, on which one-versus-rest kernel ridge regression is fitted. A batch is
 scored by matrix products: presence times landmarks' presence, normalised, times coefficients.
 
-The model is fitted on at most PER_LANGUAGE labelled documents a language, of at most CHARS characters, chosen by a hash
+The model is fitted on at most PER_LANGUAGE labelled documents a language, of each its first CHARS characters, chosen by a hash
 of the identifier, whose crc32(identifier as text) mod 4 is not 2. Every text is scored whole.
 
 Null text, or one without a letter: "und", score 0. No labelled rows: "und" for all. One language only: that, score 1.
@@ -128,7 +128,7 @@ def training(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tupl
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, 4 * PER_LANGUAGE / n) * (1 << 30))).otherwise(share)
-    near = rows.where((hashed < share) & (F.length("text") <= CHARS)).withColumn("h", hashed)
+    near = rows.where(hashed < share).withColumns({"text": F.substring("text", 1, CHARS), "h": hashed})
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= PER_LANGUAGE)
     got = sorted((r["k"], r["lang"], r["text"]) for r in first.select("k", "lang", "text").collect())
     return [t for _, _, t in got], [x for _, x, _ in got]

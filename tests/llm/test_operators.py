@@ -312,6 +312,12 @@ def test_pipeline_drops_near_copies_from_a_similarity_of_0_8(spark):
     assert sum(2000 + i in kept for i in range(80) if jaccard(1000 + i, 2000 + i) < 0.8) == sum(jaccard(1000 + i, 2000 + i) < 0.8 for i in range(80))
 
 
+def test_languages_of_long_documents_are_learned(spark):
+    rows = [(i, ("xa xo xu " if i % 2 else "ße ßi ßä ") * (langid.CHARS if i % 2 else 20)) for i in range(40)]
+    texts, langs = langid.training(frame(spark, rows, {i: "long" if i % 2 else "short" for i, _ in rows}), "doc_id", "text", "lang")
+    assert set(langs) == {"long", "short"} and max(map(len, texts)) == langid.CHARS
+
+
 def test_near_copies_go_by_row(spark):
     a, b, c, d = (prose(200, 900 + i) for i in range(4))
     rows = [(1, a), (2, a + " tail"), (2, b), (3, c), (3, c + " tail"), (None, d), (None, d + " tail"), (None, b + " tail"), (4, None), (5, "")]
