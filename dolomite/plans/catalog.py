@@ -482,7 +482,7 @@ def extract_fast(spark, sf_dir):
 
 @query()
 def extract_enhanced(spark, sf_dir):
-    found, _ = pipelines.extract(table(spark, sf_dir, "documents"), settings=pipelines.Settings(mode="enhanced", chunk_tokens=200))
+    found, _ = pipelines.extract(table(spark, sf_dir, "documents"), settings=pipelines.Settings(mode="enhanced"))
     return found.select("doc_id", "chunk_index", "rule_index", "rule_text", "rule_type", "confidence")
 
 

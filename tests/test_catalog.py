@@ -75,6 +75,14 @@ def test_tfidf_of_all_terms_keeps_common_words(spark, tmp_path):
     assert found.where("term = 'common'").count() == 201 and found.count() == 402
 
 
+def test_extract_enhanced_leaves_no_chunk_of_a_long_document_out(spark, tmp_path):
+    filler = " ".join(f"filler{i % 97}" for i in range(9)) + ". "
+    text = "".join(filler * 40 + f"The bend radius must be at least {i} mm. " for i in range(1, 56))  # 20,000 words
+    spark.createDataFrame([(1, "en", "s", text)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.chunk_index for r in catalog.QUERIES["extract_enhanced"](spark, str(tmp_path)).collect()}
+    assert len(found) > 20 and found == set(range(max(found) + 1))
+
+
 def test_names_match():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
 
