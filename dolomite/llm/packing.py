@@ -4,8 +4,9 @@ A configuration is a multiset of piece lengths that fits a sequence; the program
 cover every length's count. It is solved by multiplicative weights: each length has a price, a knapsack dynamic program
 over the capacity finds the dearest configuration (and, of the same table, the dearest that holds each length), the best of them
 take from the demand, and the prices of lengths left behind rise. The fractional solution is rounded: each
-configuration is used as often as its amount rounded down, and what is left over is packed by best fit, whole counts of
-equal pieces and sequences at a time, so the work depends on the lengths and not on the number of pieces.
+configuration is used as often as its amount rounded down, and what is left over goes by best fit into the free room of these
+sequences and into new ones, whole counts of equal pieces and sequences at a time, so the work depends on the lengths and not
+on the number of pieces.
 
 Only the histogram, at most `capacity` counts, comes to the driver. Pieces are numbered within their length in two
 steps (within a task, then over tasks), and a piece's number alone gives its sequence and place, so no sequence's pieces
@@ -89,15 +90,21 @@ def fractional(count: dict[int, int], capacity: int) -> tuple[dict[Config, float
     return dict(amount), bound
 
 
-def best_fit(count: dict[int, int], capacity: int) -> Counter:
-    """Longest first, each piece into the fullest sequence that holds it; equal sequences and lengths at once."""
+def best_fit(count: dict[int, int], capacity: int, begun: Counter | None = None) -> Counter:
+    """Longest first, each piece into the fullest sequence that holds it; equal sequences and lengths at once.
+
+    begun: sequences that are there already, how many of each configuration.
+    """
     rooms: dict[int, Counter] = defaultdict(Counter)  # free tokens: configuration: how many
+    for config, bins in (begun or {}).items():
+        rooms[capacity - sum(x * n for x, n in config)][config] += bins
     for x in sorted(count, reverse=True):
         n = count[x]
 
         def put(config: Config, bins: int, each: int, room: int, x: int = x) -> None:
             if bins and each:
-                rooms[room - x * each][(*config, (x, each))] += bins
+                more = tuple((y, k + each * (y == x)) for y, k in config) if any(y == x for y, _ in config) else (*config, (x, each))
+                rooms[room - x * each][more] += bins
 
         for room in sorted(r for r in rooms if r >= x and rooms[r]):
             k = room // x
@@ -121,22 +128,17 @@ def best_fit(count: dict[int, int], capacity: int) -> Counter:
 
 
 def solve(count: dict[int, int], capacity: int) -> tuple[Counter, float]:
-    """How often each configuration is used (exactly covering the counts), and the lower bound.
-
-    Of the rounded program and best fit alone the one with fewer sequences.
-    """
+    """How often each configuration is used (exactly covering the counts), and the lower bound."""
     plan, left = Counter(), Counter({x: n for x, n in count.items() if n > 0 and x < capacity})
     full, bound = count.get(capacity, 0), 0.0
     if left:
-        alone = best_fit(left, capacity)
         amount, bound = fractional(dict(left), capacity)
         for config, a in sorted(amount.items(), key=lambda x: (-x[1], x[0])):
             use = min(int(a + 1e-9), *(left[x] // n for x, n in config))
             if use > 0:
                 plan[config] += use
                 left.subtract({x: n * use for x, n in config})
-        plan = plan + best_fit({x: n for x, n in left.items() if n > 0}, capacity)
-        plan = min(plan, alone, key=lambda p: sum(p.values()))
+        plan = best_fit({x: n for x, n in left.items() if n > 0}, capacity, plan)
     if full:
         plan[((capacity, 1),)] += full
     bound = max(bound, sum(x * n for x, n in count.items() if x < capacity) / capacity) + full
