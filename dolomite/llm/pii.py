@@ -17,8 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dolomite.llm.common import fresh
+
 THRESHOLD = 0.6
-BEFORE, AFTER = 48, 24
+BEFORE, AFTER, SHORTEST = 48, 24, 4  # characters of context, and of the shortest match there can be
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "shortcard")
@@ -59,42 +61,88 @@ def mod97(iban: Column) -> Column:
     ) == 1
 
 
+def with_bound(value: Column, body) -> Column:
+    """body(value), value being computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def folded(n: Column, first: Column, step) -> Column:
+    """(last, out) of a fold over 0 .. n - 1 by step(state, i), the state having a list `out` that step appends to.
+
+    By blocks of about the root of n, each with a list of its own, so that a step copies a block's list at most (whole numbers only).
+    """
+    width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+    last = lambda a: F.element_at(a, -1)
+
+    def block(a: Column, i: Column) -> Column:
+        fresh_list = F.filter(last(a)["out"], lambda _: F.lit(False))
+        return F.concat(a, F.array(F.aggregate(F.sequence(i, F.least(i + width, n) - 1), last(a).withField("out", fresh_list), step)))
+
+    blocks = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, width)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(blocks, F.array(first), block, lambda a: F.struct(last(a).alias("last"), F.flatten(F.transform(a, lambda x: x["out"])).alias("out")))
+
+
+def shortened(iban: Column) -> Column:
+    """The longest part of a match, from its begin to a space or its end, that is an account number; null if none is.
+
+    The pattern takes along groups of capitals or digits that stand behind the number.
+    """
+    valid = lambda x: F.length(F.replace(x, F.lit(" "), F.lit(""))).between(15, 34) & mod97(x)
+    parts = lambda w: F.filter(F.transform(F.sequence(F.size(w), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(w, F.lit(1), k), " ")), valid)
+    return F.get(with_bound(F.split(iban, " "), parts), F.lit(0))
+
+
 def confirmed(kind: str, match: Column) -> Column:
+    """The match, or what of it counts; null where it fails."""
     if kind == "ip":
-        part = lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3
-        value = lambda p: F.coalesce(F.expr("try_cast(null as int)"), F.concat(F.lit("0"), F.substr(F.regexp_replace(p, "^0+", ""), F.lit(1), F.lit(3))).cast("int"))
-        return F.forall(F.split(match, r"\."), lambda p: part(p) & (value(p) <= 255))
+        plain = lambda p: F.regexp_replace(p, "^0+", "")
+        value = lambda p: F.concat(F.lit("0"), F.substring(plain(p), 1, 3)).cast("int")
+        return F.when(F.forall(F.split(match, r"\."), lambda p: (F.length(plain(p)) <= 3) & (value(p) <= 255)), match)
     if kind in ("card", "shortcard"):
-        return luhn(digits(match))
+        return F.when(luhn(digits(match)), match)
     if kind == "phone":
-        return F.length(digits(match)).between(8, 15)
-    if kind == "iban":
-        return F.length(F.regexp_replace(match, " ", "")).between(15, 34) & mod97(match)
-    return F.lit(True)
+        return F.when(F.length(digits(match)).between(8, 15), match)
+    return shortened(match) if kind == "iban" else match
+
+
+def starts(matches: Column, gaps: Column) -> Column:
+    """Where each match begins, from the lengths of what lies before it."""
+
+    def step(a: Column, i: Column) -> Column:
+        at = a["at"] + F.length(F.get(gaps, i))
+        return F.struct((at + F.length(F.get(matches, i))).alias("at"), F.concat(a["out"], F.array(at)).alias("out"))
+
+    return folded(F.size(matches), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
 
 
 def found(kind: str, text: Column) -> Column:
-    """The kind's confirmed spans: array of (kind, start, end, score)."""
+    """The kind's confirmed spans: array of (kind, start, end, score). Work grows with the text and the root of its matches."""
     pattern, score, more, words, maybe = KINDS[kind]
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
-    pairs = F.filter(pairs, lambda p: p["m"].isNotNull())
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string>>").alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["gap"]) + F.length(p["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(p["gap"])).alias("start"), p["m"].alias("m")))).alias("out"),
-        ),
-    )["out"]
-    near = lambda s: F.lower(F.concat(F.substr(text, F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE))), F.lit(" "), F.substr(text, s["start"] + F.length(s["m"]) + 1, F.lit(AFTER))))
-    scored = F.transform(
-        F.filter(placed, lambda s: confirmed(kind, s["m"])),
-        lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["m"])).alias("end"), (F.lit(score) + F.when(near(s).rlike(rf"(?<![a-z])(?:{words})(?![a-z])"), more).otherwise(0.0)).alias("score")),
-    )
+
+    def scored(x: Column) -> Column:
+        matches, gaps = x["m"], x["gap"]
+        head, tail = lambda c: F.substring(c, 1, AFTER), lambda c: F.substring(c, -BEFORE, BEFORE)
+
+        # A match has SHORTEST characters or more, so so many pieces on each side hold the characters asked for.
+        def around(s: Column) -> tuple[Column, Column]:
+            i = s["i"]
+            before = [tail(F.get(c, F.when(i >= k, i - k))) for k in range(BEFORE // SHORTEST, 0, -1) for c in (gaps, matches)]
+            after = [head(F.get(c, i + k)) for k in range(1, 1 + AFTER // SHORTEST) for c in (gaps, matches)]
+            return tail(F.concat_ws("", *before, tail(F.get(gaps, i)))), head(F.concat_ws("", head(F.substr(F.get(matches, i), F.length(s["m"]) + 1)), *after, head(F.get(gaps, i + 1 + AFTER // SHORTEST))))
+
+        def one(s: Column) -> Column:
+            before, after = around(s)
+            points = F.lit(score) + F.when(F.lower(F.concat(before, F.lit(" "), after)).rlike(rf"(?<![a-z])(?:{words})(?![a-z])"), more).otherwise(0.0)
+            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["m"])).alias("end"), points.alias("score"))
+
+        each = F.transform(starts(matches, gaps), lambda at, i: F.struct(at.alias("start"), confirmed(kind, F.get(matches, i)).alias("m"), i.alias("i")))
+        return F.transform(F.filter(each, lambda s: s["m"].isNotNull()), one)
+
+    spans = with_bound(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap")), scored)
     if kind not in BASE:
-        scored = F.filter(scored, lambda s: s["score"] >= THRESHOLD)
-    return F.when(text.rlike(maybe), scored).otherwise(none)
+        spans = F.filter(spans, lambda s: s["score"] >= THRESHOLD)
+    return F.when(text.rlike(maybe), spans).otherwise(none)
 
 
 def spans(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
@@ -116,11 +164,31 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span of text_col replaced by its kind in brackets; overlapping spans are replaced as one."""
-    rows = spans(docs, text_col, "__pii").withColumn("__pii", F.array_sort(F.transform("__pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    text = F.col(text_col)
-    step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
-        F.struct(s["end"].alias("at"), F.concat(a["text"], F.substr(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.when(s["start"] >= a["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))).alias("text"))
-    )
-    new = F.aggregate("__pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step, lambda a: F.concat(a["text"], F.substr(text, a["at"] + 1)))
-    return rows.withColumn(text_col, F.when(F.size("__pii") > 0, new).otherwise(text)).drop("__pii")
+    """docs with each span of text_col replaced by its kind in brackets; overlapping spans are replaced as one.
+
+    The text is cut as four bytes a character, so that a cut's place costs nothing.
+    """
+    (own,) = fresh(docs, "pii")
+    text, wide = F.col(text_col), F.encode(F.make_valid_utf8(text_col), "UTF-32")
+    ordered = F.array_sort(F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def replaced(x: Column) -> Column:
+        cut = lambda a, b: F.decode(F.substr(x["wide"], 4 * a + 1, 4 * (b - a)), "UTF-32")
+
+        def step(a: Column, i: Column) -> Column:
+            end = F.get(x["spans"], i)["end"]
+            return F.when(end <= a["at"], a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(a["at"], i)).alias("out")))
+
+        def piece(lo: Column, i: Column) -> Column:
+            s = F.get(x["spans"], i)
+            return F.concat(cut(lo, F.greatest(s["start"], lo)), F.when(s["start"] >= lo, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit("")))
+
+        # The list holds pairs: where the text before a span begins, and the span's place.
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        each = lambda f: F.transform(F.sequence(F.lit(0), F.size(f["out"]) - 1, F.lit(2)), lambda k: piece(F.get(f["out"], k), F.get(f["out"], k + 1)))
+        whole = lambda f: F.concat(F.array_join(each(f), ""), cut(f["last"]["at"], (F.octet_length(x["wide"]) / 4).cast("int")))
+        return with_bound(folded(F.size(x["spans"]), first, step), whole)
+
+    rows = spans(docs, text_col, own)
+    new = with_bound(F.struct(ordered.alias("spans"), wide.alias("wide")), replaced)
+    return rows.withColumn(text_col, F.when(F.size(own) > 0, new).otherwise(text)).drop(own)

@@ -86,15 +86,17 @@ def _pii_sql() -> str:
     )
     luhn = "list_sum([CASE WHEN (n - i) % 2 = 0 THEN CAST(digits[i] AS INT) WHEN CAST(digits[i] AS INT) > 4 THEN 2 * CAST(digits[i] AS INT) - 9 ELSE 2 * CAST(digits[i] AS INT) END FOR i IN range(1, n + 1)]) % 10 = 0"
     mod97 = "list_reduce(list_prepend(0, [CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INT) ELSE ascii(c) - 55 END FOR c IN string_split(substr(plain, 5) || left(plain, 4), '')]), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"
+    valid = f"length(plain) BETWEEN 15 AND 34 AND {mod97}".replace("plain", "replace(x, ' ', '')")
+    parts = "[array_to_string(string_split(ms[i], ' ')[1:k], ' ') FOR k IN range(len(string_split(ms[i], ' ')), 0, -1)]"
     count = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)
     span = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start)"
     return f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
         u AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f WHERE len(ms) > 0),
-        p AS (SELECT doc_id, t, rank, kind, base, more, words, ms[i] AS m, CAST(list_sum([length(g) FOR g IN gaps[1:i]]) + coalesce(list_sum([length(g) FOR g IN ms[1 : i - 1]]), 0) AS INT) AS start FROM u),
+        p AS (SELECT doc_id, t, rank, kind, base, more, words, CASE WHEN kind = 'iban' THEN list_filter({parts}, lambda x: {valid})[1] ELSE ms[i] END AS m, CAST(list_sum([length(g) FOR g IN gaps[1:i]]) + coalesce(list_sum([length(g) FOR g IN ms[1 : i - 1]]), 0) AS INT) AS start FROM u),
         q AS (SELECT *, start + length(m) AS stop, regexp_replace(m, '[^0-9]', '', 'g') AS digits, length(regexp_replace(m, '[^0-9]', '', 'g')) AS n, replace(m, ' ', '') AS plain FROM p),
         v AS (SELECT * FROM q WHERE CASE kind WHEN 'ip' THEN list_max([TRY_CAST(x AS DOUBLE) FOR x IN string_split(m, '.')]) <= 255 WHEN 'card' THEN n BETWEEN 16 AND 19 AND {luhn}
-              WHEN 'phone' THEN n BETWEEN 8 AND 15 WHEN 'iban' THEN length(plain) BETWEEN 15 AND 34 AND {mod97} WHEN 'shortcard' THEN n BETWEEN 12 AND 15 AND {luhn} ELSE TRUE END),
+              WHEN 'phone' THEN n BETWEEN 8 AND 15 WHEN 'iban' THEN m IS NOT NULL WHEN 'shortcard' THEN n BETWEEN 12 AND 15 AND {luhn} ELSE TRUE END),
         s AS (SELECT *, base + CASE WHEN regexp_matches(lower(substr(t, greatest(start - {pii.BEFORE}, 0) + 1, least(start, {pii.BEFORE})) || ' ' || substr(t, stop + 1, {pii.AFTER})), words) THEN more ELSE 0 END AS score FROM v),
         k AS (SELECT * FROM s WHERE rank < {len(pii.BASE)} OR score >= {pii.THRESHOLD}),
         g AS (SELECT doc_id, {count}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start) FILTER (rank < {len(pii.BASE)}) AS b, {span} AS spans, max(score) AS top_score FROM k GROUP BY doc_id)
