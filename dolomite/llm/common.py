@@ -51,6 +51,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if 4 * size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as none of df's columns (upper case or lower) has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

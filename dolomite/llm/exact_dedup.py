@@ -1,9 +1,10 @@
 """Exact dedup: stateful streaming over keyed state on disk.
 
 Each row arrives as (digest, identifier, locator). A streaming aggregation keyed by digest, without watermark or
-expiry, holds in a RocksDB state store per digest the largest identifier, its content locator and the number of
-arrivals. A hit (a digest that arrived more than once) counts as a duplicate only after the full bytes of all its
-texts have been compared; texts that share a digest but not their bytes are grouped by the bytes themselves.
+expiry, holds in a RocksDB state store per digest the largest identifier, its content locator (file and identifier) and the
+number of arrivals. A hit (a digest that arrived more than once) counts as a duplicate only after the full bytes of all its
+texts, fetched by their locators, have been compared; texts that share a digest but not their bytes are grouped by the bytes
+themselves.
 
 Texts are equal when identical after lower-casing A-Z. Null counts as empty. Of equal texts the row with the
 largest identifier stays (ties: all rows with that identifier are flagged as kept; a null identifier stays only
@@ -17,7 +18,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dolomite.llm.common import LOWER, UPPER, new_folder, small_or_shuffled, written
+from dolomite.llm.common import LOWER, UPPER, fresh, new_folder, small_or_shuffled, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -72,7 +73,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.input_file_name().alias("file"))
-    arrived = written(rows.select("doc_id", F.concat_ws("#", "file", "doc_id").alias("locator"), digest(F.col("norm")).alias("digest"), sha256(F.col("norm")).alias("text_sha256")), "arrivals")
+    locator = F.concat_ws("#", "file", "doc_id")
+    arrived = written(rows.select("doc_id", locator.alias("locator"), digest(F.col("norm")).alias("digest"), sha256(F.col("norm")).alias("text_sha256")), "arrivals")
     folder, (source, *_) = new_folder(spark, "dedup"), [x.rpartition("/")[0] for x in arrived.inputFiles()] or [""]
     if not source:
         return arrived.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -84,8 +86,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Written, so that the join below deals out both sides anew and a frequent digest can be split.
     state = written(changes.groupBy("digest").agg(F.max("n").alias("group_size"), F.max("last.doc_id").alias("keep_id")), "state")
     hits = written(state.where("group_size > 1").select("digest"), "hits")
-    # The bytes of every hit: each task compares its own first, so a group's texts never meet in one place.
-    again = rows.select(digest(F.col("norm")).alias("digest"), "norm").join(small_or_shuffled(hits), "digest")
+    # The bytes of every hit, found by the locators of its arrivals; each task compares its own first, so a group's texts never
+    # meet in one place. Rows that share a locator (one identifier in one file) are compared with each other's groups too.
+    place = F.xxhash64("locator")
+    suspects = written(arrived.join(small_or_shuffled(hits), "digest").select(place.alias("place"), "digest").distinct(), "suspects")
+    again = rows.select(locator.alias("locator"), "norm").withColumn("place", place).join(small_or_shuffled(suspects), "place")
     differ = written(again.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a != b").select("digest"), "differ")
     out = arrived.join(state, "digest", "left")
     if not differ.isEmpty():
@@ -99,9 +104,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups drops; rows equal in identifier and text give one row."""
     groups = written(exact_groups(docs, id_col, text_col), "groups")
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    of_id, of_text = fresh(docs, "gone_id", "gone_digest")
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias(of_id), F.col("text_sha256").alias(of_text))
     digest = sha256(normalised(F.col(text_col)))
-    left = docs.join(small_or_shuffled(gone), docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
-    if groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+    left = docs.join(small_or_shuffled(gone), F.col(id_col).cast("long").eqNullSafe(F.col(of_id)) & (digest == F.col(of_text)), "left_anti")
+    if groups.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return left
-    return left.withColumn("__digest", digest).dropDuplicates([id_col, "__digest"]).drop("__digest")
+    return left.withColumn(of_text, digest).dropDuplicates([id_col, of_text]).drop(of_text)
