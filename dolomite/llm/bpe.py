@@ -3,8 +3,8 @@
 Texts are split by the tokenizer's pattern; each distinct match of a batch is a row of a padded matrix of byte
 tokens, rows bucketed by length. In a round every row merges its leftmost pair of least rank: pair ranks come from an
 open-addressing hash table of (left, right), the merged column is closed up, and rows without a pair left are
-taken out (compaction). Matches longer than LONG bytes, whose matrix would be quadratic, are merged by a heap of
-(rank, place) in the same order. Distinct matches are kept in a bounded cache of the worker.
+taken out (compaction). A match longer than LONG bytes is a matrix of its own, in which a round merges all equal pairs that one by
+one would come next, so that its rounds do not grow with its length. Distinct matches are kept in a bounded cache of the worker.
 
 Null text is empty and gives no ids. A row per input row, repeated rows too; other columns play no part.
 """
@@ -12,7 +12,6 @@ Null text is empty and gives no ids. A row per input row, repeated rows too; oth
 from __future__ import annotations
 
 import base64
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from dolomite.llm.common import slices, spread, texts
 from dolomite.llm.wordcache import Coded, WordCache, gathered
 
-#: Bytes of a match up to which it is merged in a matrix.
+#: Bytes of a match up to which it shares a matrix with others and merges one pair a round.
 LONG = 256
 NONE = np.int32(2**31 - 1)
 
@@ -134,29 +133,29 @@ class Codec:
         return done[real], real.sum(axis=1)
 
     def merge_long(self, data: bytes) -> np.ndarray:
+        """A matrix of one row, whose equal pairs of least rank are merged in one round where that is the same as one by one.
+
+        It is unless a pair met on the way (the merged one with what is beside it then) has a lesser rank: then the leftmost
+        alone is merged.
+        """
         ids = self.byte[np.frombuffer(data, np.uint8)]
-        n, rank = len(ids), self.pairs.get(ids[:-1], ids[1:]).tolist()
-        ids, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i, r in enumerate(rank) if r != NONE]
-        heapq.heapify(heap)
-        one = lambda a, b: int(self.pairs.get(np.array([a]), np.array([b]))[0])
-        known: dict[tuple[int, int], int] = {}
-        rank.append(int(NONE))
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or rank[i] != r:
-                continue
-            j = after[i]
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a in (before[i], i):
-                if a >= 0:
-                    b = after[a]
-                    rank[a] = int(NONE) if b >= n else known.get(p) if (p := (ids[a], ids[b])) in known else known.setdefault(p, one(*p))
-                    if rank[a] != NONE:
-                        heapq.heappush(heap, (rank[a], a))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        rank = np.append(self.pairs.get(ids[:-1], ids[1:]), NONE)  # of each token with the next
+        while (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]  # of pairs that overlap every other one, from the left
+            new = np.full(len(at), best, np.int32)
+            behind = np.append(ids, -1)[np.minimum(at + 2, len(ids))]
+            before = np.where(np.diff(at, prepend=-2) == 2, best, np.where(at > 0, ids[at - 1], -1))
+            if len(at) > 1 and min(self.pairs.get(new, behind).min(), self.pairs.get(before, new).min()) <= best:
+                at = at[:1]
+            ids[at] = best
+            left = np.ones(len(ids), bool)
+            left[at + 1] = False
+            ids, rank, at = ids[left], rank[left], at - np.arange(len(at))
+            near = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            rank[near] = self.pairs.get(ids[near], np.append(ids, -1)[near + 1])
+        return ids.astype(np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and bounds of a string array's texts (null: empty).
