@@ -4,17 +4,19 @@ Windows of SPAN bytes are not sorted one by one. Each window has an anchor, the
 strings, so equal windows have equal anchors, and a run of neighbouring windows shares one. Three steps:
 
 1. Every task lists its texts' runs: hash of the anchor's gram, hash of the run's whole string. By the gram's hash
-   they meet; runs whose whole string occurs more than once are repeated throughout (their 64-bit hashes of gram and string
-   both agree). Where one gram has several strings (the ends of repeats, near copies), one run of each is a candidate.
-2. Candidates' suffixes, from the anchor on, are sorted by a distributed merge sort. A task sorts its own and writes front-coded
-   runs (common prefix with the one before, and the rest); these are exchanged, and a loser tree merges them by the
-   lengths of the prefixes already known, so that no known prefix is compared again. The merged order comes with
-   the common prefixes of neighbours. Windows are equal if their suffixes share SPAN - o bytes from the anchor on and
-   their reversed heads share o bytes before it; both are read off the sorted orders, for each distance o.
+   they meet. Runs whose whole string seems to occur more than once (both hashes agree) are candidates as they are, from
+   their first byte on; where one gram has several strings (the ends of repeats, near copies), one run of each is a candidate by
+   its suffixes. Hashes choose candidates and partitions alone: nothing is removed but by its bytes.
+2. Candidates are sorted by a distributed merge sort. A task sorts its own and writes front-coded runs (common prefix
+   with the one before, and the rest); these are exchanged, and a loser tree merges them by the lengths of the
+   prefixes already known, so that no known prefix is compared again. The merged order comes with the common prefixes of
+   neighbours. Whole strings are equal to the one before if they share all of it. Of the others' suffixes, from the anchor
+   on, windows are equal if they share SPAN - o bytes there and their reversed heads share o bytes before it; both are read
+   off the sorted orders, for each distance o.
 3. The spans found go back to their texts, and what is left is joined up.
 
-Memory: a task holds the runs of its share of grams, and of windows in step 2. Many copies of one string are one candidate; before the exchange each
-task reports a string that it holds several times only once more. Nulls are empty texts; texts under SPAN bytes stay as they
+Memory: a task holds the runs of its share of grams, and of windows in step 2. Before the exchange each batch compares the
+bytes of strings that it holds several times, and hands on one of them. Two strings under equal hashes are an error, no result. Nulls are empty texts; texts under SPAN bytes stay as they
 are. Rows are told apart by identifier and a checksum of the text, so repeated rows count as occurrences of each other.
 Empty input: no rows. Other columns play no part.
 """
@@ -36,6 +38,7 @@ from dolomite.llm.common import slices, spread, written
 SPAN, GRAM = 200, 48
 REACH = SPAN - GRAM + 1  # grams in a window
 SEGMENT, LISTED, BATCH, BLOCK = 1 << 20, 1 << 20, 3 << 20, 32
+COLLISION = "two strings have equal hashes: run again with other seeds"
 FIELDS = (("gram", "<u8"), ("string", "<u8"), ("doc", "<i8"), ("key", "<u4"), ("lo", "<u4"), ("n", "u1"), ("off", "u1"))
 
 
@@ -88,13 +91,13 @@ def anchored_runs(data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return begin, end, anchor[new], gram[anchor[new]]
 
 
-def listed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """The runs of a batch's texts, as arrays of FIELDS."""
+def listed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """The runs of a batch's texts, as arrays of FIELDS, and their strings."""
     from xxhash import xxh3_64_intdigest
 
     held, rows, size = [], [], 0
 
-    def flush() -> np.ndarray:
+    def flush() -> tuple[np.ndarray, list[bytes]]:
         data, bounds = b"".join(held), np.cumsum([0, *map(len, held)])
         begin, end, anchor, gram = anchored_runs(data, bounds)
         piece = np.searchsorted(bounds, begin, "right") - 1
@@ -103,8 +106,9 @@ def listed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         out["gram"], out["doc"], out["key"], out["lo"] = gram, info[:, 0], info[:, 1], begin - bounds[piece] + info[:, 2]
         out["n"], out["off"] = end - begin + 1, anchor - begin
         seeds = (out["n"].astype(np.int64) << 8 | out["off"]).tolist()
-        out["string"] = np.fromiter((xxh3_64_intdigest(data[a:b], s) for a, b, s in zip(begin.tolist(), (end + SPAN).tolist(), seeds)), np.uint64, len(out))
-        return out
+        strings = [data[a:b] for a, b in zip(begin.tolist(), (end + SPAN).tolist())]
+        out["string"] = np.fromiter(map(xxh3_64_intdigest, strings, seeds), np.uint64, len(out))
+        return out, strings
 
     for doc, key, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "key", "text")], strict=True):
         for s in range(0, len(text) - SPAN + 1, SEGMENT):
@@ -324,6 +328,19 @@ def merged_ranges(blobs: list[bytes]) -> pa.RecordBatch:
     return found_ranges(equal_windows(suffixes, np.array(shared, np.int64), heads, meta)[0], meta)
 
 
+def equal_ranges(blobs: list[bytes]) -> pa.RecordBatch:
+    """The spans of a partition's whole strings, each of which must equal another's bytes."""
+    meta, new, before = [], [], 0
+    for p, s, v in merged([decoded_run(b) for b in blobs]):
+        new.append(not p == len(s) == before)
+        before = len(s)
+        meta.append(v[1])
+    rows, first = np.array(meta, META), np.flatnonzero(new)
+    if (np.diff(np.append(first, len(rows))) < 2).any():
+        raise ValueError(COLLISION)
+    return ranges(rows[rows["alone"] == 1])
+
+
 def found_ranges(found: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
     row, o = np.nonzero(found & (meta["alone"] == 1)[:, None])
     lo = meta["lo"][row].astype(np.int64) + meta["off"][row] - o
@@ -375,13 +392,16 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
     def list_runs(batches):
         for b in slices(batches, "text", BATCH):
-            for rows in listed(b):
+            for rows, strings in listed(b):
                 # A string that this batch holds several times is known to be repeated: one of it goes on.
-                rows = rows[np.lexsort((rows["string"], rows["gram"]))]
+                order = np.lexsort((rows["string"], rows["gram"]))
+                rows = rows[order]
                 first = starts(rows["gram"], rows["string"])
                 count = np.diff(np.append(first, len(rows)))
                 many = np.repeat(count > 1, count)
                 if many.any():
+                    if any(strings[i] != strings[j] for i, j in zip(order[many].tolist(), order[np.repeat(first, count)[many]].tolist())):
+                        raise ValueError(COLLISION)
                     yield pa.RecordBatch.from_arrays([*(r := ranges(rows[many])).columns, pa.nulls(len(r), pa.binary())], schema=moved)
                     rows, known = rows[first], count > 1
                 else:
@@ -414,49 +434,62 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         first = starts(rows["gram"], rows["string"])
         count = np.diff(np.append(first, len(rows)))
         again = (count > 1) | np.logical_or.reduceat(known, first)
-        yield as_candidates(ranges(rows[np.repeat(again, count)]))
+        many = np.repeat(count > 1, count)
+        yield candidates(rows[many], rows["string"][many], ~known[many], True)
         gram = starts(rows["gram"][first])
         several = np.repeat(np.diff(np.append(gram, len(first))) > 1, np.diff(np.append(gram, len(first))))
         one = rows[first[several]]
-        to = ((one["gram"] >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(one["doc"]), pa.array(one["key"].astype(np.int64)), pa.array(one["lo"].astype(np.int64)), pa.nulls(len(one), pa.int64()), pa.array(one["n"].astype(np.int32)), pa.array(one["off"].astype(np.int32)), pa.array(~again[several])], schema=found)
+        yield candidates(one, one["gram"], ~again[several], False)
 
-    found = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("alone", pa.bool_())])
-    found_ddl = "part int, doc_id long, key long, lo long, hi long, n int, off int, alone boolean"
+    found = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("alone", pa.bool_()), ("whole", pa.bool_())])
+    found_ddl = "part int, doc_id long, key long, lo long, n int, off int, alone boolean, whole boolean"
 
-    def as_candidates(r: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*r.columns, pa.nulls(len(r), pa.int32()), pa.nulls(len(r), pa.int32()), pa.nulls(len(r), pa.bool_())], schema=found)
+    def candidates(rows: np.ndarray, by: np.ndarray, alone: np.ndarray, whole: bool) -> pa.RecordBatch:
+        """alone: nothing else reports it yet."""
+        to = ((by >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(to), pa.array(rows["doc"]), pa.array(rows["key"].astype(np.int64)), pa.array(rows["lo"].astype(np.int64)), pa.array(rows["n"].astype(np.int32)), pa.array(rows["off"].astype(np.int32)), pa.array(alone), pa.array(np.full(len(rows), whole))], schema=found)
 
     met = written(listing.where("blob is not null").select("part", "lo", "blob").repartitionById(n, F.col("part")).mapInArrow(meet, found_ddl), "met")
-    wanted = met.where("hi is null").groupBy("doc_id", "key").agg(F.collect_list(F.struct("part", "lo", "n", "off", "alone")).alias("runs"))
+    wanted = met.groupBy("doc_id", "key").agg(F.collect_list(F.struct("part", "lo", "n", "off", "alone", "whole")).alias("runs"))
 
     def code(batches):
         for b in slices(batches, "text", BATCH):
             suffixes, heads, meta = [], [], []
+            wholes: dict[int, tuple[list, list]] = {}
             for doc, key, text, runs in zip(*[b.column(c).to_pylist() for c in ("doc_id", "key", "text", "runs")], strict=True):
                 for r in runs:
                     lo, middle = r["lo"], r["lo"] + r["off"]
+                    if r["whole"]:
+                        own = wholes.setdefault(r["part"], ([], []))
+                        own[0].append(text[lo : lo + r["n"] - 1 + SPAN])
+                        own[1].append((doc, key, lo, r["n"], r["off"], r["alone"]))
+                        continue
                     suffixes.append(text[middle : lo + r["n"] - 1 + SPAN])
                     heads.append(text[lo:middle][::-1])
                     meta.append((doc, key, lo, r["n"], r["off"], r["alone"]))
             own, coded = dealt_runs(suffixes, heads, np.array(meta, META), n)
             # Spans known already pass through the exchange, spread by their text.
             yield pa.RecordBatch.from_arrays([pa.array(own.column("key").to_numpy() % n, pa.int32()), *own.columns[1:], pa.nulls(len(own), pa.binary())], schema=moved)
-            k = len(coded)
-            yield pa.RecordBatch.from_arrays([pa.array([*coded], pa.int32()), *[pa.nulls(k, pa.int64())] * 4, pa.array([*coded.values()], pa.binary())], schema=moved)
+            strings = {k: coded_run(x, [b""] * len(x), np.array(m, META)) for k, (x, m) in wholes.items()}
+            for kind, blobs in ((0, coded), (1, strings)):
+                k = len(blobs)
+                yield pa.RecordBatch.from_arrays([pa.array([*blobs], pa.int32()), *[pa.nulls(k, pa.int64())] * 2, pa.array([kind] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([*blobs.values()], pa.binary())], schema=moved)
 
     def merge(batches):
-        blobs = []
+        blobs: tuple[list, list] = ([], [])
         for b in batches:
             yield b.filter(b.column("blob").is_null()).select(["doc_id", "key", "lo", "hi"])
-            blobs += b.column("blob").drop_null().to_pylist()
-        if blobs:
-            yield merged_ranges(blobs).select(["doc_id", "key", "lo", "hi"])
+            for kind, blob in zip(b.column("lo").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                if blob is not None:
+                    blobs[kind].append(blob)
+        for own, work in zip(blobs, (merged_ranges, equal_ranges), strict=True):
+            if own:
+                yield work(own).select(["doc_id", "key", "lo", "hi"])
 
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
     runs = keyed.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "runs").mapInArrow(code, moved_ddl)
     sorted_ranges = runs.repartitionById(n, F.col("part")).mapInArrow(merge, "doc_id long, key long, lo long, hi long")
-    whole = listing.where("blob is null").select("doc_id", "key", "lo", "hi").unionByName(met.where("hi is not null").select("doc_id", "key", "lo", "hi"))
+    whole = listing.where("blob is null").select("doc_id", "key", "lo", "hi")
     return whole.unionByName(sorted_ranges).groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
