@@ -5,7 +5,7 @@ the numbers present in each; a blended-spectrum presence kernel over a vocabular
 among the training texts give Nystroem features, on which one-versus-rest kernel ridge regression is fitted. A batch is
 scored by matrix products: presence times landmarks' presence, normalised, times coefficients.
 
-The model is fitted on at most PER_LANGUAGE labelled documents a language, of each its first CHARS characters, chosen by a hash
+The model is fitted on at most PER_LANGUAGE labelled documents a language (MOST_LEARNED in all), of each its first CHARS characters, chosen by a hash
 of the identifier, whose crc32(identifier as text) mod 4 is not 2. Every text is scored whole.
 
 Null text, or one without a letter: "und", score 0. No labelled rows: "und" for all. One language only: that, score 1.
@@ -25,7 +25,9 @@ from dolomite.llm.common import slices, spread
 
 PER_LANGUAGE, CHARS, LANDMARKS, VOCABULARY, ALPHABET = 300, 20_000, 64, 5000, 128
 RIDGE, SHARPNESS, ROWS = 1e-2, 4.0, 256
-OTHER, SEPARATOR = 0, ALPHABET - 1
+OWN, SEPARATOR = 96, ALPHABET - 1  # characters with a place of their own, and the sign between texts
+#: Documents to learn from over all languages; of many languages each has fewer than PER_LANGUAGE.
+MOST_LEARNED = 6000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -80,9 +82,10 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
         return None
     points, counts = np.unique(folded(texts), return_counts=True)
     counts = np.where(points == 0x10FFFF, 0, counts)
-    letters = np.zeros(0x110000, np.uint8)
-    common = points[np.argsort(-counts, kind="stable")][: ALPHABET - 2]
-    letters[common] = 1 + np.arange(len(common))
+    # Frequent characters have a place of their own; the others share the rest, so that no script becomes one symbol.
+    letters = (OWN + np.arange(0x110000) % (SEPARATOR - OWN)).astype(np.uint8)
+    common = points[np.argsort(-counts, kind="stable")][:OWN]
+    letters[common] = np.arange(len(common))
     letters[0x10FFFF] = SEPARATOR
     seen = [np.zeros(ALPHABET**n, np.int32) for n in (1, 2, 3)]
     for t in texts:
@@ -119,17 +122,16 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
 
 def training(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
     """A bounded sample for each label, from the documents to learn from."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], []
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, 4 * PER_LANGUAGE / n) * (1 << 30))).otherwise(share)
-    near = rows.where(hashed < share).withColumns({"text": F.substring("text", 1, CHARS), "h": hashed})
-    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= PER_LANGUAGE)
+    most = max(1, min(PER_LANGUAGE, MOST_LEARNED // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(x, int(min(1.0, 4 * most / n) * (1 << 30))) for x, n in counts.items()], "lang string, share long")
+    near = rows.join(F.broadcast(shares), "lang").where(hashed < F.col("share")).withColumns({"text": F.substring("text", 1, CHARS), "h": hashed})  # a row a language
+    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= most)
     got = sorted((r["k"], r["lang"], r["text"]) for r in first.select("k", "lang", "text").collect())
     return [t for _, _, t in got], [x for _, x, _ in got]
 

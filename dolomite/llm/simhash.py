@@ -27,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dolomite.llm.common import slices, small_or_shuffled, spread, texts, written
+from dolomite.llm.common import fresh, slices, small_or_shuffled, spread, texts, written
 from dolomite.llm.components import components
 
 SEED, RADIUS, WORDS = 42, 2, 3
 #: Near copies for dedup: five-word shingles; candidates differ in at most two bits in any of 24 fingerprints of twelve chosen shingles
 #: each, and links are the candidates whose shingles have a Jaccard similarity of 0.8 or more.
 NEAR = {"words": 5, "radius": 2, "tables": 24, "chosen": 12, "least": 0.8}
-#: Fingerprints for a shard and its sample's size per shard; at most MOST_SHARDS shards, then shards grow.
-SHARD, SAMPLE_EACH, MOST_SHARDS, LEAF = 20_000, 24, 4096, 384
+#: Fingerprints for a shard, and its sample's size per shard. The upper tree has at most MOST_SHARDS shards, so its sample stays
+#: under 50 MB; beyond 650 million fingerprints shards grow (16 bytes a fingerprint in a task) and are split there as before.
+SHARD, SAMPLE_EACH, MOST_SHARDS, LEAF = 20_000, 24, 1 << 15, 384
 
 #: byte -> its eight bits in the eight bytes of a word.
 LANES = sum((((np.arange(256, dtype=np.uint64) >> np.uint64(j)) & np.uint64(1)) << np.uint64(8 * j)) for j in range(8))
@@ -361,6 +362,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = written(rows_grouped(docs, id_col=id_col, text_col=text_col, **near), "near-groups")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = rows.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = rows.join(first, "component").where(place != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    of_id, of_text = fresh(docs, "gone_id", "gone_key")
+    gone = rows.join(first, "component").where(place != F.col("first")).select(F.col("doc_id").alias(of_id), F.col("key").alias(of_text)).distinct()
     gone = small_or_shuffled(written(gone, "near-copies"))
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.md5(F.coalesce(docs[text_col], F.lit(""))) == F.col("__key")), "left_anti")
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(of_id)) & (F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col(of_text)), "left_anti")
