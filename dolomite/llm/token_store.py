@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dolomite.llm.common import slices, small_or_shuffled, spread, texts
-from dolomite.llm.wordbpe import token_ids
+from dolomite.llm.wordbpe import encoder, token_ids
 
 SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL = 600, 20_000, 64 << 10, 3
 BLOCK = 1 << 20
@@ -66,10 +66,10 @@ def decompressor(dictionary: bytes):
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
-def write_store(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> None:
-    """wide: ids of 4 bytes, for vocabularies over 65,536."""
+def write_store(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Ids take 2 bytes where all of the vocabulary's fit there, else 4."""
     spark, docs = docs.sparkSession, texts(docs, id_col, text_col)
-    dtype = "<u4" if wide else "<u2"
+    dtype = "<u2" if max(encoder(path).largest, end_id) < 1 << 16 else "<u4"
     dictionary = train(docs, path, end_id, dtype)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(dict_hash, dictionary, dtype)], "dict_hash string, dictionary binary, dtype string").coalesce(1).write.parquet(f"{folder}/dictionary")

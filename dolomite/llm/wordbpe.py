@@ -1,25 +1,30 @@
-"""Ids of whole texts by a tokenizers file whose pre-tokenizer drops white space (so no token crosses it)."""
+"""Ids of whole texts by a tokenizers file whose pre-tokenizer drops white space (so no token crosses it).
+
+Texts are cut at ASCII white space; each distinct word of a batch is taken once. Words of ASCII and Latin-1 letters are
+lower-cased and split into parts for a whole array at a time, and a part new to the worker goes through the tokenizer's model
+alone; other words go through the whole tokenizer. Both keep what they have met, bounded by pieces and bytes.
+"""
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from dolomite.llm.wordcache import WordCache, flattened
+from dolomite.llm.wordcache import Coded, WordCache, flattened, gathered
 
-#: The normaliser and splitting pattern for which the short way below holds.
+# The normaliser and splitting pattern for which the short way below holds.
 NORMALISER = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: The same pattern on words of ASCII and Latin-1 letters alone, which composition leaves as they are.
-SIMPLE = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
-SIMPLE_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
+#: Words of ASCII (but the mark below) and Latin-1 letters alone, which composition leaves as they are, and the same split of them.
+MARK = "\x01"
+SIMPLE = r"^[\x00\x02-\x7fÀ-ÖØ-öø-ÿ]*$"
+SIMPLE_SPLIT = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+)"
 
 
 def byte_letters() -> dict[int, str]:
@@ -29,39 +34,53 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
-def word_cache(path: str) -> WordCache:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    with open(path, encoding="utf-8") as f:
-        said = json.load(f)
-    short = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])] == NORMALISER and [x.get("pattern", {}).get("Regex", x["type"]) for x in said["pre_tokenizer"].get("pretokenizers", [])] == [SPLIT, "ByteLevel"]
-    letters, model = byte_letters(), tokenizer.model
-
-    def by_model(parts: list[str]):
-        return flattened([[x.id for x in model.tokenize(p.encode().decode("latin-1").translate(letters))] for p in parts])
-
-    inner = WordCache(by_model)
+class WordEncoder:
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.short = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])] == NORMALISER and [x.get("pattern", {}).get("Regex", x["type"]) for x in said["pre_tokenizer"].get("pretokenizers", [])] == [SPLIT, "ByteLevel"]
+        self.largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.parts, self.others = WordCache(self.by_model), WordCache(self.by_tokenizer)
+
+    def by_model(self, parts: list[str]) -> Coded:
+        tokenize, letters = self.model.tokenize, self.letters
+        return flattened([[x.id for x in tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters))] for p in parts])
+
+    def by_tokenizer(self, words: list[str]) -> Coded:
+        return flattened([x.ids for i in range(0, len(words), 20_000) for x in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)])
+
+    def many(self, words: pa.Array) -> Coded:
+        """Ids of distinct words without ASCII white space."""
+        simple = pc.match_substring_regex(words, SIMPLE) if self.short else pa.array(np.zeros(len(words), bool))
+        low = pc.utf8_lower(words.filter(simple))
+        split = pc.split_pattern(pc.replace_substring_regex(low, SIMPLE_SPLIT, rf"\1{MARK}"), MARK)
+        a, cuts = self.parts.encode(split.flatten(), np.asarray(split.offsets) - split.offsets[0].as_py())
+        rest = words.filter(pc.invert(simple))
+        b, ends = self.others.encode(rest, np.arange(len(rest) + 1))
+        on = np.asarray(simple)
+        start, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        start[on], size[on] = cuts[:-1], np.diff(cuts)
+        start[~on], size[~on] = len(a) + ends[:-1], np.diff(ends)
+        return np.concatenate([a, b]), start, size
 
-    def many(words: list[bytes]):
-        """Simple words part by part through the model alone, others through the whole tokenizer."""
-        text = [w.decode("utf-8", "replace") for w in words]
-        simple = np.fromiter((short and SIMPLE.fullmatch(t) is not None for t in text), bool, len(text))
-        a, bounds = inner.encode_lists([SIMPLE_SPLIT.findall(t.lower()) if s else [] for t, s in zip(text, simple, strict=True)], pa.string())
-        rest = [t for t, s in zip(text, simple, strict=True) if not s]
-        b, start, size = flattened([x.ids for i in range(0, len(rest), 20_000) for x in tokenizer.encode_batch_fast(rest[i : i + 20_000], add_special_tokens=False)])
-        starts, sizes = bounds[:-1].copy(), np.diff(bounds)
-        starts[~simple], sizes[~simple] = len(a) + start, size
-        return np.concatenate([a, b]), starts, sizes
 
-    return WordCache(many)
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids and bounds of a string array's texts (null: empty), cut at ASCII white space."""
+    """Flat ids and bounds of a string array's texts (null: empty)."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     bounds = np.asarray(lists.offsets)
-    return word_cache(path).encode(lists.values.slice(bounds[0], bounds[-1] - bounds[0]).cast(pa.large_binary()), bounds - bounds[0])
+    coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+    flat, start, size = encoder(path).many(coded.dictionary)
+    each = np.asarray(coded.indices)
+    ids, ends = gathered(flat, start[each], size[each])
+    return ids, np.concatenate([[0], ends])[bounds - bounds[0]]

@@ -25,14 +25,18 @@ def flattened(lists: list[list[int]]) -> Coded:
 
 
 class WordCache:
-    """Pieces and their ids. many: encodes a list of pieces. At `most` pieces the cache starts anew."""
+    """Pieces and their ids. many: encodes a list of pieces.
 
-    def __init__(self, many: Callable[[list], Coded], most: int = 250_000):
-        self.many, self.most = many, most
+    At `most` pieces, or `most_bytes` of theirs (long ones are whole texts where a script has no spaces), the cache starts anew.
+    """
+
+    def __init__(self, many: Callable[[list], Coded], most: int = 500_000, most_bytes: int = 16 << 20):
+        self.many, self.most, self.most_bytes = many, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.index: dict = {}
+        self.held = 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
@@ -51,11 +55,12 @@ class WordCache:
     def encode(self, pieces: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and their bounds. pieces: of all texts; bounds: of each text's pieces in them."""
         coded = pieces.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.index) + len(words) > self.most:
+        words, new_bytes = coded.dictionary.to_pylist(), coded.dictionary.nbytes
+        if len(self.index) + len(words) > self.most or self.held + new_bytes > self.most_bytes:
             self.clear()
         if new := [w for w in words if w not in self.index]:
             self.add(new)
+            self.held += int(new_bytes * len(new) / len(words))
         known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         each = known[np.asarray(coded.indices)]
         ids, ends = gathered(self.flat, self.start[each], self.size[each])
