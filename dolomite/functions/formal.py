@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dolomite import lexicon
 from dolomite.functions.rules import looked_up, truthy
-from dolomite.functions.text import strip, words
+from dolomite.functions.text import json_part, strip, words
 
 DISTANCE = "Distance.MinValue"
 
@@ -77,6 +77,61 @@ def pascal_case(equation: Column) -> Column:
     return F.array_join(F.zip_with(F.split(equation, pattern, -1), names, lambda gap, n: F.concat(gap, F.coalesce(n, F.lit("")))), "")
 
 
+def schema_problem(domain: Column, objects: Column, sides: Column, tolerance_object: Column, scoped: Column | None = None) -> Column:
+    """The error of a rule's schema check, null if it is consistent.
+
+    objects: map from domain to its objects. sides: array of entities as said, blank ones passed over; with scoped (true for a
+    geometry over domains, null without one) array of "domain.entity", each of which must be there.
+    """
+    known, own = F.map_keys(objects), F.coalesce(objects[domain], F.array().cast("array<string>"))
+    q = lambda c: F.concat(F.lit("'"), F.coalesce(c, F.lit("")), F.lit("'"))
+    first = lambda items: F.get(items, F.lit(0))
+    missing = first(F.filter(sides, lambda e: truthy(e).isNotNull() & ~F.array_contains(own, F.substring_index(canonical_entity(e, own), ".", 1))))
+    out = F.when(~F.array_contains(known, domain) | domain.isNull(), F.concat(F.lit("Schema Gap: Unknown domain "), q(domain)))
+    single = F.when(missing.isNotNull(), F.concat(F.lit("Schema Gap: Geometry entity "), q(missing), F.lit(" not defined in "), q(domain)))
+    if scoped is not None:
+        of, name = lambda e: F.substring_index(e, ".", 1), lambda e: F.substring_index(e, ".", -1)
+
+        def problem(e: Column) -> Column:
+            gone = ~F.array_contains(F.coalesce(objects[of(e)], F.array().cast("array<string>")), name(e))
+            return F.when(~F.coalesce(F.contains(e, F.lit(".")), F.lit(False)), "Geometry v2 entities must be qualified objects").when(~F.array_contains(known, of(e)), F.concat(F.lit("Unknown geometry domain "), q(of(e)))).when(gone, F.concat(F.lit("Schema Gap: Geometry entity "), q(name(e)), F.lit(" not in domain "), q(of(e))))
+
+        over = F.when(F.size(sides) == 0, "Geometry v2 requires geometry_scope").otherwise(first(F.filter(F.transform(sides, problem), lambda x: x.isNotNull())))
+        single = F.when(F.coalesce(scoped, F.lit(False)), over).otherwise(single)
+    tolerance = F.when(truthy(tolerance_object).isNotNull() & ~F.array_contains(own, tolerance_object), F.concat(F.lit("Schema Gap: Tolerance object "), q(tolerance_object), F.lit(" not defined")))
+    return F.coalesce(out, single, tolerance)
+
+
+def contracted(answer: Column) -> Column:
+    """(formalism, equation, ast, reasoning) of a formalisation's answer; all but the reasoning are null where it breaks the contract."""
+    j = json_part(answer)
+    field = lambda k: F.get_json_object(j, f"$.{k}")
+    formalism, equation, ast = field("formalism"), truthy(field("equation")), truthy(field("ast"))
+    error = (
+        F.when(j.isNull() | F.try_parse_json(j).isNull(), "no JSON")
+        .when(formalism.isNotNull() & ~formalism.isin("equation", "AST"), "Invalid formalism type")
+        .when((formalism == "equation") & equation.isNull(), "Equation formalism without equation")
+        .when((formalism == "AST") & F.coalesce(ast, F.lit("{}")).isin("{}", "[]"), "AST formalism without AST")
+    )
+    kept = lambda c: F.when(error.isNull(), c)
+    return F.struct(kept(formalism).alias("formalism"), kept(equation).alias("equation"), kept(ast).alias("ast"), F.when(error.isNull(), field("reasoning")).otherwise(F.concat(F.lit("Formalization output invalid: "), error)).alias("reasoning"))
+
+
+def self_validated(status: Column, equation: Column, answer: Column) -> Column:
+    """(is_valid, issues) of a formal rule: deferred ones pass; else the validator's answer, and no chained attributes whatever it says."""
+    j = json_part(answer)
+    parsed = F.from_json(j, "is_valid boolean, issues array<string>")
+    issues = F.coalesce(parsed["issues"], F.array().cast("array<string>"))
+    chained = chained_access(F.coalesce(equation, F.lit("")))
+    said = F.concat(F.lit("Illegal chained attributes detected: ['"), F.array_join(chained, "', '"), F.lit("']"))
+    broken = j.isNull() | F.try_parse_json(j).isNull()
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.when(status == "Deferred", True).when(broken, False).otherwise(F.coalesce(parsed["is_valid"], F.lit(False)) & (F.size(chained) == 0)).alias("is_valid"),
+        F.when(status == "Deferred", none).when(broken, F.array(F.lit("Validator JSON parse failure"))).when(F.size(chained) > 0, F.array_append(issues, said)).otherwise(issues).alias("issues"),
+    )
+
+
 def attribute_rule(answer: Column) -> Column:
     """(formalism, equation, reasoning) of a model's answer."""
     e = F.regexp_replace(F.regexp_replace(strip(answer), "^\"+|\"+$", ""), "^'+|'+$", "")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dolomite import lexicon
-from dolomite.functions.text import norm_key, numbers, strip
+from dolomite.functions.text import has_any, norm_key, numbers, strip
 
 #: A rule as a model may answer it; unknown fields are ignored.
 CONSTRAINT = "struct<parameter:string,subject:string,target:string,operator:string,op:string,constraint_type:string,value:string,unit:string,units:string,expression:string,logic:string,constraint_source:string>"
@@ -84,17 +84,26 @@ def colour(score: Column) -> Column:
 
 
 def priority_of(text: Column) -> Column:
-    t = F.concat(F.lit(""), norm_key(text))
-    return F.when(t.rlike(" must | shall | required | do not | never "), "high").when(t.rlike(" should | recommended "), "medium").otherwise("low")
+    t = norm_key(text)
+    return F.when(has_any(t, lexicon.HIGH_PRIORITY), "high").when(has_any(t, lexicon.MEDIUM_PRIORITY), "medium").otherwise("low")
 
 
 def risk_of(text: Column) -> Column:
     t = norm_key(text)
-    return F.when(t.rlike("tolerance|±|minimum|maximum|clearance|interference|thickness|radius|failure|crack|fracture|safety|critical"), "high").when(t.rlike("[0-9]|avoid|ensure|prevent"), "medium").otherwise("low")
+    return F.when(has_any(t, lexicon.HIGH_RISK), "high").when(t.rlike("[0-9]") | has_any(t, lexicon.MEDIUM_RISK), "medium").otherwise("low")
+
+
+def rule_class(text: Column, title: Column | None = None) -> Column:
+    """One of twelve classes: by the title (null or left out: not known), then by the first process, feature or generic word."""
+    out, tables = F, [(lexicon.CLASS_TITLES, title), (lexicon.CLASS_PROCESSES, text), (lexicon.CLASS_FEATURES, text), (lexicon.CLASS_GENERIC, text)]
+    for table, of in tables:
+        for name, words in table.items() if of is not None else ():
+            out = out.when(has_any(of, words), name)
+    return out.otherwise("General")
 
 
-def unresolved(payload: Column, depth: int = 8) -> Column:
-    """Whether a constraint (JSON text) holds a compound without parts, `depth` levels down at most.
+def unresolved(payload: Column, depth: int = 32) -> Column:
+    """Whether a constraint (JSON text) holds a compound without parts; one nested deeper than `depth` levels counts as unresolved.
 
     Of the five names a compound can have, the first that is there decides. A fold over the levels.
     """
@@ -112,7 +121,8 @@ def unresolved(payload: Column, depth: int = 8) -> Column:
     bad = lambda item: ~item.startswith("[") & nested(item).isin("", "[]", "{}", "0", "false")
     step = lambda a, _: F.struct((a["bad"] | F.coalesce(F.exists(a["items"], bad), F.lit(False))).alias("bad"), F.flatten(F.transform(a["items"], parts)).alias("items"))
     start = F.struct(F.lit(False).alias("bad"), F.array(strip(payload)).alias("items"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step, lambda a: a["bad"])
+    deeper = lambda a: F.exists(a["items"], lambda i: F.coalesce(F.size(parts(i)), F.lit(0)) > 0)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step, lambda a: a["bad"] | F.coalesce(deeper(a), F.lit(False)))
 
 
 def validated(rules: DataFrame, constraints: str = "constraints", severity: str = "severity") -> DataFrame:
@@ -180,8 +190,8 @@ def dedupe_key(intent: Column, scope: Column, applicability: Column, constraints
     return main if faithful else F.when(blank, F.concat_ws("|", norm_key(text), norm_key(category), norm_key(kind))).otherwise(main)
 
 
-def printed_constraints(constraints: Column) -> Column:
-    """parameter operator value unit of each, joined by semicolons."""
+def printed_constraints(constraints: Column, compound: Column | None = None) -> Column:
+    """parameter operator value unit of each, then fn(a, b) of each compound (function, operands), joined by semicolons."""
 
     def one(c: Column) -> Column:
         param = F.coalesce(truthy(c["parameter"]), truthy(c["target"]), truthy(c["subject"]))
@@ -190,7 +200,13 @@ def printed_constraints(constraints: Column) -> Column:
         piece = F.when(param.isNotNull() & op.isNotNull() & rhs.isNotNull(), F.concat_ws(" ", param, op, rhs)).when(param.isNotNull() & rhs.isNotNull(), F.concat(param, F.lit(": "), rhs)).otherwise(rhs)
         return F.when(piece.isNotNull(), F.concat_ws(" ", piece, unit))
 
-    return F.array_join(F.filter(F.transform(constraints, one), lambda x: x.isNotNull()), "; ")
+    def call(c: Column) -> Column:
+        known = F.filter(c["operands"], lambda o: truthy(o).isNotNull())
+        return F.when(truthy(c["function"]).isNotNull() & (F.size(known) > 0), F.concat(strip(c["function"]), F.lit("("), F.array_join(known, ", "), F.lit(")")))
+
+    none = F.array().cast("array<string>")
+    of = lambda items, f: none if items is None else F.coalesce(F.transform(items, f), none)
+    return F.array_join(F.filter(F.concat(of(constraints, one), of(compound, call)), lambda x: x.isNotNull()), "; ")
 
 
 def printed_applicability(app: Column) -> Column:

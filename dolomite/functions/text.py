@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as written in both Java and RE2; \s alone differs for others.
 SPACE = r"[ \t\n\r\x0b\x0c]+"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as none of df's columns (upper case or lower) has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
 

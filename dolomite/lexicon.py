@@ -17,9 +17,15 @@ FEATURE_KEYWORDS = {
     "measurements": ["mm", "inch", "cm", "meter", "degree", "micron", "surface finish"],
 }
 
-#: Terms that mark a sentence or chunk as worth reading; a parameter everywhere.
-PRIORITY_TERMS = ["minimum", "maximum", "tolerance", "clearance", "thickness", "diameter", "radius", "required", "shall", "must", "should"]
-PROCESS_TERMS = ["machining", "molding", "casting", "welding", "stamping", "bending", "drilling", "assembly"]
+# Terms that mark a sentence or chunk as worth reading, processes, materials and dimensions.
+PRIORITY_TERMS = [
+    "minimum", "maximum", "thickness", "diameter", "radius", "tolerance", "clearance", "specification", "requirement", "standard", "shall",
+    "must", "required", "not less than", "not exceed", "between",
+]
+PROCESS_TERMS = ["machining", "molding", "assembly", "welding", "casting", "sheet metal", "injection", "drilling", "milling", "turning"]
+MATERIAL_TERMS = ["steel", "aluminum", "plastic", "carbon", "titanium", "copper", "stainless", "alloy", "composite", "polymer"]
+DIMENSION_TERMS = ["length", "width", "height", "depth", "angle", "surface finish", "roughness", "flatness", "roundness", "concentricity"]
+CHUNK_TERMS = [*PRIORITY_TERMS, *PROCESS_TERMS, *MATERIAL_TERMS, *DIMENSION_TERMS]
 MODALS = [" shall ", " must ", " should "]
 # Unit substrings of the sentence heuristic.
 UNITS = ["mm", "cm", "inch", "inches", "kg", "g"]
@@ -29,11 +35,14 @@ DATA_TERMS = ["the", "and", "thon", "mit", "license", "apache", "token"]
 DATA_PRIORITY = ["license", "token", "thon", "apache"]
 
 # Stop words of the phrase extractor.
-STOPWORDS = (
-    "the a an and or but if while at by for with about against between into through during before after above below to from up down in out on off over "
-    "under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too "
-    "very can will just should now of is are was were be been being have has had do does did doing"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "if", "while", "at", "by", "for", "with", "about", "against", "between", "into",
+    "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over",
+    "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each",
+    "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very",
+    "can", "will", "just", "should", "now", "of", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do",
+    "does", "did", "doing",
+]
 
 # Rule types, and names that stand for them.
 RULE_TYPES = ["dimensional", "material", "process", "quality", "safety", "assembly", "tolerance", "general"]
@@ -83,12 +92,67 @@ DOMAIN_KEYWORDS = {
 }
 
 # Rule types of the extraction as domains of the schema.
-RULE_TYPE_DOMAINS = {d: d for d in ("Sheetmetal", "SMForm", "Injection Moulding", "Additive", "Die Cast", "Mill", "Drill", "Turn", "Tubing", "Assembly", "Model", "General")} | {
+RULE_TYPE_DOMAINS = {
+    "Sheetmetal": "Sheetmetal",
+    "SMForm": "SMForm",
+    "Injection Moulding": "Injection Moulding",
+    "Additive": "Additive",
+    "Die Cast": "Die Cast",
+    "Mill": "Mill",
+    "Drill": "Drill",
+    "Turn": "Turn",
+    "Tubing": "Tubing",
+    "Assembly": "Assembly",
+    "Model": "Model",
+    "General": "General",
     "Plating": "General",
     "sheet metal": "Sheetmetal",
     "injection molding": "Injection Moulding",
 }
 
+# Classes of rules by a document's title, then by processes, features and generic words of the rule, in order.
+CLASS_TITLES = {
+    "Sheetmetal": ["sheet metal"],
+    "Injection Moulding": ["injection molding"],
+    "Additive": ["additive", "3d printing"],
+    "Die Cast": ["die casting"],
+    "Mill": ["milling", "cnc"],
+    "Drill": ["drilling"],
+    "Turn": ["turning", "lathe"],
+    "Tubing": ["tubing", "pipe"],
+    "Assembly": ["assembly"],
+}
+CLASS_PROCESSES = {
+    "SMForm": ["sheet metal forming"],
+    "Sheetmetal": ["sheet metal"],
+    "Injection Moulding": ["injection mold", "plastic"],
+    "Additive": ["additive", "3d print", "fdm", "sla"],
+    "Die Cast": ["die cast", "casting"],
+    "Mill": ["mill", "pocket", "machining"],
+    "Drill": ["drill", "hole", "tap"],
+    "Turn": ["turn", "lathe", "groove"],
+    "Tubing": ["tube", "tubing", "pipe", "bend"],
+    "Assembly": ["assembly", "fastener", "bolt", "nut"],
+}
+CLASS_FEATURES = {
+    "Sheetmetal": ["flange", "hem", "curl", "emboss", "stamp", "bridge", "card guide"],
+    "Injection Moulding": ["boss", "rib", "draft angle", "mold wall", "wall thickness"],
+    "Additive": ["print size", "support", "layer height"],
+    "Die Cast": ["mold face", "die wall"],
+    "Mill": ["pocket", "chamfer", "fillet", "surface finish"],
+    "Drill": ["counterbore", "countersink", "hole depth", "thread"],
+    "Turn": ["groove", "relief", "bored hole"],
+    "Tubing": ["tube bend", "overlap"],
+    "Assembly": ["clearance", "interference", "washer", "shank"],
+}
+CLASS_GENERIC = {"General": ["pmi", "tolerance", "thread standard", "material preference"], "Model": ["bounding box", "volume", "dimension"]}
+
+# Words of a rule that tell its priority and its risk.
+HIGH_PRIORITY = [" must ", " shall ", " required ", " do not ", " never "]
+MEDIUM_PRIORITY = [" should ", " recommended "]
+HIGH_RISK = ["tolerance", "±", "minimum", "maximum", "clearance", "interference", "thickness", "radius", "failure", "crack", "fracture", "safety", "critical"]
+MEDIUM_RISK = ["avoid", "ensure", "prevent"]
+
 # Names of geometric entities.
 ENTITIES = {
     "hole": "Hole",

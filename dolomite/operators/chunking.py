@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dolomite.functions.text import count_terms, sentences, strip, word_count, words
+from dolomite.functions.text import count_terms, sentences, strip, unused, word_count, words
 
 Tokens = Callable[[Column], Column]
 
@@ -19,12 +20,13 @@ def windows(docs: DataFrame, window: int, overlap: int, tokens: Tokens = words,
     """
     window = max(1, window)
     step = window - min(max(0, overlap), window - 1)
-    t = docs.withColumn("__t", tokens(F.coalesce(F.col(text_col), F.lit(""))))
-    n = F.size("__t")
+    tok, at = unused(docs, "tokens", "at")
+    t = docs.withColumn(tok, tokens(F.coalesce(F.col(text_col), F.lit(""))))
+    n = F.size(tok)
     last = n - 1 if keep_tail else F.greatest(F.lit(0), F.ceil((n - window) / step).cast("int") * step)
     starts = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    rows = t.select("*", F.posexplode(starts).alias("chunk_index", "__s"))
-    return rows.withColumn("chunk", F.array_join(F.slice("__t", F.col("__s") + 1, F.lit(window)), " ")).drop("__t", "__s")
+    rows = t.select("*", F.posexplode(starts).alias("chunk_index", at))
+    return rows.withColumn("chunk", F.array_join(F.slice(tok, F.col(at) + 1, F.lit(window)), " ")).drop(tok, at)
 
 
 def word_windows(docs: DataFrame, window: int = 3200, overlap: int = 200, text_col: str = "text") -> DataFrame:
@@ -34,39 +36,46 @@ def word_windows(docs: DataFrame, window: int = 3200, overlap: int = 200, text_c
     return windows(docs, limit, limit - stride, keep_tail=True, text_col=text_col)
 
 
+def packed(counts: Column, hits: Column, size: int, overlap: bool) -> Column:
+    """Array of (first, last, n, score): sentences packed while they fit. Only whole numbers go to Python, in Arrow batches."""
+
+    @F.pandas_udf("array<struct<first:int,last:int,n:int,score:int>>")
+    def fold(counts: pd.Series, hits: pd.Series) -> pd.Series:
+        def one(c, h) -> list[dict]:
+            out, start, n, score = [], 0, 0, 0
+            c, h = c.tolist(), h.tolist()
+            for i in range(len(c)):
+                if i and n + c[i] > size:
+                    out.append({"first": start, "last": i - 1, "n": n, "score": score})
+                    start = max(start, i - 2) if overlap else i
+                    n, score = sum(c[start : i + 1]), h[i]
+                else:
+                    n, score = n + c[i], score + h[i]
+            return [*out, {"first": start, "last": len(c) - 1, "n": n, "score": score}] if c else []
+
+        return pd.Series([one(c, h) for c, h in zip(counts, hits)])
+
+    return fold(counts, hits)
+
+
 def sentence_chunks(docs: DataFrame, size: int = 800, overlap: bool = True, terms: Sequence[str] = (), text_col: str = "text", count: Tokens = word_count) -> DataFrame:
     """docs with chunk_index, chunk, token_count, score and sentence_count.
 
-    Sentences are packed while they fit; a full chunk is put out and the next begins with its last two sentences. score: terms
-    found in the chunk's sentences, those carried over excepted. A fold, in one pass over the document's sentences.
+    Sentences are packed while they fit; a full chunk is put out and the next begins with its last two sentences, whose tokens count
+    again. score: terms found in the chunk's sentences, those carried over excepted. count: tokens of a sentence.
     """
-    piece = "struct<chunk:string,token_count:int,score:int,sentence_count:int>"
-    ends = lambda t: F.size(F.regexp_extract_all(t, F.lit("[.!?]"), F.lit(0))) + 1
-    state = F.struct(F.array().cast(f"array<{piece}>").alias("out"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("n"), F.lit(0).alias("score"))
-
-    def put(a: Column) -> Column:
-        text = strip(F.array_join(a["held"], " "))
-        return F.struct(text.alias("chunk"), a["n"].alias("token_count"), a["score"].alias("score"), ends(text).alias("sentence_count"))
-
-    def step(a: Column, s: Column) -> Column:
-        n, hits = count(s), count_terms(s, terms)
-        full = (a["n"] + n > size) & (F.size(a["held"]) > 0)
-        carried = F.concat(F.slice(a["held"], F.greatest(F.size(a["held"]) - 1, F.lit(1)), F.lit(2)), F.array(s)) if overlap else F.array(s)
-        return F.struct(
-            F.when(full, F.concat(a["out"], F.array(put(a)))).otherwise(a["out"]).alias("out"),
-            F.when(full, carried).otherwise(F.concat(a["held"], F.array(s))).alias("held"),
-            F.when(full, count(F.array_join(carried, " "))).otherwise(a["n"] + n).alias("n"),
-            F.when(full, hits).otherwise(a["score"] + hits).alias("score"),
-        )
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    folded = F.aggregate(sentences(text), state, step, lambda a: F.when(strip(F.array_join(a["held"], " ")) != "", F.concat(a["out"], F.array(put(a)))).otherwise(a["out"]))
-    rows = docs.withColumn("__c", folded).select("*", F.posexplode("__c").alias("chunk_index", "__p")).drop("__c")
-    return rows.select("*", "__p.*").drop("__p")
-
-
-def scored_chunks(docs: DataFrame, size: int = 400, terms: Sequence[str] = (), faithful: bool = False, text_col: str = "text") -> DataFrame:
-    """As sentence_chunks, with density (terms to words, the best sentence's) and ranked by it within the document.
+    parts, place, part = unused(docs, "sentences", "place", "part")
+    rows = docs.withColumn(parts, sentences(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.withColumn(place, packed(F.transform(parts, lambda s: count(s).cast("int")), F.transform(parts, lambda s: count_terms(s, terms).cast("int")), size, overlap))
+    rows = rows.select("*", F.posexplode(place).alias("chunk_index", part))
+    chunk = strip(F.array_join(F.slice(parts, F.col(f"{part}.first") + 1, F.col(f"{part}.last") - F.col(f"{part}.first") + 1), " "))
+    rows = rows.withColumn("chunk", chunk).where((F.col("chunk") != "") | (F.col("chunk_index") < F.size(place) - 1))
+    ends = F.size(F.regexp_extract_all("chunk", F.lit("[.!?]"), F.lit(0))) + 1
+    return rows.select(*docs.columns, "chunk_index", "chunk", F.col(f"{part}.n").alias("token_count"), F.col(f"{part}.score").alias("score"), ends.alias("sentence_count"))
+
+
+def scored_chunks(docs: DataFrame, size: int = 400, terms: Sequence[str] = (), faithful: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """As sentence_chunks, with density (terms to words, the best sentence's) and rank by it within the document (ties by place).
 
     faithful: a chunk after the first carries the document's last sentence over, not its predecessor's.
     """
@@ -76,12 +85,13 @@ def scored_chunks(docs: DataFrame, size: int = 400, terms: Sequence[str] = (), f
     if faithful:
         tail = F.element_at(sentences(F.coalesce(F.col(text_col), F.lit(""))), -1)
         rows = rows.withColumn("chunk", F.when(F.col("chunk_index") > 0, F.concat_ws(" ", tail, "chunk")).otherwise(F.col("chunk")))
-    return rows
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("density"), "chunk_index")))
 
 
 def thinned(chunks: DataFrame, most: int, doc_col: str = "doc_id", index_col: str = "chunk_index") -> DataFrame:
     """At most `most` chunks of a document, evenly over it: places round(i (n - 1) / (most - 1)), half to even."""
-    n = chunks.groupBy(doc_col).agg((F.max(index_col) + 1).alias("__n"))
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(max(1, most - 1))).cast("int"))
-    keep = F.when(F.col("__n") <= most, True).otherwise(F.array_contains(wanted, F.col(index_col))) if most > 1 else F.col(index_col) == 0
-    return chunks.join(n, doc_col).where(keep).drop("__n")
+    (total,) = unused(chunks, "total")
+    n = chunks.groupBy(doc_col).agg((F.max(index_col) + 1).alias(total))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (F.col(total) - 1) / F.lit(max(1, most - 1))).cast("int"))
+    keep = F.when(F.col(total) <= most, True).otherwise(F.array_contains(wanted, F.col(index_col))) if most > 1 else F.col(index_col) == 0
+    return chunks.join(n, doc_col).where(keep).drop(total)

@@ -7,29 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dolomite.functions.text import squeezed
+from dolomite.functions.text import squeezed, unused
 
 
 def first_of_each(rules: DataFrame, key: Column, order: Sequence[str], scope: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The first rule of each key within scope. Least rows are found by an aggregate, which combines before its shuffle."""
-    rows = rules.withColumn("__k", key)
-    rest = [c for c in rows.columns if c not in (*scope, "__k", *order)]
-    best = rows.groupBy(*scope, "__k").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r"), F.min(F.struct(*order)).alias("__o"))
-    return best.select(*scope, "__o.*", "__r.*").select(*rules.columns)
+    k, r = unused(rules, "key", "row")
+    rows = rules.withColumn(k, key)
+    best = rows.groupBy(*scope, k).agg(F.min_by(F.struct(*rules.columns), F.struct(*order)).alias(r))
+    return best.select(f"{r}.*")
 
 
 def squeezed_dedupe(rules: DataFrame, order: Sequence[str], scope: Sequence[str] = ("doc_id",), text: str = "rule_text") -> DataFrame:
     return first_of_each(rules, squeezed(F.col(text)), order, scope)
 
 
-def similar_leaders(rules: DataFrame, doc_col: str = "doc_id", index_col: str = "rule_index", text_col: str = "rule_text", score_col: str = "confidence", threshold: float = 0.8) -> DataFrame:
+def similar_leaders(rules: DataFrame, doc_col: str = "doc_id", index_col: str = "rule_index", text_col: str = "rule_text", score_col: str = "confidence", threshold: float = 0.8, stop: Sequence[str] = (), features: int = 1000) -> DataFrame:
     """(doc, index, leader): greedily, in order, each rule joins the first kept rule of its document it resembles.
 
-    Resemblance is the cosine of TF-IDF vectors of 1- to 3-grams over the document's own rules. A rule of higher score than the
+    Resemblance is the cosine of TF-IDF vectors of 1- to 3-grams, without stop words, over the document's own rules; of the n-grams the
+    `features` most frequent count (ties by the alphabet). A rule of higher score than the
     leader takes its place, behind all kept so far. The memory is that of one document's rules.
     """
     import pandas as pd
 
+    stops = frozenset(stop)
+
     def lead(rows: pd.DataFrame) -> pd.DataFrame:
         import math
         import re
@@ -39,8 +42,14 @@ def similar_leaders(rules: DataFrame, doc_col: str = "doc_id", index_col: str =
         texts, score = rows[text_col].fillna("").tolist(), rows[score_col].tolist()
         grams = []
         for t in texts:
-            w = re.findall(r"\w\w+", t.lower())
+            w = [x for x in re.findall(r"\w\w+", t.lower()) if x not in stops]
             grams.append(Counter(" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)))
+        total: Counter = Counter()
+        for c in grams:
+            total.update(c)
+        if len(total) > features:
+            known = set(sorted(total, key=lambda g: (-total[g], g))[:features])
+            grams = [Counter({g: k for g, k in c.items() if g in known}) for c in grams]
         df = Counter(g for c in grams for g in c)
         vectors = []
         for c in grams:
@@ -90,21 +99,50 @@ def escalations(rules: DataFrame, tag: str = "correctness_tag") -> DataFrame:
 
 def capped(rules: DataFrame, most: int, by: Sequence[Column], scope: str = "doc_id") -> DataFrame:
     """The first `most` of each document: the feature is a cap for each document."""
-    return rules.withColumn("__r", F.row_number().over(Window.partitionBy(scope).orderBy(*by))).where(F.col("__r") <= most).drop("__r")
+    (r,) = unused(rules, "rank")
+    return rules.withColumn(r, F.row_number().over(Window.partitionBy(scope).orderBy(*by))).where(F.col(r) <= most).drop(r)
+
 
+def cluster_best(rules: DataFrame, doc_col: str = "doc_id", index_col: str = "rule_index", text_col: str = "rule_text", score_col: str = "confidence", most: int = 5, above: int = 5, features: int = 256, rounds: int = 50) -> DataFrame:
+    """Of each document with more than `above` rules the one of highest score (first of equals) of each of min(most, n // 3) clusters.
 
-def cluster_best(rules: DataFrame, text_col: str = "rule_text", score_col: str = "confidence", most: int = 5, seed: int = 42, features: int = 1024) -> DataFrame:
-    """The rule of highest score of each of min(most, n // 3) clusters; all rules where that is under two."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import HashingTF, Normalizer
+    Other documents keep all. K-means over normalised word counts, begun with rules far from each other, so the same each time.
+    The memory is that of one document's rules.
+    """
+    import pandas as pd
 
-    n = rules.count()
-    if (k := min(most, n // 3)) < 2:
-        return rules
-    rows = rules.withColumn("__w", F.regexp_extract_all(F.lower(text_col), F.lit(r"\w\w+"), F.lit(0)))
-    rows = Normalizer(inputCol="__f", outputCol="__v").transform(HashingTF(inputCol="__w", outputCol="__f", numFeatures=features).transform(rows))
-    found = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="__c").fit(rows).transform(rows)
-    return found.groupBy("__c").agg(F.max_by(F.struct(*rules.columns), score_col).alias("r")).select("r.*")
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        import re
+        import zlib
+
+        import numpy as np
+
+        rows = rows.sort_values(index_col, kind="stable")
+        k = min(most, len(rows) // 3)
+        if len(rows) <= above or k < 2:
+            return rows[[doc_col, index_col]]
+        v = np.zeros((len(rows), features), np.float32)
+        for i, t in enumerate(rows[text_col].fillna("")):
+            for w in re.findall(r"\w\w+", t.lower()):
+                v[i, zlib.crc32(w.encode()) % features] += 1
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        far = lambda c: ((v * v).sum(1)[:, None] - 2 * v @ c.T + (c * c).sum(1)).round(5)
+        centre = v[:1]
+        while len(centre) < k:
+            centre = np.vstack([centre, v[far(centre).min(1).argmax()]])
+        at = far(centre).argmin(1)
+        for _ in range(rounds):
+            centre = np.stack([v[at == c].mean(0) if (at == c).any() else centre[c] for c in range(k)])
+            new = far(centre).argmin(1)
+            if (new == at).all():
+                break
+            at = new
+        chosen = rows.assign(cluster=at).sort_values([score_col, index_col], ascending=[False, True], kind="stable").drop_duplicates("cluster")
+        return chosen[[doc_col, index_col]]
+
+    kinds = dict(rules.dtypes)
+    kept = rules.select(doc_col, index_col, text_col, score_col).groupBy(doc_col).applyInPandas(best, f"{doc_col} {kinds[doc_col]}, {index_col} {kinds[index_col]}")
+    return rules.join(kept, [doc_col, index_col], "left_semi")
 
 
 def funnel(rules: DataFrame, steps: dict[str, Column], doc_col: str = "doc_id") -> DataFrame:

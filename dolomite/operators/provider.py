@@ -6,7 +6,7 @@ import hashlib
 import json
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -14,13 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dolomite import lexicon
 from dolomite.functions import rules as rule_columns
-from dolomite.functions.text import json_part
+from dolomite.functions.text import canonical, json_part, reading_ease, strip
+from dolomite.sources.writers import materialised
 
 
 class Provider(Protocol):
     def complete(self, task: str, text: str) -> str:
-        """The answer to a text under a task (extract, intent, geometry, tolerance, attribute, validate, classify)."""
+        """The answer to a text under a task (a key of prompts.REQUESTS)."""
         ...
 
 
@@ -39,7 +41,17 @@ class Offline:
             geometry = re.search(r"\b(distance|spacing|between|from the edge)\b", text, re.I) is not None
             return json.dumps({"is_quantifiable": number, "rule_intent": {"type": "min" if re.search(r"minimum|at least|>=", text, re.I) else "max" if number else "advisory", "requires_geometry": geometry, "requires_tolerance": tolerance}})
         if task == "classify":
-            return self.kind(text)
+            return rule_class(text)
+        if task == "bulk":
+            found = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if re.search(r"\d|\b(must|shall|should)\b", s)]
+            return json.dumps({"rules": [{"text": s, "confidence_score": 0.6} for s in found]})
+        if task in ("single", "enhance"):
+            best = max(re.split(r"(?<=[.!?])\s+", text), key=lambda s: (len(re.findall(r"\d|\b(?:must|shall|should)\b", s)), len(s)))
+            return json.dumps({"rule_text": best.strip(), "rule_type": self.kind(best), "confidence": 0.8 if re.search(r"\d", best) else 0.5, "supporting_quote": best[:200]})
+        if task == "validate":
+            return json.dumps({"is_valid": True, "issues": []})
+        if task == "normalise":
+            return " ".join(text.split())
         number = re.search(r"\d+\.?\d*", text)
         name = re.search(r"[A-Z]\w*\.[A-Z]\w*", text)
         return f"{name[0]} {'>=' if re.search('minimum|at least', text, re.I) else '<='} {number[0]}" if number and name else "null"
@@ -48,13 +60,80 @@ class Offline:
         return "dimensional" if re.search(r"\d", text) else "quality"
 
 
+def rule_class(text: str, title: str = "") -> str:
+    """As functions.rules.rule_class, for one text."""
+    for table, of in ((lexicon.CLASS_TITLES, title), (lexicon.CLASS_PROCESSES, text), (lexicon.CLASS_FEATURES, text), (lexicon.CLASS_GENERIC, text)):
+        for name, words in table.items():
+            if any(w in of.lower() for w in words):
+                return name
+    return "General"
+
+
+def seconds_to_wait(message: str, default: float = 20.0) -> float:
+    """Of "try again in 17m18s", and five more."""
+    m = re.search(r"try again in (?:\d+h)?(?:(\d+)m)?(?:([0-9.]+)s)?", message, re.I)
+    return float(m[1] or 0) * 60 + float((m[2] or "0").rstrip(".")) + 5 if m and (m[1] or m[2]) else default
+
+
+@dataclass(frozen=True)
+class Timed:
+    """An error where the provider takes longer than so many seconds; the call is left behind in its thread."""
+
+    provider: Provider
+    seconds: float
+
+    def complete(self, task: str, text: str) -> str:
+        from threading import Thread
+
+        got: list = []
+
+        def call() -> None:
+            try:
+                got.append((self.provider.complete(task, text), None))
+            except Exception as e:  # noqa: BLE001
+                got.append((None, e))
+
+        worker = Thread(target=call, daemon=True)
+        worker.start()
+        worker.join(self.seconds)
+        if not got:
+            raise TimeoutError(f"no answer in {self.seconds} seconds")
+        if got[0][1]:
+            raise got[0][1]
+        return got[0][0]
+
+
+@dataclass
+class DailyLimit:
+    """After an error that tells of the day's tokens all calls fail at once until the time it names, `least` seconds at least."""
+
+    provider: Provider
+    least: float = 300.0
+    until: float = 0.0
+
+    def complete(self, task: str, text: str) -> str:
+        if time.time() < self.until:
+            raise RuntimeError("the day's tokens are used up")
+        try:
+            return self.provider.complete(task, text)
+        except Exception as e:
+            if "429" in str(e) and "tokens per day" in str(e):
+                self.until = time.time() + max(self.least, seconds_to_wait(str(e), self.least + 5) - 5)
+            raise
+
+
 @dataclass(frozen=True)
 class Failover:
-    """The first of some providers that answers, each tried a bounded number of times with a growing wait."""
+    """The first of some providers that answers, each tried a bounded number of times with a growing wait.
+
+    After an error of too many requests (429) the wait is what its message names, from `interval` up to `most` seconds.
+    """
 
     providers: tuple[Provider, ...]
     tries: int = 3
     wait: float = 0.0
+    interval: float = 2.0
+    most: float = 60.0
 
     def complete(self, task: str, text: str) -> str:
         error: Exception | None = None
@@ -64,7 +143,8 @@ class Failover:
                     return p.complete(task, text)
                 except Exception as e:  # noqa: BLE001  a provider's own errors are its own
                     error = e
-                    time.sleep(self.wait * (i + 1))
+                    limited = "429" in str(e) and i + 1 < self.tries
+                    time.sleep(min(self.most, max(self.interval * (i + 1), seconds_to_wait(str(e), 0.0))) if limited else self.wait * (i + 1))
         raise RuntimeError("no provider answered") from error
 
 
@@ -80,25 +160,39 @@ class Throttled:
         return self.provider.complete(task, text)
 
 
-def asked(rows: DataFrame, provider: Provider, task: str, text_col: str, answer: str = "answer", error: str = "error") -> DataFrame:
-    """rows with the provider's answer, or an error and no answer: a failed call fails no task. Equal texts of a batch are asked once."""
+def asked(rows: DataFrame, provider: Provider, task: str | None, text_col: str, answer: str = "answer", error: str = "error", task_col: str | None = None) -> DataFrame:
+    """rows with the provider's answer, or an error and no answer: a failed call fails no task. Equal texts of a batch are asked once.
+
+    task_col: the column that names each row's task, in place of one for all. Lazy: what is used twice must be written first.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[str | None, str | None]] = {}
+        known: dict[tuple[str, str], tuple[str | None, str | None]] = {}
         for b in batches:
             got = []
-            for t in b[text_col]:
-                key = hashlib.md5((t or "").encode()).hexdigest()
+            for t, job in zip(b[text_col], b[task_col] if task_col else [task] * len(b), strict=True):
+                key = job, hashlib.md5((t or "").encode()).hexdigest()
                 if key not in known:
                     try:
-                        known[key] = provider.complete(task, t or ""), None
+                        known[key] = provider.complete(job, t or ""), None
                     except Exception as e:  # noqa: BLE001
                         known[key] = None, str(e)
                 got.append(known[key])
             yield b.assign(**{answer: [a for a, _ in got], error: [e for _, e in got]})
             known.clear()
 
-    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {answer} string, {error} string")
+    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{answer}` string, `{error}` string")
+
+
+def cached(chunks: DataFrame, cache: DataFrame, provider: Provider, task: str, keys: Sequence[str] = ("document_id", "chunk_index"), text_col: str = "chunk") -> tuple[DataFrame, DataFrame]:
+    """(every chunk with answer and error, new rows for the cache). cache: keys and answer; an answer of null is a miss.
+
+    Only misses are asked, once: their answers are written before both results read them.
+    """
+    known = cache.where(F.col("answer").isNotNull()).dropDuplicates([*keys]).select(*keys, "answer")
+    misses = materialised(asked(chunks.join(known, [*keys], "left_anti"), provider, task, text_col), "answers")
+    hits = chunks.join(known, [*keys]).withColumn("error", F.lit(None).cast("string"))
+    return hits.unionByName(misses), misses.where("answer is not null").select(*keys, "answer")
 
 
 def parsed_rules(answers: DataFrame, most: int = 20, answer: str = "answer") -> DataFrame:
@@ -112,6 +206,20 @@ def parsed_rules(answers: DataFrame, most: int = 20, answer: str = "answer") ->
     return rows.withColumns(rule_columns.normalised(F.col("__rule"))).drop("__rule")
 
 
+def raw_rules(answers: DataFrame, answer: str = "answer") -> DataFrame:
+    """A row per text of bulk answers ({rules: [{text, confidence_score}]}), with the constants of rules that were only listed."""
+    listed = F.from_json(F.coalesce(F.get_json_object(json_part(F.col(answer)), "$.rules"), json_part(F.col(answer))), "array<struct<text:string,confidence_score:double>>")
+    rows = answers.select("*", F.posexplode(F.filter(listed, lambda r: rule_columns.truthy(r["text"]).isNotNull())).alias("rule_index", "r")).drop(answer)
+    text = canonical(strip(F.col("r.text")))
+    score = F.coalesce(F.nullif(F.col("r.confidence_score"), F.lit(0.0)), F.lit(0.6))
+    return rows.withColumns(
+        {
+            "rule_text": F.substring(text, 1, 500), "category": F.lit("General"), "rule_type": F.lit("general"), "confidence": score, "confidence_level": F.lit("medium"),
+            "correctness_tag": F.lit("needs_review"), "relevance": F.lit(0.5), "extraction_method": F.lit("raw_bulk"), "readability": reading_ease(text),
+        }
+    ).drop("r")
+
+
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
@@ -142,7 +250,10 @@ def embedded(rows: DataFrame, embedder: Embedder, text_col: str = "text", out: s
 
 
 def reranked(hits: DataFrame, score: Callable[[list[str]], list[float]] | None, k: int, text_col: str = "text") -> DataFrame:
-    """hits by a model's score of their text, the top k; without a model the first k, with score 1."""
+    """hits by a model's score of their text, the top k; without a model the first k, with score 1.
+
+    retrieval.context_reranked is the way without a model that looks at the query.
+    """
     if score is None:
         return hits.withColumn("score", F.lit(1.0)).orderBy("id").limit(k)
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dolomite import lexicon
-from dolomite.functions.text import SPACE
+from dolomite.functions.text import SPACE, strip, unused
+from dolomite.operators.provider import Embedder, embedded
 
+#: Vectors that a task of a search for many queries holds.
+BLOCK_ROWS = 50_000
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -38,40 +42,96 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams
         stats = stats.orderBy(F.desc("total"), "term").limit(features)
     n = docs.agg(F.count(F.lit(1)).alias("n"))  # a single row
     raw = tf.join(stats, "term").crossJoin(F.broadcast(n)).select("id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    return raw.join(length, "id").select("id", "term", (F.col("w") / F.col("l")).alias("weight"))
-
-
-def keyword_search(docs: DataFrame, query: str, k: int = 10, least: float = 0.1, id_col: str = "doc_id", text_col: str = "text", features: int | None = None) -> DataFrame:
-    """(id, score): cosine of the query's TF-IDF vector with each document's over `least`, the top k (ties by id)."""
-    spark = docs.sparkSession
-    weights = tfidf(docs, id_col, text_col, features=features)
-    asked = terms_of(spark.createDataFrame([(0, query)], "doc_id int, text string"))
-    stats = terms_of(docs, id_col, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    q = stats.join(F.broadcast(asked.select("term", "tf")), "term").crossJoin(F.broadcast(n)).select("term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("q"))
-    length = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("l"))
-    q = q.crossJoin(F.broadcast(length)).select("term", (F.col("q") / F.col("l")).alias("q"))  # as many rows as the query has words
-    scored = weights.join(F.broadcast(q), "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))  # the terms of one document
+    return raw.select("id", "term", (F.col("w") / length).alias("weight"))
+
+
+def keyword_search(docs: DataFrame, query: str, k: int = 10, least: float = 0.1, id_col: str = "doc_id", text_col: str = "text", grams: tuple[int, int] = (1, 1), stop: Sequence[str] = (), features: int = 5000) -> DataFrame:
+    """(id, score): cosine of the query's TF-IDF vector with each document's over `least`, the top k (ties by id).
+
+    The vocabulary has `features` n-grams, the most frequent ones (ties by the alphabet), so its table is small by definition and
+    goes to every task; a document's length and its product with the query come from one pass over its terms.
+    """
+    import re
+    from collections import Counter
+
+    stops, found = set(stop), re.findall(r"\w{2,}", query.lower())
+    w = [x for x in found if x not in stops]
+    asked = Counter(" ".join(w[i : i + n]) for n in range(grams[0], grams[1] + 1) for i in range(len(w) - n + 1))
+    if not asked:
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    tf = terms_of(docs, id_col, text_col, grams, stop)
+    known = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(features)
+    n = docs.agg(F.count(F.lit(1)).alias("n"))  # a single row
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    of = F.create_map(*[F.lit(x) for item in asked.items() for x in item])
+    vocabulary = known.crossJoin(F.broadcast(n)).select("term", idf.alias("idf"), F.coalesce(of[F.col("term")], F.lit(0)).alias("q"))
+    weighed = tf.join(F.broadcast(vocabulary), "term")  # `features` rows
+    size = vocabulary.agg(F.sqrt(F.sum(F.pow(F.col("q") * F.col("idf"), 2))).alias("q_size"))
+    w_ = F.col("tf") * F.col("idf")
+    each = weighed.groupBy("id").agg(F.sqrt(F.sum(w_ * w_)).alias("size"), F.sum(w_ * F.col("q") * F.col("idf")).alias("product"))
+    scored = each.crossJoin(F.broadcast(size)).select("id", F.try_divide("product", F.col("size") * F.col("q_size")).alias("score"))
     return scored.where(F.col("score") > least).orderBy(F.desc("score"), "id").limit(k)
 
 
+def context_reranked(hits: DataFrame, query: str, k: int, stop: Sequence[str] = (), features: int = 3000) -> DataFrame:
+    """hits (id, text, score; a few dozen) with score: the cosine of 1- to 2-gram TF-IDF vectors fitted on the query and the hits' texts.
+
+    The top k, ties by the score before. A blank query gives the first k as they are.
+    """
+    if not query.strip():
+        return hits.orderBy(F.desc("score"), "id").limit(k)
+    (place,) = unused(hits, "place")
+    rows = hits.withColumn(place, F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # hits of a search
+    asked = hits.sparkSession.createDataFrame([(0, query)], f"{place} int, text string")
+    weights = tfidf(rows.select(place, "text").unionByName(asked), place, "text", (1, 2), stop, features)
+    near = weights.where("id > 0").alias("a").join(weights.where("id = 0").alias("b"), "term").groupBy(F.col("a.id").alias(place)).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("cosine"))
+    return rows.join(near, place, "left").withColumn("score", F.coalesce("cosine", F.lit(0.0))).orderBy(F.desc("score"), place).limit(k).drop("cosine", place)
+
+
+def similarity_search(rows: DataFrame, query: str, vector: Sequence[float], k: int = 5, least: float = 0.0, where: dict | None = None, hybrid: bool = True, rerank: bool = True, grams: tuple[int, int] = (1, 3), stop: Sequence[str] = ()) -> DataFrame:
+    """(id, text, score): by vectors, fused with keywords where more than ten rows are there; four times k are fetched and reranked to k.
+
+    rows: id, text, embedding. Rows of equal text are one, by the least id. `where` holds for the vectors' side alone.
+    """
+    fetch = 4 * k if rerank else k
+    found = vector_search(rows, vector, fetch, least, where, "id", "embedding")
+    texts = rows.select("id", "text")
+    if hybrid and rows.limit(11).count() > 10:
+        words = keyword_search(texts, query, fetch, 0.1, "id", "text", grams, stop)
+        found = fused_by_text([x.join(texts, "id") for x in (found, words)], fetch)
+    else:
+        found = found.join(texts, "id")
+    return context_reranked(found.select("id", "text", "score"), query, k, stop) if rerank else found.select("id", "text", "score").orderBy(F.desc("score"), "id").limit(k)
+
+
+def fused_by_text(ranked: Sequence[DataFrame], k: int, constant: int = 60) -> DataFrame:
+    """As fused, of lists (id, text, score): what has the same text is one, and a list's second place for it counts too."""
+    every = None
+    for i, r in enumerate(ranked):
+        part = r.select("id", "text", F.lit(i).alias("list"), "score")
+        every = part if every is None else every.unionByName(part)
+    ranks = every.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), "id")))  # lists of k rows
+    return ranks.groupBy("text").agg(F.min("id").alias("id"), F.sum(1 / (constant + F.col("rank"))).alias("score")).select("id", "text", "score").orderBy(F.desc("score"), "id").limit(k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def normal(v: Column) -> Column:
-    """Of length 1. Scaling by domain before this changes no cosine, so there is none."""
-    return F.transform(v, lambda x: x / F.sqrt(dot(v, v)))
+    """Of length 1; zeros stay zeros. Scaling by domain before this changes no cosine, so there is none."""
+    return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), F.sqrt(dot(v, v))), F.lit(0.0)))
 
 
 def vector_search(rows: DataFrame, query: Sequence[float], k: int = 10, least: float | None = None, where: dict | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, score): cosine top k (ties by id). where: numbers ask for at least that, other values for equality."""
+    """(id, score): cosine top k (ties by id), 0 where a vector is zero. where: numbers ask for at least that, other values for equality."""
     for name, value in (where or {}).items():
         rows = rows.where(F.col(name) >= value if isinstance(value, (int, float)) and not isinstance(value, bool) else F.col(name) == value)
     q = F.array(*[F.lit(float(x)) for x in query])
     size = sum(float(x) ** 2 for x in query) ** 0.5
-    scored = rows.select(F.col(id_col).alias("id"), (dot(F.col(vector_col), q) / (F.sqrt(dot(F.col(vector_col), F.col(vector_col))) * size)).alias("score"))
+    lengths = F.sqrt(dot(F.col(vector_col), F.col(vector_col))) * size
+    scored = rows.select(F.col(id_col).alias("id"), F.coalesce(F.try_divide(dot(F.col(vector_col), q), lengths), F.lit(0.0)).alias("score"))
     if least is not None:
         scored = scored.where(F.col("score") >= least)
     return scored.orderBy(F.desc("score"), "id").limit(k)
@@ -80,12 +140,12 @@ def vector_search(rows: DataFrame, query: Sequence[float], k: int = 10, least: f
 def vector_search_many(rows: DataFrame, queries: DataFrame, k: int = 10, blocks: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score): the cosine top k of every query vector over all rows (ties by id; a query finds itself too).
 
-    Rows are dealt to blocks and every query goes to each; a block multiplies matrices in bounded pieces and hands on its own top
-    k of each query, so what is ranked at last is k rows a block and query.
+    Rows are dealt to blocks of about BLOCK_ROWS and every query goes to each; a block multiplies matrices in bounded pieces and
+    hands on its own top k of each query, so what is ranked at last is k rows a block and query.
     """
     import pandas as pd
 
-    blocks = blocks or max(1, rows.rdd.getNumPartitions())
+    blocks = blocks or max(1, rows.rdd.getNumPartitions(), -(-rows.count() // BLOCK_ROWS))
     own = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
@@ -193,6 +253,23 @@ def add_texts(store: str, rows: DataFrame, id_col: str = "text") -> DataFrame:
     return out
 
 
+def create_store(spark: SparkSession, store: str, schema: str = "id string, text string, embedding array<double>") -> DataFrame:
+    """The store's rows; an empty one is written where there is none."""
+    try:
+        return spark.read.schema(schema).parquet(store)
+    except AnalysisException:
+        spark.createDataFrame([], schema).write.parquet(store)
+        return spark.read.schema(schema).parquet(store)
+
+
+def store_chunks(store: str, chunks: DataFrame, embedder: Embedder, text_col: str = "chunk") -> DataFrame:
+    """Appends the chunks that are not blank with their metadata, embedding and id; embeddings are made once, by the write."""
+    texts = chunks.where(strip(F.col(text_col)) != "").withColumnRenamed(text_col, "text")
+    create_store(chunks.sparkSession, store)
+    add_texts(store, embedded(texts, embedder, "text"))
+    return chunks.sparkSession.read.option("mergeSchema", "true").parquet(store)
+
+
 def delete_by(rows: DataFrame, where: dict) -> DataFrame:
     """rows without those that equal all the given values."""
     hit = F.lit(True)

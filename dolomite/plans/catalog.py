@@ -212,20 +212,44 @@ def flatten_outer(spark, sf_dir):
     return rows.select("doc_id", "rule_index", F.md5(F.col("rule.rule_text").cast("binary")).alias("rule_md5"))
 
 
-@query(f"""SELECT rid, CASE WHEN contains(doc, 'a') THEN 'sheet metal' ELSE 'general' END AS domain, round_even(greatest(0.0, least(1.0, confidence)), 4) AS confidence, coalesce(upper(nullif({sql_strip('severity')}, '')), 'ADVISORY') AS severity
+@query(f"""SELECT rid, {sql_strip('text')} AS rule_text, (CASE WHEN doc = 'b' THEN 'turning' WHEN doc = 'a' THEN 'sheet metal' WHEN doc = 'c' THEN 'aerospace' ELSE 'general' END) || (CASE WHEN rid % 3 = 0 THEN ' / hole' ELSE '' END) AS domain,
+    CASE WHEN rid % 2 = 0 THEN 'dimensional' ELSE 'general' END AS rule_type, coalesce({sql_strip('constraints')}, '') AS constraints, CASE WHEN rid % 5 = 0 THEN '' ELSE 'process=' || doc END AS applicability_text,
+    coalesce(upper(nullif({sql_strip('severity')}, '')), 'ADVISORY') AS severity, round_even(greatest(0.0, least(1.0, coalesce(confidence, 0.0))), 4) AS confidence
     FROM {corpus.values(corpus.RULES)} WHERE {sql_strip('text')} <> ''""")
 def dfm_strict(spark, sf_dir):
-    rows = corpus.frame(spark, corpus.RULES).where(r.truthy(F.col("text")).isNotNull())
-    name = F.when(F.contains("doc", F.lit("a")), "Sheet-Metal.pdf").otherwise("other.pdf")
-    none = F.lit(None).cast("string")
-    return rows.select("rid", r.picked_domain(name, none, none, none).alias("domain"), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))), 4).alias("confidence"), F.upper(F.coalesce(r.truthy(F.col("severity")), F.lit("ADVISORY"))).alias("severity"))
+    when = lambda c, v: F.when(c, F.lit(v))
+    rows = corpus.frame(spark, corpus.RULES).withColumns(
+        {
+            "rule_text": F.col("text"), "filename": when(F.col("doc") == "a", "Sheet-Metal.pdf"), "technical_domain": when(F.col("doc") == "b", " turning "), "industry_sector": when(F.col("doc") == "c", "aerospace"),
+            "primary_feature": when(F.col("rid") % 3 == 0, "hole"), "rule_type": when(F.col("rid") % 2 == 0, "dimensional"),
+            "applicability": F.create_map(F.lit("process"), F.when(F.col("rid") % 5 == 0, "Unknown").otherwise(F.col("doc")), F.lit("material"), F.lit("null")),
+        }
+    )
+    return reports.strict_rows(rows)
 
 
 @query(f"WITH {RULES_SQL}, c AS (SELECT d.source, count(*) AS rule_count, round(sum(r.confidence), 4) AS total_confidence FROM rules r JOIN documents d USING (doc_id) GROUP BY d.source) SELECT * FROM c")
 def consolidate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    rows = data_rules(spark, sf_dir).join(docs, "doc_id")
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("rule_count"), F.round(F.sum("confidence"), 4).alias("total_confidence"))
+    rows = reports.consolidated(data_rules(spark, sf_dir).join(docs, "doc_id"))
+    total = F.aggregate("rules", F.lit(0.0), lambda a, x: a + x["confidence"])
+    return rows.select("source", "rule_count", F.round(total, 4).alias("total_confidence"))
+
+
+NULLS = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in ("rule_type", "primary_feature", "operator", "value", "unit", "extraction_method", "manufacturing_relevance"))
+
+
+@query(f"WITH {RULES_SQL} SELECT md5(rule_text) AS rule_text, CASE WHEN confidence > 0.7 THEN 1 ELSE 0 END AS classification_label, confidence AS confidence_score, lang AS rule_category, doc_id AS source_document, {NULLS} FROM rules")
+def export_rows(spark, sf_dir):
+    rows = data_rules(spark, sf_dir).withColumnsRenamed({"confidence": "confidence_score", "lang": "rule_category", "doc_id": "source_document"})
+    return reports.export_rows(rows.drop("relevance")).withColumn("rule_text", F.md5(F.col("rule_text").cast("binary")))
+
+
+@query(f"""WITH {RULES_SQL}, a AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(confidence) AS m, CAST(count(*) FILTER (confidence > 0.8) AS DOUBLE) AS h, CAST(count(DISTINCT lang) AS DOUBLE) AS c FROM rules)
+    SELECT 'Total Rules' AS metric, round(n, 6) AS value FROM a UNION ALL SELECT 'Avg Confidence', round(m, 6) FROM a UNION ALL SELECT 'High Confidence Rules', h FROM a UNION ALL SELECT 'Manufacturing Categories', c FROM a""")
+def export_summary(spark, sf_dir):
+    rows = data_rules(spark, sf_dir).withColumnsRenamed({"confidence": "confidence_score", "lang": "rule_category"})
+    return reports.export_summary(reports.export_rows(rows)).withColumn("value", F.round("value", 6))
 
 
 @query(f"WITH {RULES_SQL} SELECT doc_id, rule_index, confidence FROM rules QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, rule_index) <= 3")
@@ -275,13 +299,118 @@ def dashboard_metrics(spark, sf_dir):
     return reports.dashboard(rows, "source").withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
-PART_DOMAIN = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {"STANDARD": "Sheetmetal", "PROMO": "Mill"}.items())
+KIND_SQL = "CASE p_size % 6 WHEN 0 THEN 'Sheetmetal' WHEN 1 THEN 'sheet metal' WHEN 2 THEN 'Plating' WHEN 3 THEN 'injection molding' WHEN 4 THEN 'Drill' ELSE 'unheard of' END"
+PART_DOMAIN = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lexicon.RULE_TYPE_DOMAINS.items())
 
 
-@query(f"WITH m AS (SELECT CASE split_part(p_type, ' ', 1) {PART_DOMAIN} ELSE 'General' END AS domain FROM part) SELECT domain, count(*) AS n FROM m GROUP BY domain")
+@query(f"WITH m AS (SELECT CASE {KIND_SQL} {PART_DOMAIN} ELSE 'General' END AS domain FROM part) SELECT domain, count(*) AS n FROM m GROUP BY domain")
 def rule_type_map(spark, sf_dir):
-    kind = F.substring_index("p_type", " ", 1)
-    return table(spark, sf_dir, "part").groupBy(r.looked_up(kind, {"STANDARD": "Sheetmetal", "PROMO": "Mill"}, "General").alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf_dir, "part").select(F.expr(KIND_SQL).alias("kind"))
+    return rows.groupBy(r.looked_up(F.col("kind"), lexicon.RULE_TYPE_DOMAINS, "General").alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_sql(x: str, title: str) -> str:
+    tables = ((title, lexicon.CLASS_TITLES), (x, lexicon.CLASS_PROCESSES), (x, lexicon.CLASS_FEATURES), (x, lexicon.CLASS_GENERIC))
+    cases = [f"WHEN {sql_contains(of, words)} THEN '{name}'" for of, named in tables for name, words in named.items()]
+    return f"CASE {' '.join(cases)} ELSE 'General' END"
+
+
+@query(f"SELECT 'rule' AS kind, rid AS id, {class_sql('lower(text)', 'lower(doc)')} AS class FROM {corpus.values(corpus.RULES)} UNION ALL SELECT 'document', doc_id, {class_sql('lower(text)', 'lower(source)')} FROM documents")
+def classify_rules(spark, sf_dir):
+    """Documents by their text, their source standing for a title."""
+    own = corpus.frame(spark, corpus.RULES).select(F.lit("rule").alias("kind"), F.col("rid").cast("long").alias("id"), r.rule_class(F.col("text"), F.col("doc")).alias("class"))
+    return own.unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), r.rule_class(F.col("text"), F.col("source")).alias("class")))
+
+
+FOUND = f"({sql_count('lower(chunk)', lexicon.PRIORITY_TERMS)} + {sql_count('lower(chunk)', lexicon.PROCESS_TERMS)})"
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, chunk_index, ({FOUND} > 0 OR regexp_matches(chunk, '[0-9]') OR {sql_contains('lower(chunk)', lexicon.MODALS)}) AS high_value FROM c")
+def high_value_default(spark, sf_dir):
+    """With the default terms."""
+    return data_windows(spark, sf_dir).select("doc_id", "chunk_index", candidates.is_high_value(F.col("chunk")).alias("high_value"))
+
+
+@query(f"""SELECT rid, confidence >= 0.3 AND relevance >= 0.2 AND length({sql_strip('text')}) >= 15 AND ({sql_contains('lower(text)', lexicon.PRIORITY_TERMS)} OR regexp_matches(text, '[0-9]') OR {sql_contains('lower(text)', lexicon.MODALS)}) AS acceptable,
+    confidence >= 0.3 AND relevance >= 0.2 AND length({sql_strip('text')}) >= 8 AS acceptable_for_recall FROM {corpus.values(corpus.RULES)}""")
+def acceptable_rules(spark, sf_dir):
+    args = [F.col(c) for c in ("text", "confidence", "relevance")]
+    return corpus.frame(spark, corpus.RULES).select("rid", candidates.is_acceptable(*args).alias("acceptable"), candidates.is_acceptable(*args, recall=True).alias("acceptable_for_recall"))
+
+
+def sql_key(x: str) -> str:
+    return f"regexp_replace(lower({sql_strip(f'coalesce({x}, {chr(39) * 2})')}), '{WS}', ' ', 'g')"
+
+
+@query(f"""WITH {RULES_SQL}, k AS (SELECT doc_id, rule_index, {sql_key('rule_text')} AS t FROM rules)
+    SELECT doc_id, rule_index, CASE WHEN {sql_contains('t', lexicon.HIGH_PRIORITY)} THEN 'high' WHEN {sql_contains('t', lexicon.MEDIUM_PRIORITY)} THEN 'medium' ELSE 'low' END AS priority,
+      CASE WHEN {sql_contains('t', lexicon.HIGH_RISK)} THEN 'high' WHEN regexp_matches(t, '[0-9]') OR {sql_contains('t', lexicon.MEDIUM_RISK)} THEN 'medium' ELSE 'low' END AS risk FROM k""")
+def priority_and_risk(spark, sf_dir):
+    return data_rules(spark, sf_dir).select("doc_id", "rule_index", r.priority_of(F.col("rule_text")).alias("priority"), r.risk_of(F.col("rule_text")).alias("risk"))
+
+
+@query(f"""WITH k AS (SELECT rid, {sql_key('severity')} AS intent, CASE WHEN rid % 3 = 0 THEN '' ELSE doc END AS item, {sql_key('text')} AS t FROM {corpus.values(corpus.RULES)})
+    SELECT rid, CASE WHEN intent = '' AND item = '' AND rid % 2 = 1 THEN t || '|general|general' ELSE intent || '||' || item || '|||' || CASE WHEN rid % 2 = 0 THEN 'wall:>=:2:mm:' ELSE '' END END AS key FROM k""")
+def rule_keys(spark, sf_dir):
+    text = lambda v: F.lit(v).cast("string")
+    one = F.struct(text("Wall").alias("subject"), text(">=").alias("operator"), text(" 2").alias("value"), text("mm").alias("unit"), text(None).alias("logic"))
+    parts = F.when(F.col("rid") % 2 == 0, F.array(one)).otherwise(F.array().cast("array<struct<subject:string,operator:string,value:string,unit:string,logic:string>>"))
+    scope = F.struct(text(None).alias("process"), F.when(F.col("rid") % 3 != 0, F.col("doc")).alias("item"), text("").alias("feature"))
+    return corpus.frame(spark, corpus.RULES).select("rid", r.dedupe_key(F.col("severity"), scope, text(None), parts, F.col("text"), text("General"), text("general")).alias("key"))
+
+
+@query(f"""WITH v AS (SELECT doc, upper(coalesce(nullif({sql_strip('severity')}, ''), 'ADVISORY')) AS s, coalesce({sql_strip('constraints')}, '') AS c FROM {corpus.values(corpus.RULES)}),
+    h AS (SELECT *, c <> '' AND c <> '[]' AS has_constraints, c LIKE '%_of":[]%' AS unresolved FROM v)
+    SELECT doc, count(*) AS total_rules, count(*) FILTER (s <> 'ENFORCEABLE') AS advisory_rules, count(*) FILTER (s = 'ENFORCEABLE' AND has_constraints AND NOT unresolved) AS enforceable_rules,
+      count(*) FILTER (s = 'ENFORCEABLE' AND NOT (has_constraints AND NOT unresolved)) AS incomplete_rules, count(*) FILTER (unresolved) AS unresolved_compound_constraints FROM h GROUP BY doc""")
+def validation_counts(spark, sf_dir):
+    return reports.validation_counts(r.validated(corpus.frame(spark, corpus.RULES)), "doc")
+
+
+@query(f"""WITH w AS (SELECT doc_id, {WORDS} AS ws, text FROM documents), m AS (SELECT doc_id, len(ws) AS n, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s,
+      len(regexp_extract_all(lower(text), '[aeiouy]+')) + len(list_filter(ws, lambda x: NOT regexp_matches(lower(x), '[aeiouy]'))) AS y FROM w)
+    SELECT doc_id, CASE WHEN n > 0 THEN round(CAST(206.835 AS DOUBLE) - CAST(1.015 AS DOUBLE) * (n / s) - CAST(84.6 AS DOUBLE) * (y / n), 4) ELSE 0.0 END AS reading_ease, CASE WHEN n > 0 THEN round(CAST(0.39 AS DOUBLE) * (n / s) + CAST(11.8 AS DOUBLE) * (y / n) - CAST(15.59 AS DOUBLE), 4) ELSE 0.0 END AS grade_level FROM m""")
+def readability(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(t.reading_ease(F.col("text")), 4).alias("reading_ease"), F.round(t.grade_level(F.col("text")), 4).alias("grade_level"))
+
+
+@query(f"SELECT round(avg({sql_count('lower(text)', lexicon.DATA_TERMS)} / greatest(len({WORDS}), 1)), 6) AS mean_density FROM documents")
+def mean_density(spark, sf_dir):
+    rows = candidates.document_metadata(table(spark, sf_dir, "documents").select("doc_id", "text"), lexicon.DATA_TERMS)
+    return reports.mean_density(rows).select(F.round("mean_density", 6).alias("mean_density"))
+
+
+@query("SELECT lower(trim(split_part(p_name, ' ', 1))) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def repeated_names(spark, sf_dir):
+    return reports.repeated_names(table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", 1).alias("name")))
+
+
+OBJECTS = {"Sheetmetal": ["Bend", "Hem", "CBHole"], "Turn": ["Groove"], "General": []}
+CHECKS_SQL = "CASE domain " + " ".join(f"WHEN '{d}' THEN {o or 'CAST([] AS VARCHAR[])'}" for d, o in OBJECTS.items()) + " END"
+ROOT_SQL = "CASE split_part(x, '.', 1) WHEN 'Counterbore' THEN 'CBHole' WHEN 'Curl' THEN 'RolledHem' ELSE split_part(x, '.', 1) END"
+DOMAINS_SQL = ", ".join(f"'{d}'" for d in OBJECTS)
+PAIRS_SQL = ", ".join(f"'{d}.{o}'" for d, os in OBJECTS.items() for o in os)
+
+
+@query(f"""WITH o AS (SELECT *, chr(39) AS q, {CHECKS_SQL} AS objects, list_filter([side_a, side_b], lambda x: x <> '') AS sides FROM {corpus.values(corpus.CHECKS)}),
+    m AS (SELECT *, list_filter(sides, lambda x: NOT list_contains(objects, {ROOT_SQL}))[1] AS missing,
+      list_filter(list_transform(sides, lambda x: CASE WHEN NOT contains(x, '.') THEN 'Geometry v2 entities must be qualified objects' WHEN split_part(x, '.', 1) NOT IN ({DOMAINS_SQL}) THEN 'Unknown geometry domain ' || q || split_part(x, '.', 1) || q
+        WHEN x NOT IN ({PAIRS_SQL}) THEN 'Schema Gap: Geometry entity ' || q || split_part(x, '.', 2) || q || ' not in domain ' || q || split_part(x, '.', 1) || q END), lambda x: x IS NOT NULL)[1] AS problem FROM o)
+    SELECT rid, CASE WHEN domain NOT IN ({DOMAINS_SQL}) THEN 'Schema Gap: Unknown domain ' || q || domain || q WHEN scoped AND len(sides) = 0 THEN 'Geometry v2 requires geometry_scope' WHEN scoped AND problem IS NOT NULL THEN problem
+      WHEN NOT scoped AND missing IS NOT NULL THEN 'Schema Gap: Geometry entity ' || q || missing || q || ' not defined in ' || q || domain || q WHEN tolerance <> '' AND NOT list_contains(objects, tolerance) THEN 'Schema Gap: Tolerance object ' || q || tolerance || q || ' not defined' END AS error FROM m""")
+def schema_consistency(spark, sf_dir):
+    objects = F.create_map(*[x for d, o in OBJECTS.items() for x in (F.lit(d), F.array(*map(F.lit, o)).cast("array<string>"))])
+    rows = corpus.frame(spark, corpus.CHECKS)
+    sides = F.filter(F.array("side_a", "side_b"), lambda x: x != "")
+    return rows.select("rid", formal.schema_problem(F.col("domain"), objects, sides, F.col("tolerance"), F.col("scoped")).alias("error"))
+
+
+@query(f"""WITH e AS (SELECT rid, equation, chr(39) AS q, regexp_extract_all(equation, '\\.(\\w+)\\.', 1) AS c, rid = 2 AS deferred FROM {corpus.values(corpus.PASCAL)})
+    SELECT rid, deferred OR len(c) = 0 AS is_valid, CASE WHEN deferred THEN '' WHEN len(c) > 0 THEN 'seen; Illegal chained attributes detected: [' || q || array_to_string(c, ''', ''') || q || ']' ELSE 'seen' END AS issues FROM e""")
+def self_validation(spark, sf_dir):
+    answer = F.lit('```json\n{"is_valid": true, "issues": ["seen"]}\n```')
+    rows = corpus.frame(spark, corpus.PASCAL).select("rid", formal.self_validated(F.when(F.col("rid") == 2, "Deferred").otherwise("Success"), F.col("equation"), answer).alias("v"))
+    return rows.select("rid", "v.is_valid", F.array_join("v.issues", "; ").alias("issues"))
 
 
 DOMAIN_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(re.escape(w).replace(chr(92) + ' ', ' ').replace(chr(92) + '-', '-') for w in ws)}') THEN '{d}'" for d, ws in lexicon.DOMAIN_KEYWORDS.items()) + " ELSE 'General' END"
@@ -314,7 +443,12 @@ def tolerance_types(spark, sf_dir):
     return corpus.frame(spark, corpus.EXPRESSIONS).select("rid", formal.tolerance_type(F.col("expression"))["type"].alias("type"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Slot.Width >= 2 * ModuleParams.Thickness'), (2, '0.5 * Bend.Radius'), (3, 'no names'), (4, 'A.B.c + X_1.Y2')) v(rid, equation)")
+DOTTED = r"\b[a-zA-Z_]\w*\.[a-zA-Z_]\w*\b"
+
+
+@query(f"""WITH n AS (SELECT rid, regexp_extract_all(equation, '{DOTTED}') AS names, string_split_regex(equation, '{DOTTED}') AS gaps FROM {corpus.values(corpus.PASCAL)}),
+    u AS (SELECT rid, gaps, list_transform(names, lambda x: CASE WHEN lower(split_part(x, '.', 1)) = 'moduleparams' THEN 'ModuleParams' ELSE upper(left(x, 1)) || substr(split_part(x, '.', 1), 2) END || '.' || upper(left(split_part(x, '.', 2), 1)) || substr(split_part(x, '.', 2), 2)) AS names FROM n)
+    SELECT rid, array_to_string([gaps[i] || coalesce(names[i], '') FOR i IN range(1, len(gaps) + 1)], '') AS equation FROM u""")
 def pascal_case(spark, sf_dir):
     return corpus.frame(spark, corpus.PASCAL).select("rid", formal.pascal_case(F.col("equation")).alias("equation"))
 
@@ -384,12 +518,17 @@ def tfidf_weights_all(spark, sf_dir):
     return retrieval.tfidf(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 6))
 
 
-@query("WITH " + TFIDF_SQL.replace("{bound}", "TRUE") + """, q0 AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS q FROM df, n WHERE term IN ('license', 'token', 'apache')), q AS (SELECT term, q / sqrt(sum(q * q) OVER ()) AS q FROM q0)
+KNOWN_SQL = TFIDF_SQL.replace("df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)", "df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 5000)").replace("{bound}", "TRUE")
+
+
+@query("WITH " + KNOWN_SQL + """, q0 AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS q FROM df, n WHERE term IN ('license', 'token', 'apache')), q AS (SELECT term, q / sqrt(sum(q * q) OVER ()) AS q FROM q0)
     SELECT id, round(sum(weight * q), 6) AS score FROM w JOIN q USING (term) GROUP BY id HAVING sum(weight * q) > 0.1 ORDER BY sum(weight * q) DESC, id LIMIT 10""")
 def keyword_search(spark, sf_dir):
     return retrieval.keyword_search(table(spark, sf_dir, "documents"), "license token apache", 10).withColumn("score", F.round("score", 6))
 
 
+HYBRID_SQL = KNOWN_SQL + """, q0 AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS q FROM df, n WHERE term IN ('license', 'token', 'apache')), q AS (SELECT term, q / sqrt(sum(q * q) OVER ()) AS q FROM q0),
+    kw AS (SELECT id, sum(weight * q) AS score FROM w JOIN q USING (term) GROUP BY id HAVING sum(weight * q) > 0.1 ORDER BY score DESC, id LIMIT 10)"""
 QUERY = [((i * 37) % 19 - 9) / 10 for i in range(64)]
 COSINE = f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), {QUERY})"
 
@@ -414,6 +553,24 @@ def hybrid_rrf(spark, sf_dir):
     return retrieval.fused(retrieval.vector_search(rows, QUERY, 20), retrieval.vector_search(rows, QUERY, 20, where={"label": 5}), k=10).withColumn("score", F.round("score", 8))
 
 
+@query("WITH " + HYBRID_SQL.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)") + f""", sv AS (SELECT vec_id AS id, {COSINE} AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+    v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sv WHERE score >= 0 QUALIFY rank <= 10), k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM kw),
+    f AS (SELECT text, min(id) AS id, sum(1 / (60 + rank)) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM k) JOIN documents ON doc_id = id GROUP BY text)
+    SELECT id, md5(text) AS text_md5, round(score, 8) AS score FROM f ORDER BY f.score DESC, id LIMIT 10""")
+def hybrid_search(spark, sf_dir):
+    return retrieval.similarity_search(described(spark, sf_dir), "license token apache", QUERY, 10, rerank=False, grams=(1, 1)).select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.round("score", 8).alias("score"))
+
+
+@query()
+def similarity_search(spark, sf_dir):
+    return retrieval.similarity_search(described(spark, sf_dir), "license token apache", QUERY, 5, grams=(1, 1)).select("id", F.round("score", 6).alias("score"))
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text, embedding: documents with the vector of their number."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+
+
 @query(f"""WITH s AS (SELECT vec_id AS id, label, 'v' || vec_id AS text, {COSINE} AS score FROM embeddings), h AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 5),
     o AS (SELECT h.id, o.text, row_number() OVER (PARTITION BY h.id ORDER BY o.score DESC, o.id) AS n FROM h JOIN s o ON o.label = h.label AND o.id <> h.id AND o.score > 0.1),
     g AS (SELECT id, string_agg(text, ' ... ' ORDER BY n) AS more, count(*) AS n FROM o WHERE n < 3 GROUP BY id)

@@ -56,6 +56,22 @@ NAMES = (
     "rid int, raw string",
     [(1, "Hole"), (2, "two adjacent holes"), (3, "countersunk hole near an edge"), (4, "edge of a hole"), (5, "bend line"), (6, "wheel"), (7, None), (8, " Curls ")],
 )
+CHECKS = (
+    "rid int, domain string, side_a string, side_b string, tolerance string, scoped boolean",
+    [
+        (1, "Sheetmetal", "Bend.Radius", "Hem", "", False),
+        (2, "Sheetmetal", "Counterbore.Depth", "", "Bend", False),
+        (3, "Sheetmetal", "Curl", "", "", False),
+        (4, "Turn", "Groove", "Bend", "Slot", False),
+        (5, "Turn", "", "", "Slot", False),
+        (6, "Plating", "Bend", "", "", False),
+        (7, "General", "Sheetmetal.Bend", "Turn.Groove", "", True),
+        (8, "General", "Sheetmetal.Bend", "Turn.Bend", "", True),
+        (9, "Turn", "Bend", "Turn.Groove", "", True),
+        (10, "Turn", "Nowhere.Bend", "Turn.Groove", "", True),
+        (11, "Turn", "", "", "", True),
+    ],
+)
 PASCAL = ("rid int, equation string", [(1, "slot.width >= 2 * moduleparams.thickness"), (2, "0.5 * Bend.radius"), (3, "no names"), (4, "a.b.c + x_1.y2")])
 TREES = {
     1: '{"op": ">=", "left": "Part.Size", "right": 25}',
@@ -71,8 +87,8 @@ def frame(spark: SparkSession, corpus: tuple[str, list[tuple]]) -> DataFrame:
 
 def values(corpus: tuple[str, list[tuple]]) -> str:
     """A subquery of the same rows."""
-    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
-    kinds = {"int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+    cell = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+    kinds = {"int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     fields = [f.split() for f in corpus[0].split(", ")]
     cast = ", ".join(f"CAST({n} AS {kinds[k]}) AS {n}" for n, k in fields)
     rows = ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in corpus[1])

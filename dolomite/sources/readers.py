@@ -6,10 +6,12 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dolomite.functions.text import strip
+from dolomite.operators.candidates import document_metadata
 
 DOCUMENT = "path string, suffix string, text string, page_count int, error string"
 #: A parser takes a file's bytes and gives its text and number of pages.
@@ -64,7 +66,39 @@ def parse_docx(data: bytes) -> tuple[str, int | None]:
     return "\n\n".join(lines), None
 
 
-PARSERS: dict[str, Parser] = {"txt": parse_text, "md": parse_text, "json": parse_json, "csv": parse_csv, "pdf": parse_pdf, "docx": parse_docx}
+def parse_xlsx(data: bytes, most: int = 100) -> tuple[str, int | None]:
+    """Every sheet under its name, the header and its first `most` rows, cells joined by bars, from the file's own XML; empty sheets are left out."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    pack = zipfile.ZipFile(io.BytesIO(data))
+    read = lambda name: ElementTree.fromstring(pack.read(name))
+    own = lambda e: e.tag.rpartition("}")[2]
+    said = lambda e: "".join(t.text or "" for t in e.iter() if own(t) == "t")
+    shared = [said(e) for e in read("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in pack.namelist() else []
+    target = {r.get("Id"): r.get("Target").lstrip("/") for r in read("xl/_rels/workbook.xml.rels")}
+    out = []
+    for sheet in (e for e in read("xl/workbook.xml").iter() if own(e) == "sheet"):
+        path = target[next(v for k, v in sheet.attrib.items() if k.rpartition("}")[2] == "id" and "}" in k)]
+        lines = []
+        for row in (e for e in read(path if path.startswith("xl/") else f"xl/{path}").iter() if own(e) == "row"):
+            cells: dict[int, str] = {}
+            for cell in row:
+                at = 0
+                for c in (x for x in cell.get("r", "") if x.isalpha()):
+                    at = 26 * at + ord(c.upper()) - 64
+                value = next((v.text or "" for v in cell if own(v) == "v"), "")
+                cells[at or len(cells) + 1] = shared[int(value)] if cell.get("t") == "s" and value else said(cell) if cell.get("t") == "inlineStr" else value
+            lines.append(" | ".join(cells.get(i, "") for i in range(1, max(cells, default=0) + 1)))
+            if len(lines) > most:
+                break
+        if any(x.strip(" |") for x in lines):
+            out.append("\n".join([f"--- Sheet {sheet.get('name')} ---", *lines]))
+    return "\n\n".join(out), None
+
+
+PARSERS: dict[str, Parser] = {"txt": parse_text, "md": parse_text, "json": parse_json, "csv": parse_csv, "pdf": parse_pdf, "docx": parse_docx, "xlsx": parse_xlsx}
 
 
 def list_files(spark: SparkSession, roots: Sequence[str], glob: str = "*") -> DataFrame:
@@ -76,8 +110,33 @@ def list_files(spark: SparkSession, roots: Sequence[str], glob: str = "*") -> Da
     return every.dropDuplicates(["path"]).orderBy("path")
 
 
-def load_documents(spark: SparkSession, root: str, glob: str = "*", parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """A row per file as DOCUMENT; unknown suffixes are read as text, and a file that cannot be parsed gives an error and no text."""
+def load_documents(spark: SparkSession, root: str, glob: str = "*", parsers: dict[str, Parser] | None = None, metadata: bool = False) -> DataFrame:
+    """A row per file as DOCUMENT; unknown suffixes are read as text, and a file that cannot be parsed gives an error and no text.
+
+    metadata: with char_count, word_count, keywords, readability and density of the text.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    rows = parsed(files.select("path", "content"), parsers)
+    return document_metadata(rows.withColumn("whole", F.col("text")), text_col="whole") if metadata else rows
+
+
+def load_cached(spark: SparkSession, root: str, store: str, glob: str = "*", parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """As load_documents, by way of the table at store: a file whose path, time and size are there already is not read again."""
+    keys, schema = ["path", "modificationTime", "length"], f"{DOCUMENT}, modificationTime timestamp, length long"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    there = files.select(*keys)
+    try:
+        known = spark.read.schema(schema).parquet(store)
+    except AnalysisException:
+        known = spark.createDataFrame([], schema)
+    new = there.join(known.select(*keys), keys, "left_anti")
+    read = parsed(files.join(new.select("path"), "path", "left_semi").select("path", "content"), parsers)
+    read.join(new, "path").select(*known.columns).write.mode("append").parquet(store)
+    return spark.read.schema(schema).parquet(store).dropDuplicates(keys).join(there, keys, "left_semi").drop("modificationTime", "length")
+
+
+def parsed(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """Files (path, content) as DOCUMENT."""
     by = PARSERS | (parsers or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,8 +151,14 @@ def load_documents(spark: SparkSession, root: str, glob: str = "*", parsers: dic
                     out.append((path, suffix, "", None, str(e)))
             yield pd.DataFrame(out, columns=["path", "suffix", "text", "page_count", "error"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return files.select("path", "content").mapInPandas(run, DOCUMENT)
+    return files.mapInPandas(run, DOCUMENT)
+
+
+def rule_files(spark: SparkSession, path: str) -> DataFrame:
+    """source, rule_count (as the file says it, 0 where it does not) and its rules (JSON texts), a row per exported file."""
+    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("source"), strip(F.col("value")).alias("j"))
+    rules = F.from_json(F.get_json_object("j", "$.rules"), "array<string>")
+    return raw.select("source", F.coalesce(F.get_json_object("j", "$.rule_count").try_cast("int"), F.lit(0)).alias("rule_count"), F.coalesce(rules, F.array().cast("array<string>")).alias("rules"))
 
 
 def load_texts(spark: SparkSession, path: str) -> DataFrame:

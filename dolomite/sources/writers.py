@@ -2,12 +2,72 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Columns of a formalised rule in a file.
+FORMAL = ("rule_text", "status", "rule_json", "equation", "reasoning", "error")
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder of spark.checkpoint.dir: what follows reads it and computes none of it again.
+
+    Without that setting (tests) a temporary folder of this machine is taken, which a cluster's executors do not share.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="dolomite-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/dolomite/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_export(results: DataFrame, summary: DataFrame, path: str, fmt: str = "json") -> None:
+    """summary (one row) and results (a row per document) as JSON lines in two folders of path; nothing to write is an error."""
+    if fmt.strip().lower() != "json":
+        raise ValueError(f"only JSON is written, not {fmt!r}")
+    if results.isEmpty():
+        raise ValueError("no results to export")
+    write_json(summary.coalesce(1), f"{path}/summary")
+    write_json(results, f"{path}/results")
+
+
+def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(results, summary)"""
+    return spark.read.json(f"{path}/results"), spark.read.json(f"{path}/summary")
+
+
+def write_formal(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The six columns FORMAL as CSV; one that rows lack is empty, and a missing status is Unknown."""
+    have = {c.lower() for c in rows.columns}
+    kept = rows.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in FORMAL])
+    write_csv(kept.withColumn("status", F.coalesce(F.col("status").cast("string"), F.lit("Unknown"))), path, mode=mode)
+
+
+def write_normalised(rows: DataFrame, path: str, answer: str = "answer", error: str = "error") -> None:
+    """original_rule_json (the row without the answer) and dfm_format: the answer, or the error's text in its place."""
+    rule = F.to_json(F.struct(*[c for c in rows.columns if c not in (answer, error)]))
+    said = F.coalesce(F.col(answer), F.concat(F.lit("ERROR: "), F.coalesce(F.col(error), F.lit("no answer"))))
+    write_csv(rows.select(rule.alias("original_rule_json"), said.alias("dfm_format")), path)
+
+
+def payload(fields: dict) -> str:
+    """A result's values as JSON text: objects by their own dict(), dataclasses and others by their attributes."""
+    plain = lambda o: {} if o is None else o.dict() if hasattr(o, "dict") else vars(o)
+    return json.dumps(fields, default=plain, ensure_ascii=False)
+
+
 def write_json(rows: DataFrame, path: str, by: Sequence[str] = (), mode: str = "errorifexists") -> None:
     """JSON lines; by: a folder for each value of these."""
     w = rows.write.mode(mode)

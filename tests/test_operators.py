@@ -121,7 +121,7 @@ def test_provider_errors_are_rows(spark):
 
     got = {x.text: (x.answer, x.error) for x in provider.asked(docs(spark, "1", "2", None), Broken(), "extract", "text").collect()}
     assert got == {"1": ("fine", None), "2": (None, "no"), None: ("fine", None)}
-    assert provider.Failover((Broken(), provider.Offline())).complete("classify", "2") == "dimensional"
+    assert provider.Failover((Broken(), provider.Offline())).complete("classify", "drill 2") == "Drill"
     with pytest.raises(RuntimeError):
         provider.Failover((Broken(),), 2).complete("x", "2")
 
