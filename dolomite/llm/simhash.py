@@ -15,7 +15,7 @@ tree to prune by. So a fingerprint is made of a few shingles chosen by minimum h
 probability of their similarity: bit j is bit j of the hash of choice j mod `chosen`. At 0.8 one is within two bits with
 probability 0.17, any of 24 with 0.99; the search by trees is the same. What it links is a candidate only: within each component
 of candidates all pairs with a shingle in common are compared, and those whose sets of shingles (as 64-bit hashes) reach `least`
-link. A component of candidates is compared in one task, so its texts must fit there.
+link. Large components are compared in blocks (confirm).
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dolomite.llm.common import fresh, slices, small_or_shuffled, spread, texts, written
 from dolomite.llm.components import components
+from dolomite.llm.confirm import Forest, confirmed, confirmed_links
 
 SEED, RADIUS, WORDS = 42, 2, 3
 #: Near copies for dedup: five-word shingles; candidates differ in at most two bits in any of 24 fingerprints of twelve chosen shingles
@@ -177,28 +179,6 @@ def dealt(points: np.ndarray, nodes: list[tuple], radius: int = RADIUS) -> tuple
     return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(to) if to else np.zeros(0, np.int64)
 
 
-class Forest:
-    """Disjoint sets over 0..n-1; a set's root is its least member. Takes whole arrays of links."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self, x: np.ndarray) -> np.ndarray:
-        r = self.up[x]
-        while True:
-            s = self.up[r]
-            if (s == r).all():
-                return r
-            r = s
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            x, y = self.roots(a), self.roots(b)
-            on = x != y
-            a, b, x, y = a[on], b[on], x[on], y[on]
-            np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
-
-
 def linked(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """The root (least place) of each point's set under links of at most radius bits."""
     forest, work = Forest(len(points)), [np.arange(len(points))]
@@ -280,43 +260,6 @@ def candidates(nodes: DataFrame, radius: int) -> DataFrame:
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
-def confirmed(sets: list[np.ndarray], least: float) -> np.ndarray:
-    """The root (least place) of each set of hashes under links of Jaccard similarity `least` or more.
-
-    From each set in turn to all it reaches; a set is compared with those not reached yet that share a value with it.
-    """
-    n, size = len(sets), np.array([len(x) for x in sets])
-    root = np.full(n, -1)
-    value = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, np.int64)
-    end = np.cumsum(size)
-    owner, many = np.repeat(np.arange(n), size), int(value.max()) + 1 if len(value) else 0
-
-    def index():
-        on = np.flatnonzero(root[owner] < 0)
-        on = on[np.argsort(value[on], kind="stable")]
-        return owner[on], np.searchsorted(value[on], np.arange(many + 1)), (root < 0).sum()
-
-    holders, first, indexed = index()
-    for seed in range(n):
-        if root[seed] >= 0:
-            continue
-        root[seed], todo = seed, [seed]
-        while todo:
-            at = todo.pop()
-            own = value[end[at] - size[at] : end[at]]
-            start, length = first[own], first[own + 1] - first[own]
-            place = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            who, shared = np.unique(holders[place], return_counts=True)
-            near = who[(root[who] < 0) & (shared / (size[who] + size[at] - shared) >= least)]
-            root[near] = seed
-            todo += near.tolist()
-            if 2 * (left := (root < 0).sum()) < indexed:
-                if not left:
-                    break
-                holders, first, indexed = index()
-    return root
-
-
 def rows_grouped(docs: DataFrame, words: int, radius: int, tables: int, chosen: int, least: float, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key (the text's MD5), fingerprint, component (equal for near copies): a row per row of docs.
 
@@ -327,6 +270,9 @@ def rows_grouped(docs: DataFrame, words: int, radius: int, tables: int, chosen:
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     own = texts(docs, id_col, text_col).withColumn("key", F.md5("text"))
 
+    def sets_of(each):
+        return [np.unique(np.array(shingle_hashes(t or b"", words), np.uint64)) for t in each]
+
     def run(batches):
         for b in slices(batches, "text", 1 << 20):
             each = [np.array(shingle_hashes(t or b"", words), np.uint64) for t in b.column("text").cast(pa.binary()).to_pylist()]
@@ -334,22 +280,14 @@ def rows_grouped(docs: DataFrame, words: int, radius: int, tables: int, chosen:
             fps = chosen_fingerprints(np.concatenate(each), counts, tables, chosen).view(np.int64)
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * tables, pa.int32()), pa.array(fps.ravel()))
             node = pa.array([signed(xxh64_intdigest(np.unique(x).tobytes(), SEED)) for x in each], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), node, fps], ["doc_id", "key", "node", "fps"])
-
-    of_rows = written(spread(own).mapInArrow(run, "doc_id long, key string, node long, fps array<long>"), "fingerprints")
-    nodes = written(of_rows.groupBy("node").agg(F.min("key").alias("key"), F.first("fps").alias("fps")), "nodes")
-    found = written(candidates(nodes, radius), "candidates")
-    wanted = written(nodes.select("node", "key").join(small_or_shuffled(found), "node"), "candidate-keys")
-    alike = own.select("key", "text").join(small_or_shuffled(wanted), "key").dropDuplicates(["node"])
-
-    def confirm(part: pa.Table) -> pa.Table:
-        part = part.sort_by("node")
-        sets = [np.unique(np.array(shingle_hashes(t or b"", words), np.uint64)) for t in part.column("text").cast(pa.binary()).to_pylist()]
-        root = confirmed(sets, least)
-        on, node = np.flatnonzero(root != np.arange(len(root))), part.column("node").combine_chunks()
-        return pa.table({"node": node.take(pa.array(on)), "to": node.take(pa.array(root[on]))})
-
-    links = written(alike.select("component", "node", "text").groupBy("component").applyInArrow(confirm, "node long, to long"), "links")
+            size = pc.binary_length(b.column("text")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), node, fps, size], ["doc_id", "key", "node", "fps", "bytes"])
+
+    of_rows = written(spread(own).mapInArrow(run, "doc_id long, key string, node long, fps array<long>, bytes long"), "fingerprints")
+    nodes = written(of_rows.groupBy("node").agg(F.min("key").alias("key"), F.first("fps").alias("fps"), F.max("bytes").alias("bytes")), "nodes")
+    found = written(candidates(nodes.select("node", "fps"), radius), "candidates")
+    wanted = written(nodes.select("node", "key", "bytes").join(small_or_shuffled(found), "node"), "candidate-keys")
+    links = confirmed_links(wanted, own.select("key", "text"), sets_of, least)
     placed = of_rows.join(small_or_shuffled(links), "node", "left")
     return placed.select("doc_id", "key", F.col("fps")[0].alias("fp"), F.coalesce("to", "node").alias("component"))
 
@@ -362,6 +300,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = written(rows_grouped(docs, id_col=id_col, text_col=text_col, **near), "near-groups")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = rows.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = small_or_shuffled(written(first, "first-of-groups"))
     of_id, of_text = fresh(docs, "gone_id", "gone_key")
     gone = rows.join(first, "component").where(place != F.col("first")).select(F.col("doc_id").alias(of_id), F.col("key").alias(of_text)).distinct()
     gone = small_or_shuffled(written(gone, "near-copies"))

@@ -338,6 +338,41 @@ def test_confirmed_links_are_those_of_all_pairs():
     assert (simhash.confirmed([np.unique(s) for s in sets], 0.8) == truth.roots(np.arange(len(sets)))).all()
 
 
+def test_large_components_are_confirmed_in_blocks(spark):
+    from dolomite.llm import confirm
+
+    rng, texts = random.Random(21), []
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    for _ in range(150):  # copies of one text, most within 0.8 of it, some of one another only
+        w = list(base)
+        for k in rng.sample(range(40), rng.choice((1, 1, 2, 3, 5))):
+            w[5 * k] = f"z{rng.randrange(9)}"
+        texts.append((1, " ".join(w)))
+    for i in range(25):  # a chain, each but its neighbours too far; pairs; texts of their own
+        texts.append((1, " ".join(f"c{4 * i + j}" for j in range(60))))
+        own = [f"p{i}-{j}" for j in range(50)]
+        texts += [(1, " ".join(own)), (1, " ".join([*own, "tail"])), (1, " ".join(f"q{i}-{j}" for j in range(30))), (2 + i % 2, " ".join([*own, "end"]))]
+    texts += [(4, "one two three"), (4, ""), (5, " ".join(base))]
+    texts = list(dict.fromkeys(texts))
+    sets_of = lambda each: [np.unique(np.array(simhash.shingle_hashes(t, 5), np.uint64)) for t in each]
+    sets = [set(x.tolist()) for x in sets_of([t.encode() for _, t in texts])]
+    truth = confirm.Forest(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i][0] == texts[j][0] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0:
+                truth.link(np.array([i]), np.array([j]))
+    want = truth.roots(np.arange(len(texts)))
+    wanted = spark.createDataFrame([(c, i, f"k{i}", len(t)) for i, (c, t) in enumerate(texts)], "component long, node long, key string, bytes long")
+    keyed = spark.createDataFrame([(f"k{i}", t) for i, (_, t) in enumerate(texts)] * 2, "key string, text string")
+    for block in (10, 60, 1000):
+        links = confirm.confirmed_links(wanted, keyed, sets_of, 0.8, block).collect()
+        name = {r.node: r.to for r in links}
+        assert len(name) == len(links) and all(n != t for n, t in name.items())
+        got = [name.get(i, i) for i in range(len(texts))]
+        assert len(set(got)) == len(set(want)) == len(set(zip(got, want)))
+    assert confirm.confirmed_links(wanted.limit(0), keyed, sets_of, 0.8).collect() == []
+
+
 def test_vantage_trees_find_every_link():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
