@@ -25,7 +25,7 @@ from dolomite.llm.common import small_or_shuffled, written
 from dolomite.llm.components import components
 
 #: Nodes of a component in a task, and their bytes of text; scouts of a block.
-BLOCK, BLOCK_BYTES, SCOUTS = 2_000, 32 << 20, 64
+BLOCK, BLOCK_BYTES, SCOUTS = 2_000, 8 << 20, 64
 
 
 class Forest:

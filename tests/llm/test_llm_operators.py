@@ -338,7 +338,7 @@ def test_confirmed_links_are_those_of_all_pairs():
     assert (simhash.confirmed([np.unique(s) for s in sets], 0.8) == truth.roots(np.arange(len(sets)))).all()
 
 
-def test_large_components_are_confirmed_in_blocks(spark):
+def test_large_components_are_confirmed_in_blocks(spark, monkeypatch):
     from dolomite.llm import confirm
 
     rng, texts = random.Random(21), []
@@ -364,7 +364,8 @@ def test_large_components_are_confirmed_in_blocks(spark):
     want = truth.roots(np.arange(len(texts)))
     wanted = spark.createDataFrame([(c, i, f"k{i}", len(t)) for i, (c, t) in enumerate(texts)], "component long, node long, key string, bytes long")
     keyed = spark.createDataFrame([(f"k{i}", t) for i, (_, t) in enumerate(texts)] * 2, "key string, text string")
-    for block in (10, 60, 1000):
+    for block, most in ((10, 1 << 30), (60, 1 << 30), (1000, 20_000), (1000, 1 << 30)):
+        monkeypatch.setattr(confirm, "BLOCK_BYTES", most)
         links = confirm.confirmed_links(wanted, keyed, sets_of, 0.8, block).collect()
         name = {r.node: r.to for r in links}
         assert len(name) == len(links) and all(n != t for n, t in name.items())
