@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows of a few dozen bytes each up to which a side may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Bytes of work after which freed memory goes back to the system, and how often within a task over texts.
+RELEASE_BYTES, RELEASE_EVERY = 1 << 20, 16 << 20
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -73,11 +77,26 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def released(size: int = RELEASE_BYTES) -> None:
+    """Gives freed memory of a Python worker back to the system, after work on `size` bytes (nothing for little work).
+
+    Workers stay between tasks, and both allocators would keep what a task's largest arrays took beside the executor's heap.
+    """
+    if size >= RELEASE_BYTES:
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
+
+
 def slices(batches, column: str, most: int = 4 << 20):
     """Arrow batches cut so that the column's texts take about `most` bytes each (a longer text comes alone)."""
     import numpy as np
     import pyarrow.compute as pc
 
+    done = 0
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -85,3 +104,9 @@ def slices(batches, column: str, most: int = 4 << 20):
         at = np.flatnonzero(np.diff((np.cumsum(size) - size) // most)) + 1
         for a, b in zip([0, *at], [*at, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+        done += int(size.sum())
+        if done >= RELEASE_EVERY:
+            released()
+            done = 0
+    batch = None
+    released()

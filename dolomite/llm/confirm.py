@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dolomite.llm.common import small_or_shuffled, written
+from dolomite.llm.common import released, small_or_shuffled, written
 from dolomite.llm.components import components
 
 #: Nodes of a component in a task, and their bytes of text; scouts of a block.
@@ -134,6 +134,14 @@ def confirmed_links(wanted: DataFrame, texts: DataFrame, sets_of: Callable, leas
     def sets(part: pa.Table) -> list[np.ndarray]:
         return sets_of(part.column("text").cast(pa.binary()).to_pylist())
 
+    def freeing(compare: Callable) -> Callable:
+        def run(part: pa.Table) -> pa.Table:
+            out, size = compare(part), part.nbytes
+            released(size)
+            return out
+
+        return run
+
     def alone(part: pa.Table) -> pa.Table:
         part = part.sort_by("node")
         root, node = confirmed(sets(part), least), part.column("node").to_numpy()
@@ -154,10 +162,10 @@ def confirmed_links(wanted: DataFrame, texts: DataFrame, sets_of: Callable, leas
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     nodes = texts.join(small_or_shuffled(written(dealt, "candidate-blocks")), "key").dropDuplicates(["node"]).drop("key")
     if large.isEmpty():
-        return written(nodes.groupBy("component", "block").applyInArrow(alone, "node long, to long, blocks int"), "links").drop("blocks")
+        return written(nodes.groupBy("component", "block").applyInArrow(freeing(alone), "node long, to long, blocks int"), "links").drop("blocks")
 
     nodes = written(nodes, "candidate-texts")
-    links = written(nodes.select("component", "block", "blocks", "node", "text").groupBy("component", "block").applyInArrow(alone, "node long, to long, blocks int"), "links")
+    links = written(nodes.select("component", "block", "blocks", "node", "text").groupBy("component", "block").applyInArrow(freeing(alone), "node long, to long, blocks int"), "links")
     own = nodes.where("blocks > 1").join(small_or_shuffled(links.select("node", F.col("to").alias("group"))), "node", "left").withColumn("group", F.coalesce("group", "node"))
     own = written(own, "block-groups")
 
@@ -165,7 +173,7 @@ def confirmed_links(wanted: DataFrame, texts: DataFrame, sets_of: Callable, leas
     place = F.row_number().over(Window.partitionBy("component", "block").orderBy(F.xxhash64("node", F.lit(1)), "node"))
     each = F.greatest(F.lit(1), F.least(F.lit(SCOUTS), F.floor(2 * F.col("n") / (F.col("blocks") * F.col("blocks")))))
     scouts = own.join(small_or_shuffled(written(best, "block-best")), ["component", "block", "group"]).withColumn("place", place).where(F.col("place") <= each)
-    joins = written(scouts.select("component", "node", "group", "text").groupBy("component").applyInArrow(scouted, "group long, to long"), "scouts")
+    joins = written(scouts.select("component", "node", "group", "text").groupBy("component").applyInArrow(freeing(scouted), "group long, to long"), "scouts")
 
     own = own.join(small_or_shuffled(joins), "group", "left").withColumn("group", F.coalesce("to", "group")).drop("to")
     named = written(own.groupBy("component", "group").agg(F.count(F.lit(1)).alias("count")), "groups")
@@ -177,7 +185,7 @@ def confirmed_links(wanted: DataFrame, texts: DataFrame, sets_of: Callable, leas
     part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part")
     ours = rest.join(parts, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part, "outside", "node", "group", "text")
     all_of = own.join(parts, "component").select("component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("outside"), "node", "group", "text")
-    met = ours.unionByName(all_of).select(*wide).groupBy("component", "block", "part").applyInArrow(across, "group long, to long")
+    met = ours.unionByName(all_of).select(*wide).groupBy("component", "block", "part").applyInArrow(freeing(across), "group long, to long")
     final = components(met.select(F.col("group").alias("src"), F.col("to").alias("dst")))
     of_large = own.select("node", "group").join(small_or_shuffled(final.select(F.col("node").alias("group"), F.col("component").alias("to"))), "group", "left")
     of_large = of_large.select("node", F.coalesce("to", "group").alias("to")).where("node != to")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dolomite.llm.common import fresh, slices, small_or_shuffled, spread, texts, written
+from dolomite.llm.common import fresh, released, slices, small_or_shuffled, spread, texts, written
 from dolomite.llm.components import components
 from dolomite.llm.confirm import Forest, confirmed, confirmed_links
 
@@ -228,6 +228,7 @@ def forest_links(points: DataFrame, n: int, radius: int) -> DataFrame:
         root = linked(part.column("fp").to_numpy().view(np.uint64), radius)
         on = np.flatnonzero(root != np.arange(len(root)))
         node = part.column("node")
+        released(part.nbytes)
         return pa.table({"src": node.take(pa.array(on)), "dst": node.take(pa.array(root[on]))})
 
     return points.where("node is not null").mapInArrow(deal, "table int, shard int, fp long, node long").groupBy("table", "shard").applyInArrow(join, "src long, dst long")
