@@ -125,7 +125,7 @@ def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose text is kept."""
 
     def run(batches):
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, 1 << 20):
             yield b.filter(pa.array(verdict(measured(b.column(text_col)))[1]))
 
     return spread(docs).mapInArrow(run, docs.schema)
@@ -135,7 +135,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """A row per document: the measures, base_failed and kept. longest_repeat below 5 words is approximate (0 or exact)."""
 
     def run(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             m = measured(b.column("text"))
             failed, kept = verdict(m)
             out = {"doc_id": b.column("doc_id")} | m | {"base_failed": failed, "kept": kept}

@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Flat ids, and each piece's start and size in them.
 Coded = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -35,14 +36,16 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict = {}
-        self.held = 0
+        self.known: pa.Array | None = None  # the pieces; an array of a few bytes each, where a dict of strings takes some 200
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def add(self, new: list) -> None:
-        got, start, size = self.many(new)
-        n = len(self.index)
+    def __len__(self) -> int:
+        return 0 if self.known is None else len(self.known)
+
+    def add(self, new: pa.Array) -> None:
+        got, start, size = self.many(new.to_pylist())
+        n = len(self)
         while self.used + len(got) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(new) > len(self.start):
@@ -50,19 +53,19 @@ class WordCache:
         self.flat[self.used : self.used + len(got)] = got
         self.start[n : n + len(new)], self.size[n : n + len(new)] = self.used + start, size
         self.used += len(got)
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
+        self.known = pa.concat_arrays([self.known, new]) if n else new
 
     def encode(self, pieces: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts, and their bounds. pieces: of all texts; bounds: of each text's pieces in them."""
+        """Flat ids of all texts, and their bounds. pieces: of all texts, none null; bounds: of each text's pieces in them."""
         coded = pieces.dictionary_encode()
-        words, new_bytes = coded.dictionary.to_pylist(), coded.dictionary.nbytes
-        if len(self.index) + len(words) > self.most or self.held + new_bytes > self.most_bytes:
+        words = coded.dictionary
+        if len(self) and (len(self) + len(words) > self.most or self.known.nbytes + words.nbytes > self.most_bytes):
             self.clear()
-        if new := [w for w in words if w not in self.index]:
-            self.add(new)
-            self.held += int(new_bytes * len(new) / len(words))
-        known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        each = known[np.asarray(coded.indices)]
+        at = np.full(len(words), -1) if self.known is None else pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new := np.flatnonzero(at < 0)):
+            at[new] = len(self) + np.arange(len(new))
+            self.add(words.take(pa.array(new)))
+        each = at[np.asarray(coded.indices)]
         ids, ends = gathered(self.flat, self.start[each], self.size[each])
         return ids, np.concatenate([[0], ends])[bounds]
 
