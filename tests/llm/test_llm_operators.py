@@ -510,3 +510,33 @@ def test_pipeline_keeps_clean_documents(spark):
     for _, stage in c.STAGES:
         none = stage(spark, none, "")
     assert none.count() == 0
+
+
+def test_word_cache_restarts_and_repeats():
+    from dolomite.llm.wordcache import WordCache, flattened
+
+    rng, calls = np.random.default_rng(1), []
+
+    def many(words):
+        calls.append(len(words))
+        return flattened([[*w.encode()] for w in words])
+
+    for bounds in ({}, {"most": 7}, {"most_bytes": 60}):
+        cache = WordCache(many, **bounds)
+        for _ in range(20):
+            words = ["", *(f"w{x}é" for x in rng.integers(0, 30, 12))]
+            texts = [words[:4], [], words[4:]]
+            ids, at = cache.encode_lists(texts, pa.string())
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*"".join(t).encode()] for t in texts]
+        ids, at = cache.encode_lists([[], []], pa.string())
+        assert not len(ids) and at.tolist() == [0, 0, 0]
+    assert 0 not in calls
+
+
+def test_slices_hold_every_row():
+    from dolomite.llm.common import slices
+
+    texts = ["", None, "x" * 5000, "é", "y" * 300, "z" * 2000] * 3
+    batch = pa.record_batch({"text": pa.array(texts), "n": pa.array(range(len(texts)))})
+    got = list(slices([batch, batch.slice(0, 0), batch], "text", 1000))
+    assert [x for b in got for x in b.column("text").to_pylist()] == texts * 2 and len(got) > 6
