@@ -124,11 +124,11 @@ def blocks_of(rows: DataFrame, block: int) -> DataFrame:
     return sizes.select("component", "n", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int").alias("blocks"))
 
 
-def confirmed_links(wanted: DataFrame, texts: DataFrame, sets_of: Callable, least: float, block: int = BLOCK) -> DataFrame:
+def confirmed_links(wanted: DataFrame, texts: DataFrame, sets_of: Callable, least: float, block: int = BLOCK, alone_by: Callable = confirmed, across_by: Callable = crossed) -> DataFrame:
     """node, to: every node that is not its group's name itself, with that name (a node of the group).
 
     wanted: component, node, key, bytes (a row per node); texts: key, text, repeated keys with equal texts; sets_of: a list of texts
-    as bytes to their sets of 64-bit values.
+    as bytes to their sets of 64-bit values; alone_by, across_by: how a block, and a block with another, is compared.
     """
 
     def sets(part: pa.Table) -> list[np.ndarray]:
@@ -144,18 +144,18 @@ def confirmed_links(wanted: DataFrame, texts: DataFrame, sets_of: Callable, leas
 
     def alone(part: pa.Table) -> pa.Table:
         part = part.sort_by("node")
-        root, node = confirmed(sets(part), least), part.column("node").to_numpy()
+        root, node = alone_by(sets(part), least), part.column("node").to_numpy()
         on = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"node": pa.array(node[on]), "to": pa.array(node[root[on]]), "blocks": pa.array(np.full(len(on), part.column("blocks")[0].as_py(), np.int32))})
 
     def scouted(part: pa.Table) -> pa.Table:
         part = part.sort_by("node")
-        return joined(confirmed(sets(part), least), part.column("group").to_numpy())
+        return joined(alone_by(sets(part), least), part.column("group").to_numpy())
 
     def across(part: pa.Table) -> pa.Table:
         part = part.sort_by([("outside", "descending"), ("node", "ascending")])
         n, each = int(np.sum(part.column("outside").to_numpy())), sets(part)
-        return joined(crossed(each[:n], each[n:], least), part.column("group").to_numpy())
+        return joined(across_by(each[:n], each[n:], least), part.column("group").to_numpy())
 
     large = written(blocks_of(wanted, block).where("blocks > 1"), "large-components")
     dealt = wanted.join(small_or_shuffled(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dolomite.llm import bpe, exact_dedup, langid, packing, pii, quality, simhash, suffix_dedup, token_store, warc
+from dolomite.llm import bpe, codebook, conversation, exact_dedup, jaccard, langid, packing, pii, quality, simhash, suffix_dedup, token_store, warc
 from dolomite.llm.common import LOWER, UPPER, documents, new_folder
 
 def tokenizer_file(name: str) -> str:
@@ -62,7 +62,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_suffix_dedup, op4_quality, op5_token_store, op6_simhash, op7_pii, op8_exact_dedup, op9_langid, op10_packing)}
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(documents(spark, sf_dir))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebook.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_suffix_dedup, op4_quality, op5_token_store, op6_simhash, op7_pii, op8_exact_dedup, op9_langid, op10_packing, op11_jaccard, op12_conversations, op13_codebook)}
 
 #: RFC 4648 base 32 of a SHA-1, five bits at a time.
 _BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
@@ -103,7 +115,71 @@ def _pii_sql() -> str:
         SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(encode(coalesce(b, ''))) AS base_sha256, coalesce(spans, '') AS spans, top_score FROM d LEFT JOIN g USING (doc_id)"""
 
 
+def _codebook_sql() -> str:
+    """Rounds of assignment and mean, each a CTE over the one before; a distance and its entry are one number, so that the least is by both."""
+    parts, entries, scale = codebook.PARTS, codebook.ENTRIES, codebook.SCALE
+    steps = f"""
+        WITH g AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len(embedding) % {parts} = 0),
+        k AS (SELECT vec_id, label, [CAST(floor({scale} * x) AS BIGINT) FOR x IN e] AS v FROM g WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        r AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, len(v) // {parts} AS w FROM k),
+        p AS (SELECT r, part, w, v[part * w + 1 : part * w + w] AS x FROM r, range({parts}) t(part)),
+        c0 AS (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= {entries})"""
+    for n in range(codebook.ROUNDS + 1):
+        steps += f""",
+        m{n} AS (SELECT p.r, p.part, any_value(p.x) AS x, min(CAST(list_sum([(p.x[i] - c.c[i]) * (p.x[i] - c.c[i]) FOR i IN range(1, w + 1)]) AS BIGINT) * {entries} + entry) AS best FROM p JOIN c{n} c USING (part) GROUP BY p.r, p.part)"""
+        if n < codebook.ROUNDS:
+            steps += f""",
+        u{n} AS (SELECT part, best % {entries} AS entry, i, CAST(floor(sum(x[i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS mean FROM m{n}, range(1, len(x) + 1) t(i) GROUP BY part, best % {entries}, i),
+        l{n} AS (SELECT part, entry, list(mean ORDER BY i) AS c FROM u{n} GROUP BY part, entry),
+        c{n + 1} AS (SELECT part, entry, coalesce(l.c, o.c) AS c FROM c{n} o LEFT JOIN l{n} l USING (part, entry))"""
+    last = codebook.ROUNDS
+    return f"""{steps},
+        z AS (SELECT r, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM m{last} GROUP BY r),
+        h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{last})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN z USING (r), h"""
+
+
+def _conversation_sql() -> str:
+    """Forward search over rows: of each state the least of cost (nine digits) and audit, as one string; then a walk along the audit."""
+    space = r"\x20\x09-\x0D"
+    bits = "list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(conv || ':' || named, '')]), lambda a, c: {bits}), 4294967295)"
+
+    def plus(v: str, cost: str, letter: str) -> str:
+        return f"(lpad(CAST(CAST(left({v}, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({v}, 10) || '{letter}')"
+
+    keep = lambda v, initial: f"CASE WHEN NOT gone AND initial = '{initial}' THEN {plus(v, '3 * late', 'K')} END"
+    other = lambda v: f"CASE WHEN NOT gone THEN {plus(v, '3 + 3 * late', 'R')} END"
+    into_u = ", ".join(f"{keep(v, 'u')}, {other(v)}" for v in ("e", "s", "a2"))
+    inserted = f"least(u, {plus('e', '3', 'I')}, {plus('s', '3', 'I')}, {plus('a', '3', 'I')})"
+    closed = f"SELECT *, least(a, {plus('u2', '3', 'I')}) AS a2 FROM (SELECT *, {inserted} AS u2 FROM best)"
+    return f"""
+        WITH RECURSIVE o AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, turn, coalesce(CAST(turn AS VARCHAR), ' ') AS named, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+        f AS (SELECT *, {crc} % 20 AS fault FROM o),
+        d AS (SELECT conv, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE fault <> 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, left(role, 1) AS initial, NOT regexp_matches(text, '[^{space}]') AS blank, NOT regexp_matches(text, '[.!?][{space}]*$') AS open FROM d),
+        k AS MATERIALIZED (SELECT *, blank OR again AS gone, CASE WHEN open AND NOT blank AND NOT again THEN 1 ELSE 0 END AS late, lag(initial) OVER (PARTITION BY conv ORDER BY i) AS before FROM n),
+        best AS (
+          SELECT DISTINCT conv, CAST(1 AS BIGINT) AS i, repeat('0', 9) AS e, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM k
+          UNION ALL
+          SELECT conv, i + 1, {plus("e", "4", "D")}, least({plus("s", "4", "D")}, {keep("e", "s")}), least({plus("u2", "4", "D")}, {into_u}), least({plus("a2", "4", "D")}, {keep("u2", "a")}, {other("u2")})
+          FROM ({closed}) JOIN k USING (conv, i)),
+        w AS MATERIALIZED (SELECT conv, CAST(left(best, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM (SELECT conv, least(e, a2) AS best, row_number() OVER (PARTITION BY conv ORDER BY i DESC) AS back FROM ({closed})) WHERE back = 1),
+        walk AS (
+          SELECT conv, audit, CAST(0 AS BIGINT) AS j, CAST(1 AS BIGINT) AS i, '' AS q, CAST(NULL AS VARCHAR) AS line FROM w
+          UNION ALL
+          SELECT conv, audit, j + 1, CASE WHEN letter = 'I' THEN walk.i ELSE walk.i + 1 END, CASE letter WHEN 'D' THEN q WHEN 'K' THEN initial ELSE CASE WHEN q = 'u' THEN 'a' ELSE 'u' END END,
+                 CASE letter WHEN 'I' THEN CASE WHEN q = 'u' THEN 'assistant:' ELSE 'user:' END WHEN 'K' THEN role || ':' || text WHEN 'R' THEN CASE WHEN q = 'u' THEN 'assistant:' ELSE 'user:' END || text END
+          FROM (SELECT *, substr(audit, j + 1, 1) AS letter FROM walk WHERE j < length(audit)) walk LEFT JOIN k USING (conv, i)),
+        t AS (SELECT conv, sha256(coalesce(string_agg(line, chr(10) ORDER BY j), '')) AS h FROM walk GROUP BY conv),
+        x AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, sum(late) AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM k GROUP BY conv)
+        SELECT conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))}, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, conv FROM o) LEFT JOIN x USING (conv) LEFT JOIN w USING (conv) LEFT JOIN t USING (conv)"""
+
+
 ORACLES = {
+    "op12_conversations": _conversation_sql(),
+    "op13_codebook": _codebook_sql(),
     "op7_pii": _pii_sql(),
     "op2_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

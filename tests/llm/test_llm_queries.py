@@ -49,7 +49,7 @@ def crc(ids) -> int:
 
 def test_every_query_gives_a_row_for_each_document(spark, folder):
     for name, query in queries.QUERIES.items():
-        if name not in ("op2_warc", "op10_packing"):
+        if name not in ("op2_warc", "op10_packing", "op12_conversations", "op13_codebook"):
             assert sorted(r.doc_id for r in query(spark, folder).collect()) == [i for i, _ in sorted(TEXTS)], name
 
 
