@@ -9,16 +9,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dolomite import lexicon
-from dolomite.functions.text import has_any, norm_key, numbers, strip
+from dolomite.functions.text import has_any, norm_key, numbers, strip, unused
 
-#: A rule as a model may answer it; unknown fields are ignored.
-CONSTRAINT = "struct<parameter:string,subject:string,target:string,operator:string,op:string,constraint_type:string,value:string,unit:string,units:string,expression:string,logic:string,constraint_source:string>"
-RULE = (
-    "struct<rule_text:string,canonical_statement:string,rule_category:string,rule_type:string,priority:string,confidence:string,confidence_score:string,confidenceScore:string,"
-    "intent:string,rule_intent:string,ruleIntent:string,scope_domain:struct<process:string,item:string,feature:string>,applicability:string,constraints:string,requirements:string,"
-    f"primary_constraints:array<{CONSTRAINT}>,harvested_constraints:array<{CONSTRAINT}>,"
-    "severity:string,rule_severity:string,rationale:string,primary_feature:string,unit:string,supporting_quote:string,supporting_quotes:array<string>>"
-)
+#: A rule as a model may answer it, by the kind of its fields; unknown fields are ignored.
+CONSTRAINT_FIELDS = ("parameter", "subject", "target", "operator", "op", "constraint_type", "value", "unit", "units", "expression", "logic", "constraint_source")
+TEXT_FIELDS = (
+    "rule_text", "canonical_statement", "rule_category", "rule_type", "priority", "confidence", "confidence_score", "confidenceScore", "intent", "rule_intent", "ruleIntent",
+    "applicability", "constraints", "requirements", "severity", "rule_severity", "rationale", "primary_feature", "unit", "supporting_quote",
+)
+LIST_FIELDS = ("primary_constraints", "harvested_constraints")
+SCOPE_FIELDS = ("process", "item", "feature")
+BLANK_JSON = ("", "{}", "[]", "0", "0.0", "false")
+
+
+def is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def field(value: Column, name: str, kind: str = "string") -> Column:
+    """A field of a VARIANT, null where there is none or it is of another kind; as a string, what is no text is JSON."""
+    return F.try_variant_get(value, f"$.{name}", kind)
+
+
+def entries(answer: Column) -> Column:
+    """The objects among the entries of a JSON answer: a list, an object with a list of rules, or one object, in order (array of VARIANT).
+
+    Other entries are passed over, each alone. An answer with a name twice in one object, which no VARIANT can hold, is read entry by entry.
+    """
+    whole = F.try_parse_json(answer)
+    inner = F.get_json_object(answer, "$.rules")
+    texts = F.from_json(F.when(answer.startswith("["), answer).otherwise(F.when(inner.startswith("["), inner)), "array<string>")
+    apart = F.transform(F.filter(texts, lambda t: t.startswith("{")), F.try_parse_json)
+    own = F.when(is_object(whole) & F.coalesce(field(whole, "rules").isNull(), F.lit(True)), F.array(whole))
+    found = F.coalesce(field(whole, "rules", "array<variant>"), F.try_variant_get(whole, "$", "array<variant>"), own, apart)
+    return F.filter(found, is_object)
+
+
+def rule_of(value: Column) -> Column:
+    """A VARIANT object as a struct of the known fields, each on its own: one of an unexpected kind loses no other."""
+    objects = lambda name: F.filter(field(value, name, "array<variant>"), is_object)
+    one = lambda c: F.struct(*[field(c, k).alias(k) for k in CONSTRAINT_FIELDS])
+    named = F.coalesce(*[F.when(~F.coalesce(strip(field(value, k)), F.lit("")).isin(*BLANK_JSON), field(value, k, "variant")) for k in ("scope_domain", "scope", "domain")])
+    scope = F.struct(*[field(named, k).alias(k) for k in SCOPE_FIELDS])
+    return F.struct(
+        *[field(value, k).alias(k) for k in TEXT_FIELDS],
+        scope.alias("scope_domain"),
+        *[F.transform(objects(k), one).alias(k) for k in LIST_FIELDS],
+        field(value, "supporting_quotes", "array<string>").alias("supporting_quotes"),
+    )
 
 
 def truthy(text: Column) -> Column:
@@ -131,9 +169,10 @@ def validated(rules: DataFrame, constraints: str = "constraints", severity: str
     is_json = c.rlike(r"(?s)^[\[{]")
     has = F.when(is_json, ~c.isin("[]")).otherwise(c != "")
     level = F.upper(F.coalesce(truthy(F.col(severity)), F.lit("ADVISORY")))
-    rows = rules.withColumns({"has_constraints": has, "unresolved": is_json & unresolved(c), "__level": level})
-    state = F.when(F.col("__level") != "ENFORCEABLE", "ADVISORY_ONLY").when(F.col("has_constraints") & ~F.col("unresolved"), "ENFORCEABLE").otherwise("INCOMPLETE")
-    return rows.withColumns({"validation_state": state, severity: F.when(F.col("__level") == "ENFORCEABLE", "ENFORCEABLE").otherwise("ADVISORY")}).drop("__level")
+    (own,) = unused(rules, "level")
+    rows = rules.withColumns({"has_constraints": has, "unresolved": is_json & unresolved(c), own: level})
+    state = F.when(F.col(own) != "ENFORCEABLE", "ADVISORY_ONLY").when(F.col("has_constraints") & ~F.col("unresolved"), "ENFORCEABLE").otherwise("INCOMPLETE")
+    return rows.withColumns({"validation_state": state, severity: F.when(F.col(own) == "ENFORCEABLE", "ENFORCEABLE").otherwise("ADVISORY")}).drop(own)
 
 
 def merged_constraints(primary: Column, harvested: Column) -> Column:
@@ -150,7 +189,7 @@ def merged_constraints(primary: Column, harvested: Column) -> Column:
 
 
 def normalised(rule: Column) -> dict[str, Column]:
-    """Columns of a rule parsed as RULE; rule_text is null for rules to be dropped."""
+    """Columns of a rule as rule_of gives it; rule_text is null for rules to be dropped."""
     text = F.coalesce(truthy(rule["rule_text"]), truthy(rule["canonical_statement"]))
     merged = merged_constraints(rule["primary_constraints"], rule["harvested_constraints"])
     plain = F.coalesce(truthy(rule["constraints"]), truthy(rule["requirements"]))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from dolomite import lexicon
 from dolomite.functions import rules as rule_columns
-from dolomite.functions.text import canonical, json_part, reading_ease, strip
+from dolomite.functions.text import canonical, json_part, reading_ease, strip, unused
 from dolomite.sources.writers import materialised
 
 
@@ -196,28 +196,31 @@ def cached(chunks: DataFrame, cache: DataFrame, provider: Provider, task: str, k
 
 
 def parsed_rules(answers: DataFrame, most: int = 20, answer: str = "answer") -> DataFrame:
-    """A row per rule of a JSON answer (a list, or an object with rules, or one rule), the first `most` valid ones of each, with rule_index."""
-    j = json_part(F.col(answer))
-    inner = F.coalesce(F.get_json_object(j, "$.rules"), j)
-    listed = F.when(inner.startswith("["), inner).otherwise(F.concat(F.lit("["), inner, F.lit("]")))
-    found = F.from_json(listed, f"array<{rule_columns.RULE}>", {"mode": "PERMISSIVE"})
+    """A row per rule of a JSON answer (a list, or an object with rules, or one rule), the first `most` valid ones of each, with rule_index.
+
+    Entries that are no objects, and objects without text, are passed over; so is a field of an unexpected kind, and neither takes others along.
+    """
+    (rule,) = unused(answers, "parsed_rule")
+    found = F.transform(rule_columns.entries(json_part(F.col(answer))), rule_columns.rule_of)
     good = F.filter(found, lambda r: F.coalesce(rule_columns.truthy(r["rule_text"]), rule_columns.truthy(r["canonical_statement"])).isNotNull())
-    rows = answers.select("*", F.posexplode(F.slice(good, 1, most)).alias("rule_index", "__rule")).drop(answer)
-    return rows.withColumns(rule_columns.normalised(F.col("__rule"))).drop("__rule")
+    rows = answers.select("*", F.posexplode(F.slice(good, 1, most)).alias("rule_index", rule)).drop(answer)
+    return rows.withColumns(rule_columns.normalised(F.col(rule))).drop(rule)
 
 
 def raw_rules(answers: DataFrame, answer: str = "answer") -> DataFrame:
     """A row per text of bulk answers ({rules: [{text, confidence_score}]}), with the constants of rules that were only listed."""
-    listed = F.from_json(F.coalesce(F.get_json_object(json_part(F.col(answer)), "$.rules"), json_part(F.col(answer))), "array<struct<text:string,confidence_score:double>>")
-    rows = answers.select("*", F.posexplode(F.filter(listed, lambda r: rule_columns.truthy(r["text"]).isNotNull())).alias("rule_index", "r")).drop(answer)
-    text = canonical(strip(F.col("r.text")))
-    score = F.coalesce(F.nullif(F.col("r.confidence_score"), F.lit(0.0)), F.lit(0.6))
+    (one,) = unused(answers, "listed")
+    field = rule_columns.field
+    listed = F.transform(rule_columns.entries(json_part(F.col(answer))), lambda v: F.struct(field(v, "text").alias("text"), field(v, "confidence_score", "double").alias("confidence_score")))
+    rows = answers.select("*", F.posexplode(F.filter(listed, lambda r: rule_columns.truthy(r["text"]).isNotNull())).alias("rule_index", one)).drop(answer)
+    text = canonical(strip(F.col(f"{one}.text")))
+    score = F.coalesce(F.nullif(F.col(f"{one}.confidence_score"), F.lit(0.0)), F.lit(0.6))
     return rows.withColumns(
         {
             "rule_text": F.substring(text, 1, 500), "category": F.lit("General"), "rule_type": F.lit("general"), "confidence": score, "confidence_level": F.lit("medium"),
             "correctness_tag": F.lit("needs_review"), "relevance": F.lit(0.5), "extraction_method": F.lit("raw_bulk"), "readability": reading_ease(text),
         }
-    ).drop("r")
+    ).drop(one)
 
 
 class Embedder(Protocol):

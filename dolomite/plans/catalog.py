@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dolomite import lexicon
 from dolomite.functions import formal, rules as r, text as t
-from dolomite.operators import candidates, chunking, expressions, postprocess, reports, retrieval
+from dolomite.operators import candidates, chunking, expressions, postprocess, provider, reports, retrieval
 from dolomite.plans import corpus, pipelines
 from dolomite.sources.writers import upserted
 
@@ -172,6 +172,16 @@ def correctness_tags(spark, sf_dir):
     return corpus.frame(spark, corpus.RULES).select("rid", r.correctness_tag(F.col("confidence"), F.col("relevance"), F.col("text")).alias("tag"))
 
 
+@query(f"WITH {RULES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule_index) - 1 AS place FROM rules) SELECT doc_id, CAST(place AS INT) AS rule_index, md5(rule_text) AS rule_md5, confidence, 'general' AS rule_type FROM n WHERE place < 20")
+def parsed_answers(spark, sf_dir):
+    """Each document's sentences as a model would answer them, between entries that are no rules, in four shapes; and parsed again."""
+    rules = data_rules(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rule_index", F.to_json(F.struct("rule_text", "confidence")).alias("j")))).alias("rules"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("rules", lambda r: F.concat(F.lit('null, "text", '), r["j"], F.lit(', ["x"], 5'))), ", "), F.lit("]"))
+    within = F.concat(F.lit('{"note": "n", "rules": '), listed, F.lit("}"))
+    shape = F.when(F.col("doc_id") % 4 == 0, listed).when(F.col("doc_id") % 4 == 1, within).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("```json\n"), listed, F.lit("\n```"))).otherwise(F.concat(F.lit("Found: "), within, F.lit(" and no more.")))
+    return provider.parsed_rules(rules.select("doc_id", shape.alias("answer"))).select("doc_id", "rule_index", F.md5(F.col("rule_text").cast("binary")).alias("rule_md5"), "confidence", "rule_type")
+
+
 @query(f"SELECT rid, list_transform(regexp_extract_all(replace(text, ',', ' '), '-?\\d*\\.?\\d+'), lambda x: CAST(x AS DOUBLE)) AS nums FROM {corpus.values(corpus.RULES)}")
 def parse_values(spark, sf_dir):
     return corpus.frame(spark, corpus.RULES).select("rid", t.numbers(F.col("text")).alias("nums"))
