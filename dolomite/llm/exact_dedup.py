@@ -87,10 +87,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     state = written(changes.groupBy("digest").agg(F.max("n").alias("group_size"), F.max("last.doc_id").alias("keep_id")), "state")
     hits = written(state.where("group_size > 1").select("digest"), "hits")
     # The bytes of every hit, found by the locators of its arrivals; each task compares its own first, so a group's texts never
-    # meet in one place. Rows that share a locator (one identifier in one file) are compared with each other's groups too.
+    # meet in one place. Rows that share a locator (one identifier in one file, or none) are told apart by the digest, taken again.
     place = F.xxhash64("locator")
     suspects = written(arrived.join(small_or_shuffled(hits), "digest").select(place.alias("place"), "digest").distinct(), "suspects")
-    again = rows.select(locator.alias("locator"), "norm").withColumn("place", place).join(small_or_shuffled(suspects), "place")
+    again = rows.select(locator.alias("locator"), "norm", digest(F.col("norm")).alias("digest")).withColumn("place", place).join(small_or_shuffled(suspects), ["place", "digest"])
     differ = written(again.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a != b").select("digest"), "differ")
     out = arrived.join(state, "digest", "left")
     if not differ.isEmpty():

@@ -17,7 +17,7 @@ strings, so equal windows have equal anchors, and a run of neighbouring windows
 
 Memory: a task holds the runs of its share of grams, and of windows in step 2. Before the exchange each batch compares the
 bytes of strings that it holds several times, and hands on one of them. Two strings under equal hashes are an error, no result. Nulls are empty texts; texts under SPAN bytes stay as they
-are. Rows are told apart by identifier and a checksum of the text, so repeated rows count as occurrences of each other.
+are. Rows are told apart by 96 bits of a SHA-256 of identifier and text, so repeated rows count as occurrences of each other.
 Empty input: no rows. Other columns play no part.
 """
 
@@ -113,7 +113,7 @@ def listed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     for doc, key, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "key", "text")], strict=True):
         for s in range(0, len(text) - SPAN + 1, SEGMENT):
             held.append(text[s : s + SEGMENT + SPAN - 1])
-            rows.append((-1 if doc is None else doc, key, s))
+            rows.append((doc, key, s))
             size += len(held[-1])
             if size >= LISTED:
                 yield flush()
@@ -387,7 +387,7 @@ def dealt_runs(suffixes: list[bytes], heads: list[bytes], meta: np.ndarray, part
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id (-1: null), key, spans (array of lo, hi) of the texts (doc_id, key, text as bytes) that have any."""
+    """doc_id, key, spans (array of lo, hi) of the texts (doc_id and key: a row's name; text as bytes) that have any."""
     n = partitions(docs)
 
     def list_runs(batches):
@@ -486,8 +486,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
             if own:
                 yield work(own).select(["doc_id", "key", "lo", "hi"])
 
-    keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
-    runs = keyed.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "runs").mapInArrow(code, moved_ddl)
+    runs = docs.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "runs").mapInArrow(code, moved_ddl)
     sorted_ranges = runs.repartitionById(n, F.col("part")).mapInArrow(merge, "doc_id long, key long, lo long, hi long")
     whole = listing.where("blob is null").select("doc_id", "key", "lo", "hi")
     return whole.unionByName(sorted_ranges).groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -496,8 +495,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, removed (array of lo, hi: maximal, in order), kept (the remaining bytes): a row per row of docs."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.crc32(text).alias("key"), text.alias("text"))
-    found = written(repeated_ranges(rows), "ranges")
+    doc = F.col(id_col).cast("long")
+    name = F.sha2(F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("null")), F.sha2(text, 256)), 256)
+    part = lambda at, n: F.conv(F.substring("name", at, n), 16, -10).cast("long")
+    rows = docs.select(doc.alias("doc_id"), name.alias("name"), text.alias("text")).select("doc_id", part(1, 16).alias("own"), part(17, 8).alias("key"), "text")
+    found = written(repeated_ranges(rows.select(F.col("own").alias("doc_id"), "key", "text")), "ranges")
 
     def cut(batches):
         for b in slices(batches, "text", BATCH):
@@ -517,7 +519,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spans = pa.array([[{"lo": x, "hi": y} for x, y in r] for r in removed], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), spans, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
-    of = rows.withColumn("own", F.coalesce("doc_id", F.lit(-1))).join(found.withColumnRenamed("doc_id", "own"), ["own", "key"], "left")
+    of = rows.join(found.withColumnRenamed("doc_id", "own"), ["own", "key"], "left")
     return of.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, removed array<struct<lo: long, hi: long>>, kept binary")
 
 

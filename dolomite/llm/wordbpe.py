@@ -2,13 +2,15 @@
 
 Texts are cut at ASCII white space; each distinct word of a batch is taken once. Words of ASCII and Latin-1 letters are
 lower-cased and split into parts for a whole array at a time, and a part new to the worker goes through the tokenizer's model
-alone; other words go through the whole tokenizer. Both keep what they have met, bounded by pieces and bytes.
+alone; other words go through the whole tokenizer. Both keep what they have met, bounded by pieces and bytes. The file's added tokens
+are found first, in the text as it is and wherever they stand, as the library does; what lies between them is encoded as texts are.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -40,10 +42,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         self.short = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])] == NORMALISER and [x.get("pattern", {}).get("Regex", x["type"]) for x in said["pre_tokenizer"].get("pretokenizers", [])] == [SPLIT, "ByteLevel"]
+        added = said.get("added_tokens") or []
+        self.added = {x["content"]: x["id"] for x in added if x["content"]}
+        #: Whether all of them are found by their plain string; else every text goes whole through the tokenizer.
+        self.by_string = not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
+        self.marks = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.parts, self.others = WordCache(self.by_model), WordCache(self.by_tokenizer)
@@ -77,7 +83,31 @@ def encoder(path: str) -> WordEncoder:
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and bounds of a string array's texts (null: empty)."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    own, texts = encoder(path), pc.fill_null(texts.cast(pa.large_string()), "")
+    if not own.by_string:
+        flat, start, size = flattened([x.ids for x in own.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)])
+        return flat, np.append(start, len(flat))
+    marked = np.zeros(len(texts), bool)
+    for mark in own.added:
+        marked |= np.asarray(pc.match_substring(texts, mark))
+    if not marked.any():
+        return plain_ids(texts, path)
+    pieces, after, first = [], [], []
+    for text, has in zip(texts.to_pylist(), marked, strict=True):
+        first.append(len(pieces))
+        parts = own.marks.split(text) if has else [text]
+        pieces += parts[::2]
+        after += [own.added[x] for x in parts[1::2]] + [-1]
+    ids, ends = plain_ids(pa.array(pieces, pa.large_string()), path)
+    mark = np.array(after)
+    ids = np.insert(ids, ends[1:][mark >= 0], mark[mark >= 0])
+    ends = ends + np.concatenate([[0], np.cumsum(mark >= 0)])
+    return ids, ends[[*first, len(pieces)]]
+
+
+def plain_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same of texts without added tokens."""
+    lists = pc.ascii_split_whitespace(texts)
     bounds = np.asarray(lists.offsets)
     coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
     flat, start, size = encoder(path).many(coded.dictionary)

@@ -189,7 +189,6 @@ def library_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -201,6 +200,7 @@ def test_word_ids_equal_the_library():
     from dolomite.llm.wordbpe import token_ids
 
     texts = [t for _, t in TEXTS] + ["Ａb ﬁ école H̱ İstanbul ΑΣ", "<|endoftext|> don't I'LL x\x85y\xa0z", "a\x1cb «q» ½ 1²3", "ÀÉÿ ß×÷"]
+    texts += ["a<|endoftext|>b", "<|startoftext|>", "x<|startoftext|><|endoftext|>\n y<|endoftext|", "it<|endoftext|>'s e<|endoftext|>\u0301", "<|ENDOFTEXT|> <|endof text|>", " <|endoftext|> ", "<|<|endoftext|>|>"]
     ids, bounds = token_ids(pa.array(texts, pa.string()), tokenizer_file("word_bpe_49k.json"))
     encode = library_ids()
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [encode(t) for t in texts]
