@@ -172,7 +172,7 @@ def correctness_tags(spark, sf_dir):
     return corpus.frame(spark, corpus.RULES).select("rid", r.correctness_tag(F.col("confidence"), F.col("relevance"), F.col("text")).alias("tag"))
 
 
-@query(f"WITH {RULES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule_index) - 1 AS place FROM rules) SELECT doc_id, CAST(place AS INT) AS rule_index, md5(rule_text) AS rule_md5, confidence, 'general' AS rule_type FROM n WHERE place < 20")
+@query(f"WITH {RULES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule_index) - 1 AS place FROM rules) SELECT doc_id, CAST(place AS INT) AS rule_index, md5({sql_strip('rule_text')}) AS rule_md5, confidence, 'general' AS rule_type FROM n WHERE place < 20")
 def parsed_answers(spark, sf_dir):
     """Each document's sentences as a model would answer them, between entries that are no rules, in four shapes; and parsed again."""
     rules = data_rules(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rule_index", F.to_json(F.struct("rule_text", "confidence")).alias("j")))).alias("rules"))

@@ -1,4 +1,4 @@
-"""Documents as they arrive: a file stream, upserts of each batch, and windows over events. Beyond the reference's batch resume."""
+"""Documents as they arrive: a file stream, upserts of each batch (streaming.keyed), and windows over events."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dolomite.sources.writers import upserted
+from dolomite.streaming.keyed import KeyedTable, upserting
 
 
 def arriving(spark: SparkSession, folder: str, schema: str, files: int | None = None) -> DataFrame:
@@ -17,19 +17,9 @@ def arriving(spark: SparkSession, folder: str, schema: str, files: int | None =
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
 
 
-def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, key: str = "path") -> StreamingQuery:
-    """Each batch through work, and its rows upserted by key into the table's newest version, folder by batch.
-
-    A batch that runs again overwrites its own version, so a restart neither loses nor repeats rows.
-    """
-
-    def put(batch: DataFrame, number: int) -> None:
-        spark, new = batch.sparkSession, work(batch)
-        if number:
-            new = upserted(spark.read.parquet(f"{table}/v={number - 1}"), new, key)
-        new.write.mode("overwrite").parquet(f"{table}/v={number}")
-
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, key: str = "path", parts: int = 64) -> StreamingQuery:
+    """Each batch through work, and its rows upserted by key into the table (streaming.keyed): only the parts that a batch touches are rewritten."""
+    return upserting(stream, work, KeyedTable(stream.sparkSession, table, key, parts), checkpoint)
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes", width: str = "1 hour", by: str = "event_type") -> DataFrame:
@@ -37,6 +27,3 @@ def windowed_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes
     rows = events.withWatermark(time, late) if events.isStreaming else events
     return rows.groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
-
-def first_seen(stream: DataFrame, key: str = "path") -> DataFrame:
-    return stream.dropDuplicates([key])
