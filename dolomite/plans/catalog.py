@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from dolomite import lexicon
 from dolomite.functions import formal, rules as r, text as t
-from dolomite.operators import candidates, chunking, expressions, postprocess, provider, reports, retrieval
+from dolomite.operators import candidates, cells, chunking, expressions, postprocess, provider, reports, retrieval
 from dolomite.plans import corpus, pipelines
-from dolomite.sources.writers import upserted
+from dolomite.sources.writers import new_folder, upserted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -550,6 +550,24 @@ def vector_topk(spark, sf_dir):
     return retrieval.vector_search_many(rows, rows.where("vec_id % 20 = 0"), 10).withColumn("score", F.round("score", 6))
 
 
+@query(ORACLES["vector_topk"])
+def vector_topk_cells(spark, sf_dir):
+    """vector_topk by a stored index of cells; the queries that its probes may leave open go on to the cells that could hold more."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = cells.CellIndex.write(rows, new_folder(spark, "cells"))
+    return index.search(rows.where("vec_id % 20 = 0"), 10, exact=True).withColumn("score", F.round("score", 6))
+
+
+@query()
+def vector_recall(spark, sf_dir):
+    """What the index finds of the true top 10 of every twentieth vector with the probes that it measured on others."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked, index = rows.where("vec_id % 20 = 0"), cells.CellIndex.write(rows, new_folder(spark, "cells"))
+    found, truth = index.search(asked, 10, index.tuned(10, 0.93)), retrieval.vector_search_many(rows, asked, 10)
+    hit = truth.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("neighbours"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count(F.lit(1)), 3).alias("recall"))
+
+
 @query(f"SELECT vec_id AS id, round({COSINE}, 6) AS score FROM embeddings WHERE label >= 5 AND {COSINE} >= 0.05 ORDER BY {COSINE} DESC, vec_id LIMIT 10")
 def vector_filtered(spark, sf_dir):
     return retrieval.vector_search(table(spark, sf_dir, "embeddings"), QUERY, 10, 0.05, {"label": 5}).withColumn("score", F.round("score", 6))

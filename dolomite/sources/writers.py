@@ -14,23 +14,27 @@ from pyspark.sql import functions as F
 FORMAL = ("rule_text", "status", "rule_json", "equation", "reasoning", "error")
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir: what follows reads it and computes none of it again.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own, not made yet, below spark.checkpoint.dir, which driver and executors share.
 
-    Without that setting (tests) a temporary folder of this machine is taken, which a cluster's executors do not share.
+    Where that is unset a local master (tests) gets a temporary folder of this machine; on a cluster it is an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set")
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors share no folder")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="dolomite-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/dolomite/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/dolomite/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what follows reads it and computes none of it again."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_export(results: DataFrame, summary: DataFrame, path: str, fmt: str = "json") -> None:
