@@ -42,7 +42,17 @@ STOPWORDS = [
     "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very",
     "can", "will", "just", "should", "now", "of", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do",
     "does", "did", "doing",
-]
+]
+
+#: English function words that no search looks for: those above, pronouns, auxiliaries and a few adverbs.
+ENGLISH = [
+    *STOPWORDS,
+    "i", "me", "my", "myself", "we", "us", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his",
+    "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which",
+    "who", "whom", "whose", "this", "that", "these", "those", "am", "having", "could", "may", "might", "must", "would", "shall", "cannot", "as",
+    "until", "because", "since", "though", "although", "however", "also", "yet", "still", "thus", "therefore", "else", "either", "neither",
+    "among", "within", "without", "upon", "onto", "via", "per", "one", "another", "every", "many", "much", "several", "always", "never", "often",
+]
 
 # Rule types, and names that stand for them.
 RULE_TYPES = ["dimensional", "material", "process", "quality", "safety", "assembly", "tolerance", "general"]

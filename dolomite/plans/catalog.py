@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dolomite import lexicon
 from dolomite.functions import formal, rules as r, text as t
-from dolomite.operators import candidates, cells, chunking, expressions, postprocess, provider, reports, retrieval
+from dolomite.operators import candidates, cells, chunking, expressions, inverted, postprocess, provider, reports, retrieval
 from dolomite.plans import corpus, pipelines
 from dolomite.sources.writers import new_folder, upserted
 
@@ -537,6 +537,34 @@ def keyword_search(spark, sf_dir):
     return retrieval.keyword_search(table(spark, sf_dir, "documents"), "license token apache", 10).withColumn("score", F.round("score", 6))
 
 
+STOP_SQL = ", ".join(f"'{w}'" for w in lexicon.ENGLISH)
+#: 1- to 3-grams of the words left after the stop words, the 5,000 most frequent.
+GRAMS_SQL = f"""w0 AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({STOP_SQL})) AS w FROM documents),
+    t AS (SELECT id, unnest(list_concat(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]), [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) AS term FROM w0),
+    tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY id, term), n AS (SELECT count(*) AS n FROM documents),
+    df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 5000),
+    w1 AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n),
+    w AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w1)"""
+ASKED = {"license": "the license of the token and of apache license files", "words": "of reat and tion the erst"}
+
+
+def asked_sql(query: str) -> str:
+    w = [x for x in re.findall(r"\w{2,}", query.lower()) if x not in lexicon.ENGLISH]
+    grams = [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+    rows = ", ".join(f"('{g}', {grams.count(g)})" for g in dict.fromkeys(grams))
+    return f"a AS (SELECT * FROM (VALUES {rows}) v(term, c)), q0 AS (SELECT term, c * (ln((1 + n) / (1 + df)) + 1) AS q FROM df JOIN a USING (term), n), q AS (SELECT term, q / sqrt(sum(q * q) OVER ()) AS q FROM q0)"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {GRAMS_SQL}, {asked_sql(text)} SELECT '{name}' AS query, id, round(sum(weight * q), 6) AS score FROM w JOIN q USING (term) GROUP BY id HAVING sum(weight * q) > 0.1 ORDER BY sum(weight * q) DESC, id LIMIT 10)" for name, text in ASKED.items()))
+def keyword_index(spark, sf_dir):
+    """Two searches of one stored index: 1- to 3-grams, English stop words, 5,000 features."""
+    index, out = inverted.InvertedIndex.write(table(spark, sf_dir, "documents"), new_folder(spark, "index")), None
+    for name, text in ASKED.items():
+        found = index.search(text, 10).select(F.lit(name).alias("query"), "id", F.round("score", 6).alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 HYBRID_SQL = KNOWN_SQL + """, q0 AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS q FROM df, n WHERE term IN ('license', 'token', 'apache')), q AS (SELECT term, q / sqrt(sum(q * q) OVER ()) AS q FROM q0),
     kw AS (SELECT id, sum(weight * q) AS score FROM w JOIN q USING (term) GROUP BY id HAVING sum(weight * q) > 0.1 ORDER BY score DESC, id LIMIT 10)"""
 QUERY = [((i * 37) % 19 - 9) / 10 for i in range(64)]
