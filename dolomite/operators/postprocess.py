@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dolomite import lexicon
 from dolomite.functions.text import squeezed, unused
+from dolomite.operators import graphs
+from dolomite.sources.writers import materialised
 
 
 def first_of_each(rules: DataFrame, key: Column, order: Sequence[str], scope: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -22,13 +25,68 @@ def squeezed_dedupe(rules: DataFrame, order: Sequence[str], scope: Sequence[str]
     return first_of_each(rules, squeezed(F.col(text)), order, scope)
 
 
-def similar_leaders(rules: DataFrame, doc_col: str = "doc_id", index_col: str = "rule_index", text_col: str = "rule_text", score_col: str = "confidence", threshold: float = 0.8, stop: Sequence[str] = (), features: int = 1000) -> DataFrame:
+def vectors_of_rules(rules: DataFrame, doc: str, index: str, text: str, stop: Sequence[str], features: int) -> DataFrame:
+    """doc, index, terms, weights: TF-IDF vectors of length 1 over the document's own rules, terms rare before frequent.
+
+    1- to 3-grams without stop words; of a document's n-grams the `features` most frequent count (ties by the alphabet).
+    """
+    w = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    if stop:
+        stops = F.array(*map(F.lit, stop))
+        w = F.filter(w, lambda x: ~F.array_contains(stops, x))
+    rows = rules.select(F.col(doc).alias("doc"), F.col(index).alias("at"), w.alias("w"))
+    each = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    grams = rows.select("doc", "at", F.explode(F.concat(each(1), each(2), each(3))).alias("term"))
+    tf = materialised(grams.groupBy("doc", "at", "term").agg(F.count(F.lit(1)).alias("tf")), "rule-terms")
+    known = tf.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("total"), "term"))
+    known = known.withColumn("place", place).where(F.col("place") <= features)
+    n = rules.groupBy(F.col(doc).alias("doc")).agg(F.count(F.lit(1)).alias("n"))
+    idf = known.join(n, "doc").select("doc", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighed = tf.join(idf, ["doc", "term"]).groupBy("doc", "at").agg(F.sort_array(F.collect_list(F.struct("df", "term", (F.col("tf") * F.col("idf")).alias("w")))).alias("x"))
+    size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
+    return weighed.withColumn("size", size).select("doc", "at", F.col("x.term").alias("terms"), F.transform("x", lambda t: t["w"] / F.col("size")).alias("weights"))
+
+
+def similar_shapes(shapes: DataFrame, threshold: float) -> DataFrame:
+    """a, b (a < b): shapes (shape, doc, terms, weights) of one document whose cosine is over the threshold.
+
+    In the terms' order a vector whose rest, from some term on, is no longer than the threshold can resemble no other by the rest alone:
+    two that resemble each other share a term before it in both. They meet by those terms alone, and are verified whole.
+    """
+    squares = F.transform("weights", lambda w: w * w)
+    rest = lambda i: F.aggregate(F.slice(squares, i, F.size("weights")), F.lit(0.0), lambda a, w: a + w)
+    long = F.size(F.filter(F.sequence(F.lit(1), F.size("weights")), lambda i: rest(i) > threshold * threshold - 1e-9))
+    first = materialised(shapes.select("shape", "doc", F.explode(F.slice("terms", 1, long)).alias("term")), "prefix-terms")
+    several = first.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = first.join(several, ["doc", "term"])
+    met = first.alias("x").join(first.alias("y"), (F.col("x.doc") == F.col("y.doc")) & (F.col("x.term") == F.col("y.term")) & (F.col("x.shape") < F.col("y.shape")))
+    pairs = materialised(met.select(F.col("x.shape").alias("a"), F.col("y.shape").alias("b")).distinct(), "candidate-pairs")
+    of = lambda name: shapes.select(F.col("shape").alias(name), F.map_from_arrays("terms", "weights").alias(f"{name}_v"))
+    product = F.aggregate(F.map_entries("a_v"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.col("b_v")[e["key"]], F.lit(0.0)))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(product > threshold).select("a", "b")
+
+
+def similar_leaders(rules: DataFrame, doc_col: str = "doc_id", index_col: str = "rule_index", text_col: str = "rule_text", score_col: str = "confidence", threshold: float = 0.8, stop: Sequence[str] = lexicon.ENGLISH, features: int = 1000, most: int = 2_000) -> DataFrame:
     """(doc, index, leader): greedily, in order, each rule joins the first kept rule of its document it resembles.
 
     Resemblance is the cosine of TF-IDF vectors of 1- to 3-grams, without stop words, over the document's own rules; of the n-grams the
-    `features` most frequent count (ties by the alphabet). A rule of higher score than the
-    leader takes its place, behind all kept so far. The memory is that of one document's rules.
+    `features` most frequent count (ties by the alphabet). A rule of higher score than the leader takes its place, behind all kept so far.
+    Documents of at most `most` rules are led whole, in one group each; larger ones by a join over prefixes (leaders_by_join), with the
+    same result.
     """
+    names = (doc_col, index_col, text_col, score_col)
+    (size,) = unused(rules, "size")
+    own = materialised(rules.select(*names), "rules-led")
+    large = own.groupBy(doc_col).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) > most).select(doc_col)
+    if large.isEmpty():
+        return leaders_in_groups(own, *names, threshold, stop, features)
+    large = materialised(large, "large-documents")
+    few = leaders_in_groups(own.join(large, doc_col, "left_anti"), *names, threshold, stop, features)
+    return few.unionByName(leaders_by_join(own.join(large, doc_col, "left_semi"), *names, threshold, stop, features))
+
+
+def leaders_in_groups(rules: DataFrame, doc_col: str, index_col: str, text_col: str, score_col: str, threshold: float, stop: Sequence[str], features: int) -> DataFrame:
     import pandas as pd
 
     stops = frozenset(stop)
@@ -86,7 +144,58 @@ def similar_leaders(rules: DataFrame, doc_col: str = "doc_id", index_col: str =
         return pd.DataFrame({doc_col: rows[doc_col], index_col: rows[index_col], "leader": [index[top(i)] for i in range(len(index))]})
 
     kinds = dict(rules.dtypes)
-    return rules.select(doc_col, index_col, text_col, score_col).groupBy(doc_col).applyInPandas(lead, f"{doc_col} {kinds[doc_col]}, {index_col} {kinds[index_col]}, leader {kinds[index_col]}")
+    return rules.groupBy(doc_col).applyInPandas(lead, f"{doc_col} {kinds[doc_col]}, {index_col} {kinds[index_col]}, leader {kinds[index_col]}")
+
+
+def leaders_by_join(rules: DataFrame, doc_col: str, index_col: str, text_col: str, score_col: str, threshold: float, stop: Sequence[str], features: int) -> DataFrame:
+    """similar_leaders of large documents.
+
+    Rules of equal vectors are one shape. Shapes that resemble each other are found by a join over prefixes; what they link is a component, and
+    rules of different components never meet, so the greedy choice runs within a component, over numbers alone, however large the document.
+    Rules without a known word resemble none. Rules of one index are taken in the order of their vectors.
+    """
+    import pandas as pd
+
+    kinds = dict(rules.dtypes)
+    vectors = vectors_of_rules(rules, doc_col, index_col, text_col, stop, features)
+    vectors = materialised(vectors.withColumn("name", F.xxhash64("doc", "terms", "weights")), "rule-vectors")
+    shapes = vectors.groupBy("doc", "name").agg(F.first("terms").alias("terms"), F.first("weights").alias("weights"), F.count(F.lit(1)).alias("n"))
+    shapes = materialised(shapes.withColumnRenamed("name", "shape"), "rule-shapes")
+    links = materialised(similar_shapes(shapes, threshold), "similar-shapes")
+    found = graphs.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("shape"), "component")
+    alike = shapes.select("shape", "n").join(found, "shape", "left").where((F.col("n") > 1) | F.col("component").isNotNull()).select("shape", F.coalesce("component", "shape").alias("component"))
+    both = links.select(F.col("a").alias("shape"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("shape"), F.col("a").alias("other")))
+    near = alike.join(both.groupBy("shape").agg(F.collect_list("other").alias("others")), "shape", "left")
+    scores = rules.select(F.col(doc_col).alias("doc"), F.col(index_col).alias("at"), F.col(score_col).cast("double").alias("score"))
+    placed = vectors.select("doc", "at", F.col("name").alias("shape")).join(near, "shape").join(scores, ["doc", "at"])
+
+    def lead(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "shape"], kind="stable")
+        near = {s: {s, *(o if o is not None else ())} for s, o in zip(rows["shape"], rows["others"], strict=True)}
+        index, shape, score = rows["at"].tolist(), rows["shape"].tolist(), rows["score"].tolist()
+        leader, kept, turn = list(range(len(rows))), {}, 0  # kept: shape -> its kept rules (turn, rule)
+        for i, own in enumerate(shape):
+            hit = min((k for s in near[own] for k in kept.get(s, ())), default=None)
+            if hit is not None:
+                if score[i] <= score[hit[1]]:
+                    leader[i] = hit[1]
+                    continue
+                leader[hit[1]] = i
+                kept[shape[hit[1]]].discard(hit)
+            turn += 1
+            kept.setdefault(own, set()).add((turn, i))
+
+        def top(i: int) -> int:
+            while leader[i] != i:
+                i = leader[i]
+            return i
+
+        return pd.DataFrame({"doc": rows["doc"], "at": rows["at"], "leader": [index[top(i)] for i in range(len(index))]})
+
+    chosen = placed.select("component", "shape", "doc", "at", "score", "others").groupBy("component").applyInPandas(lead, f"doc {kinds[doc_col]}, at {kinds[index_col]}, leader {kinds[index_col]}")
+    chosen = materialised(chosen, "leaders")
+    every = rules.select(F.col(doc_col).alias("doc"), F.col(index_col).alias("at")).join(chosen, ["doc", "at"], "left")
+    return every.select(F.col("doc").alias(doc_col), F.col("at").alias(index_col), F.coalesce("leader", "at").alias("leader"))
 
 
 def quality_filter(rules: DataFrame, least: float = 0.3, least_relevance: float = 0.2) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from dolomite import lexicon
 from dolomite.functions.text import SPACE, strip, unused
+from dolomite.operators import graphs
 from dolomite.operators.provider import Embedder, embedded
+from dolomite.sources.writers import materialised
 
 #: Vectors that a task of a search for many queries holds.
 BLOCK_ROWS = 50_000
@@ -181,13 +183,14 @@ def fused(*ranked: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
 
 def with_context(hits: DataFrame, rows: DataFrame, source: str = "source", id_col: str = "id", text_col: str = "text", most: int = 3, least: float = 0.5) -> DataFrame:
     """hits (id, source, text, score) with the texts of up to most - 1 others of the same source over `least`, best first."""
-    others = rows.where(F.col("score") > least).select(F.col(source), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col("score").alias("__score"))
-    near = hits.join(others, source).where(F.col(id_col) != F.col("__id"))
-    near = near.withColumn("__r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("__score"), "__id"))).where(F.col("__r") < most)
-    joined = near.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("__r", "__text"))).alias("__n"))
+    i, t, s, r, n = unused(hits, "other_id", "other_text", "other_score", "place", "others")
+    others = rows.where(F.col("score") > least).select(F.col(source), F.col(id_col).alias(i), F.col(text_col).alias(t), F.col("score").alias(s))
+    near = hits.join(others, source).where(F.col(id_col) != F.col(i))
+    near = near.withColumn(r, F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(s), i))).where(F.col(r) < most)
+    joined = near.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(r, t))).alias(n))
     out = hits.join(joined, id_col, "left")
-    texts = F.concat(F.array(F.col(text_col)), F.coalesce(F.transform("__n", lambda x: x["__text"]), F.array().cast("array<string>")))
-    return out.withColumns({"context": F.array_join(texts, " ... "), "context_size": F.size(texts) - 1}).drop("__n")
+    texts = F.concat(F.array(F.col(text_col)), F.coalesce(F.transform(n, lambda x: x[t]), F.array().cast("array<string>")))
+    return out.withColumns({"context": F.array_join(texts, " ... "), "context_size": F.size(texts) - 1}).drop(n)
 
 
 def phrases(docs: DataFrame, most: int = 3, stop: Sequence[str] = lexicon.STOPWORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,10 +216,11 @@ def phrase_graph(candidates: DataFrame) -> DataFrame:
     return shared.select("id", "src", "dst", (F.col("shared") + F.col("shared") / F.col("longer")).alias("weight"))
 
 
-def text_rank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, keep: int = 5) -> DataFrame:
+def text_rank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, keep: int = 5, most: int = 500_000) -> DataFrame:
     """(id, phrase, score): PageRank of each document's own graph, least of 2 score and 1; the best `keep` of each.
 
-    Documents are independent, and a graph is bounded by its document, so each is ranked whole in one group.
+    A graph of at most `most` edges is ranked whole in one group, a larger one in rounds of joins (graphs.page_rank) with the same result.
+    Where the rounds do not converge, degree centrality takes the place of rank.
     """
     import pandas as pd
 
@@ -226,18 +230,27 @@ def text_rank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, keep:
         nodes, place = np.unique(np.concatenate([rows["src"], rows["dst"]]).astype(str), return_inverse=True)
         src, dst = place[: len(rows)], place[len(rows) :]
         a, b, w = np.concatenate([src, dst]), np.concatenate([dst, src]), np.tile(rows["weight"].to_numpy(), 2)
-        share = w / np.bincount(a, w, len(nodes))[a]
-        score = np.full(len(nodes), 1 / len(nodes))
+        out = np.bincount(a, w, len(nodes))
+        share = w / np.where(out > 0, out, 1)[a]
+        score, done = np.full(len(nodes), 1 / len(nodes)), False
         for _ in range(rounds):
-            new = (1 - damping) / len(nodes) + damping * np.bincount(b, share * score[a], len(nodes))
+            new = (1 - damping) / len(nodes) + damping * (np.bincount(b, share * score[a], len(nodes)) + score[out <= 0].sum() / len(nodes))
             done = np.abs(new - score).sum() < 1e-6 * len(nodes)
             score = new
             if done:
                 break
+        if not done:
+            score = np.bincount(a, minlength=len(nodes)) / max(len(nodes) - 1, 1)
         best = np.lexsort((nodes, -np.round(score, 12)))[:keep]
         return pd.DataFrame({"id": rows["id"].iloc[0], "phrase": nodes[best], "score": np.minimum(2 * score[best], 1.0)})
 
-    return edges.groupBy("id").applyInPandas(rank, f"id {dict(edges.dtypes)['id']}, phrase string, score double")
+    few, many = graphs.in_groups(edges, most)
+    ranked = few.groupBy("id").applyInPandas(rank, f"id {dict(edges.dtypes)['id']}, phrase string, score double")
+    if many.isEmpty():
+        return ranked
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("score", 12)), "phrase"))
+    large = graphs.page_rank(materialised(many, "large-graphs"), rounds, damping).withColumn("r", place).where(F.col("r") <= keep)
+    return ranked.unionByName(large.select("id", "phrase", F.least(2 * F.col("score"), F.lit(1.0)).alias("score")))
 
 
 def optimised_text(text: Column, density: Column, key_phrases: Column) -> Column:

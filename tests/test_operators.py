@@ -210,3 +210,46 @@ def test_report_edges(spark):
     labelled = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.1), (0, 0.1), (1, None)], "label int, confidence double")
     got = reports.label_scores(labelled).first()
     assert (got.tp, got.fp, got.fn, got.tn, got.accuracy) == (1, 1, 2, 1, 0.4)
+
+
+def test_leaders_by_join_equal_leaders_in_groups(spark):
+    import random
+
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(25)]
+    base = [" ".join(rng.choices(words, k=rng.randint(3, 12))) for _ in range(25)]
+    rows = []
+    for i in range(300):
+        text = rng.choice(base).split()
+        if rng.random() < 0.6:
+            text[rng.randrange(len(text))] = rng.choice(words)
+        rows.append((i % 3, i, rng.choice([" ".join(text)] * 9 + ["", None]), rng.choice([0.2, 0.5, 0.9])))
+    rules = spark.createDataFrame(rows, "doc_id long, rule_index int, rule_text string, confidence double").repartition(3)
+    for threshold, features in ((0.8, 1000), (0.5, 60)):
+        told = [sorted(map(tuple, postprocess.similar_leaders(rules, threshold=threshold, features=features, most=m).collect())) for m in (1000, 10)]
+        assert told[0] == told[1] and any(i != lead for _, i, lead in told[0])
+
+
+def test_rank_in_rounds_equals_rank_in_groups(spark):
+    import random
+
+    from dolomite.operators import graphs, retrieval
+
+    rng, rows = random.Random(1), []
+    for doc in (1, 2):
+        pairs = {tuple(sorted(rng.sample([f"p{i}" for i in range(12 * doc)], 2))) for _ in range(30)}
+        rows += [(doc, a, b, rng.choice([0.5, 1.0, 2.0])) for a, b in pairs]
+    edges = spark.createDataFrame([*rows, (3, "a", "b", 0.0), (3, "b", "c", 1.0)], "id long, src string, dst string, weight double")
+    told = [sorted((r.id, r.phrase, round(r.score, 6)) for r in retrieval.text_rank(edges, rounds=20, keep=50, most=m).collect()) for m in (10_000, 5)]
+    assert told[0] == told[1] and len({i for i, _, _ in told[0]}) == 3
+    assert not graphs.page_rank(edges, rounds=1).where("converged").count()
+    few = {r.phrase: r.score for r in graphs.page_rank(edges.where("id = 3"), rounds=1).collect()}
+    assert few == {"a": 0.5, "b": 1.0, "c": 0.5}
+
+
+def test_components_of_chains(spark):
+    from dolomite.operators import graphs
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (100, 110), (7, 7)], "src long, dst long")
+    assert {r.node: r.component for r in graphs.components(edges).collect()} == {**{i: 0 for i in range(41)}, 90: 90, 100: 90, 110: 90}
+    assert graphs.components(edges.limit(0)).collect() == []

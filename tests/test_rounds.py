@@ -88,7 +88,7 @@ def test_clusters_are_those_of_a_document(spark):
 def test_leaders_without_stop_words(spark):
     rows = spark.createDataFrame([(1, 0, "the hole of the wall", 0.5), (1, 1, "a hole in a wall", 0.4), (1, 2, "rib", 0.4)], "doc_id int, rule_index int, rule_text string, confidence double")
     lead = lambda **k: {x.rule_index: x.leader for x in postprocess.similar_leaders(rows, **k).collect()}
-    assert lead(stop=["the", "of", "in"]) == {0: 0, 1: 0, 2: 2} and lead() == {0: 0, 1: 1, 2: 2}
+    assert lead(stop=["the", "of", "in"]) == {0: 0, 1: 0, 2: 2} and lead(stop=()) == {0: 0, 1: 1, 2: 2} and lead() == {0: 0, 1: 0, 2: 2}
 
 
 def test_names_that_clash(spark):
