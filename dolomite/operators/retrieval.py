@@ -48,7 +48,7 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams
     return raw.select("id", "term", (F.col("w") / length).alias("weight"))
 
 
-def keyword_search(docs: DataFrame, query: str, k: int = 10, least: float = 0.1, id_col: str = "doc_id", text_col: str = "text", grams: tuple[int, int] = (1, 1), stop: Sequence[str] = (), features: int = 5000) -> DataFrame:
+def keyword_search(docs: DataFrame, query: str, k: int = 10, least: float = 0.1, id_col: str = "doc_id", text_col: str = "text", grams: tuple[int, int] = (1, 3), stop: Sequence[str] = lexicon.ENGLISH, features: int = 5000) -> DataFrame:
     """(id, score): cosine of the query's TF-IDF vector with each document's over `least`, the top k (ties by id).
 
     The vocabulary has `features` n-grams, the most frequent ones (ties by the alphabet), so its table is small by definition and
@@ -76,7 +76,7 @@ def keyword_search(docs: DataFrame, query: str, k: int = 10, least: float = 0.1,
     return scored.where(F.col("score") > least).orderBy(F.desc("score"), "id").limit(k)
 
 
-def context_reranked(hits: DataFrame, query: str, k: int, stop: Sequence[str] = (), features: int = 3000) -> DataFrame:
+def context_reranked(hits: DataFrame, query: str, k: int, stop: Sequence[str] = lexicon.ENGLISH, features: int = 3000) -> DataFrame:
     """hits (id, text, score; a few dozen) with score: the cosine of 1- to 2-gram TF-IDF vectors fitted on the query and the hits' texts.
 
     The top k, ties by the score before. A blank query gives the first k as they are.
@@ -91,7 +91,7 @@ def context_reranked(hits: DataFrame, query: str, k: int, stop: Sequence[str] =
     return rows.join(near, place, "left").withColumn("score", F.coalesce("cosine", F.lit(0.0))).orderBy(F.desc("score"), place).limit(k).drop("cosine", place)
 
 
-def similarity_search(rows: DataFrame, query: str, vector: Sequence[float], k: int = 5, least: float = 0.0, where: dict | None = None, hybrid: bool = True, rerank: bool = True, grams: tuple[int, int] = (1, 3), stop: Sequence[str] = ()) -> DataFrame:
+def similarity_search(rows: DataFrame, query: str, vector: Sequence[float], k: int = 5, least: float = 0.0, where: dict | None = None, hybrid: bool = True, rerank: bool = True, grams: tuple[int, int] = (1, 3), stop: Sequence[str] = lexicon.ENGLISH) -> DataFrame:
     """(id, text, score): by vectors, fused with keywords where more than ten rows are there; four times k are fetched and reranked to k.
 
     rows: id, text, embedding. Rows of equal text are one, by the least id. `where` holds for the vectors' side alone.

@@ -13,6 +13,8 @@ from dolomite.functions import formal, rules as r, text as t
 from dolomite.operators import candidates, cells, chunking, expressions, inverted, postprocess, provider, reports, retrieval
 from dolomite.plans import corpus, pipelines
 from dolomite.sources.writers import new_folder, upserted
+from dolomite.streaming.incremental import arriving
+from dolomite.streaming.keyed import KeyedTable, resuming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +75,8 @@ RULES_SQL = f"""
           WHERE {sql_strip('raw')} <> '' AND (regexp_matches(lower(raw), 'license|token|thon|apache|shall|must') OR regexp_matches(raw, '\\b(\\d+\\.?\\d*|\\d*\\.?\\d+)\\b'))),
     rules AS (SELECT *, sent_index AS rule_index, least(1.0, 0.3 + length(rule_text) / CAST(401.7 AS DOUBLE)) AS confidence FROM u)"""
 
+DATA_RULES_SQL = corpus.rules_sql(RULES_SQL)
+
 
 @query(f"WITH {WINDOWS} SELECT lang, count(*) AS candidates, count(DISTINCT (doc_id, md5(lower(chunk)))) AS distinct_rules, count(DISTINCT doc_id) AS documents FROM c WHERE regexp_matches(lower(chunk), '{CUE}') GROUP BY lang")
 def min_slice_summary(spark, sf_dir):
@@ -133,11 +137,11 @@ def sql_canonical(x: str) -> str:
     return sql_strip(f"regexp_replace(regexp_replace({s}, '^\\d+\\s*/\\s*\\d+', ''), '^\\d+\\.\\s*', '')")
 
 
-@query(f"""WITH a AS (SELECT rid, text, {sql_canonical('text')} AS s FROM {corpus.values(corpus.RULES)}),
+@query(f"""WITH a AS (SELECT rid, text, {sql_canonical('text')} AS s FROM {DATA_RULES_SQL}),
     b AS (SELECT *, CASE WHEN length(s) > 240 THEN regexp_replace(left(s, 240), ' [^ ]*$', '') || '...' ELSE s END AS c FROM a)
     SELECT rid, CASE WHEN text = '' THEN '' WHEN regexp_matches(c, '[.!?]$') THEN c ELSE c || '.' END AS canonical FROM b""")
 def canonical_text(spark, sf_dir):
-    return corpus.frame(spark, corpus.RULES).select("rid", t.canonical(F.col("text")).alias("canonical"))
+    return corpus.rules(data_rules(spark, sf_dir)).select("rid", t.canonical(F.col("text")).alias("canonical"))
 
 
 @query("SELECT doc_id, 'documents.parquet__' || left(md5(text), 16) AS cache_id FROM documents")
@@ -151,9 +155,9 @@ def exact_dedupe(spark, sf_dir):
     return postprocess.first_of_each(rows, t.norm_key(F.col("rule_text")), ["rule_index"])
 
 
-@query(f"SELECT rid, doc FROM (SELECT *, row_number() OVER (PARTITION BY doc, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', '', 'g') ORDER BY rid) AS n FROM {corpus.values(corpus.RULES)}) WHERE n = 1")
+@query(f"SELECT rid, doc FROM (SELECT *, row_number() OVER (PARTITION BY doc, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', '', 'g') ORDER BY rid) AS n FROM {DATA_RULES_SQL}) WHERE n = 1")
 def normalized_fallback_dedupe(spark, sf_dir):
-    return postprocess.squeezed_dedupe(corpus.frame(spark, corpus.RULES), ["rid"], ("doc",), "text").select("rid", "doc")
+    return postprocess.squeezed_dedupe(corpus.rules(data_rules(spark, sf_dir)), ["rid"], ("doc",), "text").select("rid", "doc")
 
 
 @query()
@@ -167,9 +171,9 @@ def confidence_levels(spark, sf_dir):
 
 
 @query(f"""SELECT rid, CASE WHEN relevance < 0.2 THEN 'out_of_scope' WHEN confidence < 0.4 THEN 'low_confidence' WHEN length({sql_strip('text')}) < 20 OR NOT regexp_matches(text, '[0-9]') THEN 'incomplete'
-    WHEN confidence < 0.7 THEN 'needs_review' ELSE 'correct' END AS tag FROM {corpus.values(corpus.RULES)}""")
+    WHEN confidence < 0.7 THEN 'needs_review' ELSE 'correct' END AS tag FROM {DATA_RULES_SQL}""")
 def correctness_tags(spark, sf_dir):
-    return corpus.frame(spark, corpus.RULES).select("rid", r.correctness_tag(F.col("confidence"), F.col("relevance"), F.col("text")).alias("tag"))
+    return corpus.rules(data_rules(spark, sf_dir)).select("rid", r.correctness_tag(F.col("confidence"), F.col("relevance"), F.col("text")).alias("tag"))
 
 
 @query(f"WITH {RULES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule_index) - 1 AS place FROM rules) SELECT doc_id, CAST(place AS INT) AS rule_index, md5({sql_strip('rule_text')}) AS rule_md5, confidence, 'general' AS rule_type FROM n WHERE place < 20")
@@ -182,17 +186,17 @@ def parsed_answers(spark, sf_dir):
     return provider.parsed_rules(rules.select("doc_id", shape.alias("answer"))).select("doc_id", "rule_index", F.md5(F.col("rule_text").cast("binary")).alias("rule_md5"), "confidence", "rule_type")
 
 
-@query(f"SELECT rid, list_transform(regexp_extract_all(replace(text, ',', ' '), '-?\\d*\\.?\\d+'), lambda x: CAST(x AS DOUBLE)) AS nums FROM {corpus.values(corpus.RULES)}")
+@query(f"SELECT rid, list_transform(regexp_extract_all(replace(text, ',', ' '), '-?\\d*\\.?\\d+'), lambda x: CAST(x AS DOUBLE)) AS nums FROM {DATA_RULES_SQL}")
 def parse_values(spark, sf_dir):
-    return corpus.frame(spark, corpus.RULES).select("rid", t.numbers(F.col("text")).alias("nums"))
+    return corpus.rules(data_rules(spark, sf_dir)).select("rid", t.numbers(F.col("text")).alias("nums"))
 
 
-@query(f"""WITH v AS (SELECT rid, doc, upper(coalesce(nullif({sql_strip('severity')}, ''), 'ADVISORY')) AS s, coalesce({sql_strip('constraints')}, '') AS c FROM {corpus.values(corpus.RULES)}),
+@query(f"""WITH v AS (SELECT rid, doc, upper(coalesce(nullif({sql_strip('severity')}, ''), 'ADVISORY')) AS s, coalesce({sql_strip('constraints')}, '') AS c FROM {DATA_RULES_SQL}),
     h AS (SELECT *, CASE WHEN c LIKE '[%' OR c LIKE '{{%' THEN c <> '[]' ELSE c <> '' END AS has_constraints, c LIKE '%_of":[]%' AS unresolved FROM v)
     SELECT rid, has_constraints, unresolved, CASE WHEN s <> 'ENFORCEABLE' THEN 'ADVISORY_ONLY' WHEN has_constraints AND NOT unresolved THEN 'ENFORCEABLE' ELSE 'INCOMPLETE' END AS validation_state,
            CASE WHEN s = 'ENFORCEABLE' THEN 'ENFORCEABLE' ELSE 'ADVISORY' END AS severity FROM h""")
 def validate_rules(spark, sf_dir):
-    return r.validated(corpus.frame(spark, corpus.RULES)).select("rid", "has_constraints", "unresolved", "validation_state", "severity")
+    return r.validated(corpus.rules(data_rules(spark, sf_dir))).select("rid", "has_constraints", "unresolved", "validation_state", "severity")
 
 
 PER_DOC_SQL = f"""{RULES_SQL}, g AS (SELECT doc_id, count(*) AS rule_count, round_even(avg(confidence), 4) AS avg_confidence FROM rules GROUP BY doc_id),
@@ -225,10 +229,10 @@ def flatten_outer(spark, sf_dir):
 @query(f"""SELECT rid, {sql_strip('text')} AS rule_text, (CASE WHEN doc = 'b' THEN 'turning' WHEN doc = 'a' THEN 'sheet metal' WHEN doc = 'c' THEN 'aerospace' ELSE 'general' END) || (CASE WHEN rid % 3 = 0 THEN ' / hole' ELSE '' END) AS domain,
     CASE WHEN rid % 2 = 0 THEN 'dimensional' ELSE 'general' END AS rule_type, coalesce({sql_strip('constraints')}, '') AS constraints, CASE WHEN rid % 5 = 0 THEN '' ELSE 'process=' || doc END AS applicability_text,
     coalesce(upper(nullif({sql_strip('severity')}, '')), 'ADVISORY') AS severity, round_even(greatest(0.0, least(1.0, coalesce(confidence, 0.0))), 4) AS confidence
-    FROM {corpus.values(corpus.RULES)} WHERE {sql_strip('text')} <> ''""")
+    FROM {DATA_RULES_SQL} WHERE {sql_strip('text')} <> ''""")
 def dfm_strict(spark, sf_dir):
     when = lambda c, v: F.when(c, F.lit(v))
-    rows = corpus.frame(spark, corpus.RULES).withColumns(
+    rows = corpus.rules(data_rules(spark, sf_dir)).withColumns(
         {
             "rule_text": F.col("text"), "filename": when(F.col("doc") == "a", "Sheet-Metal.pdf"), "technical_domain": when(F.col("doc") == "b", " turning "), "industry_sector": when(F.col("doc") == "c", "aerospace"),
             "primary_feature": when(F.col("rid") % 3 == 0, "hole"), "rule_type": when(F.col("rid") % 2 == 0, "dimensional"),
@@ -325,10 +329,10 @@ def class_sql(x: str, title: str) -> str:
     return f"CASE {' '.join(cases)} ELSE 'General' END"
 
 
-@query(f"SELECT 'rule' AS kind, rid AS id, {class_sql('lower(text)', 'lower(doc)')} AS class FROM {corpus.values(corpus.RULES)} UNION ALL SELECT 'document', doc_id, {class_sql('lower(text)', 'lower(source)')} FROM documents")
+@query(f"SELECT 'rule' AS kind, rid AS id, {class_sql('lower(text)', 'lower(doc)')} AS class FROM {DATA_RULES_SQL} UNION ALL SELECT 'document', doc_id, {class_sql('lower(text)', 'lower(source)')} FROM documents")
 def classify_rules(spark, sf_dir):
     """Documents by their text, their source standing for a title."""
-    own = corpus.frame(spark, corpus.RULES).select(F.lit("rule").alias("kind"), F.col("rid").cast("long").alias("id"), r.rule_class(F.col("text"), F.col("doc")).alias("class"))
+    own = corpus.rules(data_rules(spark, sf_dir)).select(F.lit("rule").alias("kind"), F.col("rid").cast("long").alias("id"), r.rule_class(F.col("text"), F.col("doc")).alias("class"))
     return own.unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), r.rule_class(F.col("text"), F.col("source")).alias("class")))
 
 
@@ -342,10 +346,10 @@ def high_value_default(spark, sf_dir):
 
 
 @query(f"""SELECT rid, confidence >= 0.3 AND relevance >= 0.2 AND length({sql_strip('text')}) >= 15 AND ({sql_contains('lower(text)', lexicon.PRIORITY_TERMS)} OR regexp_matches(text, '[0-9]') OR {sql_contains('lower(text)', lexicon.MODALS)}) AS acceptable,
-    confidence >= 0.3 AND relevance >= 0.2 AND length({sql_strip('text')}) >= 8 AS acceptable_for_recall FROM {corpus.values(corpus.RULES)}""")
+    confidence >= 0.3 AND relevance >= 0.2 AND length({sql_strip('text')}) >= 8 AS acceptable_for_recall FROM {DATA_RULES_SQL}""")
 def acceptable_rules(spark, sf_dir):
     args = [F.col(c) for c in ("text", "confidence", "relevance")]
-    return corpus.frame(spark, corpus.RULES).select("rid", candidates.is_acceptable(*args).alias("acceptable"), candidates.is_acceptable(*args, recall=True).alias("acceptable_for_recall"))
+    return corpus.rules(data_rules(spark, sf_dir)).select("rid", candidates.is_acceptable(*args).alias("acceptable"), candidates.is_acceptable(*args, recall=True).alias("acceptable_for_recall"))
 
 
 def sql_key(x: str) -> str:
@@ -359,22 +363,22 @@ def priority_and_risk(spark, sf_dir):
     return data_rules(spark, sf_dir).select("doc_id", "rule_index", r.priority_of(F.col("rule_text")).alias("priority"), r.risk_of(F.col("rule_text")).alias("risk"))
 
 
-@query(f"""WITH k AS (SELECT rid, {sql_key('severity')} AS intent, CASE WHEN rid % 3 = 0 THEN '' ELSE doc END AS item, {sql_key('text')} AS t FROM {corpus.values(corpus.RULES)})
+@query(f"""WITH k AS (SELECT rid, {sql_key('severity')} AS intent, CASE WHEN rid % 3 = 0 THEN '' ELSE doc END AS item, {sql_key('text')} AS t FROM {DATA_RULES_SQL})
     SELECT rid, CASE WHEN intent = '' AND item = '' AND rid % 2 = 1 THEN t || '|general|general' ELSE intent || '||' || item || '|||' || CASE WHEN rid % 2 = 0 THEN 'wall:>=:2:mm:' ELSE '' END END AS key FROM k""")
 def rule_keys(spark, sf_dir):
     text = lambda v: F.lit(v).cast("string")
     one = F.struct(text("Wall").alias("subject"), text(">=").alias("operator"), text(" 2").alias("value"), text("mm").alias("unit"), text(None).alias("logic"))
     parts = F.when(F.col("rid") % 2 == 0, F.array(one)).otherwise(F.array().cast("array<struct<subject:string,operator:string,value:string,unit:string,logic:string>>"))
     scope = F.struct(text(None).alias("process"), F.when(F.col("rid") % 3 != 0, F.col("doc")).alias("item"), text("").alias("feature"))
-    return corpus.frame(spark, corpus.RULES).select("rid", r.dedupe_key(F.col("severity"), scope, text(None), parts, F.col("text"), text("General"), text("general")).alias("key"))
+    return corpus.rules(data_rules(spark, sf_dir)).select("rid", r.dedupe_key(F.col("severity"), scope, text(None), parts, F.col("text"), text("General"), text("general")).alias("key"))
 
 
-@query(f"""WITH v AS (SELECT doc, upper(coalesce(nullif({sql_strip('severity')}, ''), 'ADVISORY')) AS s, coalesce({sql_strip('constraints')}, '') AS c FROM {corpus.values(corpus.RULES)}),
+@query(f"""WITH v AS (SELECT doc, upper(coalesce(nullif({sql_strip('severity')}, ''), 'ADVISORY')) AS s, coalesce({sql_strip('constraints')}, '') AS c FROM {DATA_RULES_SQL}),
     h AS (SELECT *, c <> '' AND c <> '[]' AS has_constraints, c LIKE '%_of":[]%' AS unresolved FROM v)
     SELECT doc, count(*) AS total_rules, count(*) FILTER (s <> 'ENFORCEABLE') AS advisory_rules, count(*) FILTER (s = 'ENFORCEABLE' AND has_constraints AND NOT unresolved) AS enforceable_rules,
       count(*) FILTER (s = 'ENFORCEABLE' AND NOT (has_constraints AND NOT unresolved)) AS incomplete_rules, count(*) FILTER (unresolved) AS unresolved_compound_constraints FROM h GROUP BY doc""")
 def validation_counts(spark, sf_dir):
-    return reports.validation_counts(r.validated(corpus.frame(spark, corpus.RULES)), "doc")
+    return reports.validation_counts(r.validated(corpus.rules(data_rules(spark, sf_dir))), "doc")
 
 
 @query(f"""WITH w AS (SELECT doc_id, {WORDS} AS ws, text FROM documents), m AS (SELECT doc_id, len(ws) AS n, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s,
@@ -410,25 +414,25 @@ PAIRS_SQL = ", ".join(f"'{d}.{o}'" for d, os in OBJECTS.items() for o in os)
       WHEN NOT scoped AND missing IS NOT NULL THEN 'Schema Gap: Geometry entity ' || q || missing || q || ' not defined in ' || q || domain || q WHEN tolerance <> '' AND NOT list_contains(objects, tolerance) THEN 'Schema Gap: Tolerance object ' || q || tolerance || q || ' not defined' END AS error FROM m""")
 def schema_consistency(spark, sf_dir):
     objects = F.create_map(*[x for d, o in OBJECTS.items() for x in (F.lit(d), F.array(*map(F.lit, o)).cast("array<string>"))])
-    rows = corpus.frame(spark, corpus.CHECKS)
+    rows = corpus.frame(table(spark, sf_dir, "part"), corpus.CHECKS)
     sides = F.filter(F.array("side_a", "side_b"), lambda x: x != "")
     return rows.select("rid", formal.schema_problem(F.col("domain"), objects, sides, F.col("tolerance"), F.col("scoped")).alias("error"))
 
 
-@query(f"""WITH e AS (SELECT rid, equation, chr(39) AS q, regexp_extract_all(equation, '\\.(\\w+)\\.', 1) AS c, rid = 2 AS deferred FROM {corpus.values(corpus.PASCAL)})
+@query(f"""WITH e AS (SELECT rid, equation, chr(39) AS q, regexp_extract_all(equation, '\\.(\\w+)\\.', 1) AS c, template = 2 AS deferred FROM {corpus.values(corpus.PASCAL)})
     SELECT rid, deferred OR len(c) = 0 AS is_valid, CASE WHEN deferred THEN '' WHEN len(c) > 0 THEN 'seen; Illegal chained attributes detected: [' || q || array_to_string(c, ''', ''') || q || ']' ELSE 'seen' END AS issues FROM e""")
 def self_validation(spark, sf_dir):
     answer = F.lit('```json\n{"is_valid": true, "issues": ["seen"]}\n```')
-    rows = corpus.frame(spark, corpus.PASCAL).select("rid", formal.self_validated(F.when(F.col("rid") == 2, "Deferred").otherwise("Success"), F.col("equation"), answer).alias("v"))
+    rows = corpus.frame(table(spark, sf_dir, "part"), corpus.PASCAL).select("rid", formal.self_validated(F.when(F.col("template") == 2, "Deferred").otherwise("Success"), F.col("equation"), answer).alias("v"))
     return rows.select("rid", "v.is_valid", F.array_join("v.issues", "; ").alias("issues"))
 
 
 DOMAIN_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(re.escape(w).replace(chr(92) + ' ', ' ').replace(chr(92) + '-', '-') for w in ws)}') THEN '{d}'" for d, ws in lexicon.DOMAIN_KEYWORDS.items()) + " ELSE 'General' END"
 
 
-@query(f"SELECT 'rule' AS kind, rid AS id, {DOMAIN_SQL} AS domain FROM {corpus.values(corpus.RULES)} UNION ALL SELECT 'document', doc_id, {DOMAIN_SQL} FROM documents")
+@query(f"SELECT 'rule' AS kind, rid AS id, {DOMAIN_SQL} AS domain FROM {DATA_RULES_SQL} UNION ALL SELECT 'document', doc_id, {DOMAIN_SQL} FROM documents")
 def domain_resolution(spark, sf_dir):
-    own = corpus.frame(spark, corpus.RULES).select(F.lit("rule").alias("kind"), F.col("rid").cast("long").alias("id"), formal.domain_of(F.col("text")).alias("domain"))
+    own = corpus.rules(data_rules(spark, sf_dir)).select(F.lit("rule").alias("kind"), F.col("rid").cast("long").alias("id"), formal.domain_of(F.col("text")).alias("domain"))
     return own.unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), formal.domain_of(F.col("text")).alias("domain")))
 
 
@@ -437,20 +441,20 @@ ENTITY_SQL = "CASE " + " ".join(f"WHEN x = '{k}' THEN '{v}'" for k, v in lexicon
 
 @query(f"SELECT rid, {ENTITY_SQL} AS entity FROM (SELECT rid, lower({sql_strip('raw')}) AS x FROM {corpus.values(corpus.NAMES)})")
 def entity_normalize(spark, sf_dir):
-    return corpus.frame(spark, corpus.NAMES).select("rid", formal.entity(F.col("raw")).alias("entity"))
+    return corpus.frame(table(spark, sf_dir, "part"), corpus.NAMES).select("rid", formal.entity(F.col("raw")).alias("entity"))
 
 
 @query(f"SELECT e.rid, split_part(equation, '.', 1) AS root FROM {corpus.values(corpus.EQUATIONS)} e WHERE split_part(equation, '.', 1) NOT IN ('Bend', 'Hole', 'Pocket', 'Groove')")
 def schema_violations(spark, sf_dir):
     known = spark.createDataFrame([("Bend",), ("Hole",), ("Pocket",), ("Groove",)], "root string")
-    return corpus.frame(spark, corpus.EQUATIONS).select("rid", F.substring_index("equation", ".", 1).alias("root")).join(F.broadcast(known), "root", "left_anti").select("rid", "root")
+    return corpus.frame(table(spark, sf_dir, "part"), corpus.EQUATIONS).select("rid", F.substring_index("equation", ".", 1).alias("root")).join(F.broadcast(known), "root", "left_anti").select("rid", "root")
 
 
 @query(f"""WITH e AS (SELECT rid, regexp_replace({sql_strip("replace(replace(expression, '```python', ''), '```', '')")}, '^"+|"+$', '', 'g') AS e FROM {corpus.values(corpus.EXPRESSIONS)})
     SELECT rid, CASE WHEN e LIKE 'Tolerance(%' THEN 'Bilateral' WHEN e LIKE 'Limits(%' THEN 'Limits' WHEN e LIKE 'Max(%' OR e LIKE 'Min(%' THEN 'SingleLimit'
       WHEN e LIKE 'GDT(%' AND regexp_extract(e, '^GDT\\s*\\(\\s*([A-Za-z]+)', 1) IN ({', '.join(repr(g) for g in lexicon.GDT_TYPES)}) THEN 'GDT' END AS type FROM e""")
 def tolerance_types(spark, sf_dir):
-    return corpus.frame(spark, corpus.EXPRESSIONS).select("rid", formal.tolerance_type(F.col("expression"))["type"].alias("type"))
+    return corpus.frame(table(spark, sf_dir, "part"), corpus.EXPRESSIONS).select("rid", formal.tolerance_type(F.col("expression"))["type"].alias("type"))
 
 
 DOTTED = r"\b[a-zA-Z_]\w*\.[a-zA-Z_]\w*\b"
@@ -460,7 +464,7 @@ DOTTED = r"\b[a-zA-Z_]\w*\.[a-zA-Z_]\w*\b"
     u AS (SELECT rid, gaps, list_transform(names, lambda x: CASE WHEN lower(split_part(x, '.', 1)) = 'moduleparams' THEN 'ModuleParams' ELSE upper(left(x, 1)) || substr(split_part(x, '.', 1), 2) END || '.' || upper(left(split_part(x, '.', 2), 1)) || substr(split_part(x, '.', 2), 2)) AS names FROM n)
     SELECT rid, array_to_string([gaps[i] || coalesce(names[i], '') FOR i IN range(1, len(gaps) + 1)], '') AS equation FROM u""")
 def pascal_case(spark, sf_dir):
-    return corpus.frame(spark, corpus.PASCAL).select("rid", formal.pascal_case(F.col("equation")).alias("equation"))
+    return corpus.frame(table(spark, sf_dir, "part"), corpus.PASCAL).select("rid", formal.pascal_case(F.col("equation")).alias("equation"))
 
 
 OPERATORS = r"(>=|<=|==|!=|\bbetween\b|\bin\b|>|<)"
@@ -470,7 +474,7 @@ SPLIT_SQL = f"""q AS (SELECT *, nullif(regexp_extract(equation, '{OPERATORS}', 1
 
 @query(f"WITH {SPLIT_SQL} SELECT rid, lhs, op, rhs FROM p")
 def split_equation(spark, sf_dir):
-    return corpus.frame(spark, corpus.EQUATIONS).select("rid", formal.split_equation(F.col("equation")).alias("p")).select("rid", "p.*")
+    return corpus.frame(table(spark, sf_dir, "part"), corpus.EQUATIONS).select("rid", formal.split_equation(F.col("equation")).alias("p")).select("rid", "p.*")
 
 
 CONFIG_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[0]}', '{v[1]}', {list(v[2]) if v[2] else 'CAST([] AS VARCHAR[])'})" for k, v in lexicon.DOMAIN_CONFIG.items()) + ") c(key, category_name, thick, aliases))"
@@ -486,7 +490,7 @@ ALGEBRA_SQL = f"""{SPLIT_SQL}, d AS (SELECT p.*, c.* FROM p JOIN {CONFIG_SQL} c
     CASE WHEN NOT turned THEN l WHEN rest = '' THEN l || '/' || thick WHEN rest LIKE '+%' THEN '(' || l || ' - ' || trim(rest, '+ ') || ')/' || thick ELSE '(' || l || ' + ' || trim(rest, '- ') || ')/' || thick END AS exp_name,
     CASE WHEN turned THEN CAST(n AS DOUBLE) WHEN NOT kept AND n IS NULL THEN TRY_CAST(r AS DOUBLE) END AS recom_num FROM z""")
 def algebra_normalize(spark, sf_dir):
-    rows = formal.with_domain(corpus.frame(spark, corpus.EQUATIONS)).withColumn("p", formal.split_equation(F.col("equation"))).where(F.col("p.op").isNotNull())
+    rows = formal.with_domain(corpus.frame(table(spark, sf_dir, "part"), corpus.EQUATIONS)).withColumn("p", formal.split_equation(F.col("equation"))).where(F.col("p.op").isNotNull())
     return rows.select("rid", formal.algebra(F.col("p.lhs"), F.col("p.op"), F.col("p.rhs"), F.col("thick"), F.col("aliases")).alias("a")).select("rid", "a.op", "a.exp_name", "a.recom_num")
 
 
@@ -500,7 +504,7 @@ def algebra_normalize(spark, sf_dir):
       CASE WHEN tol THEN equation WHEN NOT turned THEN l WHEN rest = '' THEN l || '/' || thick WHEN rest LIKE '+%' THEN '(' || l || ' - ' || trim(rest, '+ ') || ')/' || thick ELSE '(' || l || ' + ' || trim(rest, '- ') || ')/' || thick END AS exp_name,
       CASE WHEN tol THEN 'True' ELSE op END AS operator, recom_num, CASE WHEN tol THEN 'true' WHEN recom_num IS NULL THEN r END AS recom_text FROM w""")
 def canonical_rules(spark, sf_dir):
-    rows = corpus.frame(spark, corpus.EQUATIONS).select("rid", F.concat(F.lit("Rule that the value "), "equation").alias("rule_text"), F.lit("Success").alias("status"), "domain", F.lit(None).cast("string").alias("geometry_json"), "equation", F.lit(None).cast("string").alias("ast"))
+    rows = corpus.frame(table(spark, sf_dir, "part"), corpus.EQUATIONS).select("rid", F.concat(F.lit("Rule that the value "), "equation").alias("rule_text"), F.lit("Success").alias("status"), "domain", F.lit(None).cast("string").alias("geometry_json"), "equation", F.lit(None).cast("string").alias("ast"))
     return formal.canonical_rules(rows)
 
 
@@ -534,7 +538,7 @@ KNOWN_SQL = TFIDF_SQL.replace("df AS (SELECT term, count(*) AS df FROM tf GROUP
 @query("WITH " + KNOWN_SQL + """, q0 AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS q FROM df, n WHERE term IN ('license', 'token', 'apache')), q AS (SELECT term, q / sqrt(sum(q * q) OVER ()) AS q FROM q0)
     SELECT id, round(sum(weight * q), 6) AS score FROM w JOIN q USING (term) GROUP BY id HAVING sum(weight * q) > 0.1 ORDER BY sum(weight * q) DESC, id LIMIT 10""")
 def keyword_search(spark, sf_dir):
-    return retrieval.keyword_search(table(spark, sf_dir, "documents"), "license token apache", 10).withColumn("score", F.round("score", 6))
+    return retrieval.keyword_search(table(spark, sf_dir, "documents"), "license token apache", 10, grams=(1, 1), stop=()).withColumn("score", F.round("score", 6))
 
 
 STOP_SQL = ", ".join(f"'{w}'" for w in lexicon.ENGLISH)
@@ -609,12 +613,12 @@ def hybrid_rrf(spark, sf_dir):
     return retrieval.fused(retrieval.vector_search(rows, QUERY, 20), retrieval.vector_search(rows, QUERY, 20, where={"label": 5}), k=10).withColumn("score", F.round("score", 8))
 
 
-@query("WITH " + HYBRID_SQL.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)") + f""", sv AS (SELECT vec_id AS id, {COSINE} AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+@query("WITH " + HYBRID_SQL + f""", sv AS (SELECT doc_id AS id, {COSINE} AS score FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
     v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sv WHERE score >= 0 QUALIFY rank <= 10), k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM kw),
     f AS (SELECT text, min(id) AS id, sum(1 / (60 + rank)) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM k) JOIN documents ON doc_id = id GROUP BY text)
     SELECT id, md5(text) AS text_md5, round(score, 8) AS score FROM f ORDER BY f.score DESC, id LIMIT 10""")
 def hybrid_search(spark, sf_dir):
-    return retrieval.similarity_search(described(spark, sf_dir), "license token apache", QUERY, 10, rerank=False, grams=(1, 1)).select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.round("score", 8).alias("score"))
+    return retrieval.similarity_search(described(spark, sf_dir), "license token apache", QUERY, 10, rerank=False, grams=(1, 1), stop=()).select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.round("score", 8).alias("score"))
 
 
 @query()
@@ -623,8 +627,11 @@ def similarity_search(spark, sf_dir):
 
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, text, embedding: documents with the vector of their number."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    """(id, text, embedding) of every document; vectors are dealt to documents by turns, as there are fewer."""
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    n = F.broadcast(vectors.select(F.count(F.lit(1)).alias("n")))  # one row
+    turn = docs.crossJoin(n).select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % F.col("n")).alias("vec_id"))
+    return turn.join(vectors.select("vec_id", "embedding"), "vec_id").select("id", "text", "embedding")
 
 
 @query(f"""WITH s AS (SELECT vec_id AS id, label, 'v' || vec_id AS text, {COSINE} AS score FROM embeddings), h AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 5),
@@ -638,7 +645,7 @@ def context_expand(spark, sf_dir):
     return retrieval.with_context(hits, scored, "label", most=3, least=0.1).select("id", "context", "context_size")
 
 
-RULE_PHRASES = f"""w AS (SELECT rid AS id, list_filter(regexp_split_to_array(lower(text), '{WS}'), lambda x: x <> '') AS w FROM {corpus.values(corpus.RULES)}),
+RULE_PHRASES = f"""w AS (SELECT rid AS id, list_filter(regexp_split_to_array(lower(text), '{WS}'), lambda x: x <> '') AS w FROM (SELECT p_partkey AS rid, p_name || ' of the ' || p_type || ' line with ' || p_name || ' from ' || p_brand AS text FROM part)),
     g AS (SELECT id, unnest(list_concat([w[i:i] FOR i IN range(1, len(w) + 1)], [w[i : i + 1] FOR i IN range(1, len(w))], [w[i : i + 2] FOR i IN range(1, len(w) - 1)])) AS p FROM w),
     ph AS (SELECT DISTINCT id, array_to_string(p, ' ') AS phrase, list_distinct(p) AS ws FROM g WHERE len(list_filter(p, lambda x: list_contains({lexicon.STOPWORDS}, x))) / len(p) <= 0.5 AND length(array_to_string(p, ' ')) > 2)"""
 
@@ -646,7 +653,8 @@ RULE_PHRASES = f"""w AS (SELECT rid AS id, list_filter(regexp_split_to_array(low
 @query(f"""WITH {RULE_PHRASES} SELECT a.id, a.phrase AS src, b.phrase AS dst, round(len(list_intersect(a.ws, b.ws)) + len(list_intersect(a.ws, b.ws)) / greatest(len(a.ws), len(b.ws)), 6) AS weight
     FROM ph a JOIN ph b ON a.id = b.id AND a.phrase < b.phrase AND len(list_intersect(a.ws, b.ws)) > 0""")
 def phrase_graph(spark, sf_dir):
-    found = retrieval.phrases(corpus.frame(spark, corpus.RULES), id_col="rid")
+    text = F.concat_ws(" ", "p_name", F.lit("of the"), "p_type", F.lit("line with"), "p_name", F.lit("from"), "p_brand")
+    found = retrieval.phrases(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rid"), text.alias("text")), id_col="rid")
     return retrieval.phrase_graph(found).withColumn("weight", F.round("weight", 6))
 
 
@@ -670,6 +678,26 @@ def resume_anti_join(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.n_chars END AS n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def keyed_upserts(spark, sf_dir):
+    """batch_upsert by two batches of a keyed table: all documents, and then the labels, which take the place of theirs."""
+    out = KeyedTable(spark, new_folder(spark, "keyed"), "doc_id", parts=8)
+    out.upsert(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 0)
+    out.upsert(table(spark, sf_dir, "labels").select("doc_id", "quality"), 1)
+    return out.rows().select("doc_id", "n_chars", "quality")
+
+
+@query("SELECT md5(lower(coalesce(text, ''))) AS path, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def resumed_documents(spark, sf_dir):
+    """Documents as a stream, each text taken once: by a table of what is done in place of endless state."""
+    rows = table(spark, sf_dir, "documents").select(F.md5(F.lower(F.coalesce("text", F.lit(""))).cast("binary")).alias("path"), "doc_id")
+    source, mark = new_folder(spark, "arrivals"), new_folder(spark, "resume-mark")
+    rows.write.parquet(source)
+    out, seen = (KeyedTable(spark, new_folder(spark, n), parts=8) for n in ("resumed", "seen"))
+    resuming(arriving(spark, source, "path string, doc_id long"), lambda new: new, out, seen, mark).awaitTermination()
+    return out.rows().select("path", "doc_id")
+
+
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.n_chars END AS n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
 def batch_upsert(spark, sf_dir):
     return upserted(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
@@ -701,7 +729,7 @@ def extract_enhanced(spark, sf_dir):
 
 @query()
 def formalise_rules(spark, sf_dir):
-    return pipelines.formalise(corpus.frame(spark, corpus.RULES).select("rid", F.col("text").alias("rule_text")))
+    return pipelines.formalise(corpus.rules(data_rules(spark, sf_dir)).select("rid", F.col("text").alias("rule_text")))
 
 
 @query()

@@ -115,7 +115,7 @@ def single_rules(chunks: DataFrame, provider: Provider, retries: int = 2, simila
     return every.withColumns({"readability": reading_ease(F.col("chunk")), "complexity": count_terms(F.col("chunk"), terms) / n}).drop("chunk")
 
 
-def post_process(rules: DataFrame, most: int = 250, least: float = 0.3, least_relevance: float = 0.2, recall: bool = False, cluster: bool = False, stop: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def post_process(rules: DataFrame, most: int = 250, least: float = 0.3, least_relevance: float = 0.2, recall: bool = False, cluster: bool = False, stop: Sequence[str] = lexicon.ENGLISH) -> tuple[DataFrame, DataFrame]:
     """(rules, counts per document) of similarity dedup, quality filter, clustering within documents, and the cap by confidence.
 
     Each step marks rows; the marked table is written once, and rules and counts both read it. n_escalated counts the unique
