@@ -61,6 +61,17 @@ class PairTable:
         return out
 
 
+#: Strings on both sides of a space, by which a pattern shows whether a match begins at it: letters of several scripts and cases, digits, signs, marks.
+BESIDE = ("a", "Zebra", "don't", "'s", "é", "Straße", "ΑΒγ", "中文", "あ", "7", "1234", "½", ".", "!?", '"', "_x", "(a)", "a\u0301", "\u0301", "€", "😀", "\u200d", "\x00", "-")
+
+
+def begins_at_spaces(pattern) -> bool:
+    """Whether a pattern's matches of a text are those of its parts, cut before each single space: of every two strings of BESIDE, and of three."""
+    cut = lambda parts: pattern.findall(parts[0]) + [m for p in parts[1:] for m in pattern.findall(" " + p)]
+    groups = [*((x, y) for x in BESIDE for y in BESIDE), *((x, y, x) for x, y in zip(BESIDE, BESIDE[1:]))]
+    return all(pattern.findall(" ".join(g)) == cut(g) for g in groups)
+
+
 class Codec:
     def __init__(self, path: str, pattern: str):
         import regex
@@ -76,6 +87,7 @@ class Codec:
         self.piece_size[[r for r, _ in known]] = [len(t) for _, t in known]
         self.piece_start = np.cumsum(self.piece_size) - self.piece_size
         self.pieces = np.frombuffer(b"".join(t for _, t in known), np.uint8)
+        self.cuts = begins_at_spaces(self.pattern)
         self.matches = WordCache(self.merge)
         self.chunks = WordCache(lambda new: self.split([" " + x for x in new]))
 
@@ -161,9 +173,13 @@ class Codec:
         """Flat ids and bounds of a string array's texts (null: empty).
 
         A single space between two other characters begins a match, so texts are cut there and the pieces, each with
-        its space, encoded once; a text with any other white space beside a space is split as a whole.
+        its space, encoded once; a text with any other white space beside a space is split as a whole. So is every text
+        where the pattern's matches don't begin at spaces.
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.cuts:
+            flat, start, size = self.split(texts.to_pylist())
+            return flat, np.append(start, len(flat))
         odd = np.asarray(pc.match_substring_regex(texts, r"(?:^|[\s\x0b\x1c-\x1f\x{85}\p{Z}]) | (?:$|[\s\x0b\x1c-\x1f\x{85}\p{Z}])"))
         lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         cuts = np.asarray(lists.offsets) - lists.offsets[0].as_py()

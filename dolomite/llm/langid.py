@@ -5,8 +5,10 @@ the numbers present in each; a blended-spectrum presence kernel over a vocabular
 among the training texts give Nystroem features, on which one-versus-rest kernel ridge regression is fitted. A batch is
 scored by matrix products: presence times landmarks' presence, normalised, times coefficients.
 
-The model is fitted on at most PER_LANGUAGE labelled documents a language (MOST_LEARNED in all), of each its first CHARS characters, chosen by a hash
-of the identifier, whose crc32(identifier as text) mod 4 is not 2. Every text is scored whole.
+The model is fitted on at most PER_LANGUAGE labelled documents a language (MOST_LEARNED in all), chosen by a hash of the identifier, whose
+crc32(identifier as text) mod 4 is not 2. Of each it takes the first CHARS characters, so that what reaches the driver has a bound in
+bytes, too, and no long document is left out for it. Of more languages than MOST_LEARNED the most frequent are learned. Every text is scored
+whole.
 
 Null text, or one without a letter: "und", score 0. No labelled rows: "und" for all. One language only: that, score 1.
 A row per input row, repeated rows too; columns other than those named play no part.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dolomite.llm.common import slices, spread
+from dolomite.llm.common import slices, small_or_shuffled, spread, written
 
 PER_LANGUAGE, CHARS, LANDMARKS, VOCABULARY, ALPHABET = 300, 20_000, 64, 5000, 128
 RIDGE, SHARPNESS, ROWS = 1e-2, 4.0, 256
@@ -125,12 +127,13 @@ def training(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tupl
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LEARNED), "languages")
+    languages = counts.count()
+    if not languages:
         return [], []
-    most = max(1, min(PER_LANGUAGE, MOST_LEARNED // len(counts)))
-    shares = docs.sparkSession.createDataFrame([(x, int(min(1.0, 4 * most / n) * (1 << 30))) for x, n in counts.items()], "lang string, share long")
-    near = rows.join(F.broadcast(shares), "lang").where(hashed < F.col("share")).withColumns({"text": F.substring("text", 1, CHARS), "h": hashed})  # a row a language
+    most = max(1, min(PER_LANGUAGE, MOST_LEARNED // languages))
+    shares = counts.select("lang", (F.least(F.lit(1.0), 4 * most / F.col("n")) * (1 << 30)).cast("long").alias("share"))
+    near = rows.join(small_or_shuffled(shares), "lang").where(hashed < F.col("share")).withColumns({"text": F.substring("text", 1, CHARS), "h": hashed})
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= most)
     got = sorted((r["k"], r["lang"], r["text"]) for r in first.select("k", "lang", "text").collect())
     return [t for _, _, t in got], [x for _, x, _ in got]

@@ -52,8 +52,9 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     addressed = rows.withColumn("digest", F.sha2("payload", 256))
     records = written(addressed.select("page_id", "url", "digest", payload_digest(F.col("payload")).alias("sha1"), head(F.col("payload")).alias("head"), F.octet_length("payload").alias("n")), "records")
-    owners = records.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count(F.lit(1)).alias("n_records"))
-    reused = written(owners.where("n_records > 1"), "reused")
+    # Written, so that the joins below deal out both sides anew and a frequent digest (an empty payload's) can be split.
+    owners = written(records.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count(F.lit(1)).alias("n_records")), "owners")
+    reused = owners.where("n_records > 1")
     # Verification and the choice of one copy in one pass over the reused addresses; min and max are pre-aggregated.
     several = addressed.join(small_or_shuffled(reused.select("digest")), "digest").groupBy("digest").agg(F.min("payload").alias("payload"), F.max("payload").alias("other"))
     one = several.select("digest", F.when(F.col("payload") == F.col("other"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("two payloads under one address: "), F.col("digest"))).cast("binary")).alias("payload"))
@@ -127,7 +128,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     responses = heads.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), whole.alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     revisits = heads.where("record_type <> 'response'").select("page_id", "digest", "target", "said", "record_type")
     first = heads.where("record_type = 'response'").join(revisits.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("page_id", "record_id", "sha1", "n")).alias("first"))
-    again = revisits.join(first, "digest", "left")
+    again = revisits.join(small_or_shuffled(written(first, "first-records")), "digest", "left")
     meant = F.col("target").eqNullSafe(F.col("first.record_id")) & (F.col("said") == F.concat(F.lit("sha1:"), F.col("first.sha1")))
     refers = F.when(meant, F.col("first.page_id")).otherwise(failed("a revisit refers to no response").cast("long"))
     return responses.unionByName(again.select("page_id", F.col("first.n").alias("payload_bytes"), F.col("first.sha1").alias("payload_digest"), "record_type", refers.alias("refers_to")))
