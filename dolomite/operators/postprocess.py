@@ -212,33 +212,56 @@ def capped(rules: DataFrame, most: int, by: Sequence[Column], scope: str = "doc_
     return rules.withColumn(r, F.row_number().over(Window.partitionBy(scope).orderBy(*by))).where(F.col(r) <= most).drop(r)
 
 
-def cluster_best(rules: DataFrame, doc_col: str = "doc_id", index_col: str = "rule_index", text_col: str = "rule_text", score_col: str = "confidence", most: int = 5, above: int = 5, features: int = 256, rounds: int = 50) -> DataFrame:
+def cluster_best(rules: DataFrame, doc_col: str = "doc_id", index_col: str = "rule_index", text_col: str = "rule_text", score_col: str = "confidence", most: int = 5, above: int = 5, features: int = 1000, rounds: int = 50, stop: Sequence[str] = lexicon.ENGLISH, whole: int = 2_000) -> DataFrame:
     """Of each document with more than `above` rules the one of highest score (first of equals) of each of min(most, n // 3) clusters.
 
-    Other documents keep all. K-means over normalised word counts, begun with rules far from each other, so the same each time.
-    The memory is that of one document's rules.
+    Other documents keep all. K-means over the TF-IDF vectors of similar_leaders (a rule without a known word is the zero vector). Seeds are
+    drawn as by k-means++, with a share of the squared distance, by a hash of the rule's place in place of a random number, so the same each
+    time. Documents of at most `whole` rules are clustered in one group each, larger ones in rounds of joins, with the same draws.
     """
+    sizes = rules.groupBy(F.col(doc_col).alias("doc")).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.least(F.lit(most), F.floor(F.col("n") / 3)).cast("int"))
+    sizes = materialised(sizes.where((F.col("n") > above) & (F.col("k") > 1)), "clustered-documents")
+    vectors = vectors_of_rules(rules, doc_col, index_col, text_col, stop, features)
+    score = F.coalesce(F.col(score_col).cast("double"), F.lit(float("-inf")))
+    own = rules.select(F.col(doc_col).alias("doc"), F.col(index_col).alias("at"), score.alias("score")).join(sizes, "doc").join(vectors, ["doc", "at"], "left")
+    own = materialised(own.withColumns({"terms": F.coalesce("terms", F.array().cast("array<string>")), "weights": F.coalesce("weights", F.array().cast("array<double>"))}), "rule-vectors")
+    small, large = own.where(F.col("n") <= whole), own.where(F.col("n") > whole)
+    placed = clusters_in_groups(small, rounds)
+    if not large.isEmpty():
+        placed = placed.unionByName(clusters_by_joins(large.select("doc", "at", "score", "k", "terms", "weights"), rounds))
+    (best,) = unused(rules, "best")
+    chosen = placed.groupBy("doc", "cluster").agg(F.max_by("at", F.struct("score", -F.col("at"))).alias("at")).select(F.col("doc").alias(doc_col), F.col("at").alias(index_col), F.lit(True).alias(best))
+    led = sizes.select(F.col("doc").alias(doc_col))
+    return rules.join(led, doc_col, "left_anti").unionByName(rules.join(chosen, [doc_col, index_col], "left_semi"))
+
+
+def drawn(at: Column, turn: int) -> Column:
+    """A number between 0 and 1 by the hash of a rule's place and the seed's turn."""
+    return (F.pmod(F.xxhash64(at.cast("long"), F.lit(turn)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+
+
+def clusters_in_groups(rows: DataFrame, rounds: int) -> DataFrame:
+    """doc, at, score, cluster of rows (doc, at, score, k, terms, weights)."""
     import pandas as pd
 
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        import re
-        import zlib
+    most = rows.agg(F.max("k")).first()[0] or 0
+    rows = rows.withColumn("draws", F.array(*[drawn(F.col("at"), i) for i in range(most)]) if most else F.array().cast("array<double>"))
 
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        rows = rows.sort_values(index_col, kind="stable")
-        k = min(most, len(rows) // 3)
-        if len(rows) <= above or k < 2:
-            return rows[[doc_col, index_col]]
-        v = np.zeros((len(rows), features), np.float32)
-        for i, t in enumerate(rows[text_col].fillna("")):
-            for w in re.findall(r"\w\w+", t.lower()):
-                v[i, zlib.crc32(w.encode()) % features] += 1
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        far = lambda c: ((v * v).sum(1)[:, None] - 2 * v @ c.T + (c * c).sum(1)).round(5)
-        centre = v[:1]
+        rows = rows.sort_values("at", kind="stable")
+        term = {t: i for i, t in enumerate(sorted({t for x in rows["terms"] for t in x}))}
+        v = np.zeros((len(rows), len(term)))
+        for i, (names, weights) in enumerate(zip(rows["terms"], rows["weights"], strict=True)):
+            v[i, [term[t] for t in names]] = weights
+        draws, k = np.stack(rows["draws"].to_list()), int(rows["k"].iloc[0])
+        far = lambda c: np.maximum(((v * v).sum(1)[:, None] - 2 * v @ c.T + (c * c).sum(1)).round(9), 0)
+        centre = v[[draws[:, 0].argmax()]]
         while len(centre) < k:
-            centre = np.vstack([centre, v[far(centre).min(1).argmax()]])
+            left = far(centre).min(1)
+            # The largest of u^(1/w) is drawn with a share of w.
+            centre = np.vstack([centre, v[np.where(left > 0, np.log(draws[:, len(centre)]) / np.where(left > 0, left, 1), -np.inf).argmax()]])
         at = far(centre).argmin(1)
         for _ in range(rounds):
             centre = np.stack([v[at == c].mean(0) if (at == c).any() else centre[c] for c in range(k)])
@@ -246,12 +269,52 @@ def cluster_best(rules: DataFrame, doc_col: str = "doc_id", index_col: str = "ru
             if (new == at).all():
                 break
             at = new
-        chosen = rows.assign(cluster=at).sort_values([score_col, index_col], ascending=[False, True], kind="stable").drop_duplicates("cluster")
-        return chosen[[doc_col, index_col]]
-
-    kinds = dict(rules.dtypes)
-    kept = rules.select(doc_col, index_col, text_col, score_col).groupBy(doc_col).applyInPandas(best, f"{doc_col} {kinds[doc_col]}, {index_col} {kinds[index_col]}")
-    return rules.join(kept, [doc_col, index_col], "left_semi")
+        return pd.DataFrame({"doc": rows["doc"], "at": rows["at"], "score": rows["score"], "cluster": at.astype("int32")})
+
+    kinds = dict(rows.dtypes)
+    return rows.select("doc", "at", "score", "k", "terms", "weights", "draws").groupBy("doc").applyInPandas(place, f"doc {kinds['doc']}, at {kinds['at']}, score double, cluster int")
+
+
+def clusters_by_joins(rows: DataFrame, rounds: int) -> DataFrame:
+    """The same, a round a join of the rules' terms with the centres' (k of them a document). Rounds are written."""
+    flat = materialised(rows.select("doc", "at", F.explode(F.arrays_zip("terms", "weights")).alias("x")).select("doc", "at", F.col("x.terms").alias("term"), F.col("x.weights").alias("w")), "rule-terms")
+    square = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w)
+    nodes = materialised(rows.select("doc", "at", "score", "k", square.alias("square")), "rule-nodes")
+
+    def distances(centre: DataFrame, clusters: DataFrame) -> DataFrame:
+        """doc, at, cluster, far: centre (doc, cluster, term, c), clusters (doc, cluster) all of them."""
+        size = clusters.join(centre.groupBy("doc", "cluster").agg(F.sum(F.col("c") * F.col("c")).alias("size")), ["doc", "cluster"], "left").fillna(0.0, ["size"])
+        product = flat.join(centre, ["doc", "term"]).groupBy("doc", "at", "cluster").agg(F.sum(F.col("w") * F.col("c")).alias("product"))
+        every = nodes.select("doc", "at", "square").join(size, "doc").join(product, ["doc", "at", "cluster"], "left")
+        return every.select("doc", "at", "cluster", F.greatest(F.round(F.col("square") + F.col("size") - 2 * F.coalesce("product", F.lit(0.0)), 9), F.lit(0.0)).alias("far"))
+
+    def first_of(chosen: DataFrame, cluster: int) -> tuple[DataFrame, DataFrame]:
+        seeds = chosen.select("doc", F.lit(cluster).alias("cluster"), "at")
+        return flat.join(seeds, ["doc", "at"]).select("doc", "cluster", "term", F.col("w").alias("c")), seeds.select("doc", "cluster")
+
+    most = nodes.agg(F.max("k")).first()[0]
+    centre, clusters = first_of(nodes.groupBy("doc").agg(F.max_by("at", F.struct(drawn(F.col("at"), 0), -F.col("at"))).alias("at")), 0)
+    for turn in range(1, most):
+        centre, clusters = materialised(centre, "centres"), materialised(clusters, "clusters")
+        left = distances(centre, clusters).groupBy("doc", "at").agg(F.min("far").alias("left"))
+        key = F.when(F.col("left") > 0, F.log(drawn(F.col("at"), turn)) / F.col("left")).otherwise(float("-inf"))
+        wanted = left.join(nodes.select("doc", "at", "k"), ["doc", "at"]).where(F.col("k") > turn)
+        more, named = first_of(wanted.groupBy("doc").agg(F.max_by("at", F.struct(key, -F.col("at"))).alias("at")), turn)
+        centre, clusters = centre.unionByName(more), clusters.unionByName(named)
+    clusters = materialised(clusters, "clusters")
+    nearest = lambda c: distances(c, clusters).groupBy("doc", "at").agg(F.min_by("cluster", F.struct("far", "cluster")).alias("cluster"))
+    centre = materialised(centre, "centres")
+    at = materialised(nearest(centre), "clustered")
+    for _ in range(rounds):
+        n = at.groupBy("doc", "cluster").agg(F.count(F.lit(1)).alias("n"))
+        mean = flat.join(at, ["doc", "at"]).groupBy("doc", "cluster", "term").agg(F.sum("w").alias("c")).join(n, ["doc", "cluster"]).select("doc", "cluster", "term", (F.col("c") / F.col("n")).alias("c"))
+        centre = materialised(mean.unionByName(centre.join(n, ["doc", "cluster"], "left_anti")), "centres")
+        new = materialised(nearest(centre), "clustered")
+        changed = not new.join(at.withColumnRenamed("cluster", "old"), ["doc", "at"]).where("cluster != old").isEmpty()
+        at = new
+        if not changed:
+            break
+    return nodes.select("doc", "at", "score").join(at, ["doc", "at"])
 
 
 def funnel(rules: DataFrame, steps: dict[str, Column], doc_col: str = "doc_id") -> DataFrame:

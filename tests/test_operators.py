@@ -253,3 +253,25 @@ def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (100, 110), (7, 7)], "src long, dst long")
     assert {r.node: r.component for r in graphs.components(edges).collect()} == {**{i: 0 for i in range(41)}, 90: 90, 100: 90, 110: 90}
     assert graphs.components(edges.limit(0)).collect() == []
+
+
+def test_clusters_by_joins_equal_clusters_in_groups(spark):
+    import random
+
+    rng, rows = random.Random(9), []
+    topics = [[f"topic{t}word{i}" for i in range(12)] for t in range(4)]
+    for doc, n in ((1, 40), (2, 24), (3, 4), (4, 9)):
+        for i in range(n):
+            topic = topics[i % 4]
+            rows.append((doc, i, " ".join(rng.choices(topic, k=9)) if i % 11 else "", [0.3, 0.8, 0.5][i % 3]))
+    rules = spark.createDataFrame(rows, "doc_id long, rule_index int, rule_text string, confidence double").repartition(3)
+    told = [sorted((r.doc_id, r.rule_index) for r in postprocess.cluster_best(rules, whole=w).collect()) for w in (100, 20)]
+    assert told[0] == told[1]
+    kept = {d: [i for x, i in told[0] if x == d] for d in (1, 2, 3, 4)}
+    assert 2 <= len(kept[1]) <= 5 and kept[3] == [0, 1, 2, 3] and len(kept[4]) <= 3
+
+
+def test_planted_clusters_keep_their_best(spark):
+    texts = [f"alpha beta gamma delta {w}" for w in ("one", "two", "three", "four")] + [f"red green blue black {w}" for w in ("five", "six", "seven", "eight")] + [f"north south east west {w}" for w in ("nine", "ten", "eleven", "twelve")]
+    rules = spark.createDataFrame([(1, i, t, 0.9 if i in (2, 5, 8) else 0.4) for i, t in enumerate(texts)], "doc_id long, rule_index int, rule_text string, confidence double")
+    assert sorted(r.rule_index for r in postprocess.cluster_best(rules, most=3).collect()) == [2, 5, 8]
