@@ -121,6 +121,18 @@ def braces(answer: Column) -> Column:
     return F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def safe_object(answer: Column) -> Column:
+    """A map of the fields (as JSON or text) of the widest {...} in an answer, names without blanks and quotes around; null if it is no object.
+
+    Of names that become equal that stays which was last by the alphabet.
+    """
+    value = F.try_parse_json(braces(answer))
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    entries = F.transform(F.map_entries(fields), lambda e: F.struct(F.regexp_replace(e["key"], "^[ \\t\\n\\r\"']+|[ \\t\\n\\r\"']+$", "").alias("key"), e["value"].cast("string").alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
 def numbers(text: Column) -> Column:
     """All numbers in a text, commas as spaces; a sign sticks to the digits behind it (1-5 gives 1 and -5)."""
     found = F.regexp_extract_all(F.replace(text, F.lit(","), F.lit(" ")), F.lit(r"-?\d*\.?\d+"), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dolomite import lexicon
-from dolomite.functions.text import count_terms, has_any, matched_terms, reading_ease, sentences, strip, word_count
+from dolomite.functions.text import count_terms, has_any, matched_terms, reading_ease, sentences, strip, unused, word_count
 
 NUMBER = r"\b(\d+\.?\d*|\d*\.?\d+)\b"
 
@@ -33,11 +33,12 @@ def rule_sentences(docs: DataFrame, terms: Sequence[str] = lexicon.PRIORITY_TERM
 
     Scores are the heuristic's constants; complexity counts terms.
     """
-    rows = docs.select("*", F.posexplode(sentences(F.coalesce(F.col(text_col), F.lit("")))).alias("sent_index", "__s")).drop(text_col)
-    s = strip(F.col("__s"))
-    cue = has_any(F.col("__s"), [*terms, *units, "shall", "must"]) | F.col("__s").rlike(NUMBER)
+    (one,) = unused(docs, "sentence")
+    rows = docs.select("*", F.posexplode(sentences(F.coalesce(F.col(text_col), F.lit("")))).alias("sent_index", one)).drop(text_col)
+    s = strip(F.col(one))
+    cue = has_any(F.col(one), [*terms, *units, "shall", "must"]) | F.col(one).rlike(NUMBER)
     return rows.where((s != "") & cue).select(
-        *[c for c in rows.columns if c != "__s"], F.substring(s, 1, 500).alias("rule_text"), F.lit(0.45).alias("confidence"), F.lit(0.45).alias("relevance"), count_terms(s, terms).alias("complexity"), reading_ease(s).alias("readability")
+        *[c for c in rows.columns if c != one], F.substring(s, 1, 500).alias("rule_text"), F.lit(0.45).alias("confidence"), F.lit(0.45).alias("relevance"), count_terms(s, terms).alias("complexity"), reading_ease(s).alias("readability")
     )
 
 

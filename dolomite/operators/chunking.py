@@ -36,6 +36,19 @@ def word_windows(docs: DataFrame, window: int = 3200, overlap: int = 200, text_c
     return windows(docs, limit, limit - stride, keep_tail=True, text_col=text_col)
 
 
+def token_windows(docs: DataFrame, window: int = 3200, overlap: int = 200, tokens: Tokens | None = None, text_col: str = "text") -> DataFrame:
+    """Windows of tokens; texts for which the tokenizer gives none (null), or all without one, have word_windows.
+
+    tokens: a column of a text's tokens, null where they can't be told.
+    """
+    if tokens is None:
+        return word_windows(docs, window, overlap, text_col)
+    (told,) = unused(docs, "told")
+    rows = docs.withColumn(told, tokens(F.coalesce(F.col(text_col), F.lit(""))))
+    good = windows(rows.where(F.col(told).isNotNull()), window, overlap, lambda _: F.col(told), text_col=text_col).drop(told)
+    return good.unionByName(word_windows(rows.where(F.col(told).isNull()).drop(told), window, overlap, text_col))
+
+
 def packed(counts: Column, hits: Column, size: int, overlap: bool) -> Column:
     """Array of (first, last, n, score): sentences packed while they fit. Only whole numbers go to Python, in Arrow batches."""
 

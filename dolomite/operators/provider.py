@@ -244,12 +244,32 @@ class HashedEmbedder:
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
 
-def embedded(rows: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "embedding") -> DataFrame:
+def embedded(rows: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "embedding", batch: int = 32, keep: int = 1000) -> DataFrame:
+    """rows with the embedding of each text, asked for in batches of `batch` new texts.
+
+    Each text is embedded once a batch of rows, and a task keeps the `keep` texts it used last. For texts of low density optimise them
+    first (pipelines.embedding_chunks).
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(**{out: embedder.embed(b[text_col].fillna("").tolist())})
+        from collections import OrderedDict
 
-    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {out} array<double>")
+        known: OrderedDict[str, list[float]] = OrderedDict()
+        for b in batches:
+            texts = b[text_col].fillna("").tolist()
+            own = {t: known[t] for t in dict.fromkeys(texts) if t in known}
+            new = [t for t in dict.fromkeys(texts) if t not in own]
+            for i in range(0, len(new), batch):
+                part = new[i : i + batch]
+                own |= zip(part, embedder.embed(part), strict=True)
+            for t, v in own.items():
+                known[t] = v
+                known.move_to_end(t)
+            while len(known) > keep:
+                known.popitem(last=False)
+            yield b.assign(**{out: [own[t] for t in texts]})
+
+    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` array<double>")
 
 
 def reranked(hits: DataFrame, score: Callable[[list[str]], list[float]] | None, k: int, text_col: str = "text") -> DataFrame:

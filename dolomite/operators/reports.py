@@ -163,3 +163,12 @@ def repeated_names(rows: DataFrame, name: str = "name") -> DataFrame:
 def consolidated(rules: DataFrame, source: str = "source") -> DataFrame:
     """source, rule_count, rules (in order of rule_index): an entry per source document, as it is written out."""
     return rules.groupBy(source).agg(F.count(F.lit(1)).alias("rule_count"), F.array_sort(F.collect_list(F.struct("rule_index", "rule_text", "confidence"))).alias("rules"))
+
+
+def consolidated_all(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, totals) of rule files (source, rule_count, rules: array) as readers.rule_files gives them.
+
+    entries: source, rule_count (the file's own, or its number of rules where it says none), rules. totals: one row, documents and rules.
+    """
+    entries = files.select("source", F.when(F.col("rule_count") > 0, F.col("rule_count")).otherwise(F.size("rules")).alias("rule_count"), "rules")
+    return entries, entries.agg(F.count(F.lit(1)).alias("total_documents"), F.coalesce(F.sum("rule_count"), F.lit(0)).alias("total_rules"))

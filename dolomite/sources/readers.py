@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dolomite.functions.text import strip
+from dolomite.functions.text import strip, unused
 from dolomite.operators.candidates import document_metadata
 
 DOCUMENT = "path string, suffix string, text string, page_count int, error string"
@@ -190,8 +190,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def resume_rows(spark: SparkSession, path: str, key: str = "path", order: str | None = None) -> DataFrame:
     """The last row of each key that is not blank. order: the column that tells later from earlier, else place in the files."""
     rows = read_csv(spark, path).where(strip(F.col(key)) != "")
-    rows = rows.withColumn("__o", F.col(order) if order else F.monotonically_increasing_id())
-    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "__o")]), "__o").alias("r")).select(key, "r.*")
+    place, last = unused(rows, "place", "last")
+    others = [c for c in rows.columns if c != key]
+    rows = rows.withColumn(place, F.col(order) if order else F.monotonically_increasing_id())
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), place).alias(last)).select(key, f"{last}.*")
 
 
 def feature_schema(spark: SparkSession, blobs: dict[str, str], faithful: bool = False) -> DataFrame:
@@ -207,6 +209,29 @@ def feature_schema(spark: SparkSession, blobs: dict[str, str], faithful: bool =
     return rows.select("domain", "object", F.nullif(F.regexp_extract("a", r"^([^( ]*)", 1), F.lit("")).alias("attribute"), F.nullif(F.regexp_extract("a", r"\(([^)]*)\)", 1), F.lit("")).alias("kind")).distinct()
 
 
+def domain_summary(spark: SparkSession, blobs: dict[str, str], faithful: bool = False) -> DataFrame:
+    """domain, summary: "**Domain**: Object (its attributes), Object", a row per domain in the order given.
+
+    faithful: a line that says "Attribute:" names no attributes, and an object's are cut at a second "Attributes:".
+    """
+    label = r"(?m)^.*Attributes:([^\n]*)$" if faithful else r"(?m)^\s*Attributes?:([^\n]*)$"
+    rows = spark.createDataFrame([(i, d, b) for i, (d, b) in enumerate(blobs.items())], "place int, domain string, blob string")
+    parts = F.filter(F.split("blob", "Object:"), lambda x: strip(x) != "")
+
+    def said(block: Column) -> Column:
+        name, listed = strip(F.split(strip(block), "\n")[0]), strip(F.regexp_extract(block, label, 1))
+        return F.when(listed != "", F.concat(name, F.lit(" ("), listed, F.lit(")"))).otherwise(name)
+
+    return rows.orderBy("place").select("domain", F.concat(F.lit("**"), "domain", F.lit("**: "), F.array_join(F.transform(parts, said), ", ")).alias("summary"))
+
+
+def missing_requirements(wanted: DataFrame, installed: DataFrame) -> DataFrame:
+    """name, version, installed, status of each wanted (name, version): ok, other version, or missing."""
+    have = installed.select(F.lower(strip("name")).alias("name"), F.col("version").alias("installed")).dropDuplicates(["name"])
+    rows = wanted.select(F.lower(strip("name")).alias("name"), "version").join(have, "name", "left")
+    return rows.withColumn("status", F.when(F.col("installed").isNull(), "missing").when(F.col("installed") == F.col("version"), "ok").otherwise("other version"))
+
+
 def requirements(spark: SparkSession, path: str) -> DataFrame:
     """name, version of name==version lines; comments and others are left out."""
     line = strip(F.regexp_replace("value", "#.*$", ""))
