@@ -177,7 +177,19 @@ def _conversation_sql() -> str:
         FROM (SELECT DISTINCT conv_id, conv FROM o) LEFT JOIN x USING (conv) LEFT JOIN w USING (conv) LEFT JOIN t USING (conv)"""
 
 
+#: Every shared shingle gives its pairs of documents, which SQL can afford on small tables alone.
+_JACCARD = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS g FROM d),
+    u AS MATERIALIZED (SELECT doc_id, len(g) AS n, hash(unnest(g)) AS g FROM s),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS shared FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2),
+    l AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * shared >= 90 * (n + m - shared) UNION ALL SELECT y, x FROM p WHERE 100 * shared >= 90 * (n + m - shared)),
+    r AS (SELECT DISTINCT x AS doc_id, x AS other FROM l UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other),
+    c AS (SELECT doc_id, min(other) AS least FROM r GROUP BY doc_id)
+    SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(least, doc_id) AS component_id FROM s LEFT JOIN c USING (doc_id)"""
+
 ORACLES = {
+    "op11_jaccard": _JACCARD,
     "op12_conversations": _conversation_sql(),
     "op13_codebook": _codebook_sql(),
     "op7_pii": _pii_sql(),
