@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dolomite import lexicon
 from dolomite.functions import formal, rules as r, text as t
-from dolomite.operators import candidates, cells, chunking, expressions, inverted, postprocess, provider, reports, retrieval
+from dolomite.operators import candidates, cells, chunking, expressions, inverted, limits, postprocess, provider, reports, retrieval
 from dolomite.plans import corpus, pipelines
 from dolomite.sources.writers import new_folder, upserted
 from dolomite.streaming.incremental import arriving
@@ -336,6 +336,14 @@ def classify_rules(spark, sf_dir):
     return own.unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), r.rule_class(F.col("text"), F.col("source")).alias("class")))
 
 
+@query(f"SELECT doc_id, {class_sql('lower(text)', chr(39) * 2)} AS answer FROM documents")
+def limited_answers(spark, sf_dir):
+    """A class asked of a provider for every document, by workers that share one budget of calls, in blocks that are written."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    limit = limits.Limit(1_000_000, 0.0)
+    return limits.asked_in_blocks(rows, provider.Offline(), "classify", limit, new_folder(spark, "limited"), ["doc_id"], "text", workers=2, block_rows=50_000).select("doc_id", "answer")
+
+
 FOUND = f"({sql_count('lower(chunk)', lexicon.PRIORITY_TERMS)} + {sql_count('lower(chunk)', lexicon.PROCESS_TERMS)})"
 
 
