@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dolomite import lexicon
 from dolomite.functions.rules import looked_up, truthy
-from dolomite.functions.text import json_part, strip, words
+from dolomite.functions.text import json_part, strip, words, unused
 
 DISTANCE = "Distance.MinValue"
 
@@ -170,12 +170,13 @@ def short_name(text: Column) -> Column:
 
 
 def with_domain(rows: DataFrame, domain: str = "domain") -> DataFrame:
-    """rows with category_name, thick and aliases of their domain's configuration (general for unknown ones)."""
-    spark = rows.sparkSession
-    config = spark.createDataFrame([(k, *v) for k, v in lexicon.DOMAIN_CONFIG.items()], "__key string, category_name string, thick string, aliases array<string>")
+    """rows with category_name, thick and aliases of their domain's configuration (general for unknown ones), in place of columns of these names."""
+    spark, rows = rows.sparkSession, rows.drop("category_name", "thick", "aliases")
+    (name,) = unused(rows, "domain_key")
+    config = spark.createDataFrame([(k, *v) for k, v in lexicon.DOMAIN_CONFIG.items()], f"{name} string, category_name string, thick string, aliases array<string>")
     known = F.lower(strip(F.coalesce(F.col(domain), F.lit(""))))
     key = F.when(known.isin(*lexicon.DOMAIN_CONFIG), known).otherwise("general")
-    return rows.withColumn("__key", key).join(F.broadcast(config), "__key", "left").drop("__key")  # a dozen rows
+    return rows.withColumn(name, key).join(F.broadcast(config), name, "left").drop(name)  # a dozen rows
 
 
 def substituted(expression: Column, thick: Column, aliases: Column) -> Column:
@@ -208,6 +209,7 @@ def canonical_rules(rows: DataFrame) -> DataFrame:
 
     A geometry's right side may hold the whole equation; a tolerance function stands for itself, with operator "True".
     """
+    rows = rows.select(*[c for c in rows.columns if c in ("rid", "rule_text", "status", "domain", "geometry_json", "equation", "ast")])
     live = rows.where(~F.lower(strip(F.coalesce(F.col("status"), F.lit("")))).isin("skipped", "invalid")).where(truthy(F.coalesce("geometry_json", "equation", "ast")).isNotNull())
     geo = truthy(F.col("geometry_json"))
     is_tol = geo.isNull() & strip(F.coalesce(F.col("equation"), F.lit(""))).startswith("Tolerance(")

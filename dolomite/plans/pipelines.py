@@ -95,9 +95,12 @@ def single_rules(chunks: DataFrame, provider: Provider, retries: int = 2, simila
     of the chunk to its words. extraction_method: structured, with "enhanced_" before it for each enhancement that was answered.
     """
     keys = [c for c in chunks.columns if c != "chunk"]
+    (row,) = unused(chunks, "row")
     gate = candidates.is_high_value(F.col("chunk"), recall=recall)
     rows = parsed_rules(materialised(asked(chunks.where(gate), provider, "single", "chunk"), "single-answers"), 1)
     rows = rows.select(*keys, "chunk", "rule_text", "rule_type", "confidence", F.lit(0.5).alias("relevance"), F.lit("structured").alias("extraction_method"))
+    # Numbered and written: chunks may share their keys, or have none.
+    rows = materialised(rows.withColumn(row, F.monotonically_increasing_id()), "rules-numbered")
     good = candidates.is_acceptable(F.col("rule_text"), F.col("confidence"), F.col("relevance"), recall=recall)
     done = rows.where(good)
     left = rows.where(~good)
@@ -105,14 +108,14 @@ def single_rules(chunks: DataFrame, provider: Provider, retries: int = 2, simila
     for turn in range(retries):
         (ask,) = unused(left, "ask")
         answered = materialised(asked(left.withColumn(ask, F.concat("rule_text", more)), provider, "enhance", ask), f"enhanced-{turn}").drop(ask)
-        one = parsed_rules(answered.where("answer is not null").select(*keys, "answer", "chunk", F.col("extraction_method").alias("before")), 1)
-        better = one.select(*keys, "chunk", "rule_text", "rule_type", "confidence", F.lit(0.5).alias("relevance"), F.concat(F.lit("enhanced_"), "before").alias("extraction_method"))
-        new = better.unionByName(answered.join(better.select(*keys), keys, "left_anti").select(*better.columns))
+        one = parsed_rules(answered.where("answer is not null").select(row, *keys, "answer", "chunk", F.col("extraction_method").alias("before")), 1)
+        better = one.select(row, *keys, "chunk", "rule_text", "rule_type", "confidence", F.lit(0.5).alias("relevance"), F.concat(F.lit("enhanced_"), "before").alias("extraction_method"))
+        new = better.unionByName(answered.join(better.select(row), row, "left_anti").select(*better.columns))
         new = materialised(new, f"rules-{turn}")
         done, left = done.unionByName(new.where(good)), new.where(~good)
     every = done.unionByName(left)
     n = F.greatest(word_count(F.col("chunk")), F.lit(1))
-    return every.withColumns({"readability": reading_ease(F.col("chunk")), "complexity": count_terms(F.col("chunk"), terms) / n}).drop("chunk")
+    return every.withColumns({"readability": reading_ease(F.col("chunk")), "complexity": count_terms(F.col("chunk"), terms) / n}).drop("chunk", row)
 
 
 def post_process(rules: DataFrame, most: int = 250, least: float = 0.3, least_relevance: float = 0.2, recall: bool = False, cluster: bool = False, stop: Sequence[str] = lexicon.ENGLISH) -> tuple[DataFrame, DataFrame]:

@@ -162,8 +162,13 @@ def rule_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files, with bytes that are no UTF-8 left out."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("�"), F.lit("")).alias("text"))
+    """Whole text files, with bytes that are no UTF-8 left out; a replacement character that a file has itself stays."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "text": [bytes(x).decode("utf-8", "ignore") for x in b["content"]]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
 
 
 def load_rules(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

@@ -27,7 +27,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
         folder = "file://" + tempfile.mkdtemp(prefix="dolomite-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/dolomite/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/dolomite/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes all that this application has materialised, indexes and keyed tables in new_folder among it: when no frame reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(new_folder(spark, "x")).getParent()
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:

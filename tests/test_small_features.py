@@ -81,3 +81,32 @@ def test_chunks_to_embed(spark):
 def test_sentences_keep_a_clashing_column(spark):
     rows = candidates.rule_sentences(spark.createDataFrame([("Walls must be 2 mm.", 4)], "text string, sentence int"))
     assert rows.select("sentence", "rule_text").first() == (4, "Walls must be 2 mm.")
+
+
+def test_chunks_that_share_their_keys(spark):
+    chunks = spark.createDataFrame([(None, "Walls must be 2 mm thick here."), (None, "Walls must be 2 mm thick here."), (1, "It must be 3 mm. ok"), (1, "Ribs must be 4 mm wide there.")], "k int, chunk string")
+
+    @dataclass(frozen=True)
+    class Short:
+        def complete(self, task, text):
+            return json.dumps({"rule_text": "short 1" if task == "single" else f"{text} longer text 2 mm", "confidence": 0.9})
+
+    rows = pipelines.single_rules(chunks, Short(), retries=1).collect()
+    assert len(rows) == 4 and {r.rule_text for r in rows} == {"short 1 longer text 2 mm"} and [c for c in rows[0].asDict() if c == "row"] == []
+
+
+def test_replacement_characters_of_a_file_stay(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("x�y".encode() + b"\xff\xfe" + "é".encode())
+    assert [r.text for r in readers.load_texts(spark, str(tmp_path)).collect()] == ["x�yé"]
+
+
+def test_written_tables_are_dropped_together(spark):
+    from dolomite.sources import writers
+
+    table = writers.materialised(spark.range(3), "once")
+    assert table.count() == 3
+    path = table.inputFiles()[0]
+    writers.drop_written(spark)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
