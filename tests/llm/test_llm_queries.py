@@ -152,8 +152,9 @@ def test_op3_rows_of_one_identifier_and_checksum(spark):
     rng = random.Random(3)
     passage, filler = prose(60, 77)[:260], "".join(rng.choice("abcdefgh ") for _ in range(400))
     a, b = passage + filler, "".join(rng.choice("ijklmnop ") for _ in range(660))
-    ends = {zlib.crc32(f"{a}{k:x}".encode()): f"{a}{k:x}" for k in range(150_000)}
-    other = next(f"{b}{k:x}" for k in range(2_000_000) if zlib.crc32(f"{b}{k:x}".encode()) in ends)
+    tails = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(1_500_000))
+    ends = {zlib.crc32((x := a + next(tails)).encode()): x for _ in range(100_000)}
+    other = next(x for t in tails if zlib.crc32((x := b + t).encode()) in ends)
     texts = [passage + " elsewhere " + filler[::-1], ends[zlib.crc32(other.encode())], other]
     data = [t.encode() for t in texts]
     got = suffix_dedup.deduplicated(spark.createDataFrame([(1, texts[0]), (None, texts[1]), (None, texts[2])], "doc_id long, text string")).collect()
