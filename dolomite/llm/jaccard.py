@@ -47,7 +47,9 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles."""
     from xxhash import xxh64_intdigest
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+    # Copied first: after a cast of a slice, whose first offset is not 0, ascii_lower of pyarrow 23 reads other bytes.
+    plain = pa.concat_arrays([pc.fill_null(column.cast(pa.large_string()), "")])
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
     bounds = np.asarray(lists.offsets)
     flat = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
     coded = flat.dictionary_encode()

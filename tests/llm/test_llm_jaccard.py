@@ -116,6 +116,23 @@ def test_sets_and_prefixes():
         assert len(set(jaccard.crossed_sets(many[:4], many[4:]))) >= len(set(up))
 
 
+def test_sets_of_a_slice():
+    """Tasks cut batches of long texts into slices (slices of 4 MB): a text's set is the same in any of them."""
+    column = pa.array([f"Word {i} of Text{i} É and more {i % 3}" for i in range(62)])
+    whole = jaccard.shingle_sets(column)
+    for kind in (pa.string(), pa.large_string(), pa.binary()):
+        for a, n in ((0, 20), (20, 20), (40, 22)):
+            got = jaccard.shingle_sets(column.cast(kind).slice(a, n))
+            assert [x.tolist() for x in got] == [x.tolist() for x in whole[a : a + n]]
+
+
+def test_texts_over_several_slices(spark):
+    """Six megabytes of texts in one task, each twice."""
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(12_000))
+    docs = spark.createDataFrame([(i, text(i % 30)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    assert {i: c for i, (n, c) in got(jaccard.joined(docs)).items() if n == 11_998} == {i: i % 30 for i in range(60)}
+
+
 def test_query_reads_every_document(spark, tmp_path):
     rows = corpus(11, 60)
     spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
