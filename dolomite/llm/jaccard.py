@@ -3,20 +3,21 @@
 A text's set holds the 64-bit hashes of its distinct shingles (words cut at ASCII white space, A-Z lower-cased; fewer words than
 a shingle has: the whole sequence as one). Two sets link when share * intersection >= need * union, here 100 and 90.
 
-1. Shingles are counted over all documents; the ORDER is rare before frequent, the frequent ones (the KNOWN most frequent) by count,
-   ties and all others by hash. Which of them are known, and 42-bit names that two shingles share, decide speed alone: any order
-   that is the same for all documents gives the same links.
-2. In that order two sets that link share a value of their prefixes, n - ceil(0.9 n) + 1 values long. Documents of equal sets are one
-   node; nodes of identical prefixes and size are one group.
-3. Groups that share a prefix value, their sizes within the bound, are candidates: of each value and window of sizes all are tied to the
-   least, so that a frequent value gives no more ties than it has groups. Components of the ties are what is compared further.
-4. In blocks of bounded size (confirm) pairs of groups pass the length bound and the positional bound of their prefixes; the members of
-   those that do are expanded and verified by exact intersection.
+1. Shingles are counted over all documents; the ORDER is rare before frequent, by steps of 2^(1/4) in their count (told by a table of at most
+   KNOWN slots of a byte, the greatest of a slot holding for all in it), ties by hash. Slots that shingles share decide speed alone:
+   any order that is the same for all documents gives the same links. Documents of equal sets are one node.
+2. In that order two sets that link share a value of their prefixes, p = n - ceil(0.9 n) + 1 values long. With a the least intersection of sets
+   of n and m values, their prefixes share p - (n - a) values, or as many by m, at least (of the prefix that ends first at most n - a values
+   are not in the other set), and what lies behind the last shared one must make up the rest of a.
+3. Nodes that share a value of at most HEAVY holders meet pair by pair; pairs within both bounds are tied. Of a value of more holders and a window
+   of sizes all are tied to the least. Components of the ties are what is compared further.
+4. In blocks of bounded size (confirm) pairs of sets of one prefix and size pass the length bound and the positional bound of their prefixes;
+   the members of those that do are expanded and verified by exact intersection.
 
 component_id is the least doc_id reachable by links. Null and wordless texts have an empty set and link with nothing: each row is
 its own component. Rows of one identifier all take part; equal texts are one node; other columns play no part. Null identifiers come
-last (alone, their component is null). Empty input gives no rows. Beyond some billion documents KNOWN no longer tells all
-frequent shingles apart: components grow and with them the work, not a task's memory, and no link is lost.
+last (alone, their component is null). Empty input gives no rows. Where far more
+frequent shingles than slots are there, pairs grow and with them the work, not a task's memory, and no link is lost.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from dolomite.llm.confirm import Forest, confirmed_links
 
 #: Words of a shingle; the least similarity as need / share.
 WORDS, NEED, SHARE = 3, 90, 100
-#: Frequent shingles that the order knows (12 bytes each in a worker), least count of one, bits of a count's part and of a name in it.
-KNOWN, FREQUENT, PART_BITS, NAME_BITS = 500_000, 4, 10, 32
+#: Most slots of counts that the order knows (a byte each in a worker), least count of one, bits of a count's part and of a name in it.
+KNOWN, FREQUENT, PART_BITS, NAME_BITS = 1 << 26, 4, 10, 32
+#: Most holders of a prefix value that meet pair by pair.
+HEAVY = 1_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -83,8 +86,12 @@ def names(values: np.ndarray) -> np.ndarray:
     return values >> np.uint64(64 - PART_BITS - NAME_BITS)
 
 
-def frequent(docs: DataFrame, words: int, known: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names, ascending, and counts of at most `known` frequent shingles, counted over all rows (id, text)."""
+def slots(values: np.ndarray, bits: int) -> np.ndarray:
+    return values >> np.uint64(64 - bits)
+
+
+def frequent(docs: DataFrame, words: int, known: int) -> np.ndarray:
+    """Steps of the counts of frequent shingles, counted over all rows (id, text), by slot: 2^k slots, at most `known`; 0: none is frequent."""
 
     def part(batches):
         for b in slices(batches, "text", 8 << 20):
@@ -108,20 +115,30 @@ def frequent(docs: DataFrame, words: int, known: int) -> tuple[np.ndarray, np.nd
         return pa.table({"name": pa.array(name), "n": pa.array(total[on])})
 
     counts = written(docs.select("text").mapInArrow(part, "part long, low binary, count binary").groupBy("part").applyInArrow(counted, "name long, n long"), "frequent")
-    # From which count on at most `known` are left: by powers of 2^(1/4), so that a few dozen rows tell.
-    step = F.floor(F.log2("n") * 4).cast("int").alias("step")
-    least, room = None, known
-    for r in sorted(counts.groupBy(step).count().collect(), key=lambda r: -r["step"]):
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["step"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = counts.where(step >= least).toArrow()
-    name, n = rows.column("name").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(name)
-    return name[order], n[order]
+    bits = min(max((8 * counts.count()).bit_length(), PART_BITS), known.bit_length() - 1)
+    if bits < PART_BITS:
+        return np.zeros(0, np.uint8)
+    each = 1 << bits - PART_BITS
+
+    def told(rows: pa.Table) -> pa.Table:
+        name, n = rows.column("name").to_numpy(), rows.column("n").to_numpy()
+        step = np.zeros(each, np.uint8)
+        np.maximum.at(step, (name & (1 << NAME_BITS) - 1) >> NAME_BITS + PART_BITS - bits, np.minimum(4 * np.log2(n), 255).astype(np.uint8))
+        return pa.table({"part": pa.array([int(name[0]) >> NAME_BITS]), "step": pa.array([step.tobytes()], pa.binary())})
+
+    parts = counts.groupBy(F.shiftright("name", NAME_BITS).alias("part")).applyInArrow(told, "part long, step binary").toArrow()  # 2^PART_BITS rows, a byte a slot
+    out = np.zeros((1 << PART_BITS, each), np.uint8)
+    for at, step in zip(parts.column("part").to_pylist(), parts.column("step"), strict=True):
+        out[at] = np.frombuffer(step.as_buffer(), np.uint8)
+    return out.ravel()
+
+
+def first_values(own: np.ndarray, step: np.ndarray, need: int = NEED, share: int = SHARE) -> np.ndarray:
+    """The prefix of a sorted set by the steps of the slots."""
+    length = len(own) - needed(len(own), need, share) + 1
+    if not len(step):
+        return own[:length]
+    return own[np.argsort(step[slots(own, len(step).bit_length() - 1)], kind="stable")[:length]]
 
 
 def prefix(own: np.ndarray, name: np.ndarray, n: np.ndarray, need: int = NEED, share: int = SHARE) -> np.ndarray:
@@ -228,20 +245,35 @@ def crossed_sets(few: list[np.ndarray], many: list[np.ndarray], need: int = NEED
     return forest.roots(np.arange(n + m))
 
 
-def candidates(groups: DataFrame, need: int = NEED, share: int = SHARE) -> DataFrame:
-    """node, component of groups (gid, size, prefix) tied to others by a value of their prefixes and sizes within the bound."""
-    # Sizes within the bound are in one window or in two that meet; a smaller set than this links with its equals alone.
+def candidates(nodes: DataFrame, need: int = NEED, share: int = SHARE, heavy: int = HEAVY) -> DataFrame:
+    """node, component of nodes (node, size, prefix) tied to others by the values of their prefixes and sizes within the bound."""
+    # A smaller set than this links with its equals alone.
+    one = nodes.where((share - need) * F.col("size") >= need).select("node", "size", F.posexplode("prefix").alias("pos", "value"))
+    # Most values are one node's alone.
+    shared = written(one.groupBy("value").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "shared-values")
+    both = written(one.join(small_or_shuffled(shared), "value"), "shared-prefixes")
+
+    few = both.where(F.col("holders") <= heavy)
+    a, b = (few.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "pos")]) for x in "ab")
+    near = (F.col("node_a") < F.col("node_b")) & (share * F.least("size_a", "size_b") >= need * F.greatest("size_a", "size_b"))
+    met = a.join(b, "value").where(near).groupBy("node_a", "node_b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"), F.max("pos_a").alias("last_a"), F.max("pos_b").alias("last_b"))
+    least = F.expr(f"({need} * (size_a + size_b) + {need + share - 1}) div {need + share}")  # values of the intersection
+    met = met.withColumn("least", least)
+    # A prefix's length less the values of its set that the other need not hold.
+    bound = lambda x: F.col("least") - F.expr(f"({need} * size_{x} + {share - 1}) div {share}") + 1
+    rest = F.least(F.col("size_a") - F.col("last_a"), F.col("size_b") - F.col("last_b")) - 1
+    ties = met.where((F.col("shared") >= F.least(bound("a"), bound("b"))) & (F.col("shared") + rest >= F.col("least"))).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
+
+    # Sizes within the bound are in one window or in two that meet.
     base = float(np.log(share / need) * (1 + 1e-9))
-    one = written(groups.where((share - need) * F.col("size") >= need).select("gid", F.floor(F.log(F.col("size")) / base).cast("int").alias("band"), F.explode("prefix").alias("value")), "prefix-values")
-    # Most values are one group's alone.
-    shared = written(one.groupBy("value").agg(F.min("gid").alias("a"), F.max("gid").alias("b")).where("a != b").select("value"), "shared-values")
-    both = written(one.join(small_or_shuffled(shared), "value"), "shared-prefixes").select("gid", "value", F.explode(F.array("band", F.col("band") + 1)).alias("window"))
-    least = written(both.groupBy("value", "window").agg(F.min("gid").alias("least"), F.max("gid").alias("most")).where("least != most").drop("most"), "least-groups")
-    ties = both.join(small_or_shuffled(least), ["value", "window"]).where("gid != least").select(F.col("gid").alias("src"), F.col("least").alias("dst")).distinct()
-    return components(ties)
+    band = F.floor(F.log(F.col("size")) / base).cast("int")
+    many = both.where(F.col("holders") > heavy).select("node", "value", F.explode(F.array(band, band + 1)).alias("window"))
+    first = written(many.groupBy("value", "window").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first != last").drop("last"), "least-nodes")
+    stars = many.join(small_or_shuffled(first), ["value", "window"]).where("node != first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    return components(ties.unionByName(stars).distinct())
 
 
-def joined(docs: DataFrame, words: int = WORDS, need: int = NEED, share: int = SHARE, known: int = KNOWN, id_col: str = "doc_id", text_col: str = "text", block: int | None = None) -> DataFrame:
+def joined(docs: DataFrame, words: int = WORDS, need: int = NEED, share: int = SHARE, known: int = KNOWN, id_col: str = "doc_id", text_col: str = "text", block: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per row of docs. block: nodes of a component that one task compares."""
     from xxhash import xxh64_intdigest
 
@@ -251,23 +283,22 @@ def joined(docs: DataFrame, words: int = WORDS, need: int = NEED, share: int = S
     order = spark.sparkContext.broadcast(frequent(spread(own), words, known))
 
     def run(batches):
-        name, count = order.value
+        step = order.value
         for b in slices(batches, "text", 4 << 20):
             sets = shingle_sets(b.column("text"), words)
-            first = [prefix(x, name, count, need, share) if len(x) else x for x in sets]
+            first = [first_values(x, step, need, share) if len(x) else x for x in sets]
             size = [len(x) for x in sets]
             node = pa.array([signed(xxh64_intdigest(x.tobytes(), 1)) if len(x) else None for x in sets], pa.int64())
-            gid = pa.array([signed(xxh64_intdigest(p.tobytes(), n)) if n else None for p, n in zip(first, size, strict=True)], pa.int64())
             ends = np.concatenate([[0], np.cumsum([len(x) for x in first])])
             values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(size, pa.int64()), node, gid, values, pc.binary_length(b.column("text")).cast(pa.int64())], ["doc_id", "key", "size", "node", "gid", "prefix", "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(size, pa.int64()), node, values, pc.binary_length(b.column("text")).cast(pa.int64())], ["doc_id", "key", "size", "node", "prefix", "bytes"])
 
     keyed = own.withColumn("key", F.md5("text"))
-    rows = written(spread(keyed).mapInArrow(run, "doc_id long, key string, size long, node long, gid long, prefix array<long>, bytes long"), "shingle-sets")
+    rows = written(spread(keyed).mapInArrow(run, "doc_id long, key string, size long, node long, prefix array<long>, bytes long"), "shingle-sets")
     order.destroy()
-    found = written(candidates(rows.where("gid is not null").select("gid", "size", "prefix").dropDuplicates(["gid"]), need, share), "candidate-groups")
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("gid").alias("gid"), F.min("key").alias("key"), F.max("bytes").alias("bytes")), "nodes")
-    placed = nodes.join(small_or_shuffled(found.withColumnRenamed("node", "gid")), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
+    found = written(candidates(nodes, need, share, heavy), "candidate-nodes")
+    placed = nodes.select("node", "key", "bytes").join(small_or_shuffled(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     alone = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     several = written(alone.where("n > 1").select("component"), "components-compared")
     wanted = written(placed.join(small_or_shuffled(several), "component").select("component", "node", "key", "bytes"), "nodes-compared")

@@ -133,6 +133,20 @@ def test_texts_over_several_slices(spark):
     assert {i: c for i, (n, c) in got(jaccard.joined(docs)).items() if n == 11_998} == {i: i % 30 for i in range(60)}
 
 
+@pytest.mark.parametrize("heavy", [2, 1000])
+def test_pairs_and_stars(spark, heavy):
+    """Whether values bring nodes together pair by pair or by their least holder, no link is lost."""
+    rows = corpus(17, 220)
+    assert got(jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), heavy=heavy)) == brute(rows)
+
+
+def test_a_shared_value_alone_ties_nothing(spark):
+    """A chain of different sets, each sharing one rare value with the next one, stays apart before any text is compared."""
+    rows = [(i, 100, [i * 10 + k for k in range(10)] + [(i + 1) * 10]) for i in range(300)] + [(900, 100, [*range(1, 11), 7000])]
+    found = jaccard.candidates(spark.createDataFrame(rows, "node long, size long, prefix array<long>"))
+    assert {r.node: r.component for r in found.collect()} == {900: 0}
+
+
 def test_query_reads_every_document(spark, tmp_path):
     rows = corpus(11, 60)
     spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
