@@ -247,6 +247,26 @@ def test_rank_in_rounds_equals_rank_in_groups(spark):
     assert few == {"a": 0.5, "b": 1.0, "c": 0.5}
 
 
+def test_graphs_within_rows_equal_graphs_by_joins(spark):
+    """Edges of bounded texts are made within their rows: no join of phrases, of which Spark would broadcast a side, and no shuffle of edges."""
+    import random
+
+    from dolomite.operators import retrieval
+
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(["hole", "bend", "the", "of", "wall", "Wall", "radius", "é1", "a", "mm", "x y"]) for _ in range(n))
+    docs = spark.createDataFrame([*[(i % 40, text(rng.randrange(30))) for i in range(60)], (90, None), (91, ""), (92, "one"), (93, text(200))], "doc_id long, text string")
+    edges = retrieval.phrase_graph(retrieval.phrases(docs))
+    want = sorted((r.id, r.src, r.dst, round(r.weight, 9)) for r in edges.collect())
+    ranks = sorted((r.id, r.phrase, round(r.score, 9)) for r in retrieval.text_rank(edges).collect())
+    for most in (2000, 60, 0):
+        assert sorted((r.id, r.src, r.dst, round(r.weight, 9)) for r in retrieval.graph_of_texts(docs, most=most).collect()) == want
+        assert sorted((r.id, r.phrase, round(r.score, 9)) for r in retrieval.rank_of_texts(docs, most=most).collect()) == ranks
+    plan = retrieval.local_graphs(retrieval.phrase_lists(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_chains(spark):
     from dolomite.operators import graphs
 
