@@ -84,3 +84,19 @@ def test_no_rows(spark, tmp_path):
     rows = spark.createDataFrame([], "document_id string, chunk_index int, chunk string")
     assert asked_together(rows, noted(str(tmp_path)), "extract", Limit(1, 0.1)).collect() == []
     assert asked_in_blocks(rows, noted(str(tmp_path)), "extract", Limit(1, 0.1), str(tmp_path / "t")).collect() == []
+
+
+def test_blocks_read_their_own_rows(spark, tmp_path):
+    """However many blocks, the rows are made twice (to count and to deal them), and not once a block."""
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return f"text {i}"
+
+    rows = spark.range(40).select("id", F.udf(text)("id").alias("chunk"))
+    got = asked_in_blocks(rows, noted(str(tmp_path)), "extract", Limit(1000, 0.0), f"{tmp_path}/store", ["id"], block_rows=5)
+    before = made.value
+    assert before <= 80 and got.where("answer = upper(chunk)").count() == 40
