@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dolomite import lexicon
-from dolomite.operators.retrieval import terms_of
+from dolomite.operators.retrieval import known_terms
 from dolomite.sources.writers import materialised
 
 FEATURES, BLOCK, BUCKETS, GRAMS = 5000, 1024, 32, (1, 3)
@@ -46,9 +46,9 @@ class InvertedIndex:
     def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", grams: tuple[int, int] = GRAMS, stop: Sequence[str] = lexicon.ENGLISH, features: int = FEATURES, block: int = BLOCK) -> InvertedIndex:
         """Rows of equal identifier are one document; documents without a known term have no postings. Texts are tokenised once."""
         spark = docs.sparkSession
-        tf = materialised(terms_of(docs, id_col, text_col, grams, stop), "index-terms")
+        tf = known_terms(docs, id_col, text_col, grams, stop, features)
         n = docs.select(F.count(F.lit(1))).first()[0]
-        known = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(features)
+        known = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
         known.withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).coalesce(1).write.parquet(f"{folder}/terms")
         terms = spark.read.parquet(f"{folder}/terms")  # `features` rows
         weighed = tf.join(F.broadcast(terms.select("term", "idf")), "term").select("id", F.struct("term", (F.col("tf") * F.col("idf")).alias("w")).alias("x"))

@@ -56,3 +56,24 @@ def test_blocks_fall_in_weight_and_hold_every_posting(spark, docs, tmp_path):
 def test_an_empty_index(spark, tmp_path):
     index = InvertedIndex.write(spark.createDataFrame([], "doc_id string, text string"), str(tmp_path))
     assert index.search("anything", 3).collect() == []
+
+
+@pytest.mark.parametrize("features, level", [(7, 1_000_000), (60, 1_000_000), (5000, 1_000_000), (60, 5)])
+def test_known_terms_without_the_others(spark, monkeypatch, features, level):
+    """The most frequent n-grams by levels are those of a count of all n-grams; no other n-gram is counted as a text."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from dolomite.operators import retrieval
+
+    rng = random.Random(features)
+    text = lambda: " ".join(rng.choice(["bend", "hole", "é", "été", "the", "of", "wall", "Wall", "w_1", "x"]) for _ in range(rng.randrange(25)))
+    docs = spark.createDataFrame([*[(i % 50, text()) for i in range(70)], (90, None), (91, "the of")], "doc_id long, text string").repartition(3)
+    every = retrieval.terms_of(docs, grams=(1, 3), stop=("the", "of"))
+    top = every.groupBy("term").agg(F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(features)
+    want = sorted(map(tuple, every.join(top, "term").select("id", "term", "tf").collect()))
+    monkeypatch.setattr(retrieval, "LEVEL", level)
+    if level > 5:
+        monkeypatch.setattr(retrieval, "terms_of", None)
+    assert sorted(map(tuple, retrieval.known_terms(docs, "doc_id", "text", (1, 3), ("the", "of"), features).collect())) == want
