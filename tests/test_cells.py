@@ -68,3 +68,15 @@ def test_tuned_probes_reach_their_recall(spark, tmp_path):
     probes = index.tuned(10, 0.93)
     assert 4 < probes < 24
     assert recall(index.search(queries, 10, probes), retrieval.vector_search_many(rows, queries, 10)) >= 0.9
+
+
+def test_queries_in_parts(spark):
+    """Queries are dealt to parts, so that no task holds all of them; the result is the same."""
+    import random
+
+    from dolomite.operators import retrieval
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(60)], "vec_id long, embedding array<float>")
+    one, many = (sorted((r.query_id, r.id, round(r.score, 9)) for r in retrieval.vector_search_many(rows, rows, 3, blocks=2, parts=p).collect()) for p in (1, 5))
+    assert one == many and len(one) == 180
