@@ -1,23 +1,29 @@
-"""N-gram Jaccard join: links of texts whose sets of word shingles are alike, by a grouped prefix join.
+"""N-gram Jaccard join: links of texts whose sets of word shingles are alike, by a join over parts of the sets.
 
 A text's set holds the 64-bit hashes of its distinct shingles (words cut at ASCII white space, A-Z lower-cased; fewer words than
-a shingle has: the whole sequence as one). Two sets link when share * intersection >= need * union, here 100 and 90.
-
-1. Shingles are counted over all documents; the ORDER is rare before frequent, by steps of 2^(1/4) in their count (told by a table of at most
-   KNOWN slots of a byte, the greatest of a slot holding for all in it), ties by hash. Slots that shingles share decide speed alone:
-   any order that is the same for all documents gives the same links. Documents of equal sets are one node.
-2. In that order two sets that link share a value of their prefixes, p = n - ceil(0.9 n) + 1 values long. With a the least intersection of sets
-   of n and m values, their prefixes share p - (n - a) values, or as many by m, at least (of the prefix that ends first at most n - a values
-   are not in the other set), and what lies behind the last shared one must make up the rest of a.
-3. Nodes that share a value of at most HEAVY holders meet pair by pair; pairs within both bounds are tied. Of a value of more holders and a window
-   of sizes all are tied to the least. Components of the ties are what is compared further.
+a shingle has: the whole sequence as one). Two sets link when share * intersection >= need * union, here 100 and 90. Documents of equal
+sets are one node.
+
+1. Sets of n and m values that link differ in at most h = (share - need) (n + m) / (share + need) values. Cut the range of hashes into
+   more than h parts: in one at least the two sets hold the same values. Each set is so cut for all h that its partners may have
+   (numbers of parts by STEP, so for one or two numbers), and gives a key of each part's values: about nine of them.
+2. A part of fewer than WEAK values says little. Where parts are many, a sixteenth more are made, so that as many weak ones may be left out of a
+   set and parts that agree remain. A set with more weak parts names each of them together with each part of a second cut.
+3. Nodes of one key are tied to the least of them, so that rows grow with the keys alone, not with the square of a group. Components of the
+   ties are what is compared further.
 4. In blocks of bounded size (confirm) pairs of sets of one prefix and size pass the length bound and the positional bound of their prefixes;
    the members of those that do are expanded and verified by exact intersection.
 
+The other way to candidates (`known` or `heavy` given) is a join over prefixes. Shingles are counted over all documents; the ORDER is rare
+before frequent, by steps of 2^(1/4) in their count (told by a table of at most `known` slots of a byte, the greatest of a slot holding for all
+in it), ties by hash. In that order two sets that link share a value of their prefixes, p = n - ceil(0.9 n) + 1 values long. With a the least
+intersection of sets of n and m values, their prefixes share p - (n - a) values, or as many by m, at least, and what lies behind the last
+shared one must make up the rest of a. Nodes that share a value of at most `heavy` holders meet pair by pair, which grows with the square of
+the holders; pairs within both bounds are tied. Of a value of more holders and a window of sizes all are tied to the least.
+
 component_id is the least doc_id reachable by links. Null and wordless texts have an empty set and link with nothing: each row is
 its own component. Rows of one identifier all take part; equal texts are one node; other columns play no part. Null identifiers come
-last (alone, their component is null). Empty input gives no rows. Where far more
-frequent shingles than slots are there, pairs grow and with them the work, not a task's memory, and no link is lost.
+last (alone, their component is null). Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dolomite.llm.common import released, slices, small_or_shuffled, spread, texts, written
@@ -34,6 +40,8 @@ from dolomite.llm.confirm import Forest, confirmed_links
 
 #: Words of a shingle; the least similarity as need / share.
 WORDS, NEED, SHARE = 3, 90, 100
+#: Steps between numbers of parts, values under which a part says little, and parts up to which a weak one is named with a second cut's.
+STEP, WEAK, SECOND = 1.1, 3, 64
 #: Most slots of counts that the order knows (a byte each in a worker), least count of one, bits of a count's part and of a name in it.
 KNOWN, FREQUENT, PART_BITS, NAME_BITS = 1 << 26, 4, 10, 32
 #: Most holders of a prefix value that meet pair by pair.
@@ -245,6 +253,50 @@ def crossed_sets(few: list[np.ndarray], many: list[np.ndarray], need: int = NEED
     return forest.roots(np.arange(n + m))
 
 
+def steps(most: int) -> list[int]:
+    """The numbers of parts that sets are cut into, up to the first that is at least `most`."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, int(out[-1] * STEP)))
+    return out
+
+
+def cut(own: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key of the values in each of so many equal ranges of hashes (own: sorted), and how many they are."""
+    ends = np.searchsorted((own >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1).astype(np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(own ^ np.uint64(0x2545F4914F6CDD1D)))])
+    name = mixed(np.uint64(parts << 32) + np.arange(parts).astype(np.uint64))
+    return mixed((sums[ends[1:]] - sums[ends[:-1]]) ^ name), np.diff(ends)
+
+
+def part_keys(own: np.ndarray, need: int = NEED, share: int = SHARE) -> np.ndarray:
+    """Keys of a sorted set: any other set that links with it has one of them too. None where equal sets alone link."""
+    n = len(own)
+    if (share - need) * n < need:
+        return np.zeros(0, np.uint64)
+    least, most = ((share - need) * (n + m) // (share + need) + 1 for m in (needed(n, need, share), share * n // need))
+    out = []
+    for parts in (x for x in steps(most) if x >= least):
+        spare = parts // 16
+        key, held = cut(own, parts + spare)
+        weak = held < WEAK
+        out.append(key[~weak])
+        if weak.sum() > spare:
+            if parts <= SECOND:
+                second = cut(np.sort(mixed(own)), parts)[0]
+                out.append(mixed(key[weak][:, None] ^ mixed(second)[None, :]).ravel())
+            else:
+                out.append(key[weak])
+    return np.concatenate(out)
+
+
+def tied_by_parts(nodes: DataFrame) -> DataFrame:
+    """node, component of nodes (node, keys) tied to others by a key. Each row of a key is tied to its least node: as many ties as keys."""
+    each = nodes.select("node", F.explode("keys").alias("key"))
+    ties = each.withColumn("first", F.min("node").over(Window.partitionBy("key"))).where("node != first")
+    return components(ties.select(F.col("node").alias("src"), F.col("first").alias("dst")).distinct())
+
+
 def candidates(nodes: DataFrame, need: int = NEED, share: int = SHARE, heavy: int = HEAVY) -> DataFrame:
     """node, component of nodes (node, size, prefix) tied to others by the values of their prefixes and sizes within the bound."""
     # A smaller set than this links with its equals alone.
@@ -273,31 +325,36 @@ def candidates(nodes: DataFrame, need: int = NEED, share: int = SHARE, heavy: in
     return components(ties.unionByName(stars).distinct())
 
 
-def joined(docs: DataFrame, words: int = WORDS, need: int = NEED, share: int = SHARE, known: int = KNOWN, id_col: str = "doc_id", text_col: str = "text", block: int | None = None, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row per row of docs. block: nodes of a component that one task compares."""
+def joined(docs: DataFrame, words: int = WORDS, need: int = NEED, share: int = SHARE, known: int | None = None, id_col: str = "doc_id", text_col: str = "text", block: int | None = None, heavy: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row per row of docs. block: nodes of a component that one task compares.
+
+    known, heavy: candidates by prefixes in place of parts.
+    """
     from xxhash import xxh64_intdigest
 
     spark = docs.sparkSession
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     own = texts(docs, id_col, text_col)
-    order = spark.sparkContext.broadcast(frequent(spread(own), words, known))
+    prefixes = known is not None or heavy is not None
+    held = "prefix" if prefixes else "keys"
+    order = spark.sparkContext.broadcast(frequent(spread(own), words, KNOWN if known is None else known) if prefixes else None)
 
     def run(batches):
         step = order.value
         for b in slices(batches, "text", 4 << 20):
             sets = shingle_sets(b.column("text"), words)
-            first = [first_values(x, step, need, share) if len(x) else x for x in sets]
+            first = [x if not len(x) else first_values(x, step, need, share) if prefixes else part_keys(x, need, share) for x in sets]
             size = [len(x) for x in sets]
             node = pa.array([signed(xxh64_intdigest(x.tobytes(), 1)) if len(x) else None for x in sets], pa.int64())
             ends = np.concatenate([[0], np.cumsum([len(x) for x in first])])
             values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(size, pa.int64()), node, values, pc.binary_length(b.column("text")).cast(pa.int64())], ["doc_id", "key", "size", "node", "prefix", "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(size, pa.int64()), node, values, pc.binary_length(b.column("text")).cast(pa.int64())], ["doc_id", "key", "size", "node", held, "bytes"])
 
     keyed = own.withColumn("key", F.md5("text"))
-    rows = written(spread(keyed).mapInArrow(run, "doc_id long, key string, size long, node long, prefix array<long>, bytes long"), "shingle-sets")
+    rows = written(spread(keyed).mapInArrow(run, f"doc_id long, key string, size long, node long, {held} array<long>, bytes long"), "shingle-sets")
     order.destroy()
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
-    found = written(candidates(nodes, need, share, heavy), "candidate-nodes")
+    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes"), F.first("size").alias("size"), F.first(held).alias(held)), "nodes")
+    found = written(candidates(nodes, need, share, HEAVY if heavy is None else heavy) if prefixes else tied_by_parts(nodes), "candidate-nodes")
     placed = nodes.select("node", "key", "bytes").join(small_or_shuffled(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     alone = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     several = written(alone.where("n > 1").select("component"), "components-compared")

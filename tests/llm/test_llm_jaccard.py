@@ -147,6 +147,38 @@ def test_a_shared_value_alone_ties_nothing(spark):
     assert {r.node: r.component for r in found.collect()} == {900: 0}
 
 
+def test_linked_sets_share_a_key():
+    """Of every size, with as many differences as a link allows; keys grow with the set."""
+    rng = np.random.default_rng(4)
+    for n in [*range(9, 60), 90, 150, 200, 333, 1_000, 2_500]:
+        for _ in range(30 if n < 200 else 4):
+            own = np.unique(rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1))
+            gone = int(rng.integers(0, n - jaccard.needed(n) + 1))
+            more = int(rng.integers(0, max(100 * (n - gone) // 90 - n, 0) + 1))
+            other = np.unique(np.append(own[rng.permutation(n)[gone:]], rng.integers(0, 1 << 63, more, np.uint64)))
+            both = len(np.intersect1d(own, other))
+            if 100 * both < 90 * (n + len(other) - both) or not gone + more:
+                continue
+            keys = [jaccard.part_keys(x) for x in (own, other)]
+            assert len(np.intersect1d(*keys)) and len(keys[0]) < n
+    assert not len(jaccard.part_keys(np.arange(8, dtype=np.uint64)))
+
+
+def test_ties_grow_with_the_keys(spark):
+    """400 near copies of one text: no join makes their 79,800 pairs before texts are compared; sets of other texts stay apart."""
+    sets = jaccard.shingle_sets(pa.array([" ".join(f"w{k}" if k != 40 else f"x{i}" for k in range(150)) for i in range(400)] + [" ".join(f"{i}y{k}" for k in range(150)) for i in range(20)]))
+    rows = [(i, jaccard.part_keys(x).view(np.int64).tolist()) for i, x in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, keys array<long>")
+    assert {r.node: r.component for r in jaccard.tied_by_parts(nodes).collect()} == {i: 0 for i in range(1, 400)}
+    made = []
+    keep, jaccard.components = jaccard.components, lambda ties: made.append(ties) or ties
+    try:
+        jaccard.tied_by_parts(nodes)
+    finally:
+        jaccard.components = keep
+    assert made[0].count() < 4_000 and "Join" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_query_reads_every_document(spark, tmp_path):
     rows = corpus(11, 60)
     spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
