@@ -77,3 +77,23 @@ def test_known_terms_without_the_others(spark, monkeypatch, features, level):
     if level > 5:
         monkeypatch.setattr(retrieval, "terms_of", None)
     assert sorted(map(tuple, retrieval.known_terms(docs, "doc_id", "text", (1, 3), ("the", "of"), features).collect())) == want
+
+
+def test_df_by_broadcast_and_by_shuffle(spark):
+    """Terms sent to every task, terms shuffled and terms of one document get the same numbers; rows of one id are one document."""
+    rows = [(i, " ".join(f"t{k}" for k in range(40) if i % (k + 1) == 0) + f" own{i} own{i}") for i in range(60)] + [(7, "t3 more own7"), (None, "t0 own7"), (None, "t0 t0"), (70, None), (71, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    tf = retrieval.counted_terms(docs, "doc_id", "text", (1, 2), ("own3",))
+    want = retrieval.terms_of(docs, "doc_id", "text", (1, 2), ("own3",))
+    assert sorted(map(str, tf.collect())) == sorted(map(str, want.collect()))
+    df = {r.term: r["count"] for r in want.groupBy("term").count().collect()}
+    for most in (0, 5, 1000):
+        found = retrieval.with_df(tf, most).collect()
+        assert len(found) == want.count() and all(r.df == df[r.term] for r in found)
+
+
+def test_terms_of_documents_are_not_shuffled(spark):
+    """Words of documents of their own ids are counted in place: what is shuffled is each term's count of documents, and the weights by document."""
+    rows = [(i, " ".join(f"w{(i * k) % 50}" for k in range(60))) for i in range(200)]
+    plan = retrieval.tfidf(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(id" in plan
