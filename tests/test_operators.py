@@ -295,3 +295,18 @@ def test_planted_clusters_keep_their_best(spark):
     texts = [f"alpha beta gamma delta {w}" for w in ("one", "two", "three", "four")] + [f"red green blue black {w}" for w in ("five", "six", "seven", "eight")] + [f"north south east west {w}" for w in ("nine", "ten", "eleven", "twelve")]
     rules = spark.createDataFrame([(1, i, t, 0.9 if i in (2, 5, 8) else 0.4) for i, t in enumerate(texts)], "doc_id long, rule_index int, rule_text string, confidence double")
     assert sorted(r.rule_index for r in postprocess.cluster_best(rules, most=3).collect()) == [2, 5, 8]
+
+
+def test_leaders_of_documents_over_batches(spark):
+    """Documents that share a batch or go over several give what each gives alone, a document without identifier among them; no call a document."""
+    words = "bend radius hole edge depth wall draft rib boss slot".split()
+    rows = [(None if d == 6 else d, i, " ".join(words[(d + i * k) % 10] for k in range(1, 4 + i % 2)), None if i == 5 else (i * 7 % 4) / 4) for d in range(7) for i in range(9)]
+    rules = spark.createDataFrame(rows, "doc_id long, rule_index int, rule_text string, confidence double").repartition(3)
+    led = lambda frame: sorted(map(str, postprocess.similar_leaders(frame).collect()))
+    want = sorted(x for d in range(7) for x in led(rules.where("doc_id is null" if d == 6 else f"doc_id = {d}")))
+    assert "FlatMapGroups" not in postprocess.similar_leaders(rules)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert led(rules) == want and len(want) == 63
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
