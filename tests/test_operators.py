@@ -310,3 +310,16 @@ def test_leaders_of_documents_over_batches(spark):
         assert led(rules) == want and len(want) == 63
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_post_process_makes_its_rules_once(spark, tmp_path):
+    import os
+
+    def noted(batches):
+        for b in batches:
+            open(f"{tmp_path}/{os.urandom(8).hex()}", "w").close()
+            yield b
+
+    rules = spark.createDataFrame([(1, i, f"wall {i} of {i % 3}", 0.5, 0.5) for i in range(8)], "doc_id int, rule_index int, rule_text string, confidence double, relevance double").coalesce(1)
+    kept, stats = pipelines.post_process(rules.mapInArrow(noted, rules.schema))
+    assert kept.count() and stats.first()["n_raw"] == 8 and len(os.listdir(tmp_path)) == 1
