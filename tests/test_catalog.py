@@ -41,6 +41,14 @@ def test_query(spark, duck, name):
     assert got == sorted(tuple(cell(dict(zip(rel.columns, r, strict=True))[c]) for c in columns) for r in rel.fetchall())
 
 
+def test_parts_of_one_row_group_come_in_several_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.read.parquet(f"{SF}/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = catalog.canonical_rules(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == spark.sparkContext.defaultParallelism and max(r["count"] for r in rows) < 2 * min(r["count"] for r in rows)
+
+
 def test_textrank_ranks_every_chunk(spark, tmp_path):
     from dolomite import lexicon
 
