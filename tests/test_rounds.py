@@ -279,3 +279,10 @@ def test_prompts():
     said = prompts.Prompted(lambda p: p, (("schema", "Bend"), ("similar", " "))).complete("attribute", "the rule")
     assert said.endswith("schema: Bend\n\nthe rule") and "similar" not in said
     assert all(prompts.assembled(t, "text").endswith("text") for t in prompts.REQUESTS)
+
+
+def test_rule_class_lowers_each_text_once(spark):
+    rows = spark.createDataFrame([("A RIB of sheet metal", "DIE casting guide"), ("A RIB", None), (None, "x"), (None, None)], "t string, title string")
+    out = rows.select(r.rule_class(F.col("t"), F.col("title")).alias("c"))
+    assert [x.c for x in out.collect()] == [provider.rule_class(a or "", b or "") for a, b in rows.collect()]
+    assert out._jdf.queryExecution().analyzed().toString().count("lower(") == 2
