@@ -323,3 +323,27 @@ def test_post_process_makes_its_rules_once(spark, tmp_path):
     rules = spark.createDataFrame([(1, i, f"wall {i} of {i % 3}", 0.5, 0.5) for i in range(8)], "doc_id int, rule_index int, rule_text string, confidence double, relevance double").coalesce(1)
     kept, stats = pipelines.post_process(rules.mapInArrow(noted, rules.schema))
     assert kept.count() and stats.first()["n_raw"] == 8 and len(os.listdir(tmp_path)) == 1
+
+
+def test_enhanced_chunks_are_made_once(spark, tmp_path):
+    """Documents are read once, and where none is thinned no chunk is shuffled; a document without identifier keeps its chunks."""
+    import os
+
+    def noted(batches):
+        for b in batches:
+            open(f"{tmp_path}/{os.urandom(8).hex()}", "w").close()
+            yield b
+
+    docs = spark.createDataFrame([(None if i == 3 else i, f"The WALL of part {i} must be {i} mm thick. " * 40) for i in range(6)], "doc_id int, text string").coalesce(1)
+    found, _ = pipelines.extract(docs.mapInArrow(noted, docs.schema), settings=pipelines.Settings(mode="enhanced", chunk_tokens=60))
+    assert len(os.listdir(tmp_path)) == 1 and found.where("doc_id is null").count() == found.where("doc_id = 2").count() > 0
+    rows = spark.createDataFrame([(d, i) for d in (1, 2, None) for i in range(4 if d == 1 else 9)], "doc_id int, chunk_index int")
+    assert "hashpartitioning" not in chunking.thinned(rows, 20)._jdf.queryExecution().executedPlan().toString()
+    kept = sorted((r.doc_id or 0, r.chunk_index) for r in chunking.thinned(rows, 5).collect())
+    assert kept == [(0, i) for i in (0, 2, 4, 6, 8)] + [(1, i) for i in range(4)] + [(2, i) for i in (0, 2, 4, 6, 8)]
+
+
+def test_score_of_chunks_by_terms_of_sentences(spark):
+    docs = spark.createDataFrame([(1, "The WALL of a Wall. No such. ΑΣ. A wall, HOLE and rib!")], "doc_id int, text string")
+    got = chunking.sentence_chunks(docs, 3, overlap=False, terms=["wall", "hole"]).select("chunk", "score").collect()
+    assert [tuple(r) for r in got] == [("The WALL of a Wall.", 1), ("No such. ΑΣ.", 0), ("A wall, HOLE and rib!", 2)]
