@@ -97,3 +97,36 @@ def test_terms_of_documents_are_not_shuffled(spark):
     rows = [(i, " ".join(f"w{(i * k) % 50}" for k in range(60))) for i in range(200)]
     plan = retrieval.tfidf(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(id" in plan
+
+
+def test_texts_are_tokenised_once_and_documents_not_shuffled(spark, tmp_path, monkeypatch):
+    """An index reads each text once, and what goes to its tasks are lists of postings, not a row a posting."""
+    from pyspark.sql import functions as F
+
+    rows = corpus(200, 5)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).select("doc_id", read("text").alias("text"))
+    monkeypatch.setattr(retrieval, "PAGE", 300, raising=False)
+    index = InvertedIndex.write(docs, str(tmp_path), features=700, block=8)
+    assert seen.value == len(rows)
+    want = retrieval.keyword_search(spark.createDataFrame(rows, "doc_id long, text string"), "w5 w9", 10, 0.1, grams=(1, 3), stop=lexicon.ENGLISH, features=700)
+    assert rounded(index.search("w5 w9", 10)) == rounded(want)
+
+
+def test_postings_of_a_frequent_term_in_several_tasks(spark, tmp_path, monkeypatch):
+    from dolomite.operators import inverted
+
+    monkeypatch.setattr(inverted, "TASK", 16)
+    rows = [(f"d{i}", "all " * (1 + i % 5) + f"w{i % 7} w{i}") for i in range(150)] + [("d3", "all w3"), (None, "all w1")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    InvertedIndex.write(docs, str(tmp_path), features=400, block=4, stop=())
+    found = {(i, r.term): round(w, 9) for r in spark.read.parquet(f"{tmp_path}/postings").collect() for i, w in zip(r.ids, r.weights, strict=True)}
+    assert found == {(r.id, r.term): round(r.weight, 9) for r in retrieval.tfidf(docs, grams=(1, 3), features=400).collect()}
+    want = retrieval.keyword_search(docs, "all w3 w17", 20, 0.1, grams=(1, 3), stop=(), features=400)
+    assert rounded(InvertedIndex(spark, str(tmp_path)).search("all w3 w17", 20)) == rounded(want)
