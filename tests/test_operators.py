@@ -267,6 +267,33 @@ def test_graphs_within_rows_equal_graphs_by_joins(spark):
     assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("rounds", [100, 3])
+def test_phrases_ranked_without_their_pairs(rounds):
+    """Scores of rows side by side are those of each row's pairs, converged or not, ties by the alphabet's bytes; no pairs are held."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(rounds)
+    words = ["the", "of", "x", "bend", "é", "été", "wall", "a", "must", "w1", "w2", "ab\x01", "ab"]
+    rows = [[" ".join(rng.choices(words, k=rng.randrange(60))) for _ in range(rng.randrange(3))] for _ in range(60)] + [[""], ["one"], ["one two three"], [" ".join(f"q{i}" for i in range(30))]]
+    got = {}
+    for r, p, s in zip(*(x.tolist() for x in retrieval.ranked_phrases(pa.array(rows, pa.list_(pa.string())), rounds, 0.85, 5)), strict=True):
+        got.setdefault(r, []).append((p, round(s, 9)))
+    for r, texts in enumerate(rows):
+        grams = {" ".join(w[i : i + n]) for w in map(str.split, texts) for n in (1, 2, 3) for i in range(len(w) - n + 1) if sum(x in lexicon.STOPWORDS for x in w[i : i + n]) <= n / 2}
+        phrases = sorted((g for g in grams if len(g) > 2), key=str.encode)
+        _, a, b, shared, longer = retrieval.pairs_of(pa.array([phrases], pa.list_(pa.string())))
+        place, score = retrieval.ranked(a, b, shared + shared / longer, rounds, 0.85, 5) if len(a) else ([], [])
+        assert got.get(r, []) == [(phrases[i], round(float(x), 9)) for i, x in zip(place, score, strict=True)]
+    hub = pa.array([[" ".join(f"hub u{r}v{i}" for i in range(300))] for r in range(20)], pa.list_(pa.string()))  # 14 million pairs
+    tracemalloc.start()
+    assert len(retrieval.ranked_phrases(hub, 100, 0.85, 5)[0]) == 100
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
 def test_components_of_chains(spark):
     from dolomite.operators import graphs
 
