@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dolomite import lexicon
-from dolomite.operators.retrieval import known_counts, numbered
+from dolomite.operators.retrieval import few_rows, known_counts, numbered
 from dolomite.sources.writers import materialised
 
 FEATURES, BLOCK, BUCKETS, GRAMS = 5000, 1024, 32, (1, 3)
@@ -96,7 +96,7 @@ class InvertedIndex:
 
         def weighed(batches):
             seen = 0
-            for x in batches:
+            for x in few_rows(batches, 4000):
                 row, code, weight = weights_of(x, idf)
                 to = begins[code] + (seen + row) % pieces[code]
                 seen += x.num_rows
